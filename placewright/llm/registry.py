@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from placewright.llm import exact_dedup, sharding
+from placewright.llm import chat_format, exact_dedup, html_text, language_id, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_sharding": sharding.op2_sharding,
+        "op3_chat_format": chat_format.op3_chat_format,
+        "op8_html_text": html_text.op8_html_text,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_chat_format": chat_format.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
