@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import chat_format, exact_dedup, html_text, language_id, sharding
+from placewright.llm import chat_format, exact_dedup, html_text, language_id, packing, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op2_sharding": sharding.op2_sharding,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op4_packing": packing.op4_packing,
         "op8_html_text": html_text.op8_html_text,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
