@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import chat_format, exact_dedup, html_text, language_id, packing, sharding, toxicity
+from placewright.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, packing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_packing": packing.op4_packing,
+        "op5_decontamination": decontaminate.op5_decontamination,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_html_text": html_text.op8_html_text,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
