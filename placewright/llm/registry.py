@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, packing, sharding, toxicity
+from placewright.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_packing": packing.op4_packing,
         "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_html_text": html_text.op8_html_text,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_chat_format": chat_format.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_chat_format": chat_format.ORACLE, "op6_near_dedup": near_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
