@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from placewright.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, sharding, toxicity
+from placewright.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, repeat_removal, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_sharding": sharding.op2_sharding,
+        "op10_repeat_removal": repeat_removal.op10_repeat_removal,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_packing": packing.op4_packing,
         "op5_decontamination": decontaminate.op5_decontamination,
