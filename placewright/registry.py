@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from placewright.queries import search
+
+
+def _all() -> dict:
+    return search.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
