@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Latin letters with marks and the letters under them.
 MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
@@ -51,7 +52,7 @@ def fold(col: Column, spaces: bool = False, underscores: bool = False) -> Column
     return F.regexp_replace(out, r"\s+", " ") if spaces else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -110,17 +111,17 @@ def name_score(a: str, b: str) -> float:
     return 0.3 * indel_ratio(a, b) + 0.3 * partial_ratio(a, b) + 0.4 * indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([name_score(x or "", y or "") for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks, longest first."""
     from difflib import SequenceMatcher

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from placewright.queries import search
+from placewright.queries import catalog, limits, search
 
 
 def _all() -> dict:
-    return search.QUERIES
+    return search.QUERIES | catalog.QUERIES | limits.QUERIES
 
 
 def queries() -> dict:
