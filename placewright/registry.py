@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from placewright.queries import catalog, limits, search
+from placewright.queries import catalog, limits, planning, search
 
 
 def _all() -> dict:
-    return search.QUERIES | catalog.QUERIES | limits.QUERIES
+    return search.QUERIES | catalog.QUERIES | limits.QUERIES | planning.QUERIES
 
 
 def queries() -> dict:
