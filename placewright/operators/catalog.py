@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,8 +70,11 @@ def unify_address(df: DataFrame) -> tuple[Column, Column]:
 def to_canonical(export: DataFrame) -> DataFrame:
     """Export strings as typed place columns; rows without an id are left in, with a null place_id."""
     address, alternative = unify_address(export)
-    has = lambda c: clean_bool(F.col(f"`{c}`")) if c in export.columns else F.lit(False)
-    sponsored = has("isSponsored") | (has("IsSponsored") if "IsSponsored" in export.columns else F.lit(False))
+    # exports spell the flag both ways; the reader numbers names that differ in case only
+    sponsored = F.lit(False)
+    for c in export.columns:
+        if re.fullmatch(r"(?i)issponsored\d*", c):
+            sponsored = sponsored | clean_bool(F.col(f"`{c}`"))
     number = lambda c: clean_num(F.col(f"`{c}`")) if c in export.columns else F.lit(None).cast("double")
     out = export.select(
         "row_id", text_or_null(export, "placeId").alias("place_id"), text_or_null(export, "title").alias("title_raw"), text_or_null(export, "categoryName").alias("category_name"),
