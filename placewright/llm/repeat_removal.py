@@ -10,7 +10,7 @@ over all documents, which strings of SPAN bytes occur in several of them, withou
 2. Contexts: around each such anchor, the stretch of text that its windows cover. A block sends each distinct context once, with the
    smallest id that has it, to its anchor's bucket. A passage that a third of all documents share is thus one row a block.
 3. In a bucket, contexts of an anchor that differ are joined to one text and its Burrows-Wheeler transform is expanded: intervals of suffixes that
-   share a string of 1, 2, 3, ... bytes are extended backwards by every character at once, breadth first; intervals of one suffix are
+   share a string of 7, 8, 9, ... bytes are extended backwards by every character at once, breadth first; intervals of one suffix are
    dropped; after SPAN steps each interval is a set of equal windows. The windows of a set that start in a document
    larger than the set's smallest id are repeats.
 4. Each block gets a mask for each of its contexts, marks the bytes and removes them.
@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN, GRAM = 50, 24
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 8 << 20
 NO_ID = (1 << 63) - 1
 
 _random = np.random.default_rng(50)
@@ -41,21 +42,35 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
     """Hash of the `size` bytes at each position: differences of running sums, each divided by its position's power."""
     n = len(text) - size + 1
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(text), FACTOR, np.uint64))
-        inverse = np.uint64(pow(int(FACTOR), -1, 1 << 64))
-        back = np.cumprod(np.full(n, inverse, np.uint64))
-        sums = np.cumsum(BYTE_VALUES[text] * power)
+        power, back = powers(len(text))
+        sums = BYTE_VALUES[text]
+        sums *= power
+        np.cumsum(sums, out=sums)
         own = sums[size - 1 :].copy()
         own[1:] -= sums[: n - 1]
-        return mix(own * back)
+        own *= back[:n]
+        return mix(own)
+
+
+_powers = [np.zeros(0, np.uint64)] * 2
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the factor and of its inverse, kept by the worker."""
+    if len(_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.cumprod(np.full(n, x, np.uint64)) for x in (FACTOR, np.uint64(pow(int(FACTOR), -1, 1 << 64)))]
+    return _powers[0][:n], _powers[1][:n]
 
 
 def window_anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,16 +82,16 @@ def window_anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     if len(text) < SPAN:
         return none, np.zeros(0, np.uint64), none, none
     hashes = gram_hashes(text, GRAM)
-    # the smallest of each `wide` hashes, with its position in the low bits of nothing: doubling keeps the leftmost
-    best = np.arange(len(hashes), dtype=np.int64)
-    value, reach = hashes, 1
+    # high bits of the hash above the position: a running minimum is the smallest hash, the leftmost of equals
+    low = len(hashes).bit_length()
+    value = (hashes >> np.uint64(low)) << np.uint64(low)
+    value |= np.arange(len(hashes), dtype=np.uint64)
+    reach = 1
     while reach < wide:
         step = min(reach, wide - reach)
-        later, later_at = value[step:], best[step:]
-        n = len(later)
-        take = later < value[:n]
-        value, best = np.where(take, later, value[:n]), np.where(take, later_at, best[:n])
+        value = np.minimum(value[:-step], value[step:])
         reach += step
+    best = (value & np.uint64((1 << low) - 1)).astype(np.int64)
     windows = np.arange(len(best))
     inside = np.ones(len(best), bool)
     for end in ends[:-1]:  # windows that begin before an end and pass it
@@ -133,7 +148,7 @@ class Block:
 def equal_windows(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """(positions, class) of the windows of `span` bytes that occur more than once in the texts, which are laid end to end with a mark after each.
 
-    Breadth-first backward extension on the Burrows-Wheeler transform, from strings of one byte to `span` bytes."""
+    Breadth-first backward extension on the Burrows-Wheeler transform, from the strings of seven bytes, which the first sort gives, to `span` bytes."""
     text = np.zeros(sum(map(len, texts)) + len(texts), np.int64)
     at = 0
     for t in texts:
@@ -141,35 +156,47 @@ def equal_windows(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np.
         text[at : at + len(t)] += 1  # 0 is the mark
         at += len(t) + 1
     n = len(text)
-    # suffixes in order of their first 64 characters or more, by doubling; the last mark is followed by the first text
-    rank = text
-    reach = 1
-    while reach < span:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -reach)
-        order = np.argsort(key, kind="stable")
+    # suffixes in order of their first characters, from seven (nine bits each) by doubling; the last mark is followed by the first text
+    key, whole, start = np.zeros(n, np.int64), np.ones(n, bool), min(7, span)
+    for i in range(start):
+        later = np.roll(text, -i)
+        key = key << 9 | later
+        whole &= later > 0
+    reach = start
+    while True:
+        order = np.argsort(key)
         sorted_key = key[order]
+        classes = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
+        if reach == start:
+            starts = classes
+            first_order = order
+        if reach >= span:
+            break
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
+        rank[order] = classes
+        key = rank * (int(classes[-1]) + 1) + np.roll(rank, -reach)
         reach *= 2
+    # rows of the shortest strings keep their intervals in the final order
+    label_of = np.empty(n, np.int64)
+    label_of[first_order] = starts
     row_of = np.empty(n, np.int64)
     row_of[order] = np.arange(n)
     before = text[order - 1]  # the transform: the character before each suffix
     back = row_of[order - 1]  # the row that a row comes to when its suffix grows by that character
-    first = text[order]
-    # intervals of strings of one character; rows that are alone or begin with a mark are dropped
-    rows = np.arange(n)
-    label = np.cumsum(np.r_[0, first[1:] != first[:-1]])
-    keep = first > 0
+    # intervals of strings of `start` characters; rows whose string holds a mark, or that are alone, are dropped
+    rows, label = np.arange(n), label_of[order]
+    keep = whole[order]
     rows, label = rows[keep], label[keep]
-    for length in range(1, span + 1):
-        if length > 1:
+    for length in range(start, span + 1):
+        if length > start:
             grown = back[rows]
             in_order = np.argsort(grown)
-            rows, label, char = grown[in_order], label[in_order], before[rows][in_order]
+            char = before[rows]
+            alive = char[in_order] > 0
+            in_order = in_order[alive]
+            rows, label, char = grown[in_order], label[in_order], char[in_order]
             apart = np.r_[True, (label[1:] != label[:-1]) | (char[1:] != char[:-1]) | (rows[1:] != rows[:-1] + 1)] if len(rows) else np.zeros(0, bool)
             label = np.cumsum(apart) - 1
-            alive = char > 0
-            rows, label = rows[alive], label[alive]
         sizes = np.bincount(label) if len(label) else np.zeros(0, np.int64)
         many = sizes[label] > 1
         rows, label = rows[many], label[many]
@@ -212,7 +239,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
         hashes = np.concatenate(parts)
         several = np.concatenate([np.frombuffer(x, "u1") for x in table["several"].to_pylist()]).astype(bool)
-        in_order = np.argsort(hashes, kind="stable")
+        in_order = np.argsort(hashes)
         h = hashes[in_order]
         new = np.r_[True, h[1:] != h[:-1]]
         group = np.cumsum(new) - 1
@@ -232,8 +259,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = anchors.groupBy("bucket").applyInArrow(answer_anchors, "block int, hashes binary")
 
     def send_contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ("bucket", "block", "numbers", "hashes", "lengths", "least", "bodies")
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        names = ("bucket", "block", "hashes", "lengths", "least", "bodies")
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         rows = []
         if table.num_rows and answers.num_rows:
             found = np.concatenate([np.frombuffer(x, "<u8") for x in answers["hashes"].to_pylist()])
@@ -241,38 +268,40 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             bucket, number = hash_bucket(np.array(hashes, np.uint64), buckets), table["block"][0].as_py()
             for b in np.unique(bucket).tolist():
                 of = np.flatnonzero(bucket == b)
-                rows.append((b, number, numbers(of, "<i4"), numbers(np.array([hashes[i] for i in of], np.uint64), "<u8"), numbers([len(bodies[i]) for i in of], "<i4"), numbers([least[i] for i in of], "<i8"), b"".join(bodies[i] for i in of)))
+                rows.append((b, number, numbers(np.array([hashes[i] for i in of], np.uint64), "<u8"), numbers([len(bodies[i]) for i in of], "u1"), zstandard.compress(numbers([least[i] for i in of], "<i8"), 1), zstandard.compress(b"".join(bodies[i] for i in of), 1)))
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
     contexts = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        send_contexts, "bucket int, block int, numbers binary, hashes binary, lengths binary, least binary, bodies binary"
+        send_contexts, "bucket int, block int, hashes binary, lengths binary, least binary, bodies binary"
     )
 
     def answer_contexts(table: pa.Table) -> pa.Table:
         block, number, hashes, bodies, least = [], [], [], [], []
-        for b, n, h, ls, ids, data in zip(*(table[c].to_pylist() for c in ("block", "numbers", "hashes", "lengths", "least", "bodies")), strict=True):
-            lengths = np.frombuffer(ls, "<i4")
+        bucket = table["bucket"][0].as_py()
+        for b, h, ls, ids, data in zip(*(table[c].to_pylist() for c in ("block", "hashes", "lengths", "least", "bodies")), strict=True):
+            lengths, data = np.frombuffer(ls, "u1").astype(np.int64), zstandard.decompress(data)
             ends = np.cumsum(lengths)
             bodies += [data[e - k : e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
             block.append(np.full(len(lengths), b))
-            number.append(np.frombuffer(n, "<i4"))
+            number.append(np.arange(len(lengths)))
             hashes.append(np.frombuffer(h, "<u8"))
-            least.append(np.frombuffer(ids, "<i8"))
+            least.append(np.frombuffer(zstandard.decompress(ids), "<i8"))
         block, number, hashes, least = map(np.concatenate, (block, number, hashes, least))
         masks = repeat_masks(hashes, bodies, least)
-        out = {"block": [], "numbers": [], "masks": []}
+        out = {"block": [], "bucket": [], "numbers": [], "masks": []}
         for b in np.unique(block).tolist():
             of = np.flatnonzero((block == b) & (masks > 0))
             if len(of):
                 out["block"].append(b)
+                out["bucket"].append(bucket)
                 out["numbers"].append(numbers(number[of], "<i4"))
                 out["masks"].append(numbers(masks[of], "<u4"))
-        return pa.table({"block": pa.array(out["block"], pa.int32()), "numbers": pa.array(out["numbers"], pa.binary()), "masks": pa.array(out["masks"], pa.binary())})
+        return pa.table({"block": pa.array(out["block"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "numbers": pa.array(out["numbers"], pa.binary()), "masks": pa.array(out["masks"], pa.binary())})
 
-    answers = contexts.groupBy("bucket").applyInArrow(answer_contexts, "block int, numbers binary, masks binary")
+    answers = contexts.groupBy("bucket").applyInArrow(answer_contexts, "block int, bucket int, numbers binary, masks binary")
     # a block needs its shared hashes again, to number its contexts as before
-    replies = shared.select("block", F.lit(None).cast("binary").alias("numbers"), F.col("hashes").alias("data")).unionByName(
-        answers.select("block", "numbers", F.col("masks").alias("data"))
+    replies = shared.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("numbers"), F.col("hashes").alias("data")).unionByName(
+        answers.select("block", "bucket", "numbers", F.col("masks").alias("data"))
     )
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -280,14 +309,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.table({"id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": pa.array([], pa.binary())})
         block = block_of(table)
         gone = np.zeros(len(block.text), bool)
-        pairs = list(zip(answers["numbers"].to_pylist(), answers["data"].to_pylist(), strict=True))
-        found = [np.frombuffer(d, "<u8") for n, d in pairs if n is None]
+        pairs = list(zip(*(answers[c].to_pylist() for c in ("bucket", "numbers", "data")), strict=True))
+        found = [np.frombuffer(d, "<u8") for b, _, d in pairs if b < 0]
         if found:
-            of, which, _, bodies, least = block.contexts(np.concatenate(found))
-            masks = np.zeros(len(bodies), np.uint32)
-            for n, d in pairs:
-                if n is not None:
-                    masks[np.frombuffer(n, "<i4")] = np.frombuffer(d, "<u4")
+            of, which, hashes, bodies, least = block.contexts(np.concatenate(found))
+            masks, bucket = np.zeros(len(bodies), np.uint32), hash_bucket(np.array(hashes, np.uint64), buckets)
+            for b, n, d in pairs:
+                if b >= 0:  # numbers count the block's contexts in that bucket
+                    masks[np.flatnonzero(bucket == b)[np.frombuffer(n, "<i4")]] = np.frombuffer(d, "<u4")
             # a document that isn't the first of the block to have a context repeats all its windows
             own = masks[which]
             later = block.key[block.doc[of]] > np.array(least, np.int64)[which]
