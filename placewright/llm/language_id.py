@@ -124,24 +124,31 @@ class Scorer:
         for size in LENGTHS:
             cost += BACKOFF
             known, rows = self.grams.get(size, ({}, None))
-            seen = [known[g] for g in grams_of(word, size) if g in known]
+            seen = [i for i in map(known.get, grams_of(word, size)) if i is not None]
             if seen:
-                return rows[seen].mean(axis=0) + np.float32(cost)
+                return np.add.reduce(rows.take(seen, axis=0)) / len(seen) + cost
         return np.zeros(len(self.langs), np.float32)
 
+    def places(self, words: list[str]) -> list[int]:
+        """Row numbers of at most KEPT_WORDS distinct words, scored where they are new."""
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > KEPT_WORDS:
+            self.at.clear()
+            new = words
+        for w in new:
+            i = self.at[w] = len(self.at)
+            self.rows[i] = self.word(w)
+        return [self.at[w] for w in words]
+
     def score(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.langs:
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in Counter(words).items():
-            i = self.at.get(word)
-            if i is None:
-                if len(self.at) == KEPT_WORDS:
-                    self.at.clear()
-                i = self.at[word] = len(self.at)
-                self.rows[i] = self.word(word)
-            total += n * self.rows[i]
+        counts = Counter(words)
+        distinct, total = list(counts), np.zeros(len(self.langs))
+        for i in range(0, len(distinct), KEPT_WORDS):
+            part = distinct[i : i + KEPT_WORDS]
+            total += np.array([counts[w] for w in part], float) @ self.rows[self.places(part)]
         odds = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.langs[best], float(odds[best] / odds.sum())
