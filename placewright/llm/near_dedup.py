@@ -13,8 +13,9 @@ are minima, so sketches merge by the larger register, and two sets' registers ag
 5. Verification on the full sets, recomputed from the texts of candidates only. A leader with many candidates is dealt
    in parts of PART candidates; each task holds one leader's set and streams the others.
 6. Components of the confirmed links. A bucket whose members then lie in different components has pairs that could
-   still join them: these are tried too, first by each component's smallest member, then all pairs across components,
-   so the result is the components of all links between sets that share a band. Nothing is capped.
+   still join them: another leader from the largest component is tried against those outside it, then all
+   pairs across components are compared in tiles, by sketch and then by full sets. So the result is the components of all links between sets that
+   share a band. Nothing is capped.
 
 Defined cases: a text without words, or null, has an empty set, is linked with nothing and is its own component. With
 fewer words than a shingle the whole sequence is one. Equal sets are linked whatever the texts. A null id is left out of
@@ -40,6 +41,8 @@ M, ROWS = 192, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Candidates of one leader that a task compares, and ids up to which a filter is broadcast (16 MB).
 PART, MAX_BROADCAST_IDS = 2_000, 400_000
+#: Turns in which each open bucket tries one more leader, and the side of a tile of members compared at once.
+LEADER_ROUNDS, TILE = 1, 1_000
 KEPT_WORDS = 300_000
 
 _seeds = np.random.default_rng(20)
@@ -150,6 +153,18 @@ def weeded(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of a written table with an id, each with its document's text: texts are shuffled only if the ids are too many to broadcast."""
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        return docs.select("id", "text").join(F.broadcast(wanted), "id")
+    return docs.select("id", "text").join(wanted.hint("merge"), "id")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) of ids whose full sets have 100 * common >= percent * union."""
     parts = pairs.groupBy("a").agg((F.count(F.lit(1)) / PART + 1).cast("int").alias("parts"))
@@ -157,12 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     wanted = dealt.select("a", "part", "b", F.col("b").alias("id")).unionByName(
         dealt.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")).distinct()
     )
-    wanted = written(wanted, "wanted")
-    if wanted.count() <= MAX_BROADCAST_IDS:
-        texts = docs.select("id", "text").join(F.broadcast(wanted), "id")
-    else:
-        texts = docs.select("id", "text").join(wanted.hint("merge"), "id")
-    rows = texts.select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    rows = texts_of(docs, written(wanted, "wanted")).select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, leader, own = WordHashes(), None, None
@@ -174,9 +184,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     if (a, part) != leader:  # of rows that repeat an id the first leads
                         leader, own = (a, part), shingle_set(text, hashes, size)
                     continue
-                other = shingle_set(text, hashes, size)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                if common and 100 * common >= percent * (len(own) + len(other) - common):
+                if alike(own, shingle_set(text, hashes, size), percent):
                     found_a.append(a)
                     found_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(found_b, pa.int64()), pa.array(found_a, pa.int64())], ["u", "v"])
@@ -184,6 +192,83 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return rows.mapInArrow(run, "u long, v long")
 
 
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, component) of the buckets whose members lie in several components."""
+    own = labels.select(F.col("node").alias("id"), "component").hint("merge")
+    labelled = members.select("key", "id").join(own, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return written(labelled.join(several.hint("merge"), "key", "left_semi"), "open")
+
+
+def leader_pairs(spread: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """One leader for each open bucket, from its largest component and another one each turn, with the members of other components."""
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sized = spread.join(sizes.hint("merge"), "component", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    leads = sized.groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("n", F.xxhash64("id", F.lit(turn)))).alias("lead"))
+    both = spread.join(leads.hint("merge"), "key").where(F.col("component") != F.col("lead.component"))
+    return both.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+
+
+def across_components(spread: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The confirmed pairs (u, v) of an open bucket across components.
+
+    Members meet in tiles: those outside a bucket's largest component are cut into parts of TILE, as are all its members, and a task compares one
+    part with another, first by sketch, then by full sets, so only links become rows. A pair counts in the first bucket that it shares."""
+    threshold = percent / 100
+    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / M)
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sized = spread.join(sizes.hint("merge"), "component", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    main = sized.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("members"))
+    rows = spread.join(main.hint("merge"), "key").withColumn("outside", F.col("component") != F.col("main"))
+    outside = rows.groupBy("key").agg(F.count_if("outside").alias("few"))
+    rows = rows.join(outside.hint("merge"), "key").withColumns({"px": F.ceil(F.col("few") / TILE).cast("int"), "py": F.ceil(F.col("members") / TILE).cast("int")})
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    xs = rows.where("outside").select("key", "id", "component", part("px").alias("x"), every("py").alias("y"), F.lit(0).alias("side"))
+    ys = rows.select("key", "id", "component", every("px").alias("x"), part("py").alias("y"), F.lit(1).alias("side"))
+    sketch = reps.select("id", "n_shingles", "regs").hint("merge")
+    ids = written(spread.select("id").distinct(), "open-ids")
+    texts = texts_of(docs, ids).groupBy("id").agg(F.first("text").alias("text")).hint("merge")
+    dealt = xs.unionByName(ys).join(sketch, "id").join(texts, "id").select("key", "x", "y", "side", "id", "component", "n_shingles", "regs", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, hashes = None, [], WordHashes()
+        for batch in batches:
+            out_a, out_b = [], []
+            sets = [shingle_set(t, hashes, size) for t in batch.column(8).cast(pa.binary()).to_pylist()]
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            ids, comps, sizes = (batch.column(i).to_numpy() for i in (4, 5, 6))
+            regs = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u2").reshape(-1, M)
+            bands = band_keys(regs)
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at][:3] != tile:
+                    tile, held = keys[at][:3], []
+                if keys[at][3] == 0:
+                    held += [(ids[i], comps[i], sizes[i], regs[i], bands[i], sets[i]) for i in range(at, end)]
+                else:
+                    for i, c, n, r, b, own in held:
+                        of = np.arange(at, end)[comps[at:end] != c]
+                        of = of[np.minimum(sizes[of], n) >= threshold * np.maximum(sizes[of], n) - 1e-9]
+                        if not len(of):
+                            continue
+                        shared = bands[of] == b
+                        of = of[b[shared.argmax(axis=1)] == keys[at][0]]
+                        if len(of):
+                            like = likely_similarity(np.broadcast_to(r, (len(of), M)), regs[of], np.full(len(of), float(n)), sizes[of].astype(float))
+                            for j in of[like >= least]:
+                                if alike(own, sets[j], percent):
+                                    out_a.append(max(i, ids[j]))
+                                    out_b.append(min(i, ids[j]))
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["u", "v"])
+
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").mapInArrow(run, "u long, v long").distinct()
+
+
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable over links) and kept, one row for each row of df."""
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
@@ -197,24 +282,18 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = written(keys.join(heads.hint("merge"), "key").select("key", "head", "id"), "members")
     pairs = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = written(confirmed(weeded(pairs, reps, percent / 100), docs, size, percent), "links")
-    tried = pairs
-    labels = components(links)
-    for every_pair in (False, True):
-        # buckets that still span components
-        labelled = members.select("key", "id").join(labels.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
-        labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        spread = written(labelled.join(open_keys.hint("merge"), "key", "left_semi"), "open")
-        leads = spread if every_pair else spread.groupBy("key", "component").agg(F.min("id").alias("id"))
-        across = leads.select("key", F.col("id").alias("x"), F.col("component").alias("cx")).join(
-            spread.select("key", F.col("id").alias("y"), F.col("component").alias("cy")).hint("merge"), "key"
-        ).where("cx <> cy" if not every_pair else "cx < cy")
-        more = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
-        tried = written(more, "tried").unionByName(tried) if not every_pair else tried
+    labels, tried = components(links), pairs
+    for turn in range(LEADER_ROUNDS):
+        more = written(leader_pairs(open_members(members, labels), labels, turn).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(more)
         new = written(confirmed(weeded(more, reps, percent / 100), docs, size, percent), "links")
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            labels = components(links)
+        if not new.limit(1).count():
+            break
+        links = links.unionByName(new)
+        labels = components(links)
+    rest = written(across_components(open_members(members, labels), labels, reps, docs, size, percent), "links")
+    if rest.limit(1).count():
+        labels = components(links.unionByName(rest))
     sets = reps.select("digest", "id").join(labels.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     sets = sets.select("digest", F.coalesce("component", "id").alias("component"))
     linked = sketches.where("digest is not null").select("id", "n_shingles", "digest").join(sets.hint("merge"), "digest", "left").select("id", "n_shingles", "component")
