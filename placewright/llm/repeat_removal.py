@@ -6,9 +6,12 @@ over all documents, which strings of SPAN bytes occur in several of them, withou
 1. Anchors: of the GRAM-byte strings inside each SPAN-byte window the one with the smallest hash is the window's anchor (the
    leftmost on ties), about one for each fourteen bytes. Equal windows have equal anchors. Documents are dealt into
    blocks of about BLOCK_BYTES by a hash of the id; a block sends each distinct anchor hash once, with a mark if two of
-   its documents hold it, to the hash's bucket. Buckets answer with the hashes that several documents hold.
+   its documents hold it and the number of its contexts, to the hash's bucket. Buckets answer with the hashes that several
+   documents hold, and with those that have over MOST_CONTEXTS contexts (wide anchors).
 2. Contexts: around each such anchor, the stretch of text that its windows cover. A block sends each distinct context once, with the
    smallest id that has it, to its anchor's bucket. A passage that a third of all documents share is thus one row a block.
+   Around a wide anchor each window is a context of its own and goes to the bucket of its own hash, so no task
+   gathers all that surrounds a frequent phrase.
 3. In a bucket, contexts of an anchor that differ are joined to one text and its Burrows-Wheeler transform is expanded: intervals of suffixes that
    share a string of 7, 8, 9, ... bytes are extended backwards by every character at once, breadth first; intervals of one suffix are
    dropped; after SPAN steps each interval is a set of equal windows. The windows of a set that start in a document
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 
 SPAN, GRAM = 50, 24
 BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 8 << 20
+#: Contexts (of at most 76 bytes) of one anchor that meet in one task; those of anchors with more are dealt window by window.
+MOST_CONTEXTS = 32_768
 NO_ID = (1 << 63) - 1
 
 _random = np.random.default_rng(50)
@@ -118,31 +123,46 @@ class Block:
         self.doc = np.searchsorted(self.ends, self.first, "right")
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchor hashes, and whether documents of different ids hold each."""
-        order = np.lexsort((self.key[self.doc], self.hash))
-        h, k = self.hash[order], self.key[self.doc][order]
-        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        last = np.r_[new[1:], len(h)] - 1 if len(h) else new
-        return h[new], k[new] != k[last]
-
-    def contexts(self, shared: np.ndarray):
-        """Of anchors whose hash is shared: occurrence numbers, each one's context number, and the contexts' hash, bytes and smallest id.
-
-        A context is the text from its first window's start to its last window's end."""
+        """Distinct anchor hashes, and for each twice the number of its contexts, plus one if documents of different ids hold it."""
+        if not len(self.hash):
+            return self.hash, np.zeros(0, "<u2")
+        windows = gram_hashes(self.text, SPAN)
+        context = windows[self.first] * FACTOR ^ windows[self.first + self.count - 1]
+        order = np.lexsort((context, self.hash))
+        h, c, k = self.hash[order], context[order], self.key[self.doc][order]
+        other = np.r_[True, h[1:] != h[:-1]]
+        new = np.flatnonzero(other)
+        contexts = np.add.reduceat((other | np.r_[True, c[1:] != c[:-1]]).astype(np.int64), new)
+        several = np.minimum.reduceat(k, new) != np.maximum.reduceat(k, new)
+        return h[new], (np.minimum(contexts, 32_767) * 2 + several).astype("<u2")
+
+    def contexts(self, shared: np.ndarray, wide: np.ndarray):
+        """Of anchors whose hash is shared: each occurrence's first window, number of windows, document and context number, and the contexts' hash, bytes and smallest id.
+
+        A context is the text from its first window's start to its last window's end; around wide anchors each window is one."""
         of = np.flatnonzero(np.isin(self.hash, shared))
+        hash_, first, count, doc = self.hash[of], self.first[of], self.count[of], self.doc[of]
+        if len(of) and len(wide):
+            split = np.isin(hash_, wide)
+            parts = np.where(split, count, 1)
+            source = np.repeat(np.arange(len(of)), parts)
+            split, doc = split[source], doc[source]
+            first = first[source] + np.arange(len(source)) - (np.cumsum(parts) - parts)[source]
+            count = np.where(split, 1, count[source])
+            hash_ = np.where(split, gram_hashes(self.text, SPAN)[first], hash_[source])
         numbers: dict[tuple[int, bytes], int] = {}
-        which = np.zeros(len(of), np.int64)
+        which = np.zeros(len(first), np.int64)
         hashes, bodies, least = [], [], []
         data = self.text.tobytes()
-        for i, (h, start, n, doc) in enumerate(zip(self.hash[of].tolist(), self.first[of].tolist(), self.count[of].tolist(), self.doc[of].tolist(), strict=True)):
+        for i, (h, start, n, d) in enumerate(zip(hash_.tolist(), first.tolist(), count.tolist(), doc.tolist(), strict=True)):
             body = data[start : start + n + SPAN - 1]
             k = numbers.setdefault((h, body), len(bodies))
             if k == len(bodies):
                 hashes.append(h)
                 bodies.append(body)
-                least.append(int(self.key[doc]))  # documents come in order of id
+                least.append(int(self.key[d]))  # documents come in order of id
             which[i] = k
-        return of, which, hashes, bodies, least
+        return (first, count, doc, which), hashes, bodies, least
 
 
 def equal_windows(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +237,7 @@ def numbers(values: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept (the bytes that stay), one row for each row of df."""
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -227,44 +247,46 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def send_anchors(table: pa.Table) -> pa.Table:
         block, number = block_of(table), table["block"][0].as_py()
-        hashes, several = block.anchors()
+        hashes, held = block.anchors()
         bucket = hash_bucket(hashes, buckets)
-        rows = [(b, number, numbers(hashes[bucket == b], "<u8"), numbers(several[bucket == b], "u1")) for b in np.unique(bucket).tolist()]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "hashes": pa.array([r[2] for r in rows], pa.binary()), "several": pa.array([r[3] for r in rows], pa.binary())})
+        rows = [(b, number, numbers(hashes[bucket == b], "<u8"), numbers(held[bucket == b], "<u2")) for b in np.unique(bucket).tolist()]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "hashes": pa.array([r[2] for r in rows], pa.binary()), "held": pa.array([r[3] for r in rows], pa.binary())})
 
-    anchors = dealt.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, hashes binary, several binary")
+    anchors = dealt.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, hashes binary, held binary")
 
     def answer_anchors(table: pa.Table) -> pa.Table:
         from_block = table["block"].to_pylist()
         parts = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
         hashes = np.concatenate(parts)
-        several = np.concatenate([np.frombuffer(x, "u1") for x in table["several"].to_pylist()]).astype(bool)
+        held = np.concatenate([np.frombuffer(x, "<u2") for x in table["held"].to_pylist()])
         in_order = np.argsort(hashes)
         h = hashes[in_order]
         new = np.r_[True, h[1:] != h[:-1]]
         group = np.cumsum(new) - 1
         shared = np.bincount(group) > 1
-        shared |= np.bincount(group, several[in_order]) > 0
-        flag = np.zeros(len(hashes), bool)
-        flag[in_order] = shared[group]
-        at, blocks_, found = 0, [], []
+        shared |= np.bincount(group, held[in_order] & 1) > 0
+        many = np.bincount(group, held[in_order] >> 1) > most_contexts
+        flag, broad = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+        flag[in_order], broad[in_order] = shared[group], (shared & many)[group]
+        at, blocks_, found, wide = 0, [], [], []
         for b, part in zip(from_block, parts, strict=True):
             own = part[flag[at : at + len(part)]]
-            at += len(part)
             if len(own):
                 blocks_.append(b)
                 found.append(numbers(own, "<u8"))
-        return pa.table({"block": pa.array(blocks_, pa.int32()), "hashes": pa.array(found, pa.binary())})
+                wide.append(numbers(part[broad[at : at + len(part)]], "<u8"))
+            at += len(part)
+        return pa.table({"block": pa.array(blocks_, pa.int32()), "hashes": pa.array(found, pa.binary()), "wide": pa.array(wide, pa.binary())})
 
-    shared = anchors.groupBy("bucket").applyInArrow(answer_anchors, "block int, hashes binary")
+    shared = anchors.groupBy("bucket").applyInArrow(answer_anchors, "block int, hashes binary, wide binary")
 
     def send_contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ("bucket", "block", "hashes", "lengths", "least", "bodies")
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         rows = []
         if table.num_rows and answers.num_rows:
-            found = np.concatenate([np.frombuffer(x, "<u8") for x in answers["hashes"].to_pylist()])
-            _, _, hashes, bodies, least = block_of(table).contexts(found)
+            found, wide = (np.concatenate([np.frombuffer(x, "<u8") for x in answers[c].to_pylist()]) for c in ("hashes", "wide"))
+            _, hashes, bodies, least = block_of(table).contexts(found, wide)
             bucket, number = hash_bucket(np.array(hashes, np.uint64), buckets), table["block"][0].as_py()
             for b in np.unique(bucket).tolist():
                 of = np.flatnonzero(bucket == b)
@@ -300,7 +322,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     answers = contexts.groupBy("bucket").applyInArrow(answer_contexts, "block int, bucket int, numbers binary, masks binary")
     # a block needs its shared hashes again, to number its contexts as before
-    replies = shared.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("numbers"), F.col("hashes").alias("data")).unionByName(
+    replies = shared.select("block", F.lit(-1).alias("bucket"), F.col("wide").alias("numbers"), F.col("hashes").alias("data")).unionByName(
         answers.select("block", "bucket", "numbers", F.col("masks").alias("data"))
     )
 
@@ -310,19 +332,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         block = block_of(table)
         gone = np.zeros(len(block.text), bool)
         pairs = list(zip(*(answers[c].to_pylist() for c in ("bucket", "numbers", "data")), strict=True))
-        found = [np.frombuffer(d, "<u8") for b, _, d in pairs if b < 0]
+        found = [(np.frombuffer(d, "<u8"), np.frombuffer(n, "<u8")) for b, n, d in pairs if b < 0]
         if found:
-            of, which, hashes, bodies, least = block.contexts(np.concatenate(found))
+            (first, count, doc, which), hashes, bodies, least = block.contexts(*map(np.concatenate, zip(*found)))
             masks, bucket = np.zeros(len(bodies), np.uint32), hash_bucket(np.array(hashes, np.uint64), buckets)
             for b, n, d in pairs:
                 if b >= 0:  # numbers count the block's contexts in that bucket
                     masks[np.flatnonzero(bucket == b)[np.frombuffer(n, "<i4")]] = np.frombuffer(d, "<u4")
             # a document that isn't the first of the block to have a context repeats all its windows
             own = masks[which]
-            later = block.key[block.doc[of]] > np.array(least, np.int64)[which]
-            full = ((np.uint64(1) << block.count[of].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+            later = block.key[doc] > np.array(least, np.int64)[which]
+            full = ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
             own = np.where(later, full, own)
-            starts = np.concatenate([block.first[of[(own >> np.uint32(i)) & np.uint32(1) > 0]] + i for i in range(SPAN - GRAM + 1)])
+            starts = np.concatenate([first[(own >> np.uint32(i)) & np.uint32(1) > 0] + i for i in range(SPAN - GRAM + 1)])
             change = np.bincount(starts, minlength=len(gone) + 1)[: len(gone) + 1] - np.bincount(starts + SPAN, minlength=len(gone) + 1)[: len(gone) + 1]
             gone = np.cumsum(change[:-1]) > 0
         rows = []

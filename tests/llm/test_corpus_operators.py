@@ -293,13 +293,13 @@ def brute_repeats(rows, span=50):
     return out
 
 
-@pytest.mark.parametrize("block, bucket", [(1 << 20, 1 << 20), (3000, 4000)])
-def test_repeat_removal(spark, rows, docs, block, bucket):
+@pytest.mark.parametrize("block, bucket, most", [(1 << 20, 1 << 20, 1000), (3000, 4000, 1000), (3000, 4000, 2), (3000, 4000, 0)])
+def test_repeat_removal(spark, rows, docs, block, bucket, most):
     rng = random.Random(5)
     passage = prose(rng, 30)
     more = [(400 + i, prose(rng, 20) + passage[rng.randrange(20) : -1 - rng.randrange(20)] + prose(rng, 20)) for i in range(15)] + [(500, "ab" * 200), (501, "ba" * 90), (502, "x" * 49), (503, "x" * 50), (504, "x" * 51)]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    got = repeat_removal.remove_repeats(df, block_bytes=block, bucket_bytes=bucket).collect()
+    got = repeat_removal.remove_repeats(df, block_bytes=block, bucket_bytes=bucket, most_contexts=most).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == brute_repeats([*rows, *more])
 
 
