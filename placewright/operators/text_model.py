@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placewright.functions.text import fold
 
@@ -71,15 +78,70 @@ def train_text_model(rows: DataFrame, n_words: int = 500, n_chars: int = 1000, i
     return Pipeline(stages=stages).fit(weighted)
 
 
+class GramScorer:
+    """Label probabilities of folded texts by a fitted model's n-grams and weights, as its stages give them. A word's character n-grams are found once for its repeats."""
+
+    WORDS, BLANKS, MOST, LONGEST = re.compile(r"\w{2,}"), re.compile(r"[ \t\n\x0b\f\r]+"), 100_000, 64
+
+    def __init__(self, model: PipelineModel):
+        _, words, word_scale, _, chars, char_scale, _, _, fit = model.stages
+        self.singles = {x: i for i, x in enumerate(words.vocabulary) if " " not in x}
+        self.pairs = {tuple(x.split(" ")): i for i, x in enumerate(words.vocabulary) if " " in x}
+        self.chars = {x: i for i, x in enumerate(chars.vocabulary)}
+        self.scales = [s.getScalingVec().toArray() for s in (word_scale, char_scale)]
+        weights, n = fit.coefficientMatrix.toArray(), len(words.vocabulary)
+        self.weights, self.intercept = (weights[:, :n], weights[:, n:]), fit.interceptVector.toArray()
+        self.known: dict[str, list[tuple[int, int]]] = {}
+
+    def inside(self, word: str) -> list[tuple[int, int]]:
+        """(n-gram, how often) of one word with its bounding blanks."""
+        if (found := self.known.get(word)) is None:
+            w = f" {word} "
+            grams = (w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))
+            found = list(Counter(self.chars[g] for g in grams if g in self.chars).items())
+            if len(word) <= self.LONGEST:
+                if len(self.known) >= self.MOST:  # bounds memory only: a forgotten word is read again
+                    self.known.clear()
+                self.known[word] = found
+        return found
+
+    def probabilities(self, text: str | None) -> list[float]:
+        text = text or ""
+        counts = [np.zeros(len(s)) for s in self.scales]
+        words = self.WORDS.findall(text)
+        for w, n in Counter(words).items():
+            if (i := self.singles.get(w)) is not None:
+                counts[0][i] = n
+        for p in zip(words, words[1:]):
+            if (i := self.pairs.get(p)) is not None:
+                counts[0][i] += 1
+        held: dict[int, int] = {}
+        for w, n in Counter(self.BLANKS.split(text)).items():
+            for i, k in self.inside(w):
+                held[i] = held.get(i, 0) + n * k
+        counts[1][list(held.keys())] = list(held.values())
+        margins = self.intercept.copy()
+        for x, scale, weights in zip(counts, self.scales, self.weights):
+            x = x * scale
+            margins += weights @ (x / (np.linalg.norm(x) or 1.0))
+        if math.isinf(most := margins.max()):  # one label only
+            return [float(m == most) for m in margins]
+        e = np.exp(margins - most)
+        return (e / e.sum()).tolist()
+
+
 def score_text(df: DataFrame, model: PipelineModel, text: str = "text", unknown: str = "unknown", least: float = LEAST) -> DataFrame:
-    """The rows with scored (up to three labels of probability `least` or more, best first), primary and confidence."""
-    labels = model.stages[0].labels
-    scored = with_grams(df.withColumn("label", F.lit(labels[0])), text)
-    out = scored
-    for stage in model.stages[1:]:
-        out = stage.transform(out)
+    """The rows with scored (up to three labels of probability `least` or more, best first), primary and confidence. Whole texts are read; a null text counts as an empty one."""
+    labels, scorer = model.stages[0].labels, GramScorer(model)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([scorer.probabilities(t) for t in batch])
+
+    out = df.withColumn("__p", probabilities(fold(F.col(text))))
     names = F.array(*map(F.lit, labels))
-    pairs = F.transform(F.arrays_zip(vector_to_array("probability").alias("p"), names.alias("l")), lambda x: F.struct((-x["p"]).alias("neg"), x["l"].alias("label")))
+    pairs = F.transform(F.arrays_zip(F.col("__p").alias("p"), names.alias("l")), lambda x: F.struct((-x["p"]).alias("neg"), x["l"].alias("label")))
     top = F.slice(F.array_sort(F.filter(pairs, lambda x: -x["neg"] >= least)), 1, TOP)
     out = out.withColumn("__top", top)
     first = F.get("__top", F.lit(0))

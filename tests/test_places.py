@@ -182,3 +182,26 @@ def test_grounding(spark):
     r = a.select("answer_id", F.lit("Bar do Porto").alias("title"))
     t = spark.createDataFrame([("Teatro da Paz",), ("Botequim",), ("Bar do Porto",)], "title string")
     assert {x.answer_id: x.grounded for x in evaluation.grounding(a, r, t).collect()} == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True}
+
+
+def test_text_model_reads_whole_texts(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+
+    from placewright.operators import text_model
+    from placewright.queries import matching as queries
+
+    opening = "lorem ipsum dolor " * 20  # over 300 letters, the same in every document
+    ends = {"en": "the house and the water were with them", "fr": "la maison et les eaux étaient avec_elles\t où?"}
+    rows = [(i, opening + " ".join([ends[lang]] * (i % 3 + 1)) + f" x{i}", lang) for i, lang in enumerate(list(ends) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.primary for r in queries.text_model(spark, str(tmp_path)).collect()} == {i: lang for i, _, lang in rows}
+    # the scores are those of the fitted stages
+    model = text_model.train_text_model(docs.select("text", F.col("lang").alias("label")), 30, 60, 20)
+    more = spark.createDataFrame([*[(i, t) for i, t, _ in rows[:6]], (100, ""), (101, "a"), (102, "LES eaux, les  maison\n"), (103, "the où the house")], "doc_id long, text string")
+    out = text_model.with_grams(more.withColumn("label", F.lit("en")))
+    for stage in model.stages[1:]:
+        out = stage.transform(out)
+    want = {r.doc_id: max(r.p) for r in out.select("doc_id", vector_to_array("probability").alias("p")).collect()}
+    got = {r.doc_id: r.confidence for r in text_model.score_text(more, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
