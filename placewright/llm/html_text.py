@@ -59,7 +59,10 @@ ROLE_TEXT = frozenset(["main", "article"])
 
 WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>="']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+MARKING = re.compile(r"\b(class|id|role|hidden|style)\b", re.I)
+NEXT_ATTRIBUTE = re.compile(r"[\s/]*=?[^\s/>=]*\s*(=\s*)?")
+UNQUOTED = re.compile(r"[^\s>]*")
 TAG_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:_-]*")
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -67,26 +70,36 @@ BAD, GOOD, OPEN = -1, 1, 0
 SHORT_CHARS, LONG_CHARS, MAX_LINKS, LOW_STOPS, HIGH_STOPS = 70, 200, 0.33, 0.12, 0.2
 
 
-def tag_end(page: str, at: int) -> int:
-    """Index past the > that ends the tag begun at `at`; a > inside one quoted value doesn't end it."""
-    end = page.find(">", at)
-    if end < 0:
-        return -1
-    part = page[at:end]
-    for quote in ('"', "'"):
-        if "=" + quote in part and part.count(quote) % 2:
-            close = page.find(quote, end)
-            if 0 <= close - end <= 2000:
-                later = page.find(">", close)
-                return later + 1 if later >= 0 else end + 1
-    return end + 1
+def tag_end(page: str, at: int, lost: set[int]) -> int:
+    """Index past the > that ends the tag whose attributes begin at `at`, or -1; a > inside a quoted value of any length doesn't end it.
+
+    If a quote never closes, or no > follows, the first > ends the tag. lost gathers the places of the page from which that is so, so that each is read once."""
+    first = page.find(">", at)
+    if first < 0 or page.find('"', at, first) < 0 and page.find("'", at, first) < 0:
+        return first + 1 or -1
+    size, passed = len(page), []
+    while at < size and at not in lost:
+        passed.append(at)
+        found = NEXT_ATTRIBUTE.match(page, at)
+        at = found.end()
+        if found[1] is None:
+            if page.startswith(">", at):
+                return at + 1
+        elif page.startswith(('"', "'"), at):
+            at = page.find(page[at], at + 1) + 1 or size
+        else:
+            at = UNQUOTED.match(page, at).end()
+    lost.update(passed)
+    return first + 1
 
 
 def markup(attributes: str, inside: bool = False) -> int:
     """BAD, GOOD or OPEN by an element's class, id, role and visibility; inside: whether it stands in an article."""
     verdict = OPEN
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        if not (mark := MARKING.search(name)):
+            continue
+        name, value = mark[0].lower(), value.strip("\"'")
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return BAD
         if name in ("class", "id", "role"):
@@ -105,6 +118,7 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool]]:
     parts: list[str] = []
     linked = 0
     at, size = 0, len(page)
+    lost: set[int] = set()
 
     def block():
         nonlocal parts, linked
@@ -141,7 +155,7 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool]]:
             continue
         closing = mark == "/"
         found = TAG_NAME.match(page, begin + 1 + closing)
-        end = tag_end(page, begin) if found else -1
+        end = tag_end(page, found.end(), lost) if found else -1
         if not found or end < 0:  # a lone < is text
             parts.append("<")
             at = begin + 1
@@ -149,7 +163,7 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool]]:
         tag, attributes, at = found[0].lower(), page[found.end() : end - 1], end
         if tag in RAW_TAGS and not closing:
             close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
-            at = tag_end(page, close.start()) if close else size
+            at = tag_end(page, close.end(), lost) if close else size
             at = size if at < 0 else at
             parts.append(" ")
             continue

@@ -276,6 +276,16 @@ def test_html_text(spark):
     assert sorted((r.page_id or 0, r.n_chars) for r in out.collect()) == [(0, 0), (1, 37), (2, 0)]
 
 
+def test_html_long_attributes():
+    prop = '{"a": "<b>x</b>", "hidden": true, "t": 1}, ' * 200  # over 2,000 letters, with > in it
+    for quote, value in (("'", prop), ('"', prop.replace('"', "'"))):
+        page = f"<article><div data-props={quote}{value}{quote}><p>It was the best of times.</p><img alt = {quote}{value}{quote}/>And on.</div></article>"
+        assert html_text.main_text(page) == "It was the best of times. And on."
+    assert html_text.main_text("<article><p title=\"a>It's the one.</p></article>") == "It's the one."  # a quote that never closes
+    assert html_text.main_text("<article><a href=x?a=\"b>It was</a> on.</article>") == "It was on."  # a quote inside a bare value opens nothing
+    assert html_text.main_text('<article>' + '<i b=">"' * 100_000).count('"') == 100_000  # each place is read once
+
+
 def brute_repeats(rows, span=50):
     least, out = {}, {}
     order = sorted(rows, key=lambda r: (r[0] is None, r[0]))
