@@ -11,15 +11,18 @@ any item lies whole in one - are searched: cursors over the posting lists of the
 sum of word bounds reaches the threshold, then the sum of block bounds, then the score; a failed block bound skips to
 the end of the block. All items at or above the threshold come back, none is cut off.
 
-A hit counts when the text holds the item's question and answer: five-word shingles of the first part and of the last
-part of the item (its last sentence, or its last third if it is one sentence) are looked up in the text around the
-passage; each part must be there to QUESTION and ANSWER of its shingles.
+A hit counts when the text holds the item's question and answer: the first part and the last part of the item (its
+last sentence, or its last third if it is one sentence) are looked up in the text around the passage; each part must
+be there to QUESTION and ANSWER. A part is there to the greater of two shares: of its shingles of five words (of all
+its words, if it has fewer) that the text has, and of its words that need no edit to stand in the text in a row, so
+that one changed word doesn't lose a part. An item too short for two parts of five words is looked up whole.
 
 The index is built in parts of MAX_ITEMS items and a scan of the texts searches PARTS of them, so the size of a
-broadcast is bounded however many items there are; more items take more scans. Texts are not shuffled.
+broadcast is bounded however many items there are; more items take more scans. Word rarity and mean length are those of all
+items. Texts are not shuffled.
 
 Defined cases: a null or empty text matches nothing, nor does an item without words. Items of fewer than five words
-are one shingle. Equal items are reported each; repeated documents are reported each time. Empty tables give an empty result. Extra
+must be there word for word. Equal items are reported each; repeated documents are reported each time. Empty tables give an empty result. Extra
 columns are ignored.
 """
 
@@ -31,9 +34,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.8, 0.8, 0.8
@@ -50,12 +55,41 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+def shingles(words: list[str], width: int = SHINGLE) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def edits(part: list[str], words: list[str]) -> int:
+    """The fewest words to insert, delete or replace that make the part a run of the words (Myers' bit vectors, one bit for each word of the part)."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(part):
+        at[w] = at.get(w, 0) | 1 << i
+    full, top = (1 << len(part)) - 1, 1 << len(part) - 1
+    up, down, now = full, 0, len(part)
+    least = now
+    for w in words:
+        equal = at.get(w, 0)
+        level = (((equal & up) + up) ^ up) | equal
+        more, less = (down | ~(level | up)) & full, up & level
+        now += bool(more & top) - bool(less & top)
+        least = min(least, now)
+        more, less = more << 1 & full, less << 1 & full
+        level = equal | down
+        up, down = (less | ~(level | more)) & full, more & level
+    return least
+
+
+def overlap(part: list[str], words: list[str]) -> float:
+    """To what share the words hold the part."""
+    width = min(SHINGLE, len(part))
+    own = shingles(part, width)
+    share = len(own & shingles(words, width)) / len(own)
+    return share if share == 1 else max(share, (len(part) - edits(part, words)) / len(part))
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """An item's words but for its last sentence, and those of that sentence; of a single sentence the first two thirds and the rest."""
+    """An item's words but for its last sentence, and those of that sentence; of a single sentence the first two thirds and the rest.
+    The whole item twice if two thirds are fewer than SHINGLE words."""
     ends = [m.end() for m in SENTENCE_END.finditer(text)]
     for end in reversed(ends):
         question, answer = words_of(text[:end]), words_of(text[end:])
@@ -63,22 +97,21 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
             return question, answer
     words = words_of(text)
     cut = max(1, 2 * len(words) // 3)
-    return words[:cut], words[cut - SHINGLE + 1 if cut >= SHINGLE else 0 :]
+    return (words[:cut], words[cut - SHINGLE + 1 :]) if cut >= SHINGLE else (words, words)
 
 
 class Index:
-    """Posting lists of a part of the items, with word and block bounds."""
+    """Posting lists of a part of the items, with word and block bounds. overall: items with words, their mean length and the items of each word, if items aren't all there are."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], overall: tuple[int, float, dict[str, int]] | None = None):
         docs = [(i, t, words_of(t)) for i, t in items]
         docs = [d for d in docs if d[2]]
-        df = Counter(w for *_, words in docs for w in set(words))
-        n, mean = len(docs), np.mean([len(w) for *_, w in docs]) if docs else 1.0
-        idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
+        n, mean, df = overall or (len(docs), np.mean([len(w) for *_, w in docs]) if docs else 1.0, Counter(w for *_, words in docs for w in set(words)))
+        idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for *_, words in docs for w in set(words) if (k := df[w])}
         # items that share their rarest word lie together, which keeps block bounds tight
         docs.sort(key=lambda d: (max((idf[w], w) for w in d[2]), d[0]))
         self.ids = [d[0] for d in docs]
-        self.parts = [tuple(map(shingles, question_and_answer(t))) for _, t, _ in docs]
+        self.parts = [question_and_answer(t) for _, t, _ in docs]
         self.longest = max((len(w) for *_, w in docs), default=1)
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for at, (_, _, words) in enumerate(docs):
@@ -91,7 +124,7 @@ class Index:
         self.items = [[at for at, _ in p] for p in postings.values()]
         self.weights = [[x for _, x in p] for p in postings.values()]
         self.bound = np.array([max(p) for p in self.weights] or [0.0])
-        self.blocks = np.zeros((max(1, len(postings)), -(-max(1, n) // BLOCK)), np.float32)
+        self.blocks = np.zeros((max(1, len(postings)), -(-max(1, len(docs)) // BLOCK)), np.float32)
         for i, (ats, ws) in enumerate(zip(self.items, self.weights, strict=True)):
             np.maximum.at(self.blocks[i], np.array(ats) // BLOCK, np.array(ws, np.float32))
 
@@ -162,16 +195,22 @@ class Index:
                         best[item] = score, at
         out = []
         for item, (score, at) in sorted(best.items()):
-            around = shingles(words[max(0, at - step) : at + window + step])
-            q, a = (len(p & around) / len(p) if p else 1.0 for p in self.parts[item])
+            around = words[max(0, at - step) : at + window + step]
+            q, a = (overlap(p, around) for p in self.parts[item])
             if q < question or a < answer:  # equal scores elsewhere: the whole text decides
-                around = shingles(words)
-                q, a = (len(p & around) / len(p) if p else 1.0 for p in self.parts[item])
+                q, a = (overlap(p, words) for p in self.parts[item])
             if q >= question and a >= answer:
                 out.append((self.ids[item], at, score, q, a))
         return out
 
 
+@F.pandas_udf(T.StructType().add("n", T.LongType()).add("words", T.ArrayType(T.StringType())))
+def distinct_words(texts: pd.Series) -> pd.DataFrame:
+    """How many words each text has, and the different ones."""
+    found = [words_of(t) for t in texts]
+    return pd.DataFrame({"n": [len(w) for w in found], "words": [sorted(set(w)) for w in found]})
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -188,13 +227,22 @@ def contaminated(
     items = items.select("item_id", "text").where(F.col("text").isNotNull())
     parts = max(1, -(-items.count() // max_items))
     part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    if parts > 1:  # one part's own figures are those of all items
+        spread = items.select(part_of.alias("part"), distinct_words("text").alias("found"))
+        each = spread.select("part", F.explode("found.words").alias("word"))
+        counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+        total = spread.where("found.n > 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("found.n"), F.lit(1.0)).alias("mean")).first()
     rows = docs.select(*keep, "text")
     schema = rows.select(*keep).schema
     for field in MATCH_FIELDS.split(", "):
         schema = schema.add(*field.split())
     out = None
     for first in range(0, parts, PARTS):
-        indexes = [Index(sorted((r.item_id, r.text) for r in items.where(part_of == part).collect())) for part in range(first, min(parts, first + PARTS))]
+        overall, last = None, min(parts, first + PARTS)
+        if parts > 1:
+            here = each.where(F.col("part").between(first, last - 1)).select("word").distinct()
+            overall = total.n, total.mean, {r.word: r.k for r in counts.join(here, "word").collect()}
+        indexes = [Index(sorted((r.item_id, r.text) for r in items.where(part_of == part).collect()), overall) for part in range(first, last)]
         shared = spark.sparkContext.broadcast(indexes)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

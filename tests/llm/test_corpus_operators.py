@@ -180,6 +180,36 @@ def test_bm25_search_equals_brute_force(spark):
     assert decontaminate.contaminated(empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_short_and_edited_items(spark):
+    rng = random.Random(12)
+    items = [(0, "What is the capital of France? Paris."), (1, "Zeus begat Ares"), (2, "red fox eats blue hen quickly"), (3, "When did the first steam engine of that old river mill start to turn its great iron wheel around?")]
+    items += [(10 + i, prose(rng, 30) + ".") for i in range(40)]
+    edited = items[3][1].replace("river", "town")
+    short = decontaminate.question_and_answer(items[3][1])
+    texts = [prose(rng, 40) + f" {t} " + prose(rng, 300) for t in (items[0][1], items[1][1], items[2][1], items[3][1], edited, "What is the capital of Spain? Rome.", "Zeus begat Hera", " ".join(short[0]))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, table).collect()}
+    assert found.keys() == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)}
+    # the parts of the index share rarity and mean length
+    parted = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, table, max_items=6).collect()}
+    assert parted.keys() == found.keys() and all(abs(parted[k] - found[k]) < 1e-9 for k in found)
+
+    def fitting(part, words):
+        row = list(range(len(part) + 1))
+        least = row[-1]
+        for w in words:
+            new = [0]
+            for i, x in enumerate(part):
+                new.append(min(row[i] + (x != w), row[i + 1] + 1, new[i] + 1))
+            row, least = new, min(least, new[-1])
+        return least
+
+    for _ in range(200):
+        part, words = ([rng.choice("abcd") for _ in range(rng.randint(least, 12))] for least in (1, 0))
+        assert decontaminate.edits(part, words) == fitting(part, words)
+
+
 def brute_components(rows, size):
     sets = {}
     for i, t in rows:
