@@ -205,3 +205,21 @@ def test_text_model_reads_whole_texts(spark, tmp_path):
     want = {r.doc_id: max(r.p) for r in out.select("doc_id", vector_to_array("probability").alias("p")).collect()}
     got = {r.doc_id: r.confidence for r in text_model.score_text(more, model).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_category_pairs_loses_no_close_pair(spark, tmp_path):
+    import itertools
+    import random
+    from difflib import SequenceMatcher
+
+    from placewright.queries import matching as queries
+
+    rng = random.Random(3)
+    names = {"abcdef", "abxcdyef", "lounge", "lo un ge", "motel", "morel", "sushi", "suxhi", "ab", "abc", "bar", "bars", "a"} | {"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(120)}
+    near = {(x, y) for x, y in itertools.product(names, names) if x == y or SequenceMatcher(None, x, y).ratio() >= 0.8}
+    df = spark.createDataFrame([(x, x) for x in names], "place_category string, asked string")
+    got = {(r.place_category, r.asked) for r in matching.category_pairs(df, df).collect()}
+    assert got - {("motel", "hotel")} == near and {("lounge", "lo un ge"), ("motel", "morel"), ("abcdef", "abxcdyef")} <= got
+    # every name is asked, whatever its key
+    spark.createDataFrame([(i, f"thing{i}") for i in range(8)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.asked for r in queries.vocabulary_fuzzy(spark, str(tmp_path)).collect()} == {f"thing{i}" for i in range(8)}
