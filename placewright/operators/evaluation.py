@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placewright.functions.text import fold, text_ratio
 
 UNSCORED = ("", "unknown")
-MIN_STRAY, MAX_WORDS, FUZZY = 6, 8, 0.85
+MIN_STRAY, FUZZY = 6, 0.85
 
 
 def label_prf(df: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
@@ -73,18 +73,23 @@ def words_of(col: Column) -> Column:
     return F.regexp_extract_all(fold(col, spaces=True), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
-def phrase_grams(df: DataFrame, words: str, longest: int = MAX_WORDS) -> Column:
-    """Word sequences of 2 to `longest` words as one exploded array."""
-    n = F.size(words)
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.transform(
-        F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(longest), n - i))), lambda k: F.array_join(F.slice(words, i + 1, k), " "))))
+def phrase_grams(words: str, lengths: list[int]) -> Column:
+    """Word sequences of the given numbers of words as one array."""
+    sizes = F.array(*map(F.lit, lengths)).cast("array<int>")
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.transform(
+        F.filter(sizes, lambda k: k <= F.size(words) - i + 1), lambda k: F.array_join(F.slice(words, i, k), " "))))
+
+
+def word_counts(df: DataFrame, phrase: str) -> list[int]:
+    """The different numbers of words that the phrases have, a small set."""
+    return sorted(r.n for r in df.where(F.col(phrase) != "").select(F.size(F.split(phrase, " ")).alias("n")).distinct().collect())
 
 
 def grounding(answers: DataFrame, results: DataFrame, titles: DataFrame, exact: bool = False) -> DataFrame:
     """(answer_id, grounded). An answer is grounded if each **bold** name is close to a result title or stands in the question, and no other
     title of two words or more stands in its text. answers: answer_id, question, answer; results: answer_id, title; titles: title.
 
-    Titles are found by joining them with the answer's word sequences, so no answer meets every title."""
+    Titles are found by joining them with the answer's word sequences of the lengths that titles have, so no answer meets every title."""
     own = results.select("answer_id", fold(F.col("title"), spaces=True).alias("own")).where("own <> ''").distinct()
     names = answers.select("answer_id", fold(F.col("question"), spaces=True).alias("asked"), F.explode(bold_names(F.col("answer"))).alias("name"))
     names = names.select("answer_id", "asked", fold(F.col("name"), spaces=True).alias("name")).where(~F.contains("asked", F.col("name"))).drop("asked").distinct()
@@ -98,8 +103,8 @@ def grounding(answers: DataFrame, results: DataFrame, titles: DataFrame, exact:
     text = fold(F.replace("answer", F.lit("**"), F.lit("")), spaces=True)
     text = F.aggregate(F.coalesce("owns", F.array().cast("array<struct<n:int,own:string>>")), text, lambda t, o: F.replace(t, o["own"], F.lit(" | ")))
     spans = masked.select("answer_id", fold(F.col("question"), spaces=True).alias("asked"), F.explode(F.split(text, r"\|")).alias("span")).withColumn("words", words_of(F.col("span"))).where(F.size("words") >= 2)
-    grams = spans.select("answer_id", "asked", F.explode(phrase_grams(spans, "words")).alias("key")).distinct()
     known = titles.select(fold(F.col("title"), spaces=True).alias("folded"), F.array_join(words_of(F.col("title")), " ").alias("key")).where((F.length("folded") >= MIN_STRAY) & F.contains("folded", F.lit(" "))).distinct()
+    grams = spans.select("answer_id", "asked", F.explode(phrase_grams("words", [n for n in word_counts(known, "key") if n > 1])).alias("key")).distinct()
     stray = grams.join(known.hint("shuffle_hash"), "key").where(~F.contains("asked", F.col("folded")))
     stray = stray.join(own.withColumnRenamed("own", "folded"), ["answer_id", "folded"], "left_anti").select("answer_id").distinct()
     bad = invented.unionByName(stray).distinct().withColumn("__bad", F.lit(True))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions.text import fold, nfc
+from placewright.operators.evaluation import phrase_grams, word_counts
 
 MAX_LEN, STRENGTH = 400, 0.3
 
@@ -188,13 +189,11 @@ def scan_lexicon(messages: DataFrame, lexicon: DataFrame, key: str = "message_id
     return long_.select(key, "category", "phrase").unionByName(brief).distinct()
 
 
-def scan_keywords(messages: DataFrame, keywords: DataFrame, key: str = "message_id", text: str = "folded", longest: int = 4) -> DataFrame:
+def scan_keywords(messages: DataFrame, keywords: DataFrame, key: str = "message_id", text: str = "folded") -> DataFrame:
     """(key, label, keyword) of the keywords that stand in a message as whole words, the last one perhaps in the plural (s or es)."""
     words = F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " ")), " ")
-    grams = messages.select(key, F.posexplode(words).alias("at", "w"), words.alias("ws")).select(
-        key, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("ws") - F.col("at"))), lambda k: F.array_join(F.slice("ws", F.col("at") + 1, k), " "))).alias("gram")
-    ).distinct()
     plain = keywords.select("label", F.lower("keyword").alias("keyword"), F.trim(F.regexp_replace(fold(F.col("keyword")), r"[^\p{L}\p{N}_]+", " ")).alias("k"))
+    grams = messages.select(key, words.alias("ws")).select(key, F.explode(phrase_grams("ws", word_counts(plain, "k"))).alias("gram")).distinct()
     forms = plain.select("label", "keyword", F.explode(F.array("k", F.concat("k", F.lit("s")), F.concat("k", F.lit("es")))).alias("gram")).distinct()
     return grams.join(forms.hint("shuffle_hash"), "gram").select(key, "label", "keyword").distinct()
 

@@ -223,3 +223,13 @@ def test_category_pairs_loses_no_close_pair(spark, tmp_path):
     # every name is asked, whatever its key
     spark.createDataFrame([(i, f"thing{i}") for i in range(8)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     assert {r.asked for r in queries.vocabulary_fuzzy(spark, str(tmp_path)).collect()} == {f"thing{i}" for i in range(8)}
+
+
+def test_long_titles_and_keywords(spark):
+    long_ = "Casa de Sucos e Lanches da Dona Maria do Porto"
+    a = spark.createDataFrame([(1, "", f"Try {long_} now"), (2, "", "Try Casa de Sucos e Lanches da Dona Maria")], "answer_id long, question string, answer string")
+    r = spark.createDataFrame([(1, "Bar do Porto"), (2, "Bar do Porto")], "answer_id long, title string")
+    assert {x.answer_id: x.grounded for x in evaluation.grounding(a, r, spark.createDataFrame([(long_,)], "title string")).collect()} == {1: False, 2: True}
+    words = spark.createDataFrame([("c", "all you can eat buffet"), ("d", "bar")], "label string, keyword string")
+    hits = planning.scan_keywords(spark.createDataFrame([(1, "two all you can eat buffets or bars"), (2, "you can eat")], "message_id long, folded string"), words).collect()
+    assert {(h.message_id, h.label) for h in hits} == {(1, "c"), (1, "d")}
