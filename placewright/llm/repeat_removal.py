@@ -41,9 +41,12 @@ BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 8 << 20
 MOST_CONTEXTS = 32_768
 NO_ID = (1 << 63) - 1
 
-_random = np.random.default_rng(50)
-BYTE_VALUES = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors of the eight-byte words of a hashed string (SPAN + SPAN - GRAM bytes at most).
+FACTORS = np.random.default_rng(50).integers(0, 1 << 64, 10, dtype=np.uint64) | np.uint64(1)
+#: Low bits of a running minimum that hold a position; the same for every block, so that all blocks break ties alike.
+PLACE_BITS = 31
+#: Windows whose minima are taken at once, so that they stay in the processor's cache.
+STRETCH = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,60 +56,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` bytes at each position: differences of running sums, each divided by its position's power."""
-    n = len(text) - size + 1
-    with np.errstate(over="ignore"):
-        power, back = powers(len(text))
-        sums = BYTE_VALUES[text]
-        sums *= power
-        np.cumsum(sums, out=sums)
-        own = sums[size - 1 :].copy()
-        own[1:] -= sums[: n - 1]
-        own *= back[:n]
-        return mix(own)
+def words_of(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as numbers."""
+    return np.ndarray((max(0, len(text) - 7),), "<u8", np.ascontiguousarray(text), strides=(1,))
 
 
-_powers = [np.zeros(0, np.uint64)] * 2
+def gram_hashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes at some positions."""
+    h = words[at] * FACTORS[0]
+    for i in range(8, GRAM, 8):
+        h += words[at + i] * FACTORS[i // 8]
+    return mix(h)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the factor and of its inverse, kept by the worker."""
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.full(n, x, np.uint64)) for x in (FACTOR, np.uint64(pow(int(FACTOR), -1, 1 << 64)))]
-    return _powers[0][:n], _powers[1][:n]
+def string_words(words: np.ndarray, first: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+    """Words that together hold the strings of SPAN bytes or more that begin at `first`; the last word of each overlaps the one before."""
+    for i in range(-(-(2 * SPAN - GRAM) // 8)):
+        yield words[first + np.minimum(8 * i, length - 8)]
 
 
-def window_anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, first window, windows) of each anchor of texts that lie end to end; windows that cross an end have none.
+def window_minima(words: np.ndarray, n: int) -> np.ndarray:
+    """For each of n windows of SPAN bytes the smallest of its grams' hashes, cut, above the position of that gram."""
+    wide = SPAN - GRAM + 1
+    out = np.empty(n, np.uint64)
+    for begin in range(0, n, STRETCH):
+        many = min(STRETCH, n - begin)
+        own = np.ascontiguousarray(words[begin : begin + many + SPAN - 8])
+        m = many + wide - 1
+        value = own[:m] * FACTORS[0]
+        for i in range(8, GRAM, 8):
+            value += own[i : i + m] * FACTORS[i // 8]
+        mix(value)
+        # high bits of the hash above the position: the smallest hash, the leftmost of equals
+        value >>= np.uint64(PLACE_BITS)
+        value <<= np.uint64(PLACE_BITS)
+        value |= np.arange(begin, begin + m, dtype=np.uint64)
+        reach = 1
+        while reach < wide:
+            step = min(reach, wide - reach)
+            value = np.minimum(value[:-step], value[step:])
+            reach += step
+        out[begin : begin + many] = value
+    return out
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+
+
+def window_anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, windows) of each anchor of texts that lie end to end; windows that cross an end have none.
 
     An anchor's windows start at consecutive positions."""
-    wide = SPAN - GRAM + 1
-    none = np.zeros(0, np.int64)
-    if len(text) < SPAN:
-        return none, np.zeros(0, np.uint64), none, none
-    hashes = gram_hashes(text, GRAM)
-    # high bits of the hash above the position: a running minimum is the smallest hash, the leftmost of equals
-    low = len(hashes).bit_length()
-    value = (hashes >> np.uint64(low)) << np.uint64(low)
-    value |= np.arange(len(hashes), dtype=np.uint64)
-    reach = 1
-    while reach < wide:
-        step = min(reach, wide - reach)
-        value = np.minimum(value[:-step], value[step:])
-        reach += step
-    best = (value & np.uint64((1 << low) - 1)).astype(np.int64)
-    windows = np.arange(len(best))
-    inside = np.ones(len(best), bool)
-    for end in ends[:-1]:  # windows that begin before an end and pass it
-        inside[max(0, end - SPAN + 1) : end] = False
-    windows, best = windows[inside], best[inside]
-    if not len(windows):
-        return none, np.zeros(0, np.uint64), none, none
-    first = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (windows[1:] != windows[:-1] + 1)])
-    counts = np.diff(np.r_[first, len(windows)])
-    return best[first], hashes[best[first]], windows[first], counts
+    n = len(text) - SPAN + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = words_of(text)
+    best = window_minima(words, n)
+    first = np.flatnonzero(best[1:] != best[:-1]) + 1
+    # a run of windows is broken where windows begin to cross an end, and at the end
+    first = np.sort(np.concatenate([[0], first, ends - SPAN + 1, ends]), kind="stable")
+    first = first[runs(first)]
+    first = first[(first >= 0) & (first < n)]
+    count = np.diff(np.r_[first, n])
+    inside = first + SPAN <= ends[np.searchsorted(ends, first, "right")]
+    first, count = first[inside], count[inside]
+    return gram_hashes(words, (best[first] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)), first, count
 
 
 class Block:
@@ -119,25 +135,41 @@ class Block:
         self.key = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
         self.ends = np.cumsum([len(t) for t in self.texts]).astype(np.int64)
         self.text = np.frombuffer(b"".join(self.texts), np.uint8)
-        self.at, self.hash, self.first, self.count = window_anchors(self.text, self.ends)
+        self.words = words_of(self.text)
+        self.hash, self.first, self.count = window_anchors(self.text, self.ends)
         self.doc = np.searchsorted(self.ends, self.first, "right")
 
+    def strings(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Hashes of contexts: of the text of `count` windows from `first` on."""
+        h = count.astype(np.uint64)
+        for factor, word in zip(FACTORS, string_words(self.words, first, count + SPAN - 1)):
+            h += word * factor
+        return mix(h)
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes, and for each twice the number of its contexts, plus one if documents of different ids hold it."""
-        if not len(self.hash):
-            return self.hash, np.zeros(0, "<u2")
-        windows = gram_hashes(self.text, SPAN)
-        context = windows[self.first] * FACTOR ^ windows[self.first + self.count - 1]
-        order = np.lexsort((context, self.hash))
-        h, c, k = self.hash[order], context[order], self.key[self.doc][order]
-        other = np.r_[True, h[1:] != h[:-1]]
-        new = np.flatnonzero(other)
-        contexts = np.add.reduceat((other | np.r_[True, c[1:] != c[:-1]]).astype(np.int64), new)
-        several = np.minimum.reduceat(k, new) != np.maximum.reduceat(k, new)
-        return h[new], (np.minimum(contexts, 32_767) * 2 + several).astype("<u2")
+        order = np.argsort(self.hash)
+        h = self.hash[order]
+        new = runs(h)
+        size = np.diff(np.r_[new, len(h)])
+        held = np.full(len(new), 2, np.int64)
+        several = np.flatnonzero(size > 1)
+        if len(several):
+            of = order[np.repeat(size > 1, size)]
+            group = np.repeat(np.arange(len(several)), size[several])
+            context = self.strings(self.first[of], self.count[of])
+            by = np.lexsort((context, group))
+            context = context[by]
+            start = np.cumsum(size[several]) - size[several]
+            other = np.r_[True, context[1:] != context[:-1]]
+            other[start] = True
+            key = self.key[self.doc[of]]
+            apart = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
+            held[several] = np.minimum(np.add.reduceat(other.astype(np.int64), start), 32_767) * 2 + apart
+        return h[new], held.astype("<u2")
 
     def contexts(self, shared: np.ndarray, wide: np.ndarray):
-        """Of anchors whose hash is shared: each occurrence's first window, number of windows, document and context number, and the contexts' hash, bytes and smallest id.
+        """Of anchors whose hash is shared: each occurrence's first window, number of windows, document and context number, and each context's hash and an occurrence in the smallest id.
 
         A context is the text from its first window's start to its last window's end; around wide anchors each window is one."""
         of = np.flatnonzero(np.isin(self.hash, shared))
@@ -149,86 +181,105 @@ class Block:
             split, doc = split[source], doc[source]
             first = first[source] + np.arange(len(source)) - (np.cumsum(parts) - parts)[source]
             count = np.where(split, 1, count[source])
-            hash_ = np.where(split, gram_hashes(self.text, SPAN)[first], hash_[source])
-        numbers: dict[tuple[int, bytes], int] = {}
-        which = np.zeros(len(first), np.int64)
-        hashes, bodies, least = [], [], []
-        data = self.text.tobytes()
-        for i, (h, start, n, d) in enumerate(zip(hash_.tolist(), first.tolist(), count.tolist(), doc.tolist(), strict=True)):
-            body = data[start : start + n + SPAN - 1]
-            k = numbers.setdefault((h, body), len(bodies))
-            if k == len(bodies):
-                hashes.append(h)
-                bodies.append(body)
-                least.append(int(self.key[d]))  # documents come in order of id
-            which[i] = k
-        return (first, count, doc, which), hashes, bodies, least
+            hash_ = np.where(split, self.strings(first, np.ones(len(first), np.int64)), hash_[source])
+        if not len(first):
+            return (first, count, doc, first), hash_, first
+        # documents come in order of id, so a context's first occurrence has its smallest id
+        _, one, which = np.unique(mix(self.strings(first, count) * FACTORS[0] + hash_), return_index=True, return_inverse=True)
+        same = (hash_ == hash_[one][which]) & (count == count[one][which])
+        length = count + SPAN - 1
+        for a, b in zip(string_words(self.words, first, length), string_words(self.words, first[one], length[one])):
+            same &= a == b[which]
+        if not same.all():  # different contexts of one hash
+            data = self.text.tobytes()
+            numbers: dict[tuple[int, bytes], int] = {}
+            bodies = ((h, data[f : f + n]) for h, f, n in zip(hash_.tolist(), first.tolist(), length.tolist(), strict=True))
+            which = np.array([numbers.setdefault(b, len(numbers)) for b in bodies], np.int64)
+            _, one = np.unique(which, return_index=True)
+        return (first, count, doc, which), hash_[one], one
 
 
 def equal_windows(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """(positions, class) of the windows of `span` bytes that occur more than once in the texts, which are laid end to end with a mark after each.
 
-    Breadth-first backward extension on the Burrows-Wheeler transform, from the strings of seven bytes, which the first sort gives, to `span` bytes."""
-    text = np.zeros(sum(map(len, texts)) + len(texts), np.int64)
-    at = 0
-    for t in texts:
-        text[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        text[at : at + len(t)] += 1  # 0 is the mark
-        at += len(t) + 1
+    Suffixes are sorted by `span` characters, and intervals of the Burrows-Wheeler transform are extended backwards, breadth first. The string of
+    an interval grows by one character a step, and an interval whose end no shorter string had yields the common prefix at its end: so prefixes are
+    found by increasing length. Only such intervals are extended further. It starts at seven bytes, which the first sort gives, and what has no end after
+    `span` steps is shared to `span` bytes at least."""
+    size = np.array([len(t) for t in texts], np.int64)
+    text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+    marks = np.cumsum(size + 1) - 1
+    text[marks] = 0
     n = len(text)
-    # suffixes in order of their first characters, from seven (nine bits each) by doubling; the last mark is followed by the first text
-    key, whole, start = np.zeros(n, np.int64), np.ones(n, bool), min(7, span)
+    left = np.repeat(marks, size + 1) - np.arange(n)  # characters up to the mark
+    # suffixes in order of seven characters (nine bits each); the last mark is followed by the first text
+    start, key = min(7, span), np.zeros(n, np.int64)
     for i in range(start):
-        later = np.roll(text, -i)
-        key = key << 9 | later
-        whole &= later > 0
-    reach = start
-    while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        classes = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
-        if reach == start:
-            starts = classes
-            first_order = order
-        if reach >= span:
+        key <<= 9
+        key |= np.roll(text, -i)
+    order = np.argsort(key)
+    key = key[order]
+    other = key[1:] != key[:-1]
+    sooner = (key[1:] >> 9) != (key[:-1] >> 9)
+    first = np.flatnonzero(np.r_[True, other])
+    # then by more: rows that are still tied are sorted by the rank of what follows, twice as far each time
+    rank, apart, reach = np.empty(n, np.int64), np.r_[True, other], start
+    rank[order] = np.repeat(first, np.diff(np.r_[first, n]))
+    while reach < span:
+        tied = np.flatnonzero(~(apart & np.r_[apart[1:], True]))
+        if not len(tied):
             break
-        rank = np.empty(n, np.int64)
-        rank[order] = classes
-        key = rank * (int(classes[-1]) + 1) + np.roll(rank, -reach)
+        of = order[tied]
+        value = rank[of] << 32 | rank[(of + reach) % n]
+        by = np.argsort(value)
+        of, value = of[by], value[by]
+        order[tied] = of
+        new = np.r_[True, value[1:] != value[:-1]]
+        apart[tied] = new
+        rank[of] = np.repeat(tied[new], np.diff(np.r_[np.flatnonzero(new), len(tied)]))
         reach *= 2
-    # rows of the shortest strings keep their intervals in the final order
-    label_of = np.empty(n, np.int64)
-    label_of[first_order] = starts
     row_of = np.empty(n, np.int64)
     row_of[order] = np.arange(n)
     before = text[order - 1]  # the transform: the character before each suffix
     back = row_of[order - 1]  # the row that a row comes to when its suffix grows by that character
-    # intervals of strings of `start` characters; rows whose string holds a mark, or that are alone, are dropped
-    rows, label = np.arange(n), label_of[order]
-    keep = whole[order]
-    rows, label = rows[keep], label[keep]
-    for length in range(start, span + 1):
-        if length > start:
-            grown = back[rows]
-            in_order = np.argsort(grown)
-            char = before[rows]
-            alive = char[in_order] > 0
-            in_order = in_order[alive]
-            rows, label, char = grown[in_order], label[in_order], char[in_order]
-            apart = np.r_[True, (label[1:] != label[:-1]) | (char[1:] != char[:-1]) | (rows[1:] != rows[:-1] + 1)] if len(rows) else np.zeros(0, bool)
-            label = np.cumsum(apart) - 1
-        sizes = np.bincount(label) if len(label) else np.zeros(0, np.int64)
-        many = sizes[label] > 1
-        rows, label = rows[many], label[many]
-        if not len(rows):
+    known = np.r_[True, other, True]  # whether the common prefix of a row and the row before is known, and so shorter than the strings now
+    high = np.flatnonzero(np.r_[other & ~sooner, False]) + 1
+    low = first[np.searchsorted(first, high - 1, "right") - 1]
+    whole = left[order[low]] >= start
+    low, high = low[whole], high[whole]
+    for _ in range(start, span):
+        wide = high - low
+        which = np.repeat(np.arange(len(low)), wide)
+        rows = np.arange(len(which)) + (low - np.cumsum(wide) + wide)[which]
+        char = before[rows]
+        alive = char > 0  # no window holds a mark
+        which, char, grown = which[alive], char[alive], back[rows[alive]]
+        if not len(grown):
             break
-    return order[rows], label
+        by = np.argsort(grown)
+        grown, string = grown[by], which[by] << 9 | char[by]
+        new = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (grown[1:] != grown[:-1] + 1)])
+        low, high = grown[new], grown[np.r_[new[1:], len(grown)] - 1] + 1
+        fresh = ~known[high]
+        known[high] = True
+        low, high = low[fresh], high[fresh]
+    label = np.cumsum(known[:n]) - 1
+    held = left[order] >= span
+    order, label = order[held], label[held]
+    many = np.bincount(label, minlength=1)[label] > 1
+    return order[many], label[many]
 
 
 def hash_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
+def parted(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each bucket with the places that go to it, in order."""
+    by = np.argsort(bucket, kind="stable")
+    return [(int(bucket[of[0]]), of) for of in np.split(by, runs(bucket[by])[1:]) if len(of)]
+
+
 def block_of(table: pa.Table) -> Block:
     return Block(table["id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist())
 
@@ -248,8 +299,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def send_anchors(table: pa.Table) -> pa.Table:
         block, number = block_of(table), table["block"][0].as_py()
         hashes, held = block.anchors()
-        bucket = hash_bucket(hashes, buckets)
-        rows = [(b, number, numbers(hashes[bucket == b], "<u8"), numbers(held[bucket == b], "<u2")) for b in np.unique(bucket).tolist()]
+        rows = [(b, number, numbers(hashes[of], "<u8"), numbers(held[of], "<u2")) for b, of in parted(hash_bucket(hashes, buckets))]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "hashes": pa.array([r[2] for r in rows], pa.binary()), "held": pa.array([r[3] for r in rows], pa.binary())})
 
     anchors = dealt.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, hashes binary, held binary")
@@ -286,11 +336,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = []
         if table.num_rows and answers.num_rows:
             found, wide = (np.concatenate([np.frombuffer(x, "<u8") for x in answers[c].to_pylist()]) for c in ("hashes", "wide"))
-            _, hashes, bodies, least = block_of(table).contexts(found, wide)
-            bucket, number = hash_bucket(np.array(hashes, np.uint64), buckets), table["block"][0].as_py()
-            for b in np.unique(bucket).tolist():
-                of = np.flatnonzero(bucket == b)
-                rows.append((b, number, numbers(np.array([hashes[i] for i in of], np.uint64), "<u8"), numbers([len(bodies[i]) for i in of], "u1"), zstandard.compress(numbers([least[i] for i in of], "<i8"), 1), zstandard.compress(b"".join(bodies[i] for i in of), 1)))
+            block, number = block_of(table), table["block"][0].as_py()
+            (first, count, doc, _), hashes, one = block.contexts(found, wide)
+            first, length, least = first[one], count[one] + SPAN - 1, block.key[doc[one]]
+            for b, of in parted(hash_bucket(hashes, buckets)):
+                n = length[of]
+                body = block.text[np.repeat(first[of] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
+                rows.append((b, number, numbers(hashes[of], "<u8"), numbers(n, "u1"), zstandard.compress(numbers(least[of], "<i8"), 1), zstandard.compress(body, 1)))
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
     contexts = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
@@ -311,13 +363,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         block, number, hashes, least = map(np.concatenate, (block, number, hashes, least))
         masks = repeat_masks(hashes, bodies, least)
         out = {"block": [], "bucket": [], "numbers": [], "masks": []}
-        for b in np.unique(block).tolist():
-            of = np.flatnonzero((block == b) & (masks > 0))
-            if len(of):
-                out["block"].append(b)
-                out["bucket"].append(bucket)
-                out["numbers"].append(numbers(number[of], "<i4"))
-                out["masks"].append(numbers(masks[of], "<u4"))
+        set_ = np.flatnonzero(masks > 0)
+        for b, of in parted(block[set_]):
+            out["block"].append(b)
+            out["bucket"].append(bucket)
+            out["numbers"].append(numbers(number[set_[of]], "<i4"))
+            out["masks"].append(numbers(masks[set_[of]], "<u4"))
         return pa.table({"block": pa.array(out["block"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "numbers": pa.array(out["numbers"], pa.binary()), "masks": pa.array(out["masks"], pa.binary())})
 
     answers = contexts.groupBy("bucket").applyInArrow(answer_contexts, "block int, bucket int, numbers binary, masks binary")
@@ -334,16 +385,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = list(zip(*(answers[c].to_pylist() for c in ("bucket", "numbers", "data")), strict=True))
         found = [(np.frombuffer(d, "<u8"), np.frombuffer(n, "<u8")) for b, n, d in pairs if b < 0]
         if found:
-            (first, count, doc, which), hashes, bodies, least = block.contexts(*map(np.concatenate, zip(*found)))
-            masks, bucket = np.zeros(len(bodies), np.uint32), hash_bucket(np.array(hashes, np.uint64), buckets)
+            (first, count, doc, which), hashes, one = block.contexts(*map(np.concatenate, zip(*found)))
+            masks, places = np.zeros(len(one), np.uint32), dict(parted(hash_bucket(hashes, buckets)))
             for b, n, d in pairs:
                 if b >= 0:  # numbers count the block's contexts in that bucket
-                    masks[np.flatnonzero(bucket == b)[np.frombuffer(n, "<i4")]] = np.frombuffer(d, "<u4")
+                    masks[places[b][np.frombuffer(n, "<i4")]] = np.frombuffer(d, "<u4")
             # a document that isn't the first of the block to have a context repeats all its windows
             own = masks[which]
-            later = block.key[doc] > np.array(least, np.int64)[which]
+            later = block.key[doc] > block.key[doc[one]][which]
             full = ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
             own = np.where(later, full, own)
+            first, own = first[own > 0], own[own > 0]
             starts = np.concatenate([first[(own >> np.uint32(i)) & np.uint32(1) > 0] + i for i in range(SPAN - GRAM + 1)])
             change = np.bincount(starts, minlength=len(gone) + 1)[: len(gone) + 1] - np.bincount(starts + SPAN, minlength=len(gone) + 1)[: len(gone) + 1]
             gone = np.cumsum(change[:-1]) > 0
