@@ -45,6 +45,8 @@ NO_ID = (1 << 63) - 1
 FACTORS = np.random.default_rng(50).integers(0, 1 << 64, 10, dtype=np.uint64) | np.uint64(1)
 #: Low bits of a running minimum that hold a position; the same for every block, so that all blocks break ties alike.
 PLACE_BITS = 31
+#: Bytes of an anchor's hash that are kept: anchors that share them by chance only cost a comparison.
+HASH_BYTES = 6
 #: Windows whose minima are taken at once, so that they stay in the processor's cache.
 STRETCH = 1 << 15
 
@@ -122,7 +124,8 @@ def window_anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     count = np.diff(np.r_[first, n])
     inside = first + SPAN <= ends[np.searchsorted(ends, first, "right")]
     first, count = first[inside], count[inside]
-    return gram_hashes(words, (best[first] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)), first, count
+    hashes = gram_hashes(words, (best[first] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64))
+    return hashes >> np.uint64(64 - 8 * HASH_BYTES), first, count
 
 
 class Block:
@@ -181,7 +184,7 @@ class Block:
             split, doc = split[source], doc[source]
             first = first[source] + np.arange(len(source)) - (np.cumsum(parts) - parts)[source]
             count = np.where(split, 1, count[source])
-            hash_ = np.where(split, self.strings(first, np.ones(len(first), np.int64)), hash_[source])
+            hash_ = np.where(split, self.strings(first, np.ones(len(first), np.int64)) >> np.uint64(64 - 8 * HASH_BYTES), hash_[source])
         if not len(first):
             return (first, count, doc, first), hash_, first
         # documents come in order of id, so a context's first occurrence has its smallest id
@@ -271,7 +274,18 @@ def equal_windows(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np.
 
 
 def hash_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    return (hashes % np.uint64(buckets)).astype(np.int64)
+
+
+def shut(hashes: np.ndarray) -> bytes:
+    """Anchor hashes as HASH_BYTES each."""
+    return np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def opened(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
 
 
 def parted(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -299,14 +313,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def send_anchors(table: pa.Table) -> pa.Table:
         block, number = block_of(table), table["block"][0].as_py()
         hashes, held = block.anchors()
-        rows = [(b, number, numbers(hashes[of], "<u8"), numbers(held[of], "<u2")) for b, of in parted(hash_bucket(hashes, buckets))]
+        rows = [(b, number, shut(hashes[of]), numbers(held[of], "<u2")) for b, of in parted(hash_bucket(hashes, buckets))]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "hashes": pa.array([r[2] for r in rows], pa.binary()), "held": pa.array([r[3] for r in rows], pa.binary())})
 
     anchors = dealt.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, hashes binary, held binary")
 
     def answer_anchors(table: pa.Table) -> pa.Table:
         from_block = table["block"].to_pylist()
-        parts = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
+        parts = [opened(x) for x in table["hashes"].to_pylist()]
         hashes = np.concatenate(parts)
         held = np.concatenate([np.frombuffer(x, "<u2") for x in table["held"].to_pylist()])
         in_order = np.argsort(hashes)
@@ -323,8 +337,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             own = part[flag[at : at + len(part)]]
             if len(own):
                 blocks_.append(b)
-                found.append(numbers(own, "<u8"))
-                wide.append(numbers(part[broad[at : at + len(part)]], "<u8"))
+                found.append(shut(own))
+                wide.append(shut(part[broad[at : at + len(part)]]))
             at += len(part)
         return pa.table({"block": pa.array(blocks_, pa.int32()), "hashes": pa.array(found, pa.binary()), "wide": pa.array(wide, pa.binary())})
 
@@ -335,14 +349,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         rows = []
         if table.num_rows and answers.num_rows:
-            found, wide = (np.concatenate([np.frombuffer(x, "<u8") for x in answers[c].to_pylist()]) for c in ("hashes", "wide"))
+            found, wide = (np.concatenate([opened(x) for x in answers[c].to_pylist()]) for c in ("hashes", "wide"))
             block, number = block_of(table), table["block"][0].as_py()
             (first, count, doc, _), hashes, one = block.contexts(found, wide)
             first, length, least = first[one], count[one] + SPAN - 1, block.key[doc[one]]
             for b, of in parted(hash_bucket(hashes, buckets)):
                 n = length[of]
                 body = block.text[np.repeat(first[of] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
-                rows.append((b, number, numbers(hashes[of], "<u8"), numbers(n, "u1"), zstandard.compress(numbers(least[of], "<i8"), 1), zstandard.compress(body, 1)))
+                rows.append((b, number, shut(hashes[of]), numbers(n, "u1"), zstandard.compress(numbers(least[of], "<i8"), 3), zstandard.compress(body, 3)))
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
     contexts = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
@@ -358,7 +372,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             bodies += [data[e - k : e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
             block.append(np.full(len(lengths), b))
             number.append(np.arange(len(lengths)))
-            hashes.append(np.frombuffer(h, "<u8"))
+            hashes.append(opened(h))
             least.append(np.frombuffer(zstandard.decompress(ids), "<i8"))
         block, number, hashes, least = map(np.concatenate, (block, number, hashes, least))
         masks = repeat_masks(hashes, bodies, least)
@@ -383,7 +397,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         block = block_of(table)
         gone = np.zeros(len(block.text), bool)
         pairs = list(zip(*(answers[c].to_pylist() for c in ("bucket", "numbers", "data")), strict=True))
-        found = [(np.frombuffer(d, "<u8"), np.frombuffer(n, "<u8")) for b, n, d in pairs if b < 0]
+        found = [(opened(d), opened(n)) for b, n, d in pairs if b < 0]
         if found:
             (first, count, doc, which), hashes, one = block.contexts(*map(np.concatenate, zip(*found)))
             masks, places = np.zeros(len(one), np.uint32), dict(parted(hash_bucket(hashes, buckets)))
