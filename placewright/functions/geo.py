@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +19,29 @@ def within_bounds(lat: Column, lng: Column, bounds: tuple[float, float, float, f
     return lat.between(bounds[0], bounds[1]) & lng.between(bounds[2], bounds[3])
 
 
-def near_join(left: DataFrame, right: DataFrame, km: float, max_lat: float = 60.0) -> DataFrame:
-    """Pairs of rows at most km apart, with the distance as km. left has lat and lng, right p_lat and p_lng; rows without coordinates have no pair.
+def _columns_of(band: Column, tall: float) -> Column:
+    """How many cells a band of latitude is cut into: none is narrower than the bands are tall, also in the bands beside it."""
+    most = F.least(F.lit(90.0), (F.abs(band + 0.5) + 1.5) * tall)
+    n = F.floor(360 * F.cos(F.radians(most)) / tall).cast("long")
+    return F.when(n < 3, F.lit(1).cast("long")).otherwise(n)
+
+
+def _column(lng: Column, columns: Column) -> Column:
+    return F.least(F.floor(F.pmod(lng + 180, F.lit(360.0)) / 360 * columns), columns - 1)
+
+
+def near_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows at most km apart that agree in the columns `on`, with the distance as km. left has lat and lng, right p_lat and p_lng; rows
+    without coordinates have no pair.
 
-    Both sides are dealt into cells no narrower than km up to max_lat degrees of latitude; each left row visits its cell and the eight
-    around it, and an equi-join on the cell is all the shuffle there is. Adaptive execution splits hot cells."""
+    Both sides are dealt into bands of latitude at least km tall and each band into cells at least km wide; each left row visits its cell
+    and the eight around it, over the date line too, and an equi-join on the cell is all the shuffle there is. Adaptive execution splits hot cells."""
     tall = km / KM_PER_DEGREE * 1.01
-    wide = tall / math.cos(math.radians(max_lat))
-    cell = lambda lat, lng: (F.floor(lat / tall), F.floor(lng / wide))
-    y, x = cell(F.col("lat"), F.col("lng"))
-    around = F.sequence(F.lit(-1), F.lit(1))
-    asked = left.where("lat is not null and lng is not null").withColumn("__dy", F.explode(around)).withColumn("__dx", F.explode(around))
-    asked = asked.withColumns({"__y": y + F.col("__dy"), "__x": x + F.col("__dx")}).drop("__dy", "__dx")
-    y, x = cell(F.col("p_lat"), F.col("p_lng"))
-    there = right.where("p_lat is not null and p_lng is not null").withColumns({"__y": y, "__x": x})
-    found = asked.join(there.hint("shuffle_hash"), ["__y", "__x"]).drop("__y", "__x")
+    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    asked = left.where("lat is not null and lng is not null").withColumn("__y", F.explode(F.transform(around, lambda d: F.floor(F.col("lat") / tall) + d)))
+    columns = _columns_of(F.col("__y"), tall)
+    asked = asked.withColumn("__x", F.explode(F.when(columns == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(around, lambda d: F.pmod(_column(F.col("lng"), columns) + d, columns)))))
+    there = right.where("p_lat is not null and p_lng is not null").withColumn("__y", F.floor(F.col("p_lat") / tall))
+    there = there.withColumn("__x", _column(F.col("p_lng"), _columns_of(F.col("__y"), tall)))
+    found = asked.join(there.hint("shuffle_hash"), ["__y", "__x", *on]).drop("__y", "__x")
     return found.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))).where(F.col("km") <= km)

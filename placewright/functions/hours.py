@@ -1,4 +1,4 @@
-"""Weekly opening hours: text to intervals, and which places are open at an instant.
+"""Weekly opening hours: text to intervals, and whether a place is open at an instant.
 
 Parsing runs on the distinct texts only and as column expressions. Behaviours kept on purpose: text without a day part
 closes every day; the day part ends at the first colon; a start without AM/PM takes the end's; all-day is 00:00 to
@@ -7,7 +7,7 @@ closes every day; the day part ends at the first colon; a start without AM/PM ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALL_DAY = r"\b24\s*(h\b|hours?\b|horas?\b)|\b24/7\b"
@@ -90,13 +90,30 @@ def hours_outcome(texts: DataFrame, intervals: DataFrame, col: str = "hours_raw"
     return out.withColumn("hours_status", status).drop("__garbage", "__read")
 
 
-def open_at(questions: DataFrame, intervals: DataFrame, id_col: str = "question_id") -> DataFrame:
-    """Distinct (question, hours_raw) that are open at the question's day_idx and sec_of_day: in an interval of that day, or in the tail
-    of one that began the day before and runs over midnight."""
-    today = questions.select(id_col, F.col("day_idx").alias("day"), "sec_of_day", F.lit(False).alias("tail"))
-    before = questions.select(id_col, F.pmod(F.col("day_idx") + 6, F.lit(7)).alias("day"), "sec_of_day", F.lit(True).alias("tail"))
-    over = F.col("end_s") < F.col("start_s")
-    same_day = ~F.col("tail") & F.when(over, F.col("sec_of_day") >= F.col("start_s")).otherwise(F.col("sec_of_day").between(F.col("start_s"), F.col("end_s")))
-    overnight = F.col("tail") & over & (F.col("sec_of_day") < F.col("end_s"))
-    found = today.unionByName(before).join(intervals, "day").where(same_day | overnight)
-    return found.select(id_col, "hours_raw").distinct()
+def with_week(rows: DataFrame, intervals: DataFrame, col: str = "hours_raw") -> DataFrame:
+    """The rows with `week`, all intervals (day, start_s, end_s) of their text; null where there is none. A text bounds its own list."""
+    weeks = intervals.groupBy(col).agg(F.collect_list(F.struct("day", "start_s", "end_s")).alias("week"))
+    return rows.join(weeks.hint("merge"), col, "left")
+
+
+def is_open(week: Column, day: Column, second: Column) -> Column:
+    """Whether a week's intervals hold an instant: in an interval of that day, or in the tail of one that began the day before and runs over midnight."""
+
+    def holds(i: Column) -> Column:
+        over = i["end_s"] < i["start_s"]
+        today = (i["day"] == day) & F.when(over, second >= i["start_s"]).otherwise(second.between(i["start_s"], i["end_s"]))
+        return today | (over & (i["day"] == F.pmod(day + 6, F.lit(7))) & (second < i["end_s"]))
+
+    return F.coalesce(F.exists(week, holds), F.lit(False))
+
+
+def instant_slots(instants: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(day_idx, sec_of_day, slot) of the distinct instants: within a slot, a stretch of a day between the times at which any text opens or closes, the
+    same texts are open. A day has no more rows than seconds, whatever the input."""
+    closing = lambda c: [F.col(c), F.col(c) + 1]  # noqa: E731  # an end is open itself, but for a tail
+    times = intervals.select("day", F.explode(F.array("start_s", *closing("end_s"))).alias("sec")).distinct()
+    turns = times.unionByName(times.withColumn("day", F.pmod(F.col("day") + 1, F.lit(7)))).distinct().select("day", F.col("sec").cast("long").alias("sec"), F.lit(1).alias("turn"))
+    asked = instants.select(F.col("day_idx").alias("day"), F.col("sec_of_day").cast("long").alias("sec"), F.lit(0).alias("turn")).distinct()
+    order = Window.partitionBy("day").orderBy("sec", F.desc("turn"))
+    slots = asked.unionByName(turns).withColumn("slot", F.sum("turn").over(order))
+    return slots.where("turn = 0").select(F.col("day").alias("day_idx"), F.col("sec").alias("sec_of_day"), "slot")

@@ -1,15 +1,20 @@
 """Set-at-a-time place search: a table of questions against a table of places.
 
 Candidates are (question, place) rows with the distance as km. Filters are column predicates on them; the radius is settled
-before any of the other place filters, by a window, so a near place of another kind still counts towards it.
+before any of the other place filters but the one for open places, so a near place of another kind still counts towards it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import near_join, within_bounds
+from placewright.functions.hours import is_open
+from placewright.tables import written
 
 RADII, ENOUGH = (0.5, 1.0, 2.0), 5
 PRIOR_MEAN, PRIOR_COUNT = 3.5, 10
@@ -20,13 +25,27 @@ def bayes(rating: Column, reviews: Column, mean: float = PRIOR_MEAN, count: int
     return (count * mean + F.coalesce(reviews, F.lit(0)) * F.coalesce(rating, F.lit(0.0))) / (count + F.coalesce(reviews, F.lit(0)))
 
 
-def within_radius(questions: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """Candidates at most km apart; rows without coordinates have none."""
-    return near_join(questions, places, km)
+def settle_radius(
+    questions: DataFrame, places: DataFrame, stays: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, radii: tuple[float, ...] = RADII, enough: int = ENOUGH, key: str = "question_id"
+) -> DataFrame:
+    """The located questions with radius_used: the smallest radius that has enough of the pairs that stay, else the last.
+
+    Pairs are counted where they are made. Only questions that lack places within a radius are joined within the next. The result is written."""
+    left, settled = questions.where("lat is not null and lng is not null"), []
+    for km in radii[:-1]:
+        counts = stays(near_join(left, places, km)).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= enough).select(key).hint("merge")
+        settled.append(left.join(counts, key, "left_semi").withColumn("radius_used", F.lit(km)))
+        left = left.join(counts, key, "left_anti")
+    return written(reduce(DataFrame.unionByName, settled, left.withColumn("radius_used", F.lit(radii[-1]))), "settled")
+
+
+def in_radius(settled: DataFrame, places: DataFrame, radii: tuple[float, ...] = RADII, on: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates within each question's radius_used (one of the radii) that agree in the columns `on`."""
+    return reduce(DataFrame.unionByName, [near_join(settled.where(F.col("radius_used") == km), places, km, on) for km in radii])
 
 
 def escalate_radius(pairs: DataFrame, radii: tuple[float, ...] = RADII, enough: int = ENOUGH, key: str = "question_id") -> DataFrame:
-    """Candidates within the smallest radius that has enough of them, else the last; adds radius_used."""
+    """The same on candidates that are there already, up to the last radius: those within the settled radius; adds radius_used."""
     of = Window.partitionBy(key)
     radius = F.lit(radii[-1])
     for r in reversed(radii[:-1]):
@@ -34,14 +53,27 @@ def escalate_radius(pairs: DataFrame, radii: tuple[float, ...] = RADII, enough:
     return pairs.withColumn("radius_used", radius).where(F.col("km") <= F.col("radius_used"))
 
 
-def filter_open_at(candidates: DataFrame, open_pairs: DataFrame, intervals: DataFrame, key: str = "question_id") -> DataFrame:
-    """Drops places that are closed when their question asks for open ones; labels open_status: open, unknown (nothing readable) or null (not asked)."""
-    readable = intervals.select("hours_raw").distinct().withColumn("__read", F.lit(True))
-    opened = open_pairs.select(key, "hours_raw").withColumn("__open", F.lit(True))
-    rows = candidates.join(readable, "hours_raw", "left").join(opened, [key, "hours_raw"], "left")
+def filter_open_at(candidates: DataFrame) -> DataFrame:
+    """Drops places that are closed at day_idx and sec_of_day when their question asks for open ones (open_now), by the intervals in `week`; labels
+    open_status: open, unknown (nothing to read) or null (not asked)."""
     # text without any day part closes every day; only a missing text is unknown here
-    status = F.when(~F.col("open_now"), None).when(F.col("__open"), "open").when(F.trim("hours_raw").isNull() | (F.trim("hours_raw") == ""), "unknown").otherwise("closed")
-    return rows.withColumn("open_status", status).where("open_status is null or open_status <> 'closed'").drop("__read", "__open")
+    status = (
+        F.when(~F.coalesce("open_now", F.lit(False)), None).when(is_open(F.col("week"), F.col("day_idx"), F.col("sec_of_day")), "open")
+        .when(F.coalesce(F.trim("hours_raw"), F.lit("")) == "", "unknown").otherwise("closed")
+    )
+    return candidates.withColumn("open_status", status).where("open_status is null or open_status <> 'closed'")
+
+
+# The price levels that a price range stands for.
+PRICE_RANGES = {"$": 1, "$$": 2, "$$$": 3, "$$$$": 4}
+
+
+def most_price(price_range: Column, price_max: Column) -> Column:
+    """The highest price level asked for: a known range decides, else the maximum."""
+    level = F.lit(None).cast("double")
+    for text, n in PRICE_RANGES.items():
+        level = F.when(price_range == text, float(n)).otherwise(level)
+    return F.coalesce(level, price_max.cast("double"))
 
 
 def filter_price(candidates: DataFrame, most: str = "price_max") -> DataFrame:
@@ -53,16 +85,55 @@ def filter_rating(candidates: DataFrame, least: str = "min_rating") -> DataFrame
     return candidates.where(F.col(least).isNull() | F.coalesce(F.col("rating") >= F.col(least), F.lit(False)))
 
 
-def filter_category(candidates: DataFrame, pairs: DataFrame, asked: str = "category") -> DataFrame:
-    """Places one of whose categories matches the question's; no asked category, or a place without any, passes. pairs: (place_category, asked) that match.
+#: What a question without a category asks for, and what a place without categories is: neither is a category's name.
+ANY, UNSORTED = "", "\x00"
+
+
+def asked_categories(places: DataFrame, pairs: DataFrame, key: str = "row_id") -> DataFrame:
+    """Distinct (place, asked, secondary_only) with a category of the place that matches what is asked; secondary_only: its main one doesn't.
+    pairs: (place_category, asked) that match."""
+    each = places.select(key, F.explode("categories").alias("place_category"), F.lit(True).alias("passes"), F.lit(False).alias("main"))
+    main = places.where("category_name is not null").select(key, F.col("category_name").alias("place_category"), F.lit(False).alias("passes"), F.lit(True).alias("main"))
+    found = each.unionByName(main).join(pairs.select("place_category", "asked").distinct().hint("merge"), "place_category")
+    tags = found.groupBy(key, "asked").agg(F.max("passes").alias("passes"), F.max("main").alias("main")).where("passes or main")
+    named = places.select(key, F.col("category_name").isNotNull().alias("named"))
+    return tags.join(named.hint("merge"), key).select(key, "asked", "passes", (F.col("named") & ~F.col("main")).alias("secondary_only"))
+
+
+def places_by_category(places: DataFrame, pairs: DataFrame, key: str = "row_id") -> DataFrame:
+    """A row of a place for each asked category that it matches, one for ANY, and one for UNSORTED if it has no categories, with secondary_only (null for
+    UNSORTED, where main_asked lists what the main category matches)."""
+    tags = asked_categories(places, pairs, key)
+    none = F.lit(None).cast("array<string>")
+    bare = F.coalesce(F.size("categories"), F.lit(0)) <= 0
+    matching = tags.where("passes").drop("passes").join(places.where(~bare).hint("merge"), key).withColumn("main_asked", none)
+    anything = places.withColumns({"asked": F.lit(ANY), "secondary_only": F.lit(False), "main_asked": none})
+    of_main = tags.where("not secondary_only").groupBy(key).agg(F.collect_list("asked").alias("main_asked"))
+    unsorted = places.where(bare).join(of_main.hint("merge"), key, "left").withColumns({"asked": F.lit(UNSORTED), "secondary_only": F.lit(None).cast("boolean")})
+    return matching.unionByName(anything).unionByName(unsorted)
+
+
+def by_category(questions: DataFrame, category: str = "category") -> DataFrame:
+    """The questions with `asked`, once for each kind of row of places_by_category that may pass."""
+    return questions.withColumn("asked", F.explode(F.when(F.col(category).isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.col(category), F.lit(UNSORTED)))))
+
+
+def secondary_only(category: str = "category") -> Column:
+    """Of candidates that agree in `asked`: whether the place's main category isn't what was asked for."""
+    by_main = F.col("category_name").isNotNull() & ~F.coalesce(F.array_contains("main_asked", F.col(category)), F.lit(False))
+    return F.coalesce("secondary_only", by_main)
+
+
+def filter_category(candidates: DataFrame, pairs: DataFrame, asked: str = "category", key: str = "row_id") -> DataFrame:
+    """Candidates one of whose categories matches the question's; no asked category, or a place without any, passes. Adds secondary_only.
 
-    Adds secondary_only: the main category isn't what was asked for."""
-    of = pairs.groupBy("asked").agg(F.collect_set("place_category").alias("__matching"))
-    rows = candidates.join(of.withColumnRenamed("asked", asked), asked, "left")
-    matching = F.coalesce("__matching", F.array().cast("array<string>"))
-    passes = F.col(asked).isNull() | (F.size("categories") == 0) | F.arrays_overlap(matching, F.col("categories"))
-    secondary = F.col(asked).isNotNull() & F.col("category_name").isNotNull() & ~F.array_contains(matching, F.col("category_name"))
-    return rows.where(passes).withColumn("secondary_only", F.coalesce(secondary, F.lit(False))).drop("__matching")
+    Each place is matched with each asked category once, whatever the number of candidates."""
+    places = candidates.select(key, "categories", "category_name").dropDuplicates([key])
+    tags = asked_categories(places, pairs, key).select(F.col(key).alias("__place"), F.col("asked").alias("__asked"), "passes", "secondary_only")
+    rows = candidates.join(tags.hint("merge"), (F.col(key) == F.col("__place")) & (F.col(asked) == F.col("__asked")), "left")
+    passes = F.col(asked).isNull() | (F.coalesce(F.size("categories"), F.lit(0)) <= 0) | F.coalesce("passes", F.lit(False))
+    secondary = F.col(asked).isNotNull() & F.coalesce("secondary_only", F.col("category_name").isNotNull())
+    return rows.where(passes).withColumn("secondary_only", secondary).drop("__place", "__asked", "passes")
 
 
 def drop_outside_location(questions: DataFrame, bounds: tuple[float, float, float, float], proximity: str = "near_me") -> DataFrame:
@@ -102,19 +173,21 @@ def override_slots(slots: DataFrame, given: dict[str, str]) -> DataFrame:
     return slots.withColumns(new)
 
 
-def score_columns(candidates: DataFrame, key: str = "question_id") -> DataFrame:
-    """popularity (Bayesian mean) and best_match (rating, popularity and nearness, the farthest candidate counting as 0)."""
-    farthest = F.max("km").over(Window.partitionBy(key))
+def score_columns(candidates: DataFrame, key: str | None = "question_id") -> DataFrame:
+    """popularity (Bayesian mean) and best_match (rating, popularity and nearness, the farthest candidate counting as 0). With no key the candidates
+    bring the distance of the farthest along, as `farthest`, or have no distances."""
+    farthest = F.max("km").over(Window.partitionBy(key)) if key else F.col("farthest") if "farthest" in candidates.columns else F.lit(None).cast("double")
     near = F.coalesce(1 - F.col("km") / F.when(farthest > 0, farthest).otherwise(1.0), F.lit(0.0))
     popularity = bayes(F.col("rating"), F.col("reviews"))
     rating = F.coalesce("rating", F.lit(0.0))
     return candidates.withColumns({"popularity": popularity, "best_match": 0.45 * (rating / 5) + 0.35 * (popularity / 5) + 0.20 * near})
 
 
-def rank(candidates: DataFrame, k: int = KEPT, key: str = "question_id", mode: str = "mode") -> DataFrame:
+def rank(candidates: DataFrame, k: int = KEPT, key: str | tuple[str, ...] = "question_id", mode: str = "mode") -> DataFrame:
     """The first k candidates of each question by its mode, with their position from 1.
 
-    What was asked for by its main category comes first, then known hours before unknown, then the mode's order, then row_id."""
+    What was asked for by its main category comes first, then known hours before unknown, then the mode's order, then row_id. Each map task sends on
+    its own first k only."""
     zero = F.lit(0.0)
     rating, reviews = F.coalesce("rating", zero), F.coalesce("reviews", F.lit(0)).cast("double")
     by = lambda name, value: F.when(F.col(mode) == name, value)
@@ -123,7 +196,7 @@ def rank(candidates: DataFrame, k: int = KEPT, key: str = "question_id", mode: s
     has = set(candidates.columns)
     lead = [F.col("secondary_only").cast("int")] if "secondary_only" in has else []
     lead += [F.coalesce((F.col("open_status") == "unknown").cast("int"), F.lit(0))] if "open_status" in has else []
-    order = Window.partitionBy(key).orderBy(*lead, first.desc(), second.desc(), "row_id")
+    order = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*lead, first.desc(), second.desc(), "row_id")
     return candidates.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 

@@ -1,26 +1,136 @@
-"""Questions in, ranked places out."""
+"""Questions in, ranked places out.
+
+Filters come in a fixed order: open places, then the radius, then category, price and rating; what is left is ranked. The
+radius holds only for located questions that ask for nearness. All others keep the whole catalog, and the distance is for
+ranking and display.
+
+Work is split by what decides the order, so that questions meet no more places than they must:
+
+* near: candidates come from a distance join within the settled radius.
+* same order: without a location, or ranked by rating or popularity, all questions with the same filters get the same
+  places. Each distinct set of filters is ranked once, with map-side top k, and shared by its questions.
+* far: a located question ranked by distance or best match, without asking for nearness, has an order of its own over all
+  places that its filters leave, and best match needs the farthest of them. Such questions meet the places of their
+  filters in tiles of a fixed size. Pairs are counted and ranked where they are made and are not shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewright.functions.geo import near_join
-from placewright.functions.hours import open_at, parse_hours
+from placewright.functions.geo import haversine_km
+from placewright.functions.hours import instant_slots, parse_hours, with_week
 from placewright.operators import search
+from placewright.tables import written
+
+#: Places and questions of one tile.
+TILE_PLACES, TILE_QUESTIONS = 10_000, 1_000
+
+OPTIONAL = {"near_me": "boolean", "price_max": "double", "price_range": "string", "min_rating": "double", "open_now": "boolean", "category": "string"}
+FILTERS = ("open_now", "slot_day", "slot", "category", "price_max", "min_rating")
+
+
+def prepared(questions: DataFrame) -> DataFrame:
+    """The questions with every slot, their ranking mode, located, and near: located and asking for nearness."""
+    given = set(questions.columns)
+    q = questions.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in given})
+    q = q.withColumns({
+        "price_max": search.most_price(F.col("price_range"), F.col("price_max")), "open_now": F.coalesce("open_now", F.lit(False)), "mode": search.ranking_mode(F.col("sort_preference")),
+        "located": F.col("lat").isNotNull() & F.col("lng").isNotNull(),
+    })
+    q = q.withColumn("near", F.col("located") & F.coalesce("near_me", F.lit(False)))
+    return q.select("question_id", "lat", "lng", "located", "near", "day_idx", "sec_of_day", "open_now", "category", "price_max", "min_rating", "mode")
+
+
+def unanswerable(questions: DataFrame) -> DataFrame:
+    """(question_id, error) of questions that are ranked by distance without having a location; answer_questions gives them no rows."""
+    return prepared(questions).where("mode = 'distance' and not located").select("question_id", F.lit("a location is required for distance ranking").alias("error"))
+
+
+def passed(candidates: DataFrame) -> DataFrame:
+    """Candidates that agree in `asked` and are open or needn't be, with secondary_only, after the price and rating filters."""
+    kept = search.filter_rating(search.filter_price(candidates))
+    return kept.withColumn("secondary_only", search.secondary_only())
+
+
+def near_answers(questions: DataFrame, places: DataFrame, sorted_places: DataFrame, k: int) -> DataFrame:
+    settled = search.settle_radius(questions, places.select("p_lat", "p_lng", "hours_raw", "week"), search.filter_open_at)
+    found = search.in_radius(search.by_category(settled), sorted_places, on=("asked",))
+    found = passed(search.filter_open_at(found)).withColumn("n_candidates", F.count(F.lit(1)).over(Window.partitionBy("question_id")))
+    return search.rank(search.score_columns(found), k).select("question_id", "row_id", "position", "open_status", "secondary_only", "n_candidates", "radius_used")
+
+
+def filter_sets(questions: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct filter sets with their number `set`, and the questions with theirs. Instants at which the same texts are open are one."""
+    slots = instant_slots(questions.where("open_now").select("day_idx", "sec_of_day"), intervals)
+    slotted = questions.join(slots.hint("merge"), ["day_idx", "sec_of_day"], "left").withColumn("slot_day", F.when(F.col("open_now"), F.col("day_idx")))
+    key = F.to_json(F.struct(*FILTERS), {"ignoreNullFields": "false"})
+    slotted = slotted.withColumn("set", key)
+    sets = slotted.groupBy("set").agg(*[F.first(c).alias(c) for c in ("open_now", "category", "price_max", "min_rating")], F.min(F.struct("day_idx", "sec_of_day")).alias("at"))
+    return sets.select("set", "open_now", "category", "price_max", "min_rating", "at.*"), slotted
+
+
+def set_places(sets: DataFrame, sorted_places: DataFrame, parts: int = 16) -> DataFrame:
+    """The places that each set of filters leaves. Places are dealt into parts, so that those of a category that many have are no single task's."""
+    every = search.by_category(sets).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = sorted_places.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int"))
+    return passed(search.filter_open_at(dealt.join(every.hint("shuffle_hash"), ["asked", "part"])))
+
+
+def same_answers(questions: DataFrame, left: DataFrame, k: int) -> DataFrame:
+    """Questions whose order no location decides: each (set, mode) is ranked once."""
+    modes = questions.select("set", "mode").distinct()
+    scored = search.score_columns(left.join(modes.hint("merge"), "set").withColumn("km", F.lit(None).cast("double")), None)
+    top = search.rank(scored, k, key=("set", "mode"))
+    counts = left.groupBy("set").agg(F.count(F.lit(1)).alias("n_candidates"))
+    top = top.join(counts.hint("merge"), "set").select("set", "mode", "row_id", "position", "open_status", "secondary_only", "n_candidates")
+    return questions.select("question_id", "set", "mode").join(top.hint("merge"), ["set", "mode"]).drop("set", "mode")
+
+
+def far_answers(questions: DataFrame, left: DataFrame, k: int) -> DataFrame:
+    """Located questions whose order is their own: tiles of questions and of the places of their set."""
+    cut = lambda df, n, name: df.groupBy("set").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name)).hint("merge")
+    wanted = left.join(questions.select("set").distinct().hint("merge"), "set", "left_semi")
+    wanted = wanted.select("set", "row_id", "p_lat", "p_lng", "rating", "reviews", "open_status", "secondary_only")
+    p_parts, q_parts = cut(wanted, TILE_PLACES, "ps"), cut(questions, TILE_QUESTIONS, "qs")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    ps = wanted.join(p_parts, "set").join(q_parts, "set").withColumn("p", part("row_id", "ps")).withColumn("q", every("qs")).drop("ps", "qs")
+
+    def pairs(asking: DataFrame) -> DataFrame:
+        qs = asking.join(p_parts, "set").join(q_parts, "set").withColumn("q", part("question_id", "qs")).withColumn("p", every("ps")).drop("ps", "qs")
+        found = qs.join(ps.hint("shuffle_hash"), ["set", "q", "p"])
+        return found.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")))
+
+    asking = questions.select("question_id", "set", "mode", "lat", "lng")
+    reach = pairs(asking).groupBy("question_id").agg(F.max("km").alias("farthest"), F.count(F.lit(1)).alias("n_candidates"))
+    found = pairs(asking.join(reach.hint("merge"), "question_id"))
+    return search.rank(search.score_columns(found, None), k).select("question_id", "row_id", "position", "open_status", "secondary_only", "n_candidates")
 
 
 def answer_questions(questions: DataFrame, places: DataFrame, category_pairs: DataFrame, intervals: DataFrame | None = None, k: int = search.KEPT) -> DataFrame:
-    """The first k places for each located question: open places, then radius, category, price and rating, then rank.
-
-    questions: question_id, lat, lng, day_idx, sec_of_day, open_now, category, min_rating, sort_preference and, if wanted, price_max.
-    places: row_id, place_id, title, p_lat, p_lng, categories, category_name, price, reviews, rating, hours_raw."""
-    intervals = parse_hours(places) if intervals is None else intervals
-    if "price_max" not in questions.columns:
-        questions = questions.withColumn("price_max", F.lit(None).cast("double"))
-    found = near_join(questions, places, search.RADII[-1])
-    found = search.filter_open_at(found, open_at(questions.where("open_now"), intervals), intervals)
-    found = search.escalate_radius(found)
-    found = search.filter_rating(search.filter_price(search.filter_category(found, category_pairs)))
-    found = found.withColumn("mode", search.ranking_mode(F.col("sort_preference")))
-    return search.rank(search.score_columns(found), k)
+    """The first k places for each question, with position, km (null without a location), radius_used (null unless near), open_status, secondary_only and n_candidates, the
+    number of places that the filters left.
+
+    questions: question_id, lat, lng, day_idx, sec_of_day and sort_preference, and any of near_me, open_now, category, price_max, price_range ($ to $$$$), min_rating.
+    Tables that several steps read are written to the shared folder.
+    places: row_id, place_id, title, p_lat, p_lng, categories, category_name, price, reviews, rating, hours_raw, and others, which are passed on.
+    Questions ranked by distance without a location have no rows: see unanswerable."""
+    intervals = written(parse_hours(places) if intervals is None else intervals, "intervals")
+    asked = prepared(questions).where("mode <> 'distance' or located")
+    slim = written(with_week(places.select("row_id", "p_lat", "p_lng", "categories", "category_name", "price", "reviews", "rating", "hours_raw"), intervals), "places")
+    sorted_places = written(search.places_by_category(slim, category_pairs).drop("categories"), "places")
+    near = near_answers(asked.where("near"), slim, sorted_places, k)
+    sets, others = filter_sets(asked.where("not near"), intervals)
+    others = written(others, "questions")
+    left = written(set_places(sets, sorted_places), "left")
+    own = F.col("located") & F.col("mode").isin("distance", "best_match")
+    none = F.lit(None).cast("double")
+    found = near.unionByName(same_answers(others.where(~own), left, k).withColumn("radius_used", none)).unionByName(far_answers(others.where(own), left, k).withColumn("radius_used", none))
+    shown = found.join(places.hint("merge"), "row_id").join(questions.select("question_id", "lat", "lng").hint("merge"), "question_id")
+    return shown.withColumn("km", _distance()).drop("lat", "lng")
+
+
+def _distance() -> Column:
+    return haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import near_join
-from placewright.functions.hours import hours_outcome, open_at, parse_hours
+from placewright.functions.hours import hours_outcome, is_open, parse_hours, with_week
 from placewright.operators import search
-from placewright.plans.answer import answer_questions
+from placewright.plans.answer import answer_questions, unanswerable
 from placewright.queries.views import ctes, pairs_cte, table, view
 
 BOUNDS = (-1.6, -1.4, -48.6, -48.4)
@@ -20,11 +20,14 @@ def places(spark, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark, sf_dir: str) -> DataFrame:
-    return near_join(view(spark, sf_dir, "v_questions"), places(spark, sf_dir), 2.0)
+    """Each located question's places within its radius."""
+    slim = places(spark, sf_dir).select("row_id", "place_id", "p_lat", "p_lng", "price", "rating", "reviews")
+    return search.in_radius(search.settle_radius(view(spark, sf_dir, "v_questions"), slim), slim)
 
 
 def near_pairs(spark, sf_dir):
-    return candidates(spark, sf_dir).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("km"), 6).alias("sum_km"), F.sum("row_id").alias("sum_rows"))
+    found = near_join(view(spark, sf_dir, "v_questions").select("question_id", "lat", "lng"), places(spark, sf_dir).select("row_id", "p_lat", "p_lng"), 2.0)
+    return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("km"), 6).alias("sum_km"), F.sum("row_id").alias("sum_rows"))
 
 
 NEAR_PAIRS = f"WITH {pairs_cte(2.0)} SELECT question_id, count(*) AS n, round(sum(km), 6) AS sum_km, CAST(sum(row_id) AS BIGINT) AS sum_rows FROM pairs GROUP BY question_id"
@@ -36,14 +39,14 @@ cands AS (SELECT * FROM escalated WHERE km <= radius_used)"""
 
 
 def radius_used(spark, sf_dir):
-    return search.escalate_radius(candidates(spark, sf_dir)).groupBy("question_id", F.col("radius_used").cast("double").alias("radius_used")).agg(F.count(F.lit(1)).alias("n"))
+    return candidates(spark, sf_dir).groupBy("question_id", F.col("radius_used").cast("double").alias("radius_used")).agg(F.count(F.lit(1)).alias("n"))
 
 
 RADIUS_USED = f"WITH {pairs_cte(2.0)}, {ESCALATED} SELECT question_id, CAST(radius_used AS DOUBLE) AS radius_used, count(*) AS n FROM cands GROUP BY ALL"
 
 
 def top_places(spark, sf_dir):
-    found = search.escalate_radius(candidates(spark, sf_dir)).withColumn("mode", F.lit("distance"))
+    found = candidates(spark, sf_dir).withColumn("mode", F.lit("distance"))
     ranked = search.rank(search.score_columns(found), search.SHOWN)
     return ranked.select("question_id", "position", "place_id", F.round("km", 6).alias("km"), F.col("radius_used").cast("double").alias("radius_used"))
 
@@ -55,19 +58,19 @@ SELECT question_id, CAST(position AS INT) AS position, place_id, round(km, 6) AS
 
 def ranked_places(spark, sf_dir):
     found = candidates(spark, sf_dir).withColumn("mode", search.ranking_mode(F.col("sort_preference"))).withColumn("price_max", F.when(F.col("question_id") % 6 == 0, 2))
-    found = search.filter_rating(search.filter_price(search.escalate_radius(found)))
+    found = search.filter_rating(search.filter_price(found))
     return search.rank(search.score_columns(found)).select("question_id", "mode", "position", "place_id")
 
 
 RANK_SQL = """
-scored AS (SELECT *, (10 * 3.5 + reviews * coalesce(rating, 0)) / (10 + reviews) AS popularity, max(km) OVER (PARTITION BY question_id) AS far FROM {src}),
+scored AS (SELECT *, (10 * 3.5 + reviews * coalesce(rating, 0)) / (10 + reviews) AS popularity, max(km) OVER (PARTITION BY question_id) AS far FROM kept),
 best AS (SELECT *, round(popularity, 9) AS pop9, round(0.45 * (coalesce(rating, 0) / 5) + 0.35 * (popularity / 5) + 0.20 * (1 - km / CASE WHEN far > 0 THEN far ELSE 1 END), 9) AS best9 FROM scored),
-r AS (SELECT *, sort_preference AS mode, row_number() OVER (PARTITION BY question_id ORDER BY {lead}
+r AS (SELECT *, sort_preference AS mode, row_number() OVER (PARTITION BY question_id ORDER BY
         CASE sort_preference WHEN 'distance' THEN -km WHEN 'rating' THEN coalesce(rating, 0) WHEN 'popularity' THEN pop9 ELSE best9 END DESC,
         CASE sort_preference WHEN 'distance' THEN coalesce(rating, 0) WHEN 'rating' THEN reviews ELSE 0 END DESC, row_id) AS position FROM best)"""
 RANKED_PLACES = f"""WITH {pairs_cte(2.0)}, {ESCALATED},
 kept AS (SELECT * FROM cands WHERE (question_id % 6 <> 0 OR price IS NULL OR price <= 2) AND (min_rating IS NULL OR coalesce(rating >= min_rating, false))),
-{RANK_SQL.format(src="kept", lead="")}
+{RANK_SQL}
 SELECT question_id, mode, CAST(position AS INT) AS position, place_id FROM r WHERE position <= 30"""
 
 
@@ -100,10 +103,10 @@ CASE WHEN hours_raw IS NULL OR hours_raw = 'Invalid format' THEN 'unknown' ELSE
 def open_places(spark, sf_dir):
     """Open places for every hour of the week."""
     v = view(spark, sf_dir, "v_places")
-    week = spark.range(168).select(F.col("id").alias("question_id"), F.floor(F.col("id") / 24).cast("int").alias("day_idx"), ((F.col("id") % 24) * 3600).alias("sec_of_day"))
-    found = open_at(week, parse_hours(v))
-    by_text = v.groupBy("hours_raw").agg(F.count(F.lit(1)).alias("n"))
-    return found.join(by_text, "hours_raw").groupBy(F.col("question_id").alias("hour_of_week")).agg(F.sum("n").alias("open_places"))
+    texts = with_week(v.groupBy("hours_raw").agg(F.count(F.lit(1)).alias("n")), parse_hours(v))
+    hours = texts.withColumn("hour_of_week", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(167).cast("long"))))
+    found = hours.where(is_open(F.col("week"), F.floor(F.col("hour_of_week") / 24).cast("int"), (F.col("hour_of_week") % 24) * 3600))
+    return found.groupBy("hour_of_week").agg(F.sum("n").alias("open_places"))
 
 
 OPEN_AT = """(i.day = q.day_idx AND CASE WHEN i.end_s < i.start_s THEN q.sec_of_day >= i.start_s ELSE q.sec_of_day BETWEEN i.start_s AND i.end_s END
@@ -114,10 +117,18 @@ o AS (SELECT DISTINCT hour_of_week, hours_raw FROM q JOIN iv i ON {OPEN_AT})
 SELECT hour_of_week, count(*) AS open_places FROM o JOIN v_places USING (hours_raw) GROUP BY hour_of_week"""
 
 
+def questions(spark, sf_dir: str) -> DataFrame:
+    """Questions with and without location, nearness, category and price limits."""
+    q = view(spark, sf_dir, "v_questions")
+    return q.withColumns({"price_max": F.when(F.col("question_id") % 6 == 0, 2), "price_range": F.when(F.col("question_id") % 10 == 3, "$$").when(F.col("question_id") % 10 == 6, "$$$")})
+
+
+def all_answers(spark, sf_dir: str) -> DataFrame:
+    return answer_questions(questions(spark, sf_dir), places(spark, sf_dir), category_pairs=standard_pairs(spark, sf_dir))
+
+
 def answered(spark, sf_dir):
-    return answer_questions(view(spark, sf_dir, "v_questions"), places(spark, sf_dir), category_pairs=standard_pairs(spark, sf_dir)).select(
-        "question_id", "position", "place_id", F.round("km", 6).alias("km"), "open_status", "secondary_only"
-    )
+    return all_answers(spark, sf_dir).select("question_id", "position", "place_id", F.round("km", 6).alias("km"), "open_status", "secondary_only", "n_candidates", "radius_used")
 
 
 def standard_pairs(spark, sf_dir):
@@ -126,35 +137,44 @@ def standard_pairs(spark, sf_dir):
     return types.where(F.contains("place_category", F.lit("STANDARD"))).withColumn("asked", F.lit("STANDARD"))
 
 
-ANSWERED_CTE = f"""{pairs_cte(2.0)}, {INTERVALS},
+# every question against every place: open, then radius (only if located and near), category, price, rating, rank
+ANSWERED_CTE = f"""{ctes("v_places", "v_questions")}, {INTERVALS},
 opened AS (SELECT DISTINCT q.question_id, i.hours_raw FROM v_questions q JOIN iv i ON {OPEN_AT}),
-labelled AS (SELECT p.*, CASE WHEN NOT open_now THEN NULL WHEN o.hours_raw IS NOT NULL THEN 'open' WHEN p.hours_raw IS NULL THEN 'unknown' ELSE 'closed' END AS open_status
-  FROM pairs p LEFT JOIN opened o ON o.question_id = p.question_id AND o.hours_raw = p.hours_raw),
+asked AS (SELECT *, CASE WHEN question_id % 10 = 3 THEN 2 WHEN question_id % 10 = 6 THEN 3 WHEN question_id % 6 = 0 THEN 2 END AS price_most,
+  lat IS NOT NULL AND near_me AS near FROM v_questions WHERE NOT (lat IS NULL AND sort_preference = 'distance')),
+every AS (SELECT q.*, p.row_id, p.place_id, p.title, p.category_name, p.sub_category, p.price, p.reviews, p.rating, p.hours_raw,
+  pow(sin(radians(p.lat - q.lat) / 2), 2) + cos(radians(q.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lng - q.lng) / 2), 2) AS h FROM asked q, v_places p),
+labelled AS (SELECT e.*, 6371.0 * 2 * atan2(sqrt(h), sqrt(1 - h)) AS km,
+  CASE WHEN NOT open_now THEN NULL WHEN o.hours_raw IS NOT NULL THEN 'open' WHEN e.hours_raw IS NULL THEN 'unknown' ELSE 'closed' END AS open_status
+  FROM every e LEFT JOIN opened o ON o.question_id = e.question_id AND o.hours_raw = e.hours_raw),
 stay AS (SELECT * FROM labelled WHERE open_status IS NULL OR open_status <> 'closed'),
-{ESCALATED.replace("FROM pairs)", "FROM stay)")},
-kept AS (SELECT *, category IS NOT NULL AND category_name NOT LIKE '%STANDARD%' AS secondary_only FROM cands
-  WHERE (category IS NULL OR category_name LIKE '%STANDARD%' OR sub_category LIKE '%STANDARD%') AND (min_rating IS NULL OR coalesce(rating >= min_rating, false))),
-{RANK_SQL.format(src="kept", lead="secondary_only, CASE WHEN open_status = 'unknown' THEN 1 ELSE 0 END,")}"""
-ANSWERED = f"WITH {ANSWERED_CTE} SELECT question_id, CAST(position AS INT) AS position, place_id, round(km, 6) AS km, open_status, secondary_only FROM r WHERE position <= 30"
+around AS (SELECT question_id, CASE WHEN count_if(km <= 0.5) >= 5 THEN 0.5 WHEN count_if(km <= 1) >= 5 THEN 1.0 ELSE 2.0 END AS radius_used FROM stay WHERE near GROUP BY question_id),
+cands AS (SELECT s.*, CAST(r.radius_used AS DOUBLE) AS radius_used FROM stay s LEFT JOIN around r USING (question_id) WHERE NOT near OR km <= r.radius_used),
+kept AS (SELECT *, category IS NOT NULL AND category_name NOT LIKE '%STANDARD%' AS secondary_only, count(*) OVER (PARTITION BY question_id) AS n_candidates FROM cands
+  WHERE (category IS NULL OR category_name LIKE '%STANDARD%' OR sub_category LIKE '%STANDARD%') AND (price_most IS NULL OR price IS NULL OR price <= price_most)
+    AND (min_rating IS NULL OR coalesce(rating >= min_rating, false))),
+scored AS (SELECT *, (10 * 3.5 + reviews * coalesce(rating, 0)) / (10 + reviews) AS popularity, max(km) OVER (PARTITION BY question_id) AS far FROM kept),
+best AS (SELECT *, round(popularity, 9) AS pop9, round(0.45 * (coalesce(rating, 0) / 5) + 0.35 * (popularity / 5) + 0.20 * coalesce(1 - km / CASE WHEN far > 0 THEN far ELSE 1 END, 0), 9) AS best9 FROM scored),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY secondary_only, CASE WHEN open_status = 'unknown' THEN 1 ELSE 0 END,
+  CASE sort_preference WHEN 'distance' THEN -coalesce(km, 'inf'::DOUBLE) WHEN 'rating' THEN coalesce(rating, 0) WHEN 'popularity' THEN pop9 ELSE best9 END DESC,
+  CASE sort_preference WHEN 'distance' THEN coalesce(rating, 0) WHEN 'rating' THEN reviews ELSE 0 END DESC, row_id) AS position FROM best)"""
+ANSWERED = f"WITH {ANSWERED_CTE} SELECT question_id, CAST(position AS INT) AS position, place_id, round(km, 6) AS km, open_status, secondary_only, n_candidates, radius_used FROM r WHERE position <= 30"
 
 
 def second_page(spark, sf_dir):
-    ranked = answer_questions(view(spark, sf_dir, "v_questions"), places(spark, sf_dir), category_pairs=standard_pairs(spark, sf_dir))
-    return search.page(ranked, 2).select("question_id", "position", "place_id", "has_more")
+    return search.page(all_answers(spark, sf_dir), 2).select("question_id", "position", "place_id", "has_more")
 
 
-SECOND_PAGE = f"""WITH {ANSWERED_CTE},
-t AS (SELECT *, least(count(*) OVER (PARTITION BY question_id), 30) > 10 AS has_more FROM r)
-SELECT question_id, CAST(position AS INT) AS position, place_id, has_more FROM t WHERE position BETWEEN 6 AND 10"""
+SECOND_PAGE = f"""WITH {ANSWERED_CTE}
+SELECT question_id, CAST(position AS INT) AS position, place_id, least(n_candidates, 30) > 10 AS has_more FROM r WHERE position BETWEEN 6 AND 10"""
 
 
 def answers(spark, sf_dir):
-    q = view(spark, sf_dir, "v_questions")
-    return search.render_answers(answer_questions(q, places(spark, sf_dir), category_pairs=standard_pairs(spark, sf_dir)), q)
+    return search.render_answers(all_answers(spark, sf_dir), view(spark, sf_dir, "v_questions"))
 
 
 ANSWERS = f"""WITH {ANSWERED_CTE},
-l AS (SELECT question_id, string_agg(concat(position, '. ', title, ' (', category_name, ') - ', printf('%.2f', km), 'km away',
+l AS (SELECT question_id, string_agg(concat(position, '. ', title, ' (', category_name, ')', CASE WHEN km IS NOT NULL THEN concat(' - ', printf('%.2f', km), 'km away') ELSE '' END,
    CASE WHEN rating <> 0 THEN concat(' - Rating: ', printf('%.1f', rating), '/5') ELSE '' END,
    CASE WHEN reviews <> 0 THEN concat(' (', reviews, ' reviews)') ELSE '' END,
    CASE open_status WHEN 'open' THEN ' - open' WHEN 'unknown' THEN ' - hours unknown' ELSE '' END), chr(10) ORDER BY position) AS body FROM r WHERE position <= 5 GROUP BY question_id)
@@ -163,6 +183,13 @@ SELECT q.question_id, CASE WHEN body IS NULL THEN 'I couldn''t find any places m
 FROM v_questions q LEFT JOIN l USING (question_id)"""
 
 
+def unanswered(spark, sf_dir):
+    return unanswerable(questions(spark, sf_dir))
+
+
+UNANSWERED = f"""WITH {ctes('v_questions')} SELECT question_id, 'a location is required for distance ranking' AS error FROM v_questions WHERE sort_preference = 'distance' AND lat IS NULL"""
+
+
 def outside_location(spark, sf_dir):
     q = view(spark, sf_dir, "v_questions").withColumn("near_me", F.col("sort_preference") == "distance")
     return search.drop_outside_location(q, BOUNDS).select("question_id", "lat", "lng", "outside_notice")
@@ -197,6 +224,6 @@ CASE WHEN question_id % 3 = 1 THEN 4.0 ELSE min_rating END AS min_rating FROM v_
 QUERIES = {
     "top_places": (top_places, TOP_PLACES), "near_pairs": (near_pairs, NEAR_PAIRS), "radius_used": (radius_used, RADIUS_USED), "ranked_places": (ranked_places, RANKED_PLACES),
     "hours_intervals": (hours_intervals, HOURS_INTERVALS), "hours_status": (hours_status, HOURS_STATUS), "open_places": (open_places, OPEN_PLACES),
-    "answered_questions": (answered, ANSWERED), "second_page": (second_page, SECOND_PAGE), "rendered_answers": (answers, ANSWERS),
+    "answered_questions": (answered, ANSWERED), "second_page": (second_page, SECOND_PAGE), "unanswered_questions": (unanswered, UNANSWERED), "rendered_answers": (answers, ANSWERS),
     "outside_location": (outside_location, OUTSIDE_LOCATION), "applied_filters": (applied_filters, APPLIED_FILTERS), "slot_overrides": (slot_overrides, SLOT_OVERRIDES),
 }

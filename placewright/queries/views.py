@@ -33,7 +33,8 @@ SELECT c_custkey AS question_id, c_mktsegment AS segment,
        c_custkey % 3 = 0 AS open_now,
        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'STANDARD' END AS category,
        CASE WHEN c_custkey % 5 = 0 THEN CAST(2.0 AS DOUBLE) END AS min_rating,
-       CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'distance' WHEN 1 THEN 'rating' WHEN 2 THEN 'popularity' ELSE 'best_match' END AS sort_preference
+       CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'distance' WHEN 1 THEN 'rating' WHEN 2 THEN 'popularity' ELSE 'best_match' END AS sort_preference,
+       c_custkey % 5 <> 2 AS near_me
 FROM {customer}
 """
 HITS = "SELECT event_id, user_id AS visitor, ts, event_type FROM {events}"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions import geo, hours, text
 from placewright.operators import catalog, conversations, evaluation, matching, planning, search
+from placewright.plans.answer import answer_questions, unanswerable
 from placewright.plans.catalog import build_catalog
 from placewright.plans.validate import validate_catalog
 from placewright.sources import files
@@ -36,6 +37,16 @@ def test_near_join_equals_brute_force(spark):
     assert key(geo.near_join(q, p, 1.3)) == key(want) != set()
 
 
+def test_near_join_anywhere(spark):
+    spots = [(lat + dy, lng + dx) for lat, lng in ((0, 0), (69.6, 18.9), (-77.8, 179.995), (89.99, 10), (51.5, -179.999), (-90, 0)) for dy in (0, 0.004, -0.006) for dx in (0, 0.004, -0.03, 5)]
+    rows = [(i, max(-90.0, min(90.0, float(lat))), (lng + 180.0) % 360 - 180) for i, (lat, lng) in enumerate(spots)]
+    q = spark.createDataFrame(rows, "question_id long, lat double, lng double")
+    p = q.select(F.col("question_id").alias("row_id"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    want = q.crossJoin(p).where(geo.haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")) <= 1.0).select("question_id", "row_id")
+    got = geo.near_join(q, p, 1.0).select("question_id", "row_id")
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count() > len(rows)
+
+
 HOURS = [
     ("Monday-Sunday: 3 to 9 PM", {d: [(54000, 75600)] for d in range(7)}), ("Friday-Monday: 9 PM to 2 AM", {d: [(75600, 7200)] for d in (4, 5, 6, 0)}),
     ("Mon,Wed: 8 AM to 11:30 AM, 1 to 5 PM; Tue: closed", {0: [(28800, 41400), (46800, 61200)], 2: [(28800, 41400), (46800, 61200)]}), ("Atendimento 24 horas", {d: [(0, 86340)] for d in range(7)}),
@@ -53,10 +64,15 @@ def test_hours(spark):
         if t != "Mon 09:00-18:00":  # the day part is cut at the first colon, and "Mon 09" is still a Monday
             assert {d: sorted(v) for d, v in got[t].items()} == {d: sorted(v) for d, v in want.items()}, t
     q = spark.createDataFrame([(1, 5, 3600), (2, 5, 7200), (3, 4, 76000), (4, 1, 3600), (5, 0, 86340), (6, 0, 86370)], "question_id long, day_idx int, sec_of_day long")
-    found = {(r.question_id, r.hours_raw) for r in hours.open_at(q, hours.parse_hours(df)).collect()}
+    every = hours.with_week(df, hours.parse_hours(df)).crossJoin(q)
+    found = {(r.question_id, r.hours_raw) for r in every.where(hours.is_open(F.col("week"), F.col("day_idx"), F.col("sec_of_day"))).collect()}
     night = "Friday-Monday: 9 PM to 2 AM"
     assert {i for i, t in found if t == night} == {1, 3, 4, 5, 6}
     assert {i for i, t in found if t == "Atendimento 24 horas"} == {1, 2, 3, 4, 5}
+    slots = {}
+    for r in hours.instant_slots(q, hours.parse_hours(df)).collect():  # instants of one slot have the same open texts
+        slots.setdefault((r.day_idx, r.slot), set()).add(frozenset(t for i, t in found if (r.day_idx, r.sec_of_day) == {1: (5, 3600), 2: (5, 7200), 3: (4, 76000), 4: (1, 3600), 5: (0, 86340), 6: (0, 86370)}[i]))
+    assert len(slots) == 6 and all(len(v) == 1 for v in slots.values())
 
 
 def candidates(spark):
@@ -79,6 +95,36 @@ def test_filters_and_ranks(spark):
     assert [(r.position, r.has_more) for r in search.page(ranked, 2).orderBy("position").collect()][-1] == (8, False) and search.page(ranked, 3).count() == 0
 
 
+def test_answers_of_small_catalog(spark):
+    """What a question gets by hand: radius only when it is located and asks for nearness, else the whole catalog."""
+    places = spark.createDataFrame(
+        [(0, "near", -1.45, -48.5, ["Bar"], "Bar", 1, 10, 4.0, "Monday-Sunday: 5 PM to 1 AM"), (1, "mid", -1.455, -48.5, ["Cafe", "Bar"], "Cafe", 3, 100, 4.8, None),
+         (2, "far", -1.49, -48.5, ["Bar"], "Bar", None, 50, 4.5, "Monday: Closed"), (3, "lost", None, None, ["Bar"], "Bar", 2, 5, None, "Monday-Sunday: 24 hours"), (4, "bare", -1.47, -48.5, [], "Bar", 2, 1, 3.0, "")],
+        "row_id long, place_id string, p_lat double, p_lng double, categories array<string>, category_name string, price long, reviews long, rating double, hours_raw string",
+    )
+    here, kinds = (-1.45, -48.5), "question_id long, lat double, lng double, near_me boolean, day_idx int, sec_of_day long, open_now boolean, category string, price_range string, min_rating double, sort_preference string"
+    asks = [
+        (1, *here, True, 0, 0, False, None, None, None, "distance"), (2, *here, False, 0, 0, False, None, None, None, "distance"), (3, None, None, True, 0, 0, False, "bar", None, None, "rating"),
+        (4, *here, False, 0, 72000, True, None, None, None, "popularity"), (5, None, None, True, 0, 0, False, None, None, None, "distance"), (6, *here, True, 0, 0, False, "tea", None, None, "rating"),
+        (7, None, None, None, 0, 0, None, None, "$$", None, "best_match"), (8, *here, None, 0, 0, None, "bar", None, 4.2, "best_match"), (9, 40.0, 10.0, True, 0, 0, False, None, None, None, "rating"),
+    ]
+    pairs = spark.createDataFrame([("Bar", "bar"), ("Pub", "bar")], "place_category string, asked string")
+    q = spark.createDataFrame(asks, kinds)
+    got = {}
+    for r in answer_questions(q, places, pairs).orderBy("question_id", "position").collect():
+        got.setdefault(r.question_id, []).append(r)
+    names = {i: [r.place_id for r in rs] for i, rs in got.items()}
+    assert names[1] == ["near", "mid"] and got[1][0].radius_used == 2.0  # fewer than five within 2 km
+    assert names[2] == ["near", "mid", "bare", "far", "lost"] and got[2][4].km is None
+    assert names[3] == ["far", "near", "bare", "lost", "mid"] and got[3][4].secondary_only and got[3][0].km is None
+    assert names[4] == ["lost", "near", "mid", "bare"] or names[4] == ["near", "lost", "mid", "bare"]
+    assert {r.place_id: r.open_status for r in got[4]} == {"near": "open", "lost": "open", "mid": "unknown", "bare": "unknown"} and got[4][0].n_candidates == 4 and got[4][0].radius_used is None
+    assert 5 not in names and [(r.question_id, r.error[:10]) for r in unanswerable(q).collect()] == [(5, "a location")]
+    assert 6 not in names and 9 not in names  # a place without categories passes, but none is near
+    assert set(names[7]) == {"near", "far", "lost", "bare"} and names[8] == ["far", "mid"]
+    assert answer_questions(q.limit(0), places, pairs).count() == 0 and answer_questions(q, places.limit(0), pairs).count() == 0
+
+
 def test_catalog_build(spark, tmp_path):
     head = "placeId,title,categoryName,categories/0,categories/1,address,formattedAddress,neighborhood,city,state,location/lat,location/lng,phone,website,url,totalScore,reviewsCount,price,IsSponsored,isSponsored,businessTime"
     rows = [
