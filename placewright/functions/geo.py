@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 KM_PER_DEGREE = 111.0
+#: Tasks among which the left rows of one cell are dealt.
+SPREAD = 4
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -30,12 +35,19 @@ def _column(lng: Column, columns: Column) -> Column:
     return F.least(F.floor(F.pmod(lng + 180, F.lit(360.0)) / 360 * columns), columns - 1)
 
 
+def _unit(lat: str, lng: str, name: str) -> dict[str, Column]:
+    """A point's unit vector, as three columns."""
+    y, x = F.radians(lat), F.radians(lng)
+    return {f"{name}0": F.cos(y) * F.cos(x), f"{name}1": F.cos(y) * F.sin(x), f"{name}2": F.sin(y)}
+
+
 def near_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows at most km apart that agree in the columns `on`, with the distance as km. left has lat and lng, right p_lat and p_lng; rows
     without coordinates have no pair.
 
     Both sides are dealt into bands of latitude at least km tall and each band into cells at least km wide; each left row visits its cell
-    and the eight around it, over the date line too, and an equi-join on the cell is all the shuffle there is. Adaptive execution splits hot cells."""
+    and the eight around it, over the date line too, and an equi-join on the cell is all the shuffle there is. The left rows of a cell are dealt
+    to SPREAD tasks. Pairs are sifted by the chord between their unit vectors, and only those that pass have their distance taken."""
     tall = km / KM_PER_DEGREE * 1.01
     around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
     asked = left.where("lat is not null and lng is not null").withColumn("__y", F.explode(F.transform(around, lambda d: F.floor(F.col("lat") / tall) + d)))
@@ -43,5 +55,10 @@ def near_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...]
     asked = asked.withColumn("__x", F.explode(F.when(columns == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(around, lambda d: F.pmod(_column(F.col("lng"), columns) + d, columns)))))
     there = right.where("p_lat is not null and p_lng is not null").withColumn("__y", F.floor(F.col("p_lat") / tall))
     there = there.withColumn("__x", _column(F.col("p_lng"), _columns_of(F.col("__y"), tall)))
-    found = asked.join(there.hint("shuffle_hash"), ["__y", "__x", *on]).drop("__y", "__x")
+    asked = asked.withColumns({"__s": F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int"), **_unit("lat", "lng", "__a")})
+    there = there.withColumns({"__s": F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))), **_unit("p_lat", "p_lng", "__b")})
+    most = (2 * math.sin(min(km / EARTH_KM, math.pi) / 2)) ** 2 * (1 + 1e-6) + 1e-15
+    chord = reduce(Column.__add__, [(F.col(f"__a{i}") - F.col(f"__b{i}")) * (F.col(f"__a{i}") - F.col(f"__b{i}")) for i in range(3)])
+    found = asked.join(there.hint("shuffle_hash"), ["__y", "__x", "__s", *on]).where(chord <= most)
+    found = found.drop("__y", "__x", "__s", *[f"__{side}{i}" for side in "ab" for i in range(3)])
     return found.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))).where(F.col("km") <= km)

@@ -7,6 +7,8 @@ closes every day; the day part ends at the first colon; a start without AM/PM ta
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,12 +110,40 @@ def is_open(week: Column, day: Column, second: Column) -> Column:
 
 
 def instant_slots(instants: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(day_idx, sec_of_day, slot) of the distinct instants: within a slot, a stretch of a day between the times at which any text opens or closes, the
-    same texts are open. A day has no more rows than seconds, whatever the input."""
+    """(day_idx, sec_of_day, slot) of the distinct instants, with slots numbered from 0: within a slot, a stretch of a day between the times at which any
+    text opens or closes, the same texts are open. A day has no more rows than seconds, whatever the input."""
     closing = lambda c: [F.col(c), F.col(c) + 1]  # noqa: E731  # an end is open itself, but for a tail
     times = intervals.select("day", F.explode(F.array("start_s", *closing("end_s"))).alias("sec")).distinct()
     turns = times.unionByName(times.withColumn("day", F.pmod(F.col("day") + 1, F.lit(7)))).distinct().select("day", F.col("sec").cast("long").alias("sec"), F.lit(1).alias("turn"))
-    asked = instants.select(F.col("day_idx").alias("day"), F.col("sec_of_day").cast("long").alias("sec"), F.lit(0).alias("turn")).distinct()
-    order = Window.partitionBy("day").orderBy("sec", F.desc("turn"))
-    slots = asked.unionByName(turns).withColumn("slot", F.sum("turn").over(order))
-    return slots.where("turn = 0").select(F.col("day").alias("day_idx"), F.col("sec").alias("sec_of_day"), "slot")
+    asked = instants.select(F.col("day_idx").alias("day"), F.col("sec_of_day").cast("long").alias("sec"), F.lit(0).alias("turn")).where("day is not null and sec is not null").distinct()
+    stretches = asked.unionByName(turns).withColumn("stretch", F.sum("turn").over(Window.partitionBy("day").orderBy("sec", F.desc("turn")))).where("turn = 0")
+    return stretches.select(F.col("day").alias("day_idx"), F.col("sec").alias("sec_of_day"), (F.dense_rank().over(Window.orderBy("day", "stretch")) - 1).alias("slot"))
+
+
+def slot_instants(slots: DataFrame) -> list[tuple[int, int]]:
+    """An instant of each slot, by its number: no more than a week has seconds."""
+    return [tuple(r.at) for r in slots.groupBy("slot").agg(F.min(F.struct("day_idx", "sec_of_day")).alias("at")).orderBy("slot").collect()]
+
+
+def with_open_slots(rows: DataFrame, intervals: DataFrame, instants: list[tuple[int, int]], col: str = "hours_raw") -> DataFrame:
+    """The rows with `open_slots`: 64 slots a number, a bit set where their text is open; null where it has no intervals. Worked out once for each text."""
+    days, seconds = (np.array([x[i] for x in instants], np.int64) for i in range(2))
+
+    @F.pandas_udf("array<long>")
+    def bits(weeks: pd.Series) -> pd.Series:
+        def of(week: np.ndarray) -> list[int]:
+            day, start, end = (week[:, None] >> s & (1 << 20) - 1 for s in (40, 20, 0))
+            over = end < start
+            today = (day == days) & (seconds >= start) & (over | (seconds <= end))
+            held = (today | over & (day == (days + 6) % 7) & (seconds < end)).any(axis=0)
+            return np.packbits(np.r_[held, np.zeros(-len(held) % 64, bool)], bitorder="little").view("<i8").tolist()
+
+        return weeks.map(lambda w: of(np.asarray(w, np.int64)))
+
+    packed = F.shiftleft(F.col("day").cast("long"), 40) + F.shiftleft(F.col("start_s").cast("long"), 20) + F.col("end_s")
+    weeks = intervals.groupBy(col).agg(F.collect_list(packed).alias("__week"))
+    return rows.join(weeks.select(col, bits("__week").alias("open_slots")).hint("merge"), col, "left")
+
+
+def open_in(open_slots: Column, slot: Column) -> Column:
+    return F.coalesce(F.getbit(F.get(open_slots, F.floor(slot / 64).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1, F.lit(False))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import near_join, within_bounds
-from placewright.functions.hours import is_open
+from placewright.functions.hours import open_in
 from placewright.tables import written
 
 RADII, ENOUGH = (0.5, 1.0, 2.0), 5
@@ -30,13 +30,15 @@ def settle_radius(
 ) -> DataFrame:
     """The located questions with radius_used: the smallest radius that has enough of the pairs that stay, else the last.
 
-    Pairs are counted where they are made. Only questions that lack places within a radius are joined within the next. The result is written."""
+    Pairs are counted where they are made. Only questions that lack places within a radius are joined within the next. Each step's counts are written."""
     left, settled = questions.where("lat is not null and lng is not null"), []
     for km in radii[:-1]:
-        counts = stays(near_join(left, places, km)).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= enough).select(key).hint("merge")
-        settled.append(left.join(counts, key, "left_semi").withColumn("radius_used", F.lit(km)))
-        left = left.join(counts, key, "left_anti")
-    return written(reduce(DataFrame.unionByName, settled, left.withColumn("radius_used", F.lit(radii[-1]))), "settled")
+        counts = stays(near_join(left, places, km)).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+        counted = written(left.join(counts.hint("merge"), key, "left"), "settled")
+        has = F.coalesce(F.col("__n") >= enough, F.lit(False))
+        settled.append(counted.where(has).drop("__n").withColumn("radius_used", F.lit(km)))
+        left = counted.where(~has).drop("__n")
+    return reduce(DataFrame.unionByName, settled, left.withColumn("radius_used", F.lit(radii[-1])))
 
 
 def in_radius(settled: DataFrame, places: DataFrame, radii: tuple[float, ...] = RADII, on: tuple[str, ...] = ()) -> DataFrame:
@@ -54,11 +56,11 @@ def escalate_radius(pairs: DataFrame, radii: tuple[float, ...] = RADII, enough:
 
 
 def filter_open_at(candidates: DataFrame) -> DataFrame:
-    """Drops places that are closed at day_idx and sec_of_day when their question asks for open ones (open_now), by the intervals in `week`; labels
+    """Drops places that are closed in the question's slot of the week when it asks for open ones (open_now), by their open_slots; labels
     open_status: open, unknown (nothing to read) or null (not asked)."""
     # text without any day part closes every day; only a missing text is unknown here
     status = (
-        F.when(~F.coalesce("open_now", F.lit(False)), None).when(is_open(F.col("week"), F.col("day_idx"), F.col("sec_of_day")), "open")
+        F.when(~F.coalesce("open_now", F.lit(False)), None).when(open_in(F.col("open_slots"), F.col("slot")), "open")
         .when(F.coalesce(F.trim("hours_raw"), F.lit("")) == "", "unknown").otherwise("closed")
     )
     return candidates.withColumn("open_status", status).where("open_status is null or open_status <> 'closed'")

@@ -20,15 +20,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import haversine_km
-from placewright.functions.hours import instant_slots, parse_hours, with_week
+from placewright.functions.hours import instant_slots, parse_hours, slot_instants, with_open_slots
 from placewright.operators import search
 from placewright.tables import written
 
 #: Places and questions of one tile.
-TILE_PLACES, TILE_QUESTIONS = 10_000, 1_000
+TILE_PLACES, TILE_QUESTIONS = 2_000, 100
 
 OPTIONAL = {"near_me": "boolean", "price_max": "double", "price_range": "string", "min_rating": "double", "open_now": "boolean", "category": "string"}
-FILTERS = ("open_now", "slot_day", "slot", "category", "price_max", "min_rating")
+FILTERS = ("open_now", "slot", "category", "price_max", "min_rating")
 
 
 def prepared(questions: DataFrame) -> DataFrame:
@@ -55,20 +55,16 @@ def passed(candidates: DataFrame) -> DataFrame:
 
 
 def near_answers(questions: DataFrame, places: DataFrame, sorted_places: DataFrame, k: int) -> DataFrame:
-    settled = search.settle_radius(questions, places.select("p_lat", "p_lng", "hours_raw", "week"), search.filter_open_at)
+    settled = search.settle_radius(questions, places.select("p_lat", "p_lng", "hours_raw", "open_slots"), search.filter_open_at)
     found = search.in_radius(search.by_category(settled), sorted_places, on=("asked",))
     found = passed(search.filter_open_at(found)).withColumn("n_candidates", F.count(F.lit(1)).over(Window.partitionBy("question_id")))
     return search.rank(search.score_columns(found), k).select("question_id", "row_id", "position", "open_status", "secondary_only", "n_candidates", "radius_used")
 
 
-def filter_sets(questions: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct filter sets with their number `set`, and the questions with theirs. Instants at which the same texts are open are one."""
-    slots = instant_slots(questions.where("open_now").select("day_idx", "sec_of_day"), intervals)
-    slotted = questions.join(slots.hint("merge"), ["day_idx", "sec_of_day"], "left").withColumn("slot_day", F.when(F.col("open_now"), F.col("day_idx")))
-    key = F.to_json(F.struct(*FILTERS), {"ignoreNullFields": "false"})
-    slotted = slotted.withColumn("set", key)
-    sets = slotted.groupBy("set").agg(*[F.first(c).alias(c) for c in ("open_now", "category", "price_max", "min_rating")], F.min(F.struct("day_idx", "sec_of_day")).alias("at"))
-    return sets.select("set", "open_now", "category", "price_max", "min_rating", "at.*"), slotted
+def filter_sets(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct filter sets with their key `set`, and the questions with theirs. Instants at which the same texts are open are one slot."""
+    keyed = questions.withColumn("set", F.to_json(F.struct(*FILTERS), {"ignoreNullFields": "false"}))
+    return keyed.select("set", *FILTERS).distinct(), keyed
 
 
 def set_places(sets: DataFrame, sorted_places: DataFrame, parts: int = 16) -> DataFrame:
@@ -119,11 +115,13 @@ def answer_questions(questions: DataFrame, places: DataFrame, category_pairs: Da
     Questions ranked by distance without a location have no rows: see unanswerable."""
     intervals = written(parse_hours(places) if intervals is None else intervals, "intervals")
     asked = prepared(questions).where("mode <> 'distance' or located")
-    slim = written(with_week(places.select("row_id", "p_lat", "p_lng", "categories", "category_name", "price", "reviews", "rating", "hours_raw"), intervals), "places")
+    slots = written(instant_slots(asked.where("open_now"), intervals), "slots")
+    asked = written(asked.join(slots.hint("merge"), ["day_idx", "sec_of_day"], "left").withColumn("slot", F.when(F.col("open_now"), F.col("slot"))), "questions")
+    slim = places.select("row_id", "p_lat", "p_lng", "categories", "category_name", "price", "reviews", "rating", "hours_raw")
+    slim = written(with_open_slots(slim, intervals, slot_instants(slots)), "places")
     sorted_places = written(search.places_by_category(slim, category_pairs).drop("categories"), "places")
     near = near_answers(asked.where("near"), slim, sorted_places, k)
-    sets, others = filter_sets(asked.where("not near"), intervals)
-    others = written(others, "questions")
+    sets, others = filter_sets(asked.where("not near"))
     left = written(set_places(sets, sorted_places), "left")
     own = F.col("located") & F.col("mode").isin("distance", "best_match")
     none = F.lit(None).cast("double")

@@ -47,7 +47,7 @@ RADIUS_USED = f"WITH {pairs_cte(2.0)}, {ESCALATED} SELECT question_id, CAST(radi
 
 def top_places(spark, sf_dir):
     found = candidates(spark, sf_dir).withColumn("mode", F.lit("distance"))
-    ranked = search.rank(search.score_columns(found), search.SHOWN)
+    ranked = search.rank(search.score_columns(found, None), search.SHOWN)
     return ranked.select("question_id", "position", "place_id", F.round("km", 6).alias("km"), F.col("radius_used").cast("double").alias("radius_used"))
 
 

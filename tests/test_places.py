@@ -69,10 +69,9 @@ def test_hours(spark):
     night = "Friday-Monday: 9 PM to 2 AM"
     assert {i for i, t in found if t == night} == {1, 3, 4, 5, 6}
     assert {i for i, t in found if t == "Atendimento 24 horas"} == {1, 2, 3, 4, 5}
-    slots = {}
-    for r in hours.instant_slots(q, hours.parse_hours(df)).collect():  # instants of one slot have the same open texts
-        slots.setdefault((r.day_idx, r.slot), set()).add(frozenset(t for i, t in found if (r.day_idx, r.sec_of_day) == {1: (5, 3600), 2: (5, 7200), 3: (4, 76000), 4: (1, 3600), 5: (0, 86340), 6: (0, 86370)}[i]))
-    assert len(slots) == 6 and all(len(v) == 1 for v in slots.values())
+    slots = hours.instant_slots(q, hours.parse_hours(df))
+    held = hours.with_open_slots(df, hours.parse_hours(df), hours.slot_instants(slots)).crossJoin(q.join(slots, ["day_idx", "sec_of_day"]))
+    assert {(r.question_id, r.hours_raw) for r in held.where(hours.open_in(F.col("open_slots"), F.col("slot"))).collect()} == found
 
 
 def candidates(spark):
