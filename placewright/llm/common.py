@@ -1,36 +1,20 @@
-"""What the corpus operators share: the shared folder, written intermediate tables, and deterministic samples."""
+"""What the corpus operators share: written intermediate tables, deterministic samples, and sieves for rows that need no shuffle."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewright.tables import shared_folder, written  # noqa: F401
+
 #: One run of ASCII white space, as the contracts define it.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-@functools.cache
-def _own_folder(app: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: its lineage ends there and a lost executor costs only a reread."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_of_id(col: Column) -> Column:
     """crc32 of the id written as text (null for a null id)."""
     return F.crc32(col.cast("string").cast("binary"))
@@ -44,3 +28,49 @@ def id_share(col: Column, salt: int = 0) -> Column:
 def groups_for(rows: int, each: int, least: int = 1) -> int:
     """How many groups keep about `each` rows a group at any size of input."""
     return max(least, -(-rows // each))
+
+
+#: Bits of a sieve (8 MB), and parts of a key's hash that each set one.
+SIEVE_BITS, SIEVE_PARTS = 1 << 26, 3
+
+
+def sieve(keys: DataFrame, key: str = "key") -> Callable[[Column], Column]:
+    """From a table of 64-bit keys, a test of a column of keys: true for every key of the table, false for nearly all others.
+
+    A Bloom filter whose size is fixed, so its broadcast is bounded however many keys there are. With more keys it lets more others pass; it only
+    decides which rows have to move to be compared, never a result."""
+    spark, mask = keys.sparkSession, SIEVE_BITS - 1
+    bits = F.array(*[F.shiftrightunsigned(F.col(key), 21 * i).bitwiseAND(mask) for i in range(SIEVE_PARTS)])
+    words = keys.select(F.explode(bits).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    found = words.toPandas()
+    table = np.zeros(SIEVE_BITS // 64, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(table.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def held(col: pd.Series) -> pd.Series:
+        out, values = np.ones(len(col), bool), col.to_numpy(np.int64).view(np.uint64)
+        for i in range(SIEVE_PARTS):
+            bit = (values >> np.uint64(21 * i)) & np.uint64(mask)
+            out &= (shared.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+        return pd.Series(out)
+
+    return held
+
+
+#: Copies of a small table's rows, and parts that a hot key's rows are dealt to.
+SALTS = 16
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], how: str, by: Column) -> DataFrame:
+    """rows joined with a table of distinct keys. The table goes to SALTS tasks a key and the rows of a hot key are dealt among them by the hash `by`."""
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
+
+
+def first_rows(rows: DataFrame, key: str, id_col: str) -> DataFrame:
+    """One whole row for each key: that with the smallest id (null last; of rows with that id, one that their values decide). Each map task sends on one a key."""
+    columns = [c for c in rows.columns if c != key]
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*columns))
+    one = rows.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("__row"))
+    return one.select(key, *[F.col("__row").getField(c).alias(c) for c in columns])

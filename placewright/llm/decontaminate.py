@@ -17,13 +17,14 @@ be there to QUESTION and ANSWER. A part is there to the greater of two shares: o
 its words, if it has fewer) that the text has, and of its words that need no edit to stand in the text in a row, so
 that one changed word doesn't lose a part. An item too short for two parts of five words is looked up whole.
 
-The index is built in parts of MAX_ITEMS items and a scan of the texts searches PARTS of them, so the size of a
-broadcast is bounded however many items there are; more items take more scans. Word rarity and mean length are those of all
-items. Texts are not shuffled.
+Posting lists and block bounds are sparse: an index takes space for the words that its items hold. It is built in parts of MAX_ITEMS items and a scan of
+the texts searches PARTS of them, so the size of a broadcast is bounded however many items there are; more items take more scans. Word rarity and mean
+length are those of all items. Texts are not shuffled: `drop_contaminated` filters rows where they are read, each by its own text.
 
 Defined cases: a null or empty text matches nothing, nor does an item without words. Items of fewer than five words
-must be there word for word. Equal items are reported each; repeated documents are reported each time. Empty tables give an empty result. Extra
-columns are ignored.
+must be there word for word. An item without an id is reported with a null item_id. Equal items and items that repeat an id are reported each; repeated
+documents are reported each time, also those without an id. Very long texts are searched whole. Empty tables give an empty result. Extra
+columns are ignored, and kept by drop_contaminated, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,18 +33,20 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.8, 0.8, 0.8
-#: Items of one index (its table of block bounds takes some 20 MB), and indexes that one scan of the texts searches.
-SHINGLE, BLOCK, MAX_ITEMS, PARTS = 5, 4, 1_000, 8
+#: Items of one index (some 30 MB with items of 50 words), and indexes that one scan of the texts searches.
+SHINGLE, BLOCK, MAX_ITEMS, PARTS = 5, 4, 4_000, 4
 
 WORDS = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
@@ -109,7 +112,7 @@ class Index:
         n, mean, df = overall or (len(docs), np.mean([len(w) for *_, w in docs]) if docs else 1.0, Counter(w for *_, words in docs for w in set(words)))
         idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for *_, words in docs for w in set(words) if (k := df[w])}
         # items that share their rarest word lie together, which keeps block bounds tight
-        docs.sort(key=lambda d: (max((idf[w], w) for w in d[2]), d[0]))
+        docs.sort(key=lambda d: (max((idf[w], w) for w in d[2]), d[0] is None, d[0] or 0, d[1]))
         self.ids = [d[0] for d in docs]
         self.parts = [question_and_answer(t) for _, t, _ in docs]
         self.longest = max((len(w) for *_, w in docs), default=1)
@@ -124,12 +127,20 @@ class Index:
         self.items = [[at for at, _ in p] for p in postings.values()]
         self.weights = [[x for _, x in p] for p in postings.values()]
         self.bound = np.array([max(p) for p in self.weights] or [0.0])
-        self.blocks = np.zeros((max(1, len(postings)), -(-max(1, len(docs)) // BLOCK)), np.float32)
-        for i, (ats, ws) in enumerate(zip(self.items, self.weights, strict=True)):
-            np.maximum.at(self.blocks[i], np.array(ats) // BLOCK, np.array(ws, np.float32))
+        self.blocks: list[dict[int, float]] = []
+        for ats, ws in zip(self.items, self.weights, strict=True):
+            most: dict[int, float] = {}
+            for at, x in zip(ats, ws, strict=True):
+                most[at // BLOCK] = max(x, most.get(at // BLOCK, 0.0))
+            self.blocks.append(most)
+        self.block_ids = [np.fromiter(m.keys(), np.int32, len(m)) for m in self.blocks]
+        self.block_most = [np.fromiter(m.values(), np.float64, len(m)) for m in self.blocks]
 
     def may_match(self, terms: list[int], threshold: float) -> bool:
-        return bool(terms) and self.bound[terms].sum() >= threshold and self.blocks[terms].sum(axis=0).max() >= threshold - 1e-4
+        if not terms or self.bound[terms].sum() < threshold:
+            return False
+        ids, most = (np.concatenate([x[t] for t in terms]) for x in (self.block_ids, self.block_most))
+        return np.bincount(ids, most).max() >= threshold - 1e-4
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score for the distinct terms reaches the threshold, by block-max WAND."""
@@ -159,7 +170,7 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(float(blocks[c[2], block]) for c in cursors[: pivot + 1]) < threshold - 1e-4:
+            if sum(blocks[c[2]].get(block, 0.0) for c in cursors[: pivot + 1]) < threshold - 1e-4:
                 # no item of this block before the next cursor can reach it
                 after = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else math.inf
                 to = min((block + 1) * BLOCK, after)
@@ -211,6 +222,25 @@ def distinct_words(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"n": [len(w) for w in found], "words": [sorted(set(w)) for w in found]})
 
 
+def shared_indexes(items: DataFrame, max_items: int) -> Iterator[Broadcast]:
+    """The items' indexes, PARTS of them at a time."""
+    spark = items.sparkSession
+    items = items.select("item_id", "text").where(F.col("text").isNotNull())
+    parts = max(1, -(-items.count() // max_items))
+    part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    if parts > 1:  # one part's own figures are those of all items
+        spread = items.select(part_of.alias("part"), distinct_words("text").alias("found"))
+        each = spread.select("part", F.explode("found.words").alias("word"))
+        counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+        total = spread.where("found.n > 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("found.n"), F.lit(1.0)).alias("mean")).first()
+    for first in range(0, parts, PARTS):
+        overall, last = None, min(parts, first + PARTS)
+        if parts > 1:
+            here = each.where(F.col("part").between(first, last - 1)).select("word").distinct()
+            overall = total.n, total.mean, {r.word: r.k for r in counts.join(here.hint("merge"), "word").collect()}
+        yield spark.sparkContext.broadcast([Index([(r.item_id, r.text) for r in items.where(part_of == part).collect()], overall) for part in range(first, last)])
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -223,29 +253,13 @@ def contaminated(
     """One row for each document (kept columns) and item it holds, with the passage and the overlaps.
 
     docs has the column text, items the columns item_id and text."""
-    spark = docs.sparkSession
-    items = items.select("item_id", "text").where(F.col("text").isNotNull())
-    parts = max(1, -(-items.count() // max_items))
-    part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    if parts > 1:  # one part's own figures are those of all items
-        spread = items.select(part_of.alias("part"), distinct_words("text").alias("found"))
-        each = spread.select("part", F.explode("found.words").alias("word"))
-        counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("k"))
-        total = spread.where("found.n > 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("found.n"), F.lit(1.0)).alias("mean")).first()
     rows = docs.select(*keep, "text")
     schema = rows.select(*keep).schema
     for field in MATCH_FIELDS.split(", "):
         schema = schema.add(*field.split())
-    out = None
-    for first in range(0, parts, PARTS):
-        overall, last = None, min(parts, first + PARTS)
-        if parts > 1:
-            here = each.where(F.col("part").between(first, last - 1)).select("word").distinct()
-            overall = total.n, total.mean, {r.word: r.k for r in counts.join(here, "word").collect()}
-        indexes = [Index(sorted((r.item_id, r.text) for r in items.where(part_of == part).collect()), overall) for part in range(first, last)]
-        shared = spark.sparkContext.broadcast(indexes)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def scan(shared: Broadcast) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at, hits = [], []
                 for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
@@ -257,17 +271,26 @@ def contaminated(
                 columns += [pa.array([h[i] for h in hits], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        found = rows.mapInArrow(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        return rows.mapInArrow(search, schema)
+
+    return reduce(DataFrame.unionByName, map(scan, shared_indexes(items, max_items)))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", max_items: int = MAX_ITEMS) -> DataFrame:
+    """The rows of docs whose text holds no item, in the columns of docs."""
+    at = docs.columns.index(text_col)
+
+    def scan(rows: DataFrame, shared: Broadcast) -> DataFrame:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = (any(index.matches(text, THRESHOLD, QUESTION, ANSWER) for index in shared.value) for text in batch.column(at).to_pylist())
+                yield batch.filter(pa.array([not h for h in held], pa.bool_()))
+
+        return rows.mapInArrow(clean, docs.schema)
+
+    return reduce(scan, shared_indexes(items, max_items), docs)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold an item, in the columns of docs."""
-    ids = contaminated(docs, items).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(ids.hint("merge"), F.col("doc_id") == F.col("__hit"), "left_anti")

@@ -1,15 +1,18 @@
 """Exact dedup by progressive refinement: length, then a hash of the first characters, then a hash of the whole text.
 
 Texts are equal when they are identical after each run of [\\x20\\x09-\\x0D] is replaced by one space; null counts as
-empty. Of equal texts the row with the smallest id stays. Only rows whose length is shared go on to the prefix hash,
-and only rows whose (length, prefix hash) is shared are hashed whole. Every step is a grouped count with map-side
-combine over narrow rows: the texts themselves are never shuffled, and a group with a third of all rows shrinks to one
-row for each map task before it moves. The join that brings a group's survivor back to its rows is a sort-merge join,
-which adaptive execution splits where a key is hot.
+empty. Of equal texts the row with the smallest id stays. One pass over the texts takes each row's length, prefix hash and
+digest, for a length after folding blanks needs the whole text anyway; they are written once, some 60 bytes a row. Groups are then refined on
+these narrow rows: only rows whose length is shared go on to the prefix hash, and only rows whose (length, prefix hash) is shared
+have their digests compared. The texts themselves are never shuffled. Every step is a grouped count with map-side
+combine, and a join back deals the rows of a key among tasks, so a group with a third of all rows is no single task's.
+
+`drop_copies` keeps whole rows: rows of texts that no other row has stay where they are, told by a sieve of fixed size,
+and of the others one row a text and map task moves.
 
 Defined cases: a null text equals an empty one, and a text of blanks only equals a single space. Repeated rows count
-one by one; of rows that repeat the smallest id, all say kept. A null id never survives beside a real one. An empty table
-gives an empty result. Columns not asked for in `carry` are ignored whatever their names.
+one by one; of rows that repeat the smallest id, all say kept, while drop_copies keeps one of them. A null id never survives beside a real one. Very long
+texts are read whole. An empty table gives an empty result. Columns not asked for in `carry` are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -19,63 +22,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import BLANKS
+from placewright.llm.common import BLANKS, dealt_join, first_rows, sieve, written
 
-#: Up to so many shared (length, prefix) keys, some 16 MB, are broadcast as a filter; beyond that every text is hashed.
-MAX_BROADCAST_KEYS = 250_000
+PREFIX_CHARS = 64
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
 
 
-def exact_dedup(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    carry: Sequence[str] = (),
-    prefix_chars: int = 64,
-    max_broadcast_keys: int = MAX_BROADCAST_KEYS,
-) -> DataFrame:
-    """id, the carried columns, keep_id, group_size and kept, one row for each row of df."""
-    norm = normalised(df[text_col])
-    rows = df.select(
-        df[id_col].alias("__id"),
-        F.struct(*[df[c] for c in carry]).alias("__carry") if carry else F.lit(None).alias("__carry"),
-        F.octet_length(norm).alias("__len"),
-        F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("__pre"),
-        norm.alias("__norm"),
-    )
+def measured(df: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = (), prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """__id, the carried columns as one struct, and the length, prefix hash and digest of the normalised text."""
+    norm = F.col("__norm")
+    rows = df.select(df[id_col].alias("__id"), F.struct(*[df[c] for c in carry]).alias("__carry") if carry else F.lit(0).alias("__carry"), normalised(df[text_col]).alias("__norm"))
+    return rows.select("__id", "__carry", F.octet_length(norm).alias("__len"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("__pre"), F.unhex(F.sha2(norm, 256)).alias("__sha"))
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """(length, prefix hash, digest) that several measured rows share, with the smallest id and the number of rows: each step looks at what the one before left."""
 
     def shared(part: DataFrame, *keys: str) -> DataFrame:
-        return part.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-
-    lengths = shared(rows, "__len")
-    prefixes = shared(rows.join(lengths.hint("merge"), "__len", "left_semi"), "__len", "__pre").cache()
-    full = F.sha2(F.col("__norm"), 256)
-    if prefixes.count() <= max_broadcast_keys:
-        marked = rows.join(F.broadcast(prefixes.withColumn("__shared", F.lit(True))), ["__len", "__pre"], "left")
-        full = F.when(F.col("__shared"), full)
-    else:
-        marked = rows
-    # a row that is alone by length or prefix is its own group, under a key that spreads
-    keyed = marked.select("__id", "__carry", F.coalesce(full, F.concat(F.lit("id "), F.col("__id").cast("string")), F.lit("id")).alias("__key"))
-    groups = keyed.where(~F.col("__key").startswith("id")).groupBy("__key").agg(F.min("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
-    out = keyed.join(groups.hint("merge"), "__key", "left")
+        return part.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"), F.min("__id").alias("__keep")).where("__size > 1")
+
+    spread = F.xxhash64("__id", "__sha")
+    by_length = dealt_join(rows, shared(rows, "__len").select("__len"), ["__len"], "left_semi", spread)
+    by_prefix = dealt_join(by_length, shared(by_length, "__len", "__pre").select("__len", "__pre"), ["__len", "__pre"], "left_semi", spread)
+    return shared(by_prefix, "__len", "__pre", "__sha")
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """id, the carried columns, keep_id, group_size, kept and text_sha256 (of the normalised text), one row for each row of df."""
+    rows = written(measured(df, id_col, text_col, carry, prefix_chars), "measured")
+    out = dealt_join(rows, groups(rows), ["__len", "__pre", "__sha"], "left", F.xxhash64("__id"))
     keep = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep"))
     return out.select(
         F.col("__id").alias(id_col),
-        *[F.col(f"__carry.{c}").alias(c) for c in carry],
+        *[F.col("__carry").getField(c).alias(c) for c in carry],
         keep.alias("keep_id"),
         F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("__id").eqNullSafe(keep), F.lit(False)).alias("kept"),
+        F.lower(F.hex("__sha")).alias("text_sha256"),
     )
 
 
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One whole row of df for each different text: the one with the smallest id."""
+    rows = written(measured(df, id_col, text_col), "measured")
+    in_group = sieve(groups(rows).select(F.xxhash64("__sha").alias("key")))
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[id_col].alias("__id"), F.unhex(F.sha2(normalised(df[text_col]), 256)).alias("__sha"))
+    marked = whole.withColumn("__several", in_group(F.xxhash64("__sha")))
+    several = first_rows(marked.where("__several").drop("__several"), "__sha", "__id")
+    kept = marked.where("not __several").select("__row").unionByName(several.select("__row"))
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
+
+
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    hashed = docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256))
-    return exact_dedup(hashed, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = r"""

@@ -4,9 +4,9 @@ A word that training saw scores by its log frequency in each language. An unseen
 character n-grams that training saw, from five letters down to one, word ends marked; each step back costs a fixed
 factor. A text's score in a language is the sum over all its words.
 
-The model is fitted on a bounded sample of labelled rows (MAX_DOCS_PER_LANG rows of each language at most, drawn by a
-hash of the id) and holds MAX_WORDS words and MAX_GRAMS n-grams of each length for each language, so what is collected and broadcast
-(some 10 MB) does not grow with the input. Counting and scoring run in Arrow batches over the partitions of the input,
+The model knows every language that a training row has. It is fitted on a bounded sample of labelled rows (MAX_DOCS_PER_LANG rows of each language: a
+language with more gives a share of 0.95 of that, drawn by a hash of the id, which a draw exceeds with a chance below one in a thousand) and holds MAX_WORDS words and MAX_GRAMS n-grams of each length for each language, so what is collected and broadcast
+(some 3 MB a language) does not grow with the rows. Counting and scoring run in Arrow batches over the partitions of the input,
 with no shuffle of texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text when no row has a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from placewright.llm.common import crc_of_id, id_share
 
-MAX_DOCS_PER_LANG, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 4_000, 30_000, 10_000, 200
+MAX_DOCS_PER_LANG, MAX_WORDS, MAX_GRAMS = 4_000, 30_000, 10_000
 LENGTHS = (5, 4, 3, 2, 1)
 #: Log factor of a fall from words to n-grams, and of each shorter length.
 BACKOFF = math.log(0.4)
@@ -75,11 +75,11 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame, max_docs: int = MAX_DOCS_PER_LANG, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
     """The model from columns id, text and lang of the rows that may train: langs, words and grams with a log frequency for each language."""
     train = train.where(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {"langs": [], "words": ([], np.zeros((0, 0), np.float32)), "grams": {}}
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max_docs / n))])
-    drawn = train.where(F.col("lang").isin(list(sizes)) & (id_share(F.col("id"), 11) < share[F.col("lang")]))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 0.95 * max_docs / n) if n > max_docs else 1.0)])
+    drawn = train.where(id_share(F.col("id"), 11) < share[F.col("lang")])
     words = drawn.select("text", "lang").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     words = words.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= max_words).select("lang", "word", "n").cache()

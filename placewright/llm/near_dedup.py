@@ -4,22 +4,26 @@ A document's set holds the hashes of its distinct word shingles. Its sketch has
 1 - log_b of the smallest of the set's exponentially spaced hash values under function i, cut to 16 bits. Registers
 are minima, so sketches merge by the larger register, and two sets' registers agree about as often as the sets overlap.
 
-1. Sketch: one pass over the texts, written once (some 700 bytes a document).
-2. Documents with equal sets collapse to one, by a grouped minimum with map-side combine. Only those go on.
+1. Sketch: one pass over the texts, written once (some 700 bytes a document). A set's node is a 64-bit hash of it.
+2. Documents with equal sets collapse to one node, by a grouped minimum with map-side combine. Only those go on.
 3. Banding: ROWS registers a band. Two sets at similarity 0.8 share no band with a chance of 6 in 100,000. In each bucket every
-   set is paired with the bucket's smallest id only, so a bucket of any size gives as many pairs as it has members.
+   set is paired with the bucket's smallest node only, so a bucket of any size gives as many pairs as it has members.
 4. Weeding: with both set sizes known, the similarity of maximum likelihood given how many registers are larger, smaller and equal. Pairs
    more than five standard errors below the threshold go.
-5. Verification on the full sets, recomputed from the texts of candidates only. A leader with many candidates is dealt
+5. Verification on the full sets, recomputed from the texts of candidates only, which a sieve of fixed size picks. A leader with many candidates is dealt
    in parts of PART candidates; each task holds one leader's set and streams the others.
 6. Components of the confirmed links. A bucket whose members then lie in different components has pairs that could
    still join them: another leader from the largest component is tried against those outside it, then all
    pairs across components are compared in tiles, by sketch and then by full sets. So the result is the components of all links between sets that
    share a band. Nothing is capped.
 
+`drop_near_duplicates` keeps whole rows: those that no other row resembles stay where they are, and of the others one a
+component and map task moves.
+
 Defined cases: a text without words, or null, has an empty set, is linked with nothing and is its own component. With
-fewer words than a shingle the whole sequence is one. Equal sets are linked whatever the texts. A null id is left out of
-linking and stays. Rows that repeat an id are one document with equal sets, or linked through their id otherwise. An empty table gives an empty result; extra columns are ignored.
+fewer words than a shingle the whole sequence is one. Equal sets are linked whatever the texts. Rows are linked by what they
+hold, so rows that repeat an id, or have none, are documents of their own; a null id is larger than all others. Very long texts are read whole. An empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +37,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from placewright.llm.common import written
+from placewright.llm.common import dealt_join, first_rows, sieve, written
 from placewright.llm.components import components
 
 M, ROWS = 192, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: Candidates of one leader that a task compares, and ids up to which a filter is broadcast (16 MB).
-PART, MAX_BROADCAST_IDS = 2_000, 400_000
+#: Candidates of one leader that a task compares.
+PART = 2_000
 #: Turns in which each open bucket tries one more leader, and the side of a tile of members compared at once.
 LEADER_ROUNDS, TILE = 1, 1_000
 KEPT_WORDS = 300_000
@@ -111,8 +116,14 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarr
     return j[np.arange(len(j)), score.argmax(axis=1)]
 
 
+def node_of(held: np.ndarray) -> int:
+    """A set's node."""
+    return int.from_bytes(hashlib.blake2b(held.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def sketched(df: DataFrame, size: int) -> DataFrame:
-    """id, n_shingles, digest of the set (null if empty), regs and band keys."""
+    """id, n_shingles, node (null if the set is empty), regs and band keys, from the columns id and text."""
+    schema = df.select("id").schema.add("n_shingles", "long").add("node", "long").add("regs", "binary").add("bands", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -120,23 +131,22 @@ def sketched(df: DataFrame, size: int) -> DataFrame:
             sets = [shingle_set(t, hashes, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             held = [i for i, s in enumerate(sets) if len(s)]
             regs = np.stack([registers(sets[i]) for i in held]) if held else np.zeros((0, M), "<u2")
-            digests, sketch, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            nodes, sketch, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             keys = band_keys(regs)
             for k, i in enumerate(held):
-                digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                sketch[i], bands[i] = regs[k].tobytes(), keys[k]
+                nodes[i], sketch[i], bands[i] = node_of(sets[i]), regs[k].tobytes(), keys[k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "digest", "regs", "bands"],
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["id", "n_shingles", "node", "regs", "bands"],
             )
 
-    return df.select("id", "text").mapInArrow(run, "id long, n_shingles long, digest binary, regs binary, bands array<long>")
+    return df.select("id", "text").mapInArrow(run, schema)
 
 
 def weeded(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose likely similarity is not clearly below the threshold."""
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / M)
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}")).hint("merge")
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,86 +168,88 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of a written table with an id, each with its document's text: texts are shuffled only if the ids are too many to broadcast."""
-    if wanted.count() <= MAX_BROADCAST_IDS:
-        return docs.select("id", "text").join(F.broadcast(wanted), "id")
-    return docs.select("id", "text").join(wanted.hint("merge"), "id")
+def texts_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of `wanted`, which has a node each, with the text of every document whose id is that of the node's representative. Rows that repeat an id
+    all come along, so a reader checks the set. Only texts whose id passes a sieve are shuffled."""
+    keyed = written(wanted.join(reps.select("node", "key").hint("merge"), "node"), "wanted")
+    texts = docs.select(F.xxhash64("id").alias("key"), "text")
+    return texts.where(sieve(keyed.select("key"))(F.col("key"))).join(keyed.hint("merge"), "key").drop("key")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of ids whose full sets have 100 * common >= percent * union."""
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose full sets have 100 * common >= percent * union."""
     parts = pairs.groupBy("a").agg((F.count(F.lit(1)) / PART + 1).cast("int").alias("parts"))
     dealt = pairs.join(parts.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
-    wanted = dealt.select("a", "part", "b", F.col("b").alias("id")).unionByName(
-        dealt.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")).distinct()
+    wanted = dealt.select("a", "part", "b", F.col("b").alias("node")).unionByName(
+        dealt.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("node")).distinct()
     )
-    rows = texts_of(docs, written(wanted, "wanted")).select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    rows = texts_of(docs, wanted, reps).select("a", "part", "b", "node", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, leader, own = WordHashes(), None, None
         for batch in batches:
             found_a, found_b = [], []
-            columns = [batch.column(i).to_pylist() for i in range(3)]
-            for a, part, b, text in zip(*columns, batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                if b is None:
-                    if (a, part) != leader:  # of rows that repeat an id the first leads
-                        leader, own = (a, part), shingle_set(text, hashes, size)
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for a, part, b, node, text in zip(*columns, batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
+                if b is None and (a, part) == leader:
+                    continue
+                held = shingle_set(text, hashes, size)
+                if not len(held) or node_of(held) != node:  # another document of that id
                     continue
-                if alike(own, shingle_set(text, hashes, size), percent):
+                if b is None:
+                    leader, own = (a, part), held
+                elif alike(own, held, percent):
                     found_a.append(a)
                     found_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(found_b, pa.int64()), pa.array(found_a, pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, "u long, v long").distinct()
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, component) of the buckets whose members lie in several components."""
-    own = labels.select(F.col("node").alias("id"), "component").hint("merge")
-    labelled = members.select("key", "id").join(own, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    """(key, node, component) of the buckets whose members lie in several components."""
+    labelled = members.select("key", "node").join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     return written(labelled.join(several.hint("merge"), "key", "left_semi"), "open")
 
 
+def sized(spread: DataFrame, labels: DataFrame) -> DataFrame:
+    """The open members with n, the size of their component."""
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return dealt_join(spread, sizes, ["component"], "left", F.xxhash64("key", "node")).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def leader_pairs(spread: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """One leader for each open bucket, from its largest component and another one each turn, with the members of other components."""
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sized = spread.join(sizes.hint("merge"), "component", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    leads = sized.groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("n", F.xxhash64("id", F.lit(turn)))).alias("lead"))
+    leads = sized(spread, labels).groupBy("key").agg(F.max_by(F.struct("node", "component"), F.struct("n", F.xxhash64("node", F.lit(turn)))).alias("lead"))
     both = spread.join(leads.hint("merge"), "key").where(F.col("component") != F.col("lead.component"))
-    return both.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+    return both.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
 def across_components(spread: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The confirmed pairs (u, v) of an open bucket across components.
 
     Members meet in tiles: those outside a bucket's largest component are cut into parts of TILE, as are all its members, and a task compares one
-    part with another, first by sketch, then by full sets, so only links become rows. A pair counts in the first bucket that it shares."""
+    part with another by sketch, so only likely pairs become rows. A pair counts in the first bucket that it shares."""
     threshold = percent / 100
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / M)
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sized = spread.join(sizes.hint("merge"), "component", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    main = sized.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("members"))
+    main = sized(spread, labels).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("members"))
     rows = spread.join(main.hint("merge"), "key").withColumn("outside", F.col("component") != F.col("main"))
     outside = rows.groupBy("key").agg(F.count_if("outside").alias("few"))
     rows = rows.join(outside.hint("merge"), "key").withColumns({"px": F.ceil(F.col("few") / TILE).cast("int"), "py": F.ceil(F.col("members") / TILE).cast("int")})
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    xs = rows.where("outside").select("key", "id", "component", part("px").alias("x"), every("py").alias("y"), F.lit(0).alias("side"))
-    ys = rows.select("key", "id", "component", every("px").alias("x"), part("py").alias("y"), F.lit(1).alias("side"))
-    sketch = reps.select("id", "n_shingles", "regs").hint("merge")
-    ids = written(spread.select("id").distinct(), "open-ids")
-    texts = texts_of(docs, ids).groupBy("id").agg(F.first("text").alias("text")).hint("merge")
-    dealt = xs.unionByName(ys).join(sketch, "id").join(texts, "id").select("key", "x", "y", "side", "id", "component", "n_shingles", "regs", "text")
+    xs = rows.where("outside").select("key", "node", "component", part("px").alias("x"), every("py").alias("y"), F.lit(0).alias("side"))
+    ys = rows.select("key", "node", "component", every("px").alias("x"), part("py").alias("y"), F.lit(1).alias("side"))
+    sketch = reps.select("node", "n_shingles", "regs").hint("merge")
+    dealt = xs.unionByName(ys).join(sketch, "node").select("key", "x", "y", "side", "node", "component", "n_shingles", "regs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, hashes = None, [], WordHashes()
+        tile, held = None, []
         for batch in batches:
             out_a, out_b = [], []
-            sets = [shingle_set(t, hashes, size) for t in batch.column(8).cast(pa.binary()).to_pylist()]
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            ids, comps, sizes = (batch.column(i).to_numpy() for i in (4, 5, 6))
+            nodes, comps, sizes = (batch.column(i).to_numpy() for i in (4, 5, 6))
             regs = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u2").reshape(-1, M)
             bands = band_keys(regs)
             at = 0
@@ -248,9 +260,9 @@ def across_components(spread: DataFrame, labels: DataFrame, reps: DataFrame, doc
                 if keys[at][:3] != tile:
                     tile, held = keys[at][:3], []
                 if keys[at][3] == 0:
-                    held += [(ids[i], comps[i], sizes[i], regs[i], bands[i], sets[i]) for i in range(at, end)]
+                    held += [(nodes[i], comps[i], sizes[i], regs[i], bands[i]) for i in range(at, end)]
                 else:
-                    for i, c, n, r, b, own in held:
+                    for i, c, n, r, b in held:
                         of = np.arange(at, end)[comps[at:end] != c]
                         of = of[np.minimum(sizes[of], n) >= threshold * np.maximum(sizes[of], n) - 1e-9]
                         if not len(of):
@@ -259,34 +271,32 @@ def across_components(spread: DataFrame, labels: DataFrame, reps: DataFrame, doc
                         of = of[b[shared.argmax(axis=1)] == keys[at][0]]
                         if len(of):
                             like = likely_similarity(np.broadcast_to(r, (len(of), M)), regs[of], np.full(len(of), float(n)), sizes[of].astype(float))
-                            for j in of[like >= least]:
-                                if alike(own, sets[j], percent):
-                                    out_a.append(max(i, ids[j]))
-                                    out_b.append(min(i, ids[j]))
+                            of = of[like >= least]
+                            out_a += np.minimum(nodes[of], i).tolist()
+                            out_b += np.maximum(nodes[of], i).tolist()
                 at = end
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").mapInArrow(run, "u long, v long").distinct()
+    pairs = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").mapInArrow(run, "a long, b long").distinct()
+    return confirmed(written(pairs, "pairs"), docs, reps, size, percent)
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable over links) and kept, one row for each row of df."""
-    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
+def set_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """From the columns id and text: id, n_shingles and node of each row, and component and component_id (the smallest id) of each node."""
     sketches = written(sketched(docs, size), "sketches")
-    reps = sketches.where("id is not null and digest is not null").groupBy("digest").agg(
-        F.min_by(F.struct("id", "n_shingles", "regs", "bands"), "id").alias("r")
-    ).select("digest", "r.*")
-    reps = written(reps, "sets")
-    keys = reps.select("id", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(keys.join(heads.hint("merge"), "key").select("key", "head", "id"), "members")
-    pairs = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(weeded(pairs, reps, percent / 100), docs, size, percent), "links")
+    first = F.struct(F.col("id").isNull(), F.col("id"))
+    reps = sketches.where("node is not null").groupBy("node").agg(F.min_by(F.struct(F.xxhash64("id").alias("key"), "id", "n_shingles", "regs", "bands"), first).alias("r"))
+    reps = written(reps.select("node", "r.*"), "sets")
+    keys = reps.select("node", F.explode("bands").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(keys.join(heads.hint("merge"), "key").select("key", "head", "node"), "members")
+    pairs = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(confirmed(weeded(pairs, reps, percent / 100), docs, reps, size, percent), "links")
     labels, tried = components(links), pairs
     for turn in range(LEADER_ROUNDS):
         more = written(leader_pairs(open_members(members, labels), labels, turn).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(more)
-        new = written(confirmed(weeded(more, reps, percent / 100), docs, size, percent), "links")
+        new = written(confirmed(weeded(more, reps, percent / 100), docs, reps, size, percent), "links")
         if not new.limit(1).count():
             break
         links = links.unionByName(new)
@@ -294,11 +304,18 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = written(across_components(open_members(members, labels), labels, reps, docs, size, percent), "links")
     if rest.limit(1).count():
         labels = components(links.unionByName(rest))
-    sets = reps.select("digest", "id").join(labels.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
-    sets = sets.select("digest", F.coalesce("component", "id").alias("component"))
-    linked = sketches.where("digest is not null").select("id", "n_shingles", "digest").join(sets.hint("merge"), "digest", "left").select("id", "n_shingles", "component")
-    alone = sketches.where("digest is null").select("id", "n_shingles", F.col("id").alias("component"))
-    out = linked.unionByName(alone).withColumn("component_id", F.coalesce("component", "id"))
+    own = reps.select("node", "id").join(labels.hint("merge"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
+    least = own.groupBy("component").agg(F.min("id").alias("component_id"))
+    nodes = dealt_join(own.select("node", "component"), least, ["component"], "inner", F.xxhash64("node"))
+    return sketches.select("id", "n_shingles", "node"), written(nodes, "nodes")
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable over links) and kept, one row for each row of df."""
+    rows, nodes = set_components(df.select(df[id_col].alias("id"), df[text_col].alias("text")), size, percent)
+    linked = dealt_join(rows.where("node is not null"), nodes.select("node", "component_id"), ["node"], "inner", F.xxhash64("id"))
+    alone = rows.where("node is null").withColumn("component_id", F.col("id"))
+    out = linked.select("id", "n_shingles", "component_id").unionByName(alone.select("id", "n_shingles", "component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -306,10 +323,35 @@ def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
     return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), size=4, percent=80)
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest id."""
-    gone = similar_components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+def noded(df: DataFrame, size: int) -> DataFrame:
+    """df with `node`, the set of its column __text."""
+    names, at = df.columns, df.columns.index("__text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t, hashes, size) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*names, "node"])
+
+    return df.mapInArrow(run, df.select("*").schema.add("node", "long"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, one of each group of near-duplicates: the one with the smallest id. Rows are judged by their own texts."""
+    rows, nodes = set_components(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), size, percent)
+    counts = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    several = nodes.join(counts.hint("merge"), "node").groupBy("component").agg(F.sum("rows").alias("rows")).where("rows > 1").select("component")
+    grouped = dealt_join(nodes, several, ["component"], "left_semi", F.xxhash64("node")).select("node", "component")
+    in_group = sieve(dealt_join(rows, grouped, ["node"], "left_semi", F.xxhash64("id")).select(F.xxhash64("id").alias("key")))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[id_col].alias("__id"), docs[text_col].alias("__text"))
+    marked = whole.withColumn("__several", in_group(F.xxhash64("__id")))
+    found = noded(marked.where("__several").drop("__several"), size).drop("__text")
+    # what only its id brought here has no group, and stays as it is
+    found = dealt_join(found, grouped, ["node"], "left", F.xxhash64("__id"))
+    one = first_rows(found.where("component is not null").select("component", "__row", "__id"), "component", "__id")
+    kept = marked.where("not __several").select("__row").unionByName(found.where("component is null").select("__row")).unionByName(one.select("__row"))
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

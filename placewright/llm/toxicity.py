@@ -14,7 +14,8 @@ of each kind) and what is collected or broadcast. Scoring is one pass over the t
 
 Defined cases: a null text scores as an empty one. A row with a null label, or no document, doesn't train. With no training rows, or
 only one label among them, every score is the share of toxic labels (0 without labels). Rows with repeated ids train
-once for each. Ties in the lexicon go by the word. An empty table gives an empty result; extra columns are ignored.
+once for each. Ties in the lexicon go by the word. Very long texts are scored whole. An empty table gives an empty result; extra columns are
+ignored, and kept by drop_toxic, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placewright.llm.common import crc_of_id, id_share, written
 
@@ -149,18 +150,16 @@ def features_of(text: str, lexicon: dict[str, float]) -> tuple[float, ...]:
 
 
 def featured(df: DataFrame, lexicon: dict[str, float], keep: tuple[str, ...]) -> DataFrame:
-    """The kept columns and the features of the column `text`."""
+    """The kept columns and the features, as one array, of the column `text`."""
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
-    schema = df.select(*keep).schema
-    for name in FEATURES:
-        schema = schema.add(name, "double")
+    schema = df.select(*keep).schema.add("__features", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            rows = np.array([features_of(t or "", known) for t in batch.column(batch.num_columns - 1).to_pylist()], float).reshape(-1, len(FEATURES))
+            rows = [features_of(t or "", known) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(rows[:, i]) for i in range(len(FEATURES))]], [*keep, *FEATURES])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(pa.float64()))], [*keep, "__features"])
 
     return df.select(*keep, "text").mapInArrow(run, schema)
 
@@ -172,16 +171,18 @@ class ToxicityModel:
         self.lexicon, self.trees, self.calibration, self.base = lexicon, trees, calibration, base
 
     def raw(self, features: DataFrame) -> DataFrame:
-        vectors = VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(features)
-        scored = self.trees.transform(vectors)
-        return scored.withColumn("margin", vector_to_array("rawPrediction")[1])
+        scored = self.trees.transform(features.withColumn("__vector", array_to_vector("__features")))
+        return scored.withColumn("__margin", vector_to_array("rawPrediction")[1])
 
     def score(self, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-        """The kept columns and score, one row for each row of df, which has the column text."""
+        """The kept columns and score, one row for each row of df, which has the column text. No kept column is named score."""
         if self.trees is None:
             return df.select(*keep, F.lit(float(self.base)).alias("score"))
-        out = self.calibration.transform(self.raw(featured(df, self.lexicon, keep)))
-        return out.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("calibrated"))).alias("score"))
+        # the kept columns travel as one, so that none of their names meets those of the model
+        packed = df.select(F.struct(*[df[c] for c in keep]).alias("__kept"), df["text"].alias("text"))
+        out = self.calibration.transform(self.raw(featured(packed, self.lexicon, ("__kept",))))
+        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__calibrated")))
+        return out.select(*[F.col("__kept").getField(c).alias(c) for c in keep], score.alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> ToxicityModel:
@@ -200,13 +201,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
         return ToxicityModel({}, None, None, bad / n)
     lexicon = learn_lexicon(grow, sizes[1], sizes[0])
     rows = featured(train, lexicon, ("doc_id", "toxic", "fold")).withColumn("label", F.col("toxic").cast("double")).cache()
-    vectors = VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(rows)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=5, cacheNodeIds=False).fit(vectors.where("fold < 2"))
+    vectors = rows.withColumn("__vector", array_to_vector("__features"))
+    trees = GBTClassifier(featuresCol="__vector", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=5, cacheNodeIds=False).fit(vectors.where("fold < 2"))
     model = ToxicityModel(lexicon, trees, None, bad / n)
-    held = model.raw(rows.where("fold = 2")).select("margin", "label")
+    held = model.raw(rows.where("fold = 2")).select("__margin", "label")
     if held.limit(1).count() == 0:
-        held = model.raw(rows).select("margin", "label")
-    model.calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(held)
+        held = model.raw(rows).select("__margin", "label")
+    model.calibration = IsotonicRegression(featuresCol="__margin", labelCol="label", predictionCol="__calibrated").fit(held)
     rows.unpersist()
     return model
 
@@ -229,9 +230,6 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that are predicted toxic, in the columns of docs."""
-    model = fit(docs, labels)
-    keep = tuple(c for c in docs.columns if c != "text")
-    if model.trees is None:
-        return docs
-    part = docs.withColumn("__text", F.col("text"))
-    return model.score(part, (*keep, "__text")).where(predicted(F.col("score")) == 0).withColumnRenamed("__text", "text").select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("text"))
+    clean = fit(docs.select("doc_id", "text"), labels).score(rows, ("__row",)).where(predicted(F.col("score")) == 0)
+    return clean.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -53,13 +53,52 @@ def test_exact_dedup(spark, rows, docs):
         assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == want
 
     check(exact_dedup.exact_dedup(docs))
-    check(exact_dedup.exact_dedup(docs, max_broadcast_keys=0))
+    check(exact_dedup.exact_dedup(docs, prefix_chars=1))
     twice = exact_dedup.exact_dedup(docs.unionByName(docs)).where("doc_id = 0").collect()
     assert [r.group_size for r in twice] == [6, 6] and all(r.kept for r in twice)
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
     assert exact_dedup.exact_dedup(spark.createDataFrame([(None, "a"), (3, "a")], "doc_id long, text string")).where("kept").collect()[0].doc_id == 3
 
 
+ODD_KINDS = "doc_id long, text string, length int, score string, features int, node int, component string, __row int, key int"
+
+
+def odd_rows(texts):
+    """Rows of (id, text) with further columns whose names operators use inside."""
+    return [(i, t, 1, "s", 2, 3, "c", n, 4) for n, (i, t) in enumerate(texts)]
+
+
+def numbers(df):
+    """What is left of rows, by their number; the other columns must be as they were."""
+    rows = df.collect()
+    assert df.columns == [x.split()[0] for x in ODD_KINDS.split(", ")] and all((r.length, r.score, r.features, r.node, r.component, r.key) == (1, "s", 2, 3, "c", 4) for r in rows)
+    return sorted(r["__row"] for r in rows)
+
+
+def test_stages_judge_rows_by_their_texts(spark):
+    """Rows that repeat an id, or have none, and columns with clashing names."""
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    texts = [(1, a), (2, a), (2, b), (None, a), (2, a), (5, c), (5, c), (None, None), (7, ""), (8, " "), (None, b + " ")]
+    df = spark.createDataFrame(odd_rows(texts), ODD_KINDS).repartition(3)
+    assert numbers(exact_dedup.drop_copies(df)) in ([0, 2, 5, 8, 9, 10], [0, 2, 6, 8, 9, 10])  # b with a blank at its end is another text
+    words = b.split()
+    edited = " ".join([*words[:30], "edited", *words[31:]])
+    near = [(1, a), (2, a.upper()), (2, b), (None, edited), (5, c), (5, c), (None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame(odd_rows(near), ODD_KINDS).repartition(3)
+    assert numbers(near_dedup.drop_near_duplicates(df)) in ([0, 2, 4, 6, 7, 8], [0, 2, 5, 6, 7, 8])
+    items = spark.createDataFrame([(None, a), (3, "nothing of the kind is here at all"), (None, a), (3, None)], "item_id long, text string")
+    held = [(1, b), (1, "x " + a), (None, c + " " + a), (None, b), (4, None), (4, ""), (9, c * 50)]
+    df = spark.createDataFrame(odd_rows(held), ODD_KINDS).repartition(2)
+    assert numbers(decontaminate.drop_contaminated(df, items)) == [0, 3, 4, 5, 6]
+    assert numbers(decontaminate.drop_contaminated(df, items, max_items=1)) == [0, 3, 4, 5, 6]
+    found = sorted((r["__row"], r.item_id) for r in decontaminate.contaminated(df, items, keep=("__row",)).collect())
+    assert found == [(1, None), (1, None), (2, None), (2, None)]
+    nothing = df.limit(0)
+    assert exact_dedup.drop_copies(nothing).count() == near_dedup.drop_near_duplicates(nothing).count() == decontaminate.drop_contaminated(nothing, items).count() == 0
+    assert decontaminate.drop_contaminated(df, items.limit(0)).count() == len(held)
+
+
 def test_sharding(spark, rows, docs):
     def jump(key, n):
         b, j = -1, 0
