@@ -1,24 +1,25 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one labels each block from what it holds - stop-word density,
-length, link density - and from the markup around it: what stands in a menu, footer, sidebar, notice, advert, form or
-comment container is boilerplate, what stands in an article container is text unless it is mostly links. Blocks too
-short or too mixed to tell stay open. In pass two each open block takes the label of its nearest decided neighbours:
-both agree, or the nearer one decides, and a heading goes with the text that follows it. Blocks labelled text are
+A page is cut into blocks at block-level tags. Pass one labels each block from what it holds: stop-word density, length and
+link density make it text, boilerplate, or leave it open if it is too short or too mixed to tell. Markup is one more feature: what stands
+in a menu, footer, sidebar, notice, advert, form or comment container is boilerplate; in an article container, low stop-word
+or high link density alone leaves a block open, and only two blocks of links in a row are a menu. In pass two each open block takes the label of its
+nearest decided neighbours: both agree, or the nearer one decides, and a heading goes with the text that follows it. Inside an
+article these are the article's own blocks, without its adverts and notices, and text wins a tie or where nothing is decided. Blocks labelled text are
 joined in page order.
 
 Each page is read once, left to right, in time linear in its length; pages are rows, so Spark spreads them. Nothing is
 capped.
 
-Defined cases: null or empty html gives an empty text; a page without any tag is one block of text. Repeated rows give
-repeated results; a null page_id or url is passed on. An empty table gives an empty result.
+Defined cases: null or empty html gives an empty text; a page without any tag is one block of text. Very long pages are read whole. Repeated rows give
+repeated results; a null page_id or url is passed on. An empty table gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,12 +44,19 @@ RAW_TAGS = frozenset("script style textarea title noscript template xmp iframe".
 DROP_TAGS = frozenset("head nav footer aside form menu button select option dialog svg object audio video canvas map fieldset label".split())
 #: Words of a class, id or role that mark a container as boilerplate.
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion promoted "
+    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos "
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs crumbs pager pagination toc "
-    "header masthead topbar footer foot bottom copyright legal sidebar aside rail widget widgets complementary contentinfo "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog paywall "
-    "comment comments commentlist disqus discussion replies reply respond feedback "
-    "share sharing social follow related recommended recommendations trending popular subscribe subscription newsletter signup login search form hidden".split()
+    "header masthead topbar footer foot copyright sidebar widget widgets complementary contentinfo "
+    "cookie cookies consent gdpr popup modal overlay paywall comment comments commentlist disqus newsletter signup login".split()
+)
+#: Words that do so only beside words of this kind and of PARTS: others say what the container is about.
+TOPIC_WORDS = frozenset(
+    "promotion promoted bottom legal aside rail notice notices notification alert dialog discussion replies reply respond feedback "
+    "share sharing social follow related recommended recommendations trending popular subscribe subscription search form hidden".split()
+)
+PARTS = frozenset(
+    "list links link posts articles stories items item box block section area wrap wrapper container inner outer bar panel group row col column button buttons btn icons "
+    "content us now the and for to by on of left right top side page site main more also reading news widget js is".split()
 )
 GOOD_WORDS = frozenset("article content main story post entry".split())
 #: A class like content-with-sidebar speaks of the layout, not of what the element holds.
@@ -66,7 +74,7 @@ UNQUOTED = re.compile(r"[^\s>]*")
 TAG_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:_-]*")
 LETTERS = re.compile(r"[^\W\d_]+")
 
-BAD, GOOD, OPEN = -1, 1, 0
+BAD, GOOD, OPEN, LINKS = -1, 1, 0, 2
 SHORT_CHARS, LONG_CHARS, MAX_LINKS, LOW_STOPS, HIGH_STOPS = 70, 200, 0.33, 0.12, 0.2
 
 
@@ -104,17 +112,30 @@ def markup(attributes: str, inside: bool = False) -> int:
             return BAD
         if name in ("class", "id", "role"):
             words = set(WORD_SPLIT.split(CAMEL.sub(" ", value).lower())) - (OWN_HEAD if inside else frozenset())
-            if words & BAD_WORDS and not words & LAYOUT_WORDS:
+            words = {w for w in words if w and not w.isdigit()}
+            if (words & BAD_WORDS or words & TOPIC_WORDS and words <= TOPIC_WORDS | PARTS) and not words & LAYOUT_WORDS:
                 verdict = BAD
             elif verdict == OPEN and (name == "role" and words & ROLE_TEXT or words & GOOD_WORDS):
                 verdict = GOOD
     return verdict
 
 
-def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool]]:
-    """(text, characters inside links, markup verdict, heading?) of each block in page order."""
-    stack: list[tuple[str, int, bool]] = []  # open block-level elements: tag, verdict, inside an article
-    verdict, article, heading, links = OPEN, False, False, 0
+def ends_of(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a tag ends, by the index past its start tag's name; elements that never end have none."""
+    opened, ends = [], {}
+    for found in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", page, re.I):
+        if not found[1]:
+            opened.append(found.start() + 1 + len(tag))
+        elif opened:
+            ends[opened.pop()] = found.end()
+    return ends
+
+
+def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, int]]:
+    """(text, characters inside links, markup verdict, heading?, article number) of each block in page order."""
+    stack: list[tuple[str, int, bool, int]] = []  # open block-level elements: tag, verdict, inside an article, which
+    verdict, article, number, articles, heading, links = OPEN, False, 0, 0, False, 0
+    ends: dict[str, dict[int, int]] = {}
     parts: list[str] = []
     linked = 0
     at, size = 0, len(page)
@@ -124,13 +145,13 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool]]:
         nonlocal parts, linked
         # a reference may stand for a blank, so it is decoded before blanks are folded
         text = " ".join(entities.unescape("".join(parts)).split())
-        out = (text, linked, verdict, heading) if text else None
+        out = (text, linked, verdict, heading, number) if text else None
         parts, linked = [], 0
         return out
 
     def settle():
-        nonlocal verdict, article, heading
-        verdict, article = (stack[-1][1], stack[-1][2]) if stack else (OPEN, False)
+        nonlocal verdict, article, heading, number
+        verdict, article, number = stack[-1][1:] if stack else (OPEN, False, 0)
         heading = bool(stack) and stack[-1][0] in HEADINGS
 
     while at < size:
@@ -192,71 +213,75 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool]]:
                     now = BAD
                 else:
                     now = GOOD if inside or own == GOOD and tag not in ("html", "body") else verdict
-                stack.append((tag, now, inside))
+                of = number
+                if now == GOOD and verdict != GOOD:
+                    of = articles = articles + 1
+                stack.append((tag, now, inside, of))
             settle()
-        elif (own := markup(attributes, article) if attributes and not closing and tag in ("span", "ins", "amp-ad", "center") else OPEN) == BAD:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            nested = close and page.find(f"<{tag}", at, close.start()) >= 0
-            if close and not nested:
-                at = close.end()
-                parts.append(" ")
+        elif attributes and not closing and tag not in VOID_TAGS and markup(attributes, article) == BAD:
+            if tag not in ends:
+                ends[tag] = ends_of(page, tag)
+            at = max(at, ends[tag].get(found.end(), at))
+            parts.append(" ")
     if (done := block()) is not None:
         yield done
 
 
 def first_pass(text: str, linked: int, verdict: int) -> int:
-    """A block's label from itself alone."""
+    """A block's label from itself alone: by its links, its length, its stop words and the markup around it. LINKS: mostly links, in an article."""
     if verdict == BAD:
         return BAD
-    share = linked / max(1, len(text))
-    if share > MAX_LINKS and (verdict != GOOD or share > 0.9 and len(text) < LONG_CHARS):
-        return BAD
-    if verdict == GOOD:
-        return GOOD
+    if linked / max(1, len(text)) > MAX_LINKS:
+        return LINKS if verdict == GOOD else BAD
     if len(text) < SHORT_CHARS:
-        return BAD if linked else OPEN
+        return BAD if linked and verdict != GOOD else OPEN
     words = LETTERS.findall(text.lower())
     stops = sum(w in STOPS for w in words) / max(1, len(words))
     if stops >= HIGH_STOPS or len(text) >= LONG_CHARS and stops >= LOW_STOPS:
         return GOOD
-    return OPEN if stops >= LOW_STOPS else BAD
+    return OPEN if stops >= LOW_STOPS or verdict == GOOD else BAD
 
 
-def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
-    """Open blocks take the label of their nearest decided neighbours; at equal distance, or with none, text only if a side says so for a heading."""
+def second_pass(labels: list[int], headings: list[bool], articles: list[int]) -> list[int]:
+    """Open blocks take the label of their nearest decided neighbours in the same article, or on the page where they are in none; at equal distance an article
+    decides for text, others for boilerplate. With no neighbour it is text. LINKS next to LINKS of an article are a menu, else open."""
     n = len(labels)
-    before, after = [None] * n, [None] * n
-    last = None
-    for i in range(n):
-        before[i] = last
-        if labels[i] != OPEN:
-            last = i
-    last = None
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if labels[i] != OPEN:
-            last = i
-    out = list(labels)
+    menu = [label == LINKS and any(0 <= j < n and labels[j] == LINKS and articles[j] == articles[i] for j in (i - 1, i + 1)) for i, label in enumerate(labels)]
+    out = [BAD if m else OPEN if label == LINKS else label for label, m in zip(labels, menu)]
+
+    def nearest(order: Iterable[int]) -> list[int | None]:
+        """For each block the last decided one before it in the order: on the page, and in its article, where boilerplate by markup doesn't count."""
+        found, last = [None] * n, {}
+        for i in order:
+            found[i] = last.get(articles[i])
+            if out[i] != OPEN:
+                last[0] = i
+                if articles[i] and (out[i] == GOOD or menu[i]):
+                    last[articles[i]] = i
+        return found
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    done = list(out)
     for i in range(n):
-        if labels[i] != OPEN:
+        if out[i] != OPEN:
             continue
         b, a = before[i], after[i]
         if a is None and b is None:
-            out[i] = GOOD  # nothing on the page speaks against it
+            done[i] = GOOD  # nothing speaks against it
         elif headings[i] and a is not None:
-            out[i] = labels[a]
+            done[i] = out[a]
         elif a is None or b is None:
-            out[i] = labels[b if a is None else a]
-        elif labels[a] == labels[b]:
-            out[i] = labels[a]
+            done[i] = out[b if a is None else a]
+        elif i - b == a - i:
+            done[i] = max(out[a], out[b]) if articles[i] else min(out[a], out[b])
         else:
-            out[i] = labels[b] if i - b < a - i else labels[a] if a - i < i - b else BAD
-    return out
+            done[i] = out[b if i - b < a - i else a]
+    return done
 
 
 def main_text(page: str | None) -> str:
     found = list(blocks_of(page or ""))
-    labels = second_pass([first_pass(t, k, v) for t, k, v, _ in found], [h for *_, h in found])
+    labels = second_pass([first_pass(t, k, v) for t, k, v, *_ in found], [b[3] for b in found], [b[4] for b in found])
     return " ".join(t for (t, *_), label in zip(found, labels) if label == GOOD)
 
 
