@@ -5,8 +5,8 @@ A log holds events of conversations: `message` (a whole message, or the start of
 of one message share a msg_id; a row without one is a whole message by itself. Folding takes, for each message, the
 last event that sets its text and the deltas after it, in order of seq. A message stands where its first event stood.
 
-The fold groups by (conversation, message), so a conversation with a third of all events still spreads over all tasks;
-rendering is a column expression on each message. Only the digests that run over a whole conversation in order are
+The fold groups by (conversation, message), so a conversation with a third of all events still spreads over all tasks, and
+gathers no event before a message's last setting one; `numbered` gives rows that are whole messages their msg_id. Rendering is a column expression on each message. Only the digests that run over a whole conversation in order are
 taken in one pass along it: rows are dealt by conversation, sorted by position on disk, and read as a stream of which
 one message is held at a time.
 
@@ -17,8 +17,8 @@ covers the texts of assistant turns, not their marks.
 
 Defined cases: a null text is empty, a null role is an empty role, a null seq comes first, a null conversation is a
 conversation of its own. Rows that tie in seq are ordered by role and text; repeated rows without msg_id are messages
-each. Deltas before any text start from nothing; a deleted message leaves no turn. An empty table gives an empty
-result; other columns are ignored.
+each. Deltas before any text start from nothing; a deleted message leaves no turn. A very long text is one row, and is read whole. An empty table
+gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_MARK, CLOSE_MARK = "<|im_start|>", "<|im_end|>"
@@ -48,26 +48,31 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Whole messages (conv_id, seq, role, text) as events, each with a msg_id of its own, also where rows repeat."""
+    of = Window.partitionBy("conv_id", "seq", "role", "text").orderBy(F.lit(0))
+    msg_id = F.to_json(F.struct("seq", "role", F.xxhash64("text").alias("text"), F.row_number().over(of).alias("n")), {"ignoreNullFields": "false"})
+    return rows.select("conv_id", "seq", F.lit("message").alias("kind"), msg_id.alias("msg_id"), "role", "text")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """conv_id, pos, role and text of the messages that stand after all events."""
     events = events.withColumns({"text": F.coalesce("text", F.lit("")), "role": F.coalesce("role", F.lit(""))})
     whole = events.where(F.col("msg_id").isNull() & (F.col("kind") == "message")).select("conv_id", F.col("seq").alias("pos"), "role", "text")
-    parts = events.where(F.col("msg_id").isNotNull())
     sets = F.col("kind").isin("message", "edit", "regenerate", "delete")
     order = F.struct(F.coalesce("seq", F.lit(-(1 << 63))), sets.cast("int"), "kind", "text")
-    event = F.struct(order.alias("order"), sets.alias("sets"), F.when(F.col("kind").isin("regenerate", "delete"), "").otherwise(F.col("text")).alias("text"), (F.col("kind") == "delete").alias("gone"))
-    folded = parts.groupBy("conv_id", "msg_id").agg(
-        F.min("seq").alias("pos"),
-        F.min_by("role", F.struct((F.col("kind") != "message").cast("int"), "seq", "role")).alias("role"),
-        F.array_sort(F.collect_list(event)).alias("events"),
-        F.max(F.when(sets, order)).alias("last"),
-    )
-    after = F.filter("events", lambda e: F.col("last").isNull() | (e["order"] >= F.col("last")))
+    parts = events.where(F.col("msg_id").isNotNull()).select("conv_id", "msg_id", "seq", "kind", "role", order.alias("order"), sets.alias("sets"), "text")
+    # what came before the last event that sets the text is dropped before anything is gathered
+    of = Window.partitionBy("conv_id", "msg_id")
+    parts = parts.withColumns({
+        "pos": F.min("seq").over(of), "first": F.min(F.struct((F.col("kind") != "message").cast("int"), "seq", "role")).over(of), "last": F.max(F.when(F.col("sets"), F.col("order"))).over(of),
+    }).where("last is null or order >= last")
+    event = F.struct("order", "sets", F.when(F.col("kind").isin("regenerate", "delete"), "").otherwise(F.col("text")).alias("text"), (F.col("kind") == "delete").alias("gone"))
+    folded = parts.groupBy("conv_id", "msg_id").agg(F.first("pos").alias("pos"), F.first("first.role").alias("role"), F.array_sort(F.collect_list(event)).alias("events"))
     # events that repeat the last setting one in every field set the same text once
-    kept = F.concat(F.slice(after, 1, 1), F.filter(F.slice(after, 2, 1 << 30), lambda e: ~e["sets"]))
+    kept = F.concat(F.slice("events", 1, 1), F.filter(F.slice("events", 2, 1 << 30), lambda e: ~e["sets"]))
     text = F.array_join(F.transform(kept, lambda e: e["text"]), "")
-    folded = folded.withColumn("kept", kept).where(~F.element_at("kept", 1)["gone"])
-    return whole.unionByName(folded.select("conv_id", "pos", "role", text.alias("text")))
+    return whole.unionByName(folded.where(~F.element_at("events", 1)["gone"]).select("conv_id", "pos", "role", text.alias("text")))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -139,8 +144,7 @@ def op3_chat_format(spark, sf_dir: str) -> DataFrame:
     log = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, seq long, role string, text string")
-    events = log.unionByName(extra).withColumns({"kind": F.lit("message"), "msg_id": F.lit(None).cast("string")})
-    return conversation_digests(format_conversations(events))
+    return conversation_digests(format_conversations(numbered(log.unionByName(extra))))
 
 
 ORACLE = r"""
