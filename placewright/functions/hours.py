@@ -87,7 +87,7 @@ def hours_outcome(texts: DataFrame, intervals: DataFrame, col: str = "hours_raw"
         garbage = garbage | F.coalesce(F.contains(F.col(col), F.lit(marker)), F.lit(False))
     clean = F.when(~garbage, F.nullif(F.trim(F.replace(F.col(col), F.lit(" "), F.lit(" "))), F.lit("")))
     read = intervals.select(F.col(col).alias("hours_clean")).distinct().withColumn("__read", F.lit(True))
-    out = texts.withColumns({"hours_clean": clean, "__garbage": garbage}).join(read, "hours_clean", "left")
+    out = texts.withColumns({"hours_clean": clean, "__garbage": garbage}).join(read.hint("merge"), "hours_clean", "left")
     status = F.when(F.col("__garbage"), "garbage").when(F.col("__read"), "parsed").otherwise("unknown")
     return out.withColumn("hours_status", status).drop("__garbage", "__read")
 

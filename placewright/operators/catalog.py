@@ -95,11 +95,11 @@ def dedupe_places(places: DataFrame) -> DataFrame:
     kept = places.groupBy("place_id").agg(F.max_by(F.struct(*body), order).alias("k"), F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
     names = places.select("place_id", "row_id", F.posexplode("categories").alias("at", "category"))
     keepers = kept.select("place_id", F.col("k.row_id").alias("kept_row"))
-    first = names.join(keepers, "place_id").groupBy("place_id", "category").agg(
+    first = names.join(keepers.hint("merge"), "place_id").groupBy("place_id", "category").agg(
         F.min(F.struct((F.col("row_id") != F.col("kept_row")).cast("int").alias("other"), "row_id", "at")).alias("seen")
     )
     union = first.groupBy("place_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "category"))), lambda x: x["category"]).alias("all_categories"))
-    out = kept.join(union, "place_id", "left").select("place_id", "k.*", "n", "first_row", "all_categories")
+    out = kept.join(union.hint("merge"), "place_id", "left").select("place_id", "k.*", "n", "first_row", "all_categories")
     categories = F.when(F.col("n") > 1, F.coalesce("all_categories", "categories")).otherwise(F.col("categories"))
     out = out.withColumn("categories", categories)
     again = infer_place_type(F.col("category_name"), F.col("categories"))
@@ -117,7 +117,7 @@ def in_municipality(value: Column, names: tuple[str, ...]) -> Column:
 
 def repair_titles(places: DataFrame, repairs: DataFrame, city: City) -> DataFrame:
     """title from the repairs where the raw one is garbled, re-cased; flags what was done and what needs review."""
-    rows = places.join(repairs.select("place_id", F.col("title").alias("__fixed")), "place_id", "left")
+    rows = places.join(repairs.select("place_id", F.col("title").alias("__fixed")).hint("merge"), "place_id", "left")
     bad = garbled(F.coalesce("title_raw", F.lit("")))
     title = F.when(bad & F.col("__fixed").isNotNull(), F.col("__fixed")).otherwise(F.coalesce("title_raw", F.lit("")))
     rows = rows.withColumns({"title_repaired": bad & F.col("__fixed").isNotNull(), "needs_review": bad & F.col("__fixed").isNull(), "__title": title})

@@ -20,7 +20,7 @@ def label_prf(df: DataFrame, expected: str = "expected", predicted: str = "predi
     gold = df.select(F.explode(F.filter(expected, scored)).alias("label"), (F.col(predicted) == F.col("label")).alias("hit"), F.coalesce(hit, F.lit(False)).alias("any"))
     golds = gold.groupBy("label").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.sum((~F.col("hit")).cast("long")).alias("fn"), F.count(F.lit(1)).alias("support"))
     wrong = df.where(scored(F.col(predicted)) & ~F.coalesce(hit, F.lit(False))).groupBy(F.col(predicted).alias("label")).agg(F.count(F.lit(1)).alias("fp"))
-    both = golds.join(wrong, "label", "full").na.fill(0)
+    both = golds.join(wrong.hint("merge"), "label", "full").na.fill(0)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return both.select("label", "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"), "support")
@@ -41,9 +41,13 @@ def accuracy_rollup(df: DataFrame, by: tuple[str, ...], correct: str = "correct"
 
 def nearest_rank_pct(df: DataFrame, value: str, by: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
     """The value at index round(p/100 * (n-1)), halves to even, of each group's sorted values."""
+    # equal values are counted first, so that a group's task reads its different values only
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__k"))
     w = Window.partitionBy(by)
-    rows = df.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("__i"), F.count(F.lit(1)).over(w).alias("__n"))
-    pick = lambda p: F.max(F.when(F.col("__i") == F.bround(F.lit(p) / 100 * (F.col("__n") - 1), 0).cast("long"), F.col(value)))
+    to = F.sum("__k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = counts.withColumns({"__to": to, "__n": F.sum("__k").over(w)})
+    at = lambda p: F.bround(F.lit(p) / 100 * (F.col("__n") - 1), 0).cast("long")
+    pick = lambda p: F.max(F.when((F.col("__to") - F.col("__k") <= at(p)) & (at(p) < F.col("__to")), F.col(value)))
     return rows.groupBy(by).agg(*[pick(p).alias(f"p{p}") for p in percents])
 
 
@@ -93,19 +97,19 @@ def grounding(answers: DataFrame, results: DataFrame, titles: DataFrame, exact:
     own = results.select("answer_id", fold(F.col("title"), spaces=True).alias("own")).where("own <> ''").distinct()
     names = answers.select("answer_id", fold(F.col("question"), spaces=True).alias("asked"), F.explode(bold_names(F.col("answer"))).alias("name"))
     names = names.select("answer_id", "asked", fold(F.col("name"), spaces=True).alias("name")).where(~F.contains("asked", F.col("name"))).drop("asked").distinct()
-    pairs = names.join(own, "answer_id", "left").withColumn("same", F.col("name") == F.col("own"))
+    pairs = names.join(own.hint("merge"), "answer_id", "left").withColumn("same", F.col("name") == F.col("own"))
     open_ = pairs.groupBy("answer_id", "name").agg(F.max(F.coalesce("same", F.lit(False))).alias("ok")).where("not ok").drop("ok")
     if not exact:  # only names that equal no title are compared letter by letter
-        scored = open_.join(own, "answer_id", "left").withColumn("score", text_ratio("name", "own"))
+        scored = open_.join(own.hint("merge"), "answer_id", "left").withColumn("score", text_ratio("name", "own"))
         open_ = scored.groupBy("answer_id", "name").agg(F.max("score").alias("score")).where(F.coalesce("score", F.lit(0.0)) < FUZZY)
     invented = open_.select("answer_id").distinct()
-    masked = answers.join(own.groupBy("answer_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("own")).alias("n"), "own"))).alias("owns")), "answer_id", "left")
+    masked = answers.join(own.groupBy("answer_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("own")).alias("n"), "own"))).alias("owns")).hint("merge"), "answer_id", "left")
     text = fold(F.replace("answer", F.lit("**"), F.lit("")), spaces=True)
     text = F.aggregate(F.coalesce("owns", F.array().cast("array<struct<n:int,own:string>>")), text, lambda t, o: F.replace(t, o["own"], F.lit(" | ")))
     spans = masked.select("answer_id", fold(F.col("question"), spaces=True).alias("asked"), F.explode(F.split(text, r"\|")).alias("span")).withColumn("words", words_of(F.col("span"))).where(F.size("words") >= 2)
     known = titles.select(fold(F.col("title"), spaces=True).alias("folded"), F.array_join(words_of(F.col("title")), " ").alias("key")).where((F.length("folded") >= MIN_STRAY) & F.contains("folded", F.lit(" "))).distinct()
     grams = spans.select("answer_id", "asked", F.explode(phrase_grams("words", [n for n in word_counts(known, "key") if n > 1])).alias("key")).distinct()
     stray = grams.join(known.hint("shuffle_hash"), "key").where(~F.contains("asked", F.col("folded")))
-    stray = stray.join(own.withColumnRenamed("own", "folded"), ["answer_id", "folded"], "left_anti").select("answer_id").distinct()
+    stray = stray.join(own.withColumnRenamed("own", "folded").hint("merge"), ["answer_id", "folded"], "left_anti").select("answer_id").distinct()
     bad = invented.unionByName(stray).distinct().withColumn("__bad", F.lit(True))
-    return answers.select("answer_id").join(bad, "answer_id", "left").select("answer_id", F.col("__bad").isNull().alias("grounded"))
+    return answers.select("answer_id").join(bad.hint("merge"), "answer_id", "left").select("answer_id", F.col("__bad").isNull().alias("grounded"))

@@ -179,14 +179,19 @@ def sort_preference(folded: Column, near: Column, located: Column, primary: Colu
 def scan_lexicon(messages: DataFrame, lexicon: DataFrame, key: str = "message_id", text: str = "folded") -> DataFrame:
     """(key, category, phrase) of the phrases that stand anywhere in a message's text.
 
-    A phrase is joined on its first four characters with the places where a message has them, then compared in full."""
+    A phrase is joined on its first four characters, or all it has, with the places where a message has them, then compared in full."""
     probe = 4
-    marks = messages.select(key, text, F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(probe)))).alias("at", "mark"))
     phrases = lexicon.select("category", fold(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct().withColumn("mark", F.substring("phrase", 1, probe))
-    long_ = marks.join(phrases.where(F.char_length("phrase") >= probe).hint("shuffle_hash"), "mark").where(F.substring(F.col(text), F.col("at") + 1, F.char_length("phrase")) == F.col("phrase"))
-    short = phrases.where(F.char_length("phrase") < probe).agg(F.collect_set(F.struct("category", "phrase")).alias("all"))  # words of up to three letters: a small fixed kind
-    brief = messages.join(F.broadcast(short), how="cross").select(key, text, F.explode("all").alias("p")).where(F.contains(text, F.col("p.phrase"))).select(key, "p.category", "p.phrase")
-    return long_.select(key, "category", "phrase").unionByName(brief).distinct()
+    sizes = [r.n for r in phrases.select(F.char_length("mark").alias("n")).distinct().collect()]  # 1 to 4
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
+
+    def marks_of(n: int) -> Column:
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col(text), i, F.lit(n)).alias("mark")))
+
+    marks = F.flatten(F.array(*map(marks_of, sizes))) if sizes else F.array().cast("array<struct<at:int,mark:string>>")
+    places = messages.select(key, text, F.explode(marks).alias("m")).select(key, text, "m.at", "m.mark").where(F.char_length("mark").isin(sizes or [0]))
+    found = places.join(phrases.hint("shuffle_hash"), "mark").where(F.substring(F.col(text), F.col("at"), F.char_length("phrase")) == F.col("phrase"))
+    return found.select(key, "category", "phrase").distinct()
 
 
 def scan_keywords(messages: DataFrame, keywords: DataFrame, key: str = "message_id", text: str = "folded") -> DataFrame:

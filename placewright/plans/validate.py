@@ -15,5 +15,5 @@ def validate_catalog(catalog: DataFrame, features: DataFrame, threshold_m: float
     places = catalog.select("row_id", "place_id", "title", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")).where("p_lat is not null and p_lng is not null")
     results = match_all(features, places, threshold_m)
     hits = results.where("status = 'matched'").select("place_id", F.lit(True).alias("__hit"), F.col("distance_m").alias("map_distance_m"))
-    flagged = catalog.drop("map_verified", "map_distance_m").join(hits, "place_id", "left").withColumn("map_verified", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    flagged = catalog.drop("map_verified", "map_distance_m").join(hits.hint("merge"), "place_id", "left").withColumn("map_verified", F.coalesce("__hit", F.lit(False))).drop("__hit")
     return flagged, validation_report(results)

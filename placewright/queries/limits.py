@@ -8,7 +8,7 @@ from placewright.functions.text import visitor_ip
 from placewright.operators import conversations as conv
 from placewright.operators import evaluation as ev
 from placewright.queries.views import ctes, table, view
-from placewright.streaming.limits import hits_to_turns, rate_limit_batch
+from placewright.streaming.limits import chat_batch, hits_to_turns, rate_limit_batch
 
 ZONE = "America/Sao_Paulo"  # three hours behind UTC, all year since 2019
 
@@ -68,6 +68,20 @@ VISITORS = """SELECT event_id, CASE WHEN user_id % 300 <= 255 THEN '10.0.0.' ||
 CASE WHEN event_id % 3 = 0 THEN 'fe80::1' ELSE '1.2.3.4' END AS first, '127.0.0.1' AS beyond FROM events"""
 
 
+# hits one after the other, each with the accepted instants that still count
+LIMITED = f"""{ctes('v_hits')},
+o AS (SELECT event_id, visitor, epoch_us(ts) AS t, row_number() OVER (PARTITION BY visitor ORDER BY ts, event_id) AS k FROM v_hits),
+f AS (SELECT visitor, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS t, CAST([] AS BIGINT[]) AS hits, false AS accepted FROM (SELECT DISTINCT visitor FROM o)
+  UNION ALL SELECT visitor, k, event_id, t, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3
+  FROM (SELECT o.visitor, o.k, o.event_id, o.t, list_filter(f.hits, lambda x: x > o.t - 86400000000) AS live FROM f JOIN o ON o.visitor = f.visitor AND o.k = f.k + 1))"""
+LIMITED_HITS = f"WITH RECURSIVE {LIMITED} SELECT event_id, visitor, accepted, CAST(3 - len(hits) AS INT) AS remaining FROM f WHERE k > 0"
+LIMITED_TURNS = f"""WITH RECURSIVE {LIMITED},
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY visitor ORDER BY k) > 1800000000 THEN 1 ELSE 0 END AS nw FROM f WHERE accepted),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY visitor ORDER BY k) AS n FROM g)
+SELECT visitor, event_id, t AS ts_us, min(t) OVER (PARTITION BY visitor, n) AS session_start, row_number() OVER (PARTITION BY visitor, n ORDER BY k) AS turn,
+  row_number() OVER (PARTITION BY visitor, n ORDER BY k) <= 4 AS allowed FROM s"""
+
+
 def limited_hits(spark, sf_dir):
     return rate_limit_batch(view(spark, sf_dir, "v_hits"), 3, 86400).select("event_id", "visitor", "accepted", "remaining")
 
@@ -76,6 +90,29 @@ def turns(spark, sf_dir):
     return hits_to_turns(view(spark, sf_dir, "v_hits"), 3, 86400)
 
 
+def chat_pages(spark, sf_dir):
+    """Every third hit asks for more of its conversation's last list; a question's list has as many ids as its number has left when divided by 13."""
+    hits = view(spark, sf_dir, "v_hits").withColumns({
+        "action": F.when(F.col("event_id") % 3 == 0, "more"), "plan": F.concat(F.lit("p"), F.col("event_id").cast("string")),
+        "ranked": F.transform(F.slice(F.sequence(F.lit(1), F.lit(13)), 1, (F.col("event_id") % 13).cast("int")), lambda i: F.col("event_id") * 100 + i),
+    })
+    found = chat_batch(hits, 1_000_000, 600, 2, 20 * 86400)
+    return found.select("event_id", "status", "turn", "plan", F.array_join("page", ",").alias("page"), "has_more")
+
+
+CHAT_PAGES = f"""WITH {ctes('v_hits')}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1728000000000 THEN 1 ELSE 0 END AS nw FROM v_hits WINDOW w AS (PARTITION BY visitor ORDER BY ts, event_id)),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY visitor ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ses FROM g),
+q AS (SELECT *, event_id % 3 <> 0 AS ask, count_if(event_id % 3 <> 0) OVER (PARTITION BY visitor, ses ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS asks FROM s),
+r AS (SELECT *, ask AND asks <= 2 AS answered, least(asks, 2) AS turn FROM q),
+l AS (SELECT *, last_value(CASE WHEN answered THEN event_id END IGNORE NULLS) OVER (PARTITION BY visitor, ses ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS src,
+  count_if(NOT ask) OVER (PARTITION BY visitor, ses, turn ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS mores FROM r),
+p AS (SELECT *, src % 13 AS n, CASE WHEN answered THEN 0 ELSE mores * 5 END AS begin FROM l),
+o AS (SELECT *, CASE WHEN answered THEN 'answered' WHEN ask THEN 'finished' WHEN coalesce(n, 0) = 0 THEN 'no_results' ELSE 'page' END AS status FROM p)
+SELECT event_id, status, CAST(turn AS BIGINT) AS turn, CASE WHEN status IN ('answered', 'page') THEN 'p' || src END AS plan,
+  CASE WHEN status IN ('answered', 'page') THEN array_to_string(list_transform(range(CAST(begin + 1 AS BIGINT), CAST(least(begin + 5, n) + 1 AS BIGINT)), lambda i: src * 100 + i), ',') ELSE '' END AS page,
+  status IN ('answered', 'page') AND begin + 5 < n AS has_more FROM o"""
+
+
 def predictions(spark, sf_dir):
     """A rule's language for each document, with two expected labels on some."""
     text = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
@@ -157,7 +194,7 @@ SELECT k AS answer_id, NOT (k % 5 = 0 AND k % 10 <> 0 AND title <> other) AS gro
 
 QUERIES = {
     "sessions": (sessions, SESSIONS), "merged_turns": (merged_turns, MERGED_TURNS), "turn_budget": (budget, BUDGET), "daily_cap": (capped, CAPPED), "local_clock": (local_clock, LOCAL_CLOCK),
-    "visitor_ip": (visitors, VISITORS), "rate_limited_hits": (limited_hits, None), "limited_turns": (turns, None), "label_prf": (prf, PRF), "confusion": (confused, CONFUSED),
+    "visitor_ip": (visitors, VISITORS), "rate_limited_hits": (limited_hits, LIMITED_HITS), "limited_turns": (turns, LIMITED_TURNS), "chat_pages": (chat_pages, CHAT_PAGES), "label_prf": (prf, PRF), "confusion": (confused, CONFUSED),
     "accuracy_rollup": (accuracy, ACCURACY), "nearest_rank_percentiles": (percentiles, PERCENTILES), "detector_agreement": (agreed, AGREED), "benchmark_summary": (benchmark, BENCHMARK),
     "grounding": (grounded, GROUNDED),
 }

@@ -218,7 +218,34 @@ def test_conversation_stream(spark, tmp_path):
     e.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in").withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", "10 minutes")
     got = limits.run_available(limits.conversations(stream), "turns", f"{tmp_path}/cp")
-    assert [(r.session_no, r.turn, r.allowed) for r in got.orderBy("event_id").collect()] == [(0, k, k <= 4) for k in range(1, 7)] + [(1, 1, True), (1, 2, True)]
+    starts = [r.session_start for r in got.orderBy("event_id").collect()]
+    assert [(r.turn, r.allowed) for r in got.orderBy("event_id").collect()] == [(k, k <= 4) for k in range(1, 7)] + [(1, True), (2, True)]
+    assert len(set(starts[:6])) == len(set(starts[6:])) == 1 and starts[0] < starts[6]
+
+
+def test_chat_stream_equals_batch(spark, tmp_path):
+    ids = list(range(12))
+    rows = [(1, 1, 0, None, "a", ids), (1, 2, 10, "more", None, None), (1, 3, 20, "more", None, None), (1, 4, 30, "more", None, None), (1, 5, 40, None, "b", [7]), (1, 6, 50, None, "c", []), (1, 7, 60, "more", None, None),
+            (1, 8, 70, None, "d", ids), (1, 9, 4000, "more", None, None), (1, 10, 4001, None, "e", ids), (2, 11, 0, "more", None, None)] + [(3, 20 + i, i, None, "x", ids) for i in range(4)]
+    e = spark.createDataFrame(rows, "visitor long, event_id long, s long, action string, plan string, ranked array<long>").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+    e.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = limits.chat_stream(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in"), 10, 600, 3, 1800)
+    got = {r.event_id: r for r in limits.run_available(stream, "chat", f"{tmp_path}/cp").collect()}
+    assert got == {r.event_id: r for r in limits.chat_batch(e, 10, 600, 3, 1800).collect()}
+    assert [(got[i].status, got[i].page, got[i].has_more) for i in (1, 2, 3, 4)] == [("answered", ids[:5], True), ("page", ids[5:10], True), ("page", ids[10:], False), ("page", [], False)]
+    assert [(got[i].status, got[i].turn, got[i].plan) for i in (5, 6, 7, 8, 9, 10, 11)] == [
+        ("answered", 2, "b"), ("answered", 3, "c"), ("no_results", 3, None), ("finished", 3, None), ("no_results", 0, None), ("answered", 1, "e"), ("no_results", 0, None)]
+    assert [got[20 + i].status for i in range(4)] == ["answered"] * 3 + ["finished"]
+    few = {r.event_id: r.status for r in limits.chat_batch(e, 1, 600, 3, 1800).collect()}
+    assert few[2] == "denied" and few[9] == "no_results" and few[10] == "denied"
+
+
+def test_daily_cap_stream_equals_batch(spark, tmp_path):
+    e = spark.range(60).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 5000).alias("ts"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = limits.run_available(limits.daily_cap_stream(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in"), 4, "America/Sao_Paulo"), "caps", f"{tmp_path}/cp")
+    want = conversations.daily_cap(e, 4, "America/Sao_Paulo").select("event_id", F.col("local_day").cast("string"), "allowed")
+    assert sorted(got.collect()) == sorted(want.collect()) and want.where("allowed").count() == 20  # four on each of five local days
 
 
 def test_grounding(spark):
