@@ -92,6 +92,20 @@ def hours_outcome(texts: DataFrame, intervals: DataFrame, col: str = "hours_raw"
     return out.withColumn("hours_status", status).drop("__garbage", "__read")
 
 
+# Day names of the JSON form.
+DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
+def hours_json(texts: DataFrame, intervals: DataFrame, col: str = "hours_raw") -> DataFrame:
+    """(hours_raw, hours_json) of the distinct texts: each day that has intervals with its ranges as HH:MM:SS in order of start."""
+    clock = lambda c: F.date_format(F.timestamp_seconds(F.col(c)), "HH:mm:ss")
+    ranges = intervals.groupBy(col, "day").agg(F.array_sort(F.collect_list(F.struct(clock("start_s").alias("start"), clock("end_s").alias("end")))).alias("ranges"))
+    day = F.struct(F.col("day"), F.element_at(F.array(*map(F.lit, DAY_NAMES)), F.col("day") + 1).alias("name"), F.struct(F.lit(False).alias("is_closed"), "ranges").alias("of"))
+    weeks = ranges.groupBy(col).agg(F.transform(F.array_sort(F.collect_list(day)), lambda d: F.struct(d["name"].alias("key"), d["of"].alias("value"))).alias("days"))
+    out = texts.select(col).where(F.col(col).isNotNull()).distinct().join(weeks.hint("merge"), col, "left")
+    return out.select(col, F.when(F.col("days").isNotNull(), F.to_json(F.map_from_entries("days"))).alias("hours_json"))
+
+
 def with_week(rows: DataFrame, intervals: DataFrame, col: str = "hours_raw") -> DataFrame:
     """The rows with `week`, all intervals (day, start_s, end_s) of their text; null where there is none. A text bounds its own list."""
     weeks = intervals.groupBy(col).agg(F.collect_list(F.struct("day", "start_s", "end_s")).alias("week"))

@@ -223,16 +223,56 @@ def follow_up_chips(category: Column, open_now: Column, near: Column, min_rating
     return F.slice(F.array_compact(listed), 1, 3)
 
 
-def plan_messages(messages: DataFrame, located: Column | None = None, text: str = "text") -> DataFrame:
-    """Rule-mode plans: the messages with one column for each slot."""
+def intent_confidences(scored: DataFrame, key: str = "message_id") -> DataFrame:
+    """From a model's labels (key, kind: intent or category, label, confidence; the few best of each message): primary_intent and its confidence, the
+    confidences that slots look at, and primary_category."""
+    conf = lambda label: F.max(F.when((F.col("kind") == "intent") & (F.col("label") == label), F.col("confidence")))
+    best = lambda kind: F.max_by("label", F.when(F.col("kind") == kind, F.struct("confidence", F.lit(1))))
+    return scored.groupBy(key).agg(
+        best("intent").alias("primary_intent"), F.max(F.when(F.col("kind") == "intent", F.col("confidence"))).alias("primary_confidence"),
+        conf("business_hours").alias("hours_confidence"), conf("location").alias("location_confidence"), conf("popularity").alias("popularity_confidence"),
+        best("category").alias("primary_category"),
+    )
+
+
+def extract_categories(messages: DataFrame, keywords: DataFrame, lexicon: DataFrame | None = None, scored: DataFrame | None = None, key: str = "message_id", text: str = "folded") -> DataFrame:
+    """(key, terms): the keywords that a message has, then all keywords of the categories whose phrases it has, then those of its secondary categories of
+    confidence STRENGTH or more; the first spelling of each folded form. keywords: ord, label (category), keyword; lexicon: category, phrase."""
+    typed = scan_keywords(messages, keywords, key, text).join(keywords.select("label", F.lower("keyword").alias("keyword"), "ord").hint("merge"), ["label", "keyword"])
+    terms = typed.select(key, F.col("keyword").alias("term"), F.struct(F.lit(1).alias("source"), F.lit(0.0).alias("rank"), "ord").alias("ord"))
+    vocabulary = keywords.select(F.col("label").alias("category"), F.lower("keyword").alias("term"), F.col("ord").alias("at"))
+    found = []
+    if lexicon is not None:
+        found.append(scan_lexicon(messages, lexicon, key, text).select(key, "category", F.lit(2).alias("source"), F.lit(0.0).alias("rank")).distinct())
+    if scored is not None:
+        labels = scored.where((F.col("kind") == "category") & (F.col("confidence") >= STRENGTH))
+        first = intent_confidences(scored, key).select(key, "primary_category")
+        labels = labels.join(first.hint("merge"), key).where(F.col("label") != F.col("primary_category"))
+        found.append(labels.select(key, F.col("label").alias("category"), F.lit(3).alias("source"), (-F.col("confidence")).alias("rank")))
+    for hits in found:
+        wider = hits.join(vocabulary.hint("merge"), "category")
+        terms = terms.unionByName(wider.select(key, "term", F.struct("source", "rank", F.col("at").alias("ord")).alias("ord")))
+    return union_terms(terms, key)
+
+
+def plan_messages(messages: DataFrame, located: Column | None = None, text: str = "text", scored: DataFrame | None = None, key: str = "message_id") -> DataFrame:
+    """Plans: the messages with one column for each slot. Rules decide alone, or together with a model's labels in `scored` (see intent_confidences), whose
+    primary category is the plan's; a message without labels there gets what rules say of it, and best_match or distance."""
     located = F.lit(False) if located is None else located
     rows = messages.withColumn("folded", fold(F.col(text)))
     f = F.col("folded")
+    hours = near = primary = confidence = popularity = None
+    category = rule_category(f)
+    if scored is not None:
+        rows = rows.join(intent_confidences(scored, key).hint("merge"), key, "left")
+        hours, primary, confidence, popularity = (F.col(c) for c in ("hours_confidence", "primary_intent", "primary_confidence", "popularity_confidence"))
+        near = F.when(primary.isNull(), F.array_contains(rule_intents(f), "location").cast("double")).otherwise(F.col("location_confidence"))
+        category = F.coalesce("primary_category", category)
     rows = rows.withColumns({
-        "language": detect_language(F.col(text)), "intent": coarse_intent(f), "category": rule_category(f), "open_now": extract_open_now(f), "price_max": extract_price_max(f),
-        "min_rating": extract_min_rating(f), "min_reviews": extract_min_reviews(f), "keywords": extract_keywords(F.col(text)), "near_me": extract_proximity(f),
+        "language": detect_language(F.col(text)), "intent": coarse_intent(f), "category": category, "open_now": extract_open_now(f, hours), "price_max": extract_price_max(f),
+        "min_rating": extract_min_rating(f), "min_reviews": extract_min_reviews(f), "keywords": extract_keywords(F.col(text)), "near_me": extract_proximity(f, near),
     })
-    rows = rows.withColumns({"place_type": lookup(PLACE_TYPES, F.col("category")), "sort_preference": sort_preference(f, F.col("near_me"), located)})
+    rows = rows.withColumns({"place_type": lookup(PLACE_TYPES, F.col("category")), "sort_preference": sort_preference(f, F.col("near_me"), located, primary, confidence, popularity)})
     signals = F.array_compact(F.array(
         F.when(F.col("place_type").isNotNull(), F.concat(F.lit("place_type="), "place_type")), F.when(F.coalesce("open_now", F.lit(False)), "open_now=true"),
         F.when(F.coalesce("price_max", F.lit(0.0)) != 0, F.concat(F.lit("price_max="), F.col("price_max").cast("string"))),

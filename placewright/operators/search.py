@@ -209,6 +209,13 @@ def page(ranked: DataFrame, number: int, size: int = SHOWN, kept: int = KEPT, ke
     return rows.where((F.col("position") > (number - 1) * size) & (F.col("position") <= number * size))
 
 
+def places_of(lists: DataFrame, places: DataFrame, ids: str = "ids", key: str = "question_id", place: str = "place_id") -> DataFrame:
+    """The places of each list of ids, with their position from 1 in its order; ids that no place has are left out and those after them move up."""
+    each = lists.select(key, F.posexplode(ids).alias("__at", place))
+    found = each.join(places.hint("merge"), place)
+    return found.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("__at"))).drop("__at")
+
+
 # Texts of the template answer.
 ANSWER = {
     "en": ("Here are the places found:\n\n", "\n\nThese are the places matching your search.", {"open": "open", "closed": "closed", "unknown": "hours unknown"},

@@ -130,8 +130,13 @@ class GramScorer:
         return (e / e.sum()).tolist()
 
 
-def score_text(df: DataFrame, model: PipelineModel, text: str = "text", unknown: str = "unknown", least: float = LEAST) -> DataFrame:
-    """The rows with scored (up to three labels of probability `least` or more, best first), primary and confidence. Whole texts are read; a null text counts as an empty one."""
+#: What a message is said to be when no label reaches the least probability: an intent, or a category.
+NO_INTENT, NO_CATEGORY = ("unknown", 0.0), ("restaurant", 0.5)
+
+
+def score_text(df: DataFrame, model: PipelineModel, text: str = "text", otherwise: tuple[str, float] = NO_INTENT, least: float = LEAST) -> DataFrame:
+    """The rows with scored (up to three labels of probability `least` or more, best first), primary and confidence; where there is none, `otherwise`.
+    Whole texts are read; a null text counts as an empty one."""
     labels, scorer = model.stages[0].labels, GramScorer(model)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -143,9 +148,10 @@ def score_text(df: DataFrame, model: PipelineModel, text: str = "text", unknown:
     names = F.array(*map(F.lit, labels))
     pairs = F.transform(F.arrays_zip(F.col("__p").alias("p"), names.alias("l")), lambda x: F.struct((-x["p"]).alias("neg"), x["l"].alias("label")))
     top = F.slice(F.array_sort(F.filter(pairs, lambda x: -x["neg"] >= least)), 1, TOP)
+    top = F.when(F.size(top) > 0, top).otherwise(F.array(F.struct(F.lit(-otherwise[1]).alias("neg"), F.lit(otherwise[0]).alias("label"))))
     out = out.withColumn("__top", top)
     first = F.get("__top", F.lit(0))
     return out.select(
         *df.columns, F.transform("__top", lambda x: F.struct(x["label"].alias("label"), F.round(-x["neg"], 6).alias("confidence"))).alias("scored"),
-        F.coalesce(first["label"], F.lit(unknown)).alias("primary"), F.coalesce(-first["neg"], F.lit(0.0)).alias("confidence"),
+        first["label"].alias("primary"), (-first["neg"]).alias("confidence"),
     )

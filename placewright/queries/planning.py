@@ -136,7 +136,56 @@ l AS (SELECT message_id, list_filter([CASE WHEN NOT open_now THEN 'Open now' END
   CASE s2 WHEN 'acai' THEN 'Açaí' WHEN 'cafe' THEN 'Cafés' END], lambda x: x IS NOT NULL) AS c FROM s)
 SELECT message_id, array_to_string(c[1:3], '|') AS chips FROM l"""
 
+# a model's labels by hand: every third message has none
+SCORED = """SELECT message_id, kind, label, confidence FROM (
+SELECT message_id, 'intent' AS kind, 'popularity' AS label, CASE CAST(message_id % 5 AS INT) WHEN 0 THEN 0.6 WHEN 1 THEN 0.28 WHEN 2 THEN 0.31 ELSE 0.1 END AS confidence FROM {m} WHERE message_id % 3 <> 0
+UNION ALL SELECT message_id, 'intent', 'business_hours', CASE WHEN message_id % 5 = 2 THEN 0.5 ELSE 0.25 END FROM {m} WHERE message_id % 3 = 1
+UNION ALL SELECT message_id, 'intent', 'location', CASE WHEN message_id % 7 = 0 THEN 0.35 ELSE 0.2 END FROM {m} WHERE message_id % 3 = 2
+UNION ALL SELECT message_id, 'category', CASE WHEN message_id % 4 = 0 THEN 'bar' ELSE 'food' END, 0.5 FROM {m} WHERE message_id % 3 <> 0
+UNION ALL SELECT message_id, 'category', CASE WHEN message_id % 4 = 0 THEN 'food' ELSE 'park' END, CASE WHEN message_id % 2 = 0 THEN 0.3 ELSE 0.29 END FROM {m} WHERE message_id % 3 <> 0) s"""
+
+
+def scored_labels(spark, sf_dir):
+    return spark.sql(SCORED, m=messages(spark, sf_dir)).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+def scored_plans(spark, sf_dir):
+    p = plan.plan_messages(messages(spark, sf_dir), F.col("message_id") % 2 == 0, scored=scored_labels(spark, sf_dir))
+    return p.select("message_id", "category", F.coalesce("open_now", F.lit(False)).alias("open_now"), "near_me", "sort_preference")
+
+
+# the model's part written out: thresholds of 0.3, and what rules say where it is silent
+SCORED_PLANS = f"""WITH {FOLDED}, rule AS ({PLANS.replace('WITH ' + FOLDED + ',', 'WITH')}),
+c AS (SELECT *, message_id % 3 <> 0 AS known, CASE CAST(message_id % 5 AS INT) WHEN 0 THEN 0.6 WHEN 1 THEN 0.28 WHEN 2 THEN 0.31 ELSE 0.1 END AS pop,
+  CASE WHEN message_id % 3 = 1 THEN CASE WHEN message_id % 5 = 2 THEN 0.5 ELSE 0.25 END ELSE 0 END AS hrs, CASE WHEN message_id % 3 = 2 THEN CASE WHEN message_id % 7 = 0 THEN 0.35 ELSE 0.2 END ELSE 0 END AS loc FROM m),
+d AS (SELECT c.*, r.category AS rule_category, r.open_now AS rule_open, {any_of(plan.NEAR_PHRASES)} OR {words_of(plan.NEAR_WORDS)} AS said_near, r.near_me AS rule_near,
+  CASE WHEN pop >= hrs AND pop >= loc THEN 'popularity' WHEN hrs >= loc THEN 'business_hours' ELSE 'location' END AS top, greatest(pop, hrs, loc) AS most FROM c JOIN rule r USING (message_id)),
+e AS (SELECT *, CASE WHEN known THEN said_near OR loc >= 0.3 ELSE rule_near END AS near FROM d)
+SELECT message_id, CASE WHEN NOT known THEN rule_category WHEN message_id % 4 = 0 THEN 'bar' ELSE 'food' END AS category,
+  rule_open OR (known AND hrs >= 0.3 AND {any_of(plan.OPEN_WORDS)} AND NOT {any_of(plan.CLOSED_WORDS)} AND NOT (regexp_matches(f, '{OTHER}') AND NOT regexp_matches(f, '{plan.NOW_WORDS}'))) AS open_now, near AS near_me,
+  CASE WHEN near AND message_id % 2 = 0 THEN 'distance' WHEN known AND (top = 'popularity' AND most >= 0.3 OR top = 'business_hours' AND pop >= 0.3) THEN 'popularity'
+  WHEN known AND top = 'popularity' AND {any_of(("best", "top", "melhor", "rating", "rated", "nota", "avaliado"))} THEN 'rating' ELSE 'best_match' END AS sort_preference FROM e"""
+
+
+def category_terms(spark, sf_dir):
+    keywords = spark.createDataFrame([(i, label, k) for i, (_, label, k) in enumerate(KEYWORDS)], "ord int, label string, keyword string")
+    lexicon = spark.createDataFrame([("food", "near me"), ("bar", "aberto agora"), ("park", "4.5")], "category string, phrase string")
+    found = plan.extract_categories(messages(spark, sf_dir).withColumn("folded", fold(F.col("text"))), keywords, lexicon, scored_labels(spark, sf_dir))
+    return found.select("message_id", F.array_join("terms", "|").alias("terms"))
+
+
+CATEGORY_TERMS = f"""WITH {FOLDED}, k(o, label, keyword) AS (VALUES {", ".join(f"({i}, '{label}', '{k}')" for i, (_, label, k) in enumerate(KEYWORDS))}),
+w AS (SELECT *, ' ' || regexp_replace(f, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') || ' ' AS words FROM m),
+n AS (SELECT *, lower(strip_accents(keyword)) AS fk FROM k),
+s AS ({SCORED.format(m="m")}),
+t AS (SELECT message_id, lower(keyword) AS term, 1 AS src, 0.0 AS rk, o FROM w, n WHERE contains(words, ' ' || fk || ' ') OR contains(words, ' ' || fk || 's ') OR contains(words, ' ' || fk || 'es ')
+  UNION ALL SELECT message_id, lower(keyword), 2, 0.0, o FROM m, n WHERE label = 'food' AND contains(f, 'near me') OR label = 'bar' AND contains(f, 'aberto agora') OR label = 'park' AND contains(f, '4.5')
+  UNION ALL SELECT message_id, lower(keyword), 3, -confidence, o FROM s JOIN n USING (label) WHERE kind = 'category' AND confidence >= 0.3 AND confidence < 0.5),
+d AS (SELECT message_id, lower(strip_accents(term)) AS g, min((src, rk, o, term)) AS x FROM t GROUP BY ALL)
+SELECT message_id, string_agg(x[4], '|' ORDER BY x) AS terms FROM d GROUP BY message_id"""
+
 QUERIES = {
+    "scored_plans": (scored_plans, SCORED_PLANS), "category_terms": (category_terms, CATEGORY_TERMS),
     "gated_messages": (gated, GATED), "languages": (languages, LANGUAGES), "message_plans": (plans, PLANS), "lexicon_hits": (lexicon_hits, LEXICON_HITS), "keyword_hits": (keyword_hits, KEYWORD_HITS),
     "united_terms": (united_terms, UNITED), "follow_up_chips": (chips, CHIPS),
 }

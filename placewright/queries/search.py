@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import near_join
-from placewright.functions.hours import hours_outcome, is_open, parse_hours, with_week
+from placewright.functions.hours import hours_json, hours_outcome, is_open, parse_hours, with_week
 from placewright.operators import search
 from placewright.plans.answer import answer_questions, unanswerable
 from placewright.queries.views import ctes, pairs_cte, table, view
@@ -221,7 +221,29 @@ def slot_overrides(spark, sf_dir):
 SLOT_OVERRIDES = f"""WITH {ctes('v_questions')} SELECT question_id, CASE WHEN question_id % 2 = 0 AND question_id % 6 <> 0 THEN 'ECONOMY' ELSE category END AS category,
 CASE WHEN question_id % 3 = 1 THEN 4.0 ELSE min_rating END AS min_rating FROM v_questions"""
 
+def listed_places(spark, sf_dir):
+    """Places by lists of ids, in the order of each list; some ids are no place's."""
+    lists = view(spark, sf_dir, "v_questions").select("question_id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("P"), ((F.col("question_id") * 7 + i * 31) % 2500).cast("string"))).alias("ids"))
+    return search.places_of(lists, places(spark, sf_dir).select("place_id", "title")).select("question_id", "position", "place_id", "title")
+
+
+LISTED_PLACES = f"""WITH {ctes('v_places', 'v_questions')}, i AS (SELECT question_id, unnest(range(0, 5)) AS k FROM v_questions),
+j AS (SELECT question_id, k, 'P' || (question_id * 7 + k * 31) % 2500 AS place_id FROM i)
+SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY k) AS INT) AS position, place_id, title FROM j JOIN v_places USING (place_id)"""
+
+
+def hours_as_json(spark, sf_dir):
+    v = view(spark, sf_dir, "v_places")
+    return hours_json(v, parse_hours(v))
+
+
+HOURS_JSON = f"""WITH {ctes('v_places')}, {INTERVALS},
+c AS (SELECT hours_raw, day, string_agg('{{"start":"' || strftime(make_timestamp(start_s::BIGINT * 1000000), '%H:%M:%S') || '","end":"' || strftime(make_timestamp(end_s::BIGINT * 1000000), '%H:%M:%S') || '"}}', ',' ORDER BY start_s) AS r FROM iv GROUP BY ALL),
+d AS (SELECT hours_raw, string_agg('"' || ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][day + 1] || '":{{"is_closed":false,"ranges":[' || r || ']}}', ',' ORDER BY day) AS j FROM c GROUP BY hours_raw)
+SELECT h.hours_raw, '{{' || j || '}}' AS hours_json FROM (SELECT DISTINCT hours_raw FROM v_places WHERE hours_raw IS NOT NULL) h LEFT JOIN d USING (hours_raw)"""
+
 QUERIES = {
+    "listed_places": (listed_places, LISTED_PLACES), "hours_json": (hours_as_json, HOURS_JSON),
     "top_places": (top_places, TOP_PLACES), "near_pairs": (near_pairs, NEAR_PAIRS), "radius_used": (radius_used, RADIUS_USED), "ranked_places": (ranked_places, RANKED_PLACES),
     "hours_intervals": (hours_intervals, HOURS_INTERVALS), "hours_status": (hours_status, HOURS_STATUS), "open_places": (open_places, OPEN_PLACES),
     "answered_questions": (answered, ANSWERED), "second_page": (second_page, SECOND_PAGE), "unanswered_questions": (unanswered, UNANSWERED), "rendered_answers": (answers, ANSWERS),
