@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,32 +26,21 @@ def groups_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // each))
 
 
-#: Bits of a sieve (8 MB), and parts of a key's hash that each set one.
-SIEVE_BITS, SIEVE_PARTS = 1 << 26, 3
+#: Bits of a sieve: at most 2^20 words of 64, some 25 MB as a broadcast table.
+SIEVE_BITS = 1 << 26
 
 
-def sieve(keys: DataFrame, key: str = "key") -> Callable[[Column], Column]:
-    """From a table of 64-bit keys, a test of a column of keys: true for every key of the table, false for nearly all others.
+def sifted(rows: DataFrame, by: Column, keys: DataFrame, key: str = "key") -> DataFrame:
+    """rows with __held: true where the 64-bit key `by` is in the table of keys, false for nearly all others.
 
-    A Bloom filter whose size is fixed, so its broadcast is bounded however many keys there are. With more keys it lets more others pass; it only
+    A bit map whose size is fixed, so its broadcast is bounded however many keys there are. With more keys it holds more others; it only
     decides which rows have to move to be compared, never a result."""
-    spark, mask = keys.sparkSession, SIEVE_BITS - 1
-    bits = F.array(*[F.shiftrightunsigned(F.col(key), 21 * i).bitwiseAND(mask) for i in range(SIEVE_PARTS)])
-    words = keys.select(F.explode(bits).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    found = words.toPandas()
-    table = np.zeros(SIEVE_BITS // 64, np.int64)
-    table[found["word"].to_numpy()] = found["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(table.view(np.uint64))
-
-    @F.pandas_udf("boolean")
-    def held(col: pd.Series) -> pd.Series:
-        out, values = np.ones(len(col), bool), col.to_numpy(np.int64).view(np.uint64)
-        for i in range(SIEVE_PARTS):
-            bit = (values >> np.uint64(21 * i)) & np.uint64(mask)
-            out &= (shared.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-        return pd.Series(out)
-
-    return held
+    bit = lambda c: c.bitwiseAND(SIEVE_BITS - 1)
+    place = lambda c: bit(c).bitwiseAND(63).cast("int")
+    words = keys.select(F.shiftright(bit(F.col(key)), 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col(key))).alias("bits"))
+    words = written(words.groupBy("__word").agg(F.bit_or("bits").alias("__bits")), "sieve")
+    marked = rows.withColumns({"__word": F.shiftright(bit(by), 6), "__place": place(by)}).join(F.broadcast(words), "__word", "left")
+    return marked.withColumn("__held", F.coalesce(F.getbit("__bits", F.col("__place")) == 1, F.lit(False))).drop("__word", "__place", "__bits")
 
 
 #: Copies of a small table's rows, and parts that a hot key's rows are dealt to.

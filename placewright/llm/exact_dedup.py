@@ -7,7 +7,7 @@ these narrow rows: only rows whose length is shared go on to the prefix hash, an
 have their digests compared. The texts themselves are never shuffled. Every step is a grouped count with map-side
 combine, and a join back deals the rows of a key among tasks, so a group with a third of all rows is no single task's.
 
-`drop_copies` keeps whole rows: rows of texts that no other row has stay where they are, told by a sieve of fixed size,
+`drop_copies` keeps whole rows: rows of texts that no other row has stay where they are, told by a bit map of fixed size,
 and of the others one row a text and map task moves.
 
 Defined cases: a null text equals an empty one, and a text of blanks only equals a single space. Repeated rows count
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import BLANKS, dealt_join, first_rows, sieve, written
+from placewright.llm.common import BLANKS, dealt_join, first_rows, sifted, written
 
 PREFIX_CHARS = 64
 
@@ -68,11 +68,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One whole row of df for each different text: the one with the smallest id."""
     rows = written(measured(df, id_col, text_col), "measured")
-    in_group = sieve(groups(rows).select(F.xxhash64("__sha").alias("key")))
     whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[id_col].alias("__id"), F.unhex(F.sha2(normalised(df[text_col]), 256)).alias("__sha"))
-    marked = whole.withColumn("__several", in_group(F.xxhash64("__sha")))
-    several = first_rows(marked.where("__several").drop("__several"), "__sha", "__id")
-    kept = marked.where("not __several").select("__row").unionByName(several.select("__row"))
+    marked = sifted(whole, F.xxhash64("__sha"), groups(rows).select(F.xxhash64("__sha").alias("key")))
+    several = first_rows(marked.where("__held").drop("__held"), "__sha", "__id")
+    kept = marked.where("not __held").select("__row").unionByName(several.select("__row"))
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
 
 

@@ -10,7 +10,7 @@ are minima, so sketches merge by the larger register, and two sets' registers ag
    set is paired with the bucket's smallest node only, so a bucket of any size gives as many pairs as it has members.
 4. Weeding: with both set sizes known, the similarity of maximum likelihood given how many registers are larger, smaller and equal. Pairs
    more than five standard errors below the threshold go.
-5. Verification on the full sets, recomputed from the texts of candidates only, which a sieve of fixed size picks. A leader with many candidates is dealt
+5. Verification on the full sets, recomputed from the texts of candidates only, which a bit map of fixed size picks. A leader with many candidates is dealt
    in parts of PART candidates; each task holds one leader's set and streams the others.
 6. Components of the confirmed links. A bucket whose members then lie in different components has pairs that could
    still join them: another leader from the largest component is tried against those outside it, then all
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import dealt_join, first_rows, sieve, written
+from placewright.llm.common import dealt_join, first_rows, sifted, written
 from placewright.llm.components import components
 
 M, ROWS = 192, 6
@@ -170,10 +170,10 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def texts_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
     """The rows of `wanted`, which has a node each, with the text of every document whose id is that of the node's representative. Rows that repeat an id
-    all come along, so a reader checks the set. Only texts whose id passes a sieve are shuffled."""
+    all come along, so a reader checks the set. Only texts whose id a bit map holds are shuffled."""
     keyed = written(wanted.join(reps.select("node", "key").hint("merge"), "node"), "wanted")
     texts = docs.select(F.xxhash64("id").alias("key"), "text")
-    return texts.where(sieve(keyed.select("key"))(F.col("key"))).join(keyed.hint("merge"), "key").drop("key")
+    return sifted(texts, F.col("key"), keyed).where("__held").drop("__held").join(keyed.hint("merge"), "key").drop("key")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
@@ -343,14 +343,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     counts = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
     several = nodes.join(counts.hint("merge"), "node").groupBy("component").agg(F.sum("rows").alias("rows")).where("rows > 1").select("component")
     grouped = dealt_join(nodes, several, ["component"], "left_semi", F.xxhash64("node")).select("node", "component")
-    in_group = sieve(dealt_join(rows, grouped, ["node"], "left_semi", F.xxhash64("id")).select(F.xxhash64("id").alias("key")))
+    ids = dealt_join(rows, grouped, ["node"], "left_semi", F.xxhash64("id")).select(F.xxhash64("id").alias("key"))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[id_col].alias("__id"), docs[text_col].alias("__text"))
-    marked = whole.withColumn("__several", in_group(F.xxhash64("__id")))
-    found = noded(marked.where("__several").drop("__several"), size).drop("__text")
+    marked = sifted(whole, F.xxhash64("__id"), ids)
+    found = noded(marked.where("__held").drop("__held"), size).drop("__text")
     # what only its id brought here has no group, and stays as it is
     found = dealt_join(found, grouped, ["node"], "left", F.xxhash64("__id"))
     one = first_rows(found.where("component is not null").select("component", "__row", "__id"), "component", "__id")
-    kept = marked.where("not __several").select("__row").unionByName(found.where("component is null").select("__row")).unionByName(one.select("__row"))
+    kept = marked.where("not __held").select("__row").unionByName(found.where("component is null").select("__row")).unionByName(one.select("__row"))
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
