@@ -5,7 +5,7 @@ link density make it text, boilerplate, or leave it open if it is too short or t
 in a menu, footer, sidebar, notice, advert, form or comment container is boilerplate; in an article container, low stop-word
 or high link density alone leaves a block open, and only two blocks of links in a row are a menu. In pass two each open block takes the label of its
 nearest decided neighbours: both agree, or the nearer one decides, and a heading goes with the text that follows it. Inside an
-article these are the article's own blocks, without its adverts and notices, and text wins a tie or where nothing is decided. Blocks labelled text are
+article these are the article's own blocks, without its adverts and notices, and only two menus around a block make it boilerplate. Blocks labelled text are
 joined in page order.
 
 Each page is read once, left to right, in time linear in its length; pages are rows, so Spark spreads them. Nothing is
@@ -243,8 +243,9 @@ def first_pass(text: str, linked: int, verdict: int) -> int:
 
 
 def second_pass(labels: list[int], headings: list[bool], articles: list[int]) -> list[int]:
-    """Open blocks take the label of their nearest decided neighbours in the same article, or on the page where they are in none; at equal distance an article
-    decides for text, others for boilerplate. With no neighbour it is text. LINKS next to LINKS of an article are a menu, else open."""
+    """Open blocks take the label of their nearest decided neighbours on the page; the nearer one decides, and boilerplate at equal distance. In an article
+    the neighbours are its own and it takes both to make a block boilerplate. A heading goes with what follows it. With no neighbour it is text. LINKS next to LINKS of
+    an article are a menu, else open."""
     n = len(labels)
     menu = [label == LINKS and any(0 <= j < n and labels[j] == LINKS and articles[j] == articles[i] for j in (i - 1, i + 1)) for i, label in enumerate(labels)]
     out = [BAD if m else OPEN if label == LINKS else label for label, m in zip(labels, menu)]
@@ -270,10 +271,12 @@ def second_pass(labels: list[int], headings: list[bool], articles: list[int]) ->
             done[i] = GOOD  # nothing speaks against it
         elif headings[i] and a is not None:
             done[i] = out[a]
+        elif articles[i]:
+            done[i] = BAD if a is not None and b is not None and out[a] == out[b] == BAD else GOOD
         elif a is None or b is None:
             done[i] = out[b if a is None else a]
         elif i - b == a - i:
-            done[i] = max(out[a], out[b]) if articles[i] else min(out[a], out[b])
+            done[i] = min(out[a], out[b])
         else:
             done[i] = out[b if i - b < a - i else a]
     return done
