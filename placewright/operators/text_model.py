@@ -75,7 +75,9 @@ def train_text_model(rows: DataFrame, n_words: int = 500, n_chars: int = 1000, i
         VectorAssembler(inputCols=parts, outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight", maxIter=iterations, regParam=1.0 / n, standardization=False, family="multinomial"),
     ]
-    return Pipeline(stages=stages).fit(weighted)
+    model = Pipeline(stages=stages).fit(weighted)
+    grams.unpersist()
+    return model
 
 
 class GramScorer:

@@ -18,9 +18,14 @@ def _strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """row_id: the rows' order by file and place in it, gapless in order of file, computed without gathering the rows."""
-    keyed = df.withColumns({"__file": F.input_file_name(), "__at": F.monotonically_increasing_id()})
-    return keyed.withColumn("row_id", F.row_number().over(Window.partitionBy("__file").orderBy("__at")) - 1)
+    """__file, and row_id: the rows' order in their file, gapless. Rows are counted for each stretch of a file that one task reads, and numbered from
+    where it starts, so only those counts are gathered."""
+    keyed = df.withColumns({"__file": F.input_file_name(), "__at": F.monotonically_increasing_id()}).withColumn("__part", F.shiftright("__at", 33))
+    counts = keyed.groupBy("__file", "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__file").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__file", "__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    out = keyed.join(starts.hint("merge"), ["__file", "__part"]).withColumn("row_id", F.col("__at") - F.col("__first") + F.col("__before"))
+    return out.drop("__at", "__part", "__first", "__before")
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +33,7 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     rows = numbered(_strings(spark, path))
     sizes = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select("__file", F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    out = rows.join(starts, "__file").withColumn("row_id", F.col("row_id") + F.col("__start"))
+    out = rows.join(starts.hint("merge"), "__file").withColumn("row_id", F.col("row_id") + F.col("__start"))
     names = [c for c in out.columns if not c.startswith("__") and c != "row_id"]
     return out.select("row_id", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
 
@@ -82,9 +87,13 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     catalog.write.mode("overwrite").parquet(path + ".new")
     fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved; the new catalog lies in {path}.new")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{path}.new can't be moved; the catalog is as it was")
     fs.delete(old, True)
 
 
