@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
     # max_train rows at most and known before the join, so that they may be broadcast
     drawn = labels.where(id_share(F.col("__id"), 7) < 0.97 * max_train / n) if n > max_train else labels
     train = docs.select("doc_id", "text").join(F.broadcast(drawn), docs["doc_id"] == F.col("__id")).select("doc_id", "text", "toxic")
-    train = written(train.repartition(max(8, min(200, n // 500)), "doc_id"), "toxic-sample").withColumn("fold", (id_share(F.col("doc_id"), 3) * 3).cast("int"))
+    train = written(train.repartition(max(8, min(32, n // 500)), "doc_id"), "toxic-sample").withColumn("fold", (id_share(F.col("doc_id"), 3) * 3).cast("int"))
     grow = train.where("fold < 2")
     sizes = dict(grow.groupBy("toxic").count().collect())
     if len(sizes) < 2:
