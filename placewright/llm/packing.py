@@ -18,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -38,7 +39,7 @@ LANE_PIECES = 200_000
 #: Text units whose ids a worker keeps at once, some 100 MB.
 KEPT_UNITS = 500_000
 
-# The split pattern of this vocabulary.
+# The split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 PIECE_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -50,7 +51,7 @@ class UnitIds(dict):
     Byte-level BPE always begins a token at a space between two visible characters, so the ids of a text cut at such
     spaces are its units' ids in order, and a unit seen before needs no second merge. The ids are those of the
     `tokenizers` file: units are merged by the same vocabulary's ranks, which does it several times faster, and texts
-    with a special token's string go through `tokenizers` whole.
+    with a special token's string go through `tokenizers` whole. So do all texts where the file is of another kind.
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -65,10 +66,8 @@ class UnitIds(dict):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # the vocabulary as ranks: ids in order of merging, under the byte alphabet of byte-level BPE
-        shown = dict(zip(byte_alphabet(), range(256), strict=True))
-        ranks = {bytes(shown[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.specials}
-        self.merge = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks = merge_ranks(path)
+        self.merge = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= KEPT_UNITS:
@@ -80,7 +79,7 @@ class UnitIds(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):
+        if self.merge is None or any(s in text for s in self.specials):
             return self.whole(text)
         first, *rest = self.CUT.split(text) if self.MIXED.search(text) else text.split(" ")
         return array("I", self.merge(first)).tobytes() + b"".join(map(self.__getitem__, rest))
@@ -107,6 +106,26 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """A tokenizer file's vocabulary as ranks, if it is plain byte-level BPE with the usual split and ids in order of merging; else None."""
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    model, split = whole["model"], whole.get("pre_tokenizer") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or any(map(model.get, odd)) or whole.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    vocabulary, added = model["vocab"], {t["content"] for t in whole.get("added_tokens", [])}
+    merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    single = [i for token, i in vocabulary.items() if len(token) == 1]
+    if any(a >= b for a, b in zip([max(single), *merged], merged)):
+        return None
+    # tokens under the byte alphabet of byte-level BPE
+    shown = dict(zip(byte_alphabet(), range(256), strict=True))
+    if not all(c in shown for token in vocabulary if token not in added for c in token):
+        return None
+    return {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+
+
 def piece_rows(tokenizer: str):
     """Arrow function: (doc_id, text) batches to piece rows."""
 

@@ -142,6 +142,14 @@ def test_packing_edges(spark):
         assert at <= packing.CAPACITY
 
 
+def test_packing_takes_the_ids_of_the_file():
+    texts = ["", "The cat's  house, 12 km\n\n away", "ÀÉ ß <|endoftext|> x", "日本 " * 5]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        ids = packing.UnitIds(packing.tokenizer_path(name))
+        assert (ids.merge is None) == name.startswith("word")
+        assert all(ids.encode(t) == np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts)
+
+
 def test_near_dedup_misses_few_pairs_at_the_threshold():
     rng = np.random.default_rng(7)
     missed = 0
