@@ -230,7 +230,7 @@ def across_components(spread: DataFrame, labels: DataFrame, reps: DataFrame, doc
     """The confirmed pairs (u, v) of an open bucket across components.
 
     Members meet in tiles: those outside a bucket's largest component are cut into parts of TILE, as are all its members, and a task compares one
-    part with another by sketch, so only likely pairs become rows. A pair counts in the first bucket that it shares."""
+    part with another, first by sketch, then by full sets, so only links become rows. A pair counts in the first bucket that it shares."""
     threshold = percent / 100
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / M)
     main = sized(spread, labels).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("members"))
@@ -242,12 +242,16 @@ def across_components(spread: DataFrame, labels: DataFrame, reps: DataFrame, doc
     xs = rows.where("outside").select("key", "node", "component", part("px").alias("x"), every("py").alias("y"), F.lit(0).alias("side"))
     ys = rows.select("key", "node", "component", every("px").alias("x"), part("py").alias("y"), F.lit(1).alias("side"))
     sketch = reps.select("node", "n_shingles", "regs").hint("merge")
-    dealt = xs.unionByName(ys).join(sketch, "node").select("key", "x", "y", "side", "node", "component", "n_shingles", "regs")
+    texts = texts_of(docs, spread.select("node").distinct(), reps).hint("merge")
+    dealt = xs.unionByName(ys).join(sketch, "node").join(texts, "node").select("key", "x", "y", "side", "node", "component", "n_shingles", "regs", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
+        tile, held, hashes = None, [], WordHashes()
         for batch in batches:
             out_a, out_b = [], []
+            sets = [shingle_set(t, hashes, size) for t in batch.column(8).cast(pa.binary()).to_pylist()]
+            own = [len(s) > 0 and node_of(s) == node for s, node in zip(sets, batch.column(4).to_pylist(), strict=True)]  # else another document of that id
+            batch, sets = batch.filter(pa.array(own, pa.bool_())), [s for s, o in zip(sets, own, strict=True) if o]
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
             nodes, comps, sizes = (batch.column(i).to_numpy() for i in (4, 5, 6))
             regs = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u2").reshape(-1, M)
@@ -260,9 +264,9 @@ def across_components(spread: DataFrame, labels: DataFrame, reps: DataFrame, doc
                 if keys[at][:3] != tile:
                     tile, held = keys[at][:3], []
                 if keys[at][3] == 0:
-                    held += [(nodes[i], comps[i], sizes[i], regs[i], bands[i]) for i in range(at, end)]
+                    held += [(nodes[i], comps[i], sizes[i], regs[i], bands[i], sets[i]) for i in range(at, end)]
                 else:
-                    for i, c, n, r, b in held:
+                    for i, c, n, r, b, full in held:
                         of = np.arange(at, end)[comps[at:end] != c]
                         of = of[np.minimum(sizes[of], n) >= threshold * np.maximum(sizes[of], n) - 1e-9]
                         if not len(of):
@@ -271,14 +275,14 @@ def across_components(spread: DataFrame, labels: DataFrame, reps: DataFrame, doc
                         of = of[b[shared.argmax(axis=1)] == keys[at][0]]
                         if len(of):
                             like = likely_similarity(np.broadcast_to(r, (len(of), M)), regs[of], np.full(len(of), float(n)), sizes[of].astype(float))
-                            of = of[like >= least]
-                            out_a += np.minimum(nodes[of], i).tolist()
-                            out_b += np.maximum(nodes[of], i).tolist()
+                            for j in of[like >= least]:
+                                if alike(full, sets[j], percent):
+                                    out_a.append(max(i, nodes[j]))
+                                    out_b.append(min(i, nodes[j]))
                 at = end
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["u", "v"])
 
-    pairs = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").mapInArrow(run, "a long, b long").distinct()
-    return confirmed(written(pairs, "pairs"), docs, reps, size, percent)
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").mapInArrow(run, "u long, v long").distinct()
 
 
 def set_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
