@@ -104,12 +104,12 @@ SELECT (SELECT count(*) FROM e) AS input_rows, (SELECT count(*) FROM e WHERE "pl
 
 def search_titles(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("place_id"), F.col("p_name").alias("title"))
-    terms = table(spark, sf_dir, "part").where("p_partkey % 40 = 1").select(F.upper(F.substring_index("p_name", " ", 2)).alias("query")).distinct()
+    terms = table(spark, sf_dir, "part").select(F.upper(F.substring_index("p_name", " ", 2)).alias("query")).distinct()
     return ops.title_search(p, terms)
 
 
 SEARCH_TITLES = r"""WITH t AS (SELECT DISTINCT 'P' || p_partkey AS place_id, p_name AS title, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part),
-q AS (SELECT DISTINCT upper(array_to_string(string_split(p_name, ' ')[1:2], ' ')) AS query FROM part WHERE p_partkey % 40 = 1)
+q AS (SELECT DISTINCT upper(array_to_string(string_split(p_name, ' ')[1:2], ' ')) AS query FROM part)
 SELECT query, place_id, title FROM q, t WHERE list_has_all(w, regexp_extract_all(lower(query), '[a-z0-9]+'))"""
 
 
