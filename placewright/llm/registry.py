@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, repeat_removal, sharding, toxicity
+from placewright.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, repeat_removal, sharding, source_audit, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_html_text": html_text.op8_html_text,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op11_source_audit": source_audit.op11_source_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_chat_format": chat_format.ORACLE, "op6_near_dedup": near_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_chat_format": chat_format.ORACLE, "op6_near_dedup": near_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_source_audit": source_audit.ORACLE}
