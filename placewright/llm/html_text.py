@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. Pass one labels each block from what it holds: stop-word density, length and
 link density make it text, boilerplate, or leave it open if it is too short or too mixed to tell. Markup is one more feature: what stands
 in a menu, footer, sidebar, notice, advert, form or comment container is boilerplate; in an article container, low stop-word
-or high link density alone leaves a block open, and only two blocks of links in a row are a menu. In pass two each open block takes the label of its
+or high link density alone leaves a block open, and only two list entries of links in a row are a menu: a paragraph is none. On a page whose
+language has no list of stop words, told by the share of them on the whole page, the ends of sentences stand for them. In pass two each open block takes the label of its
 nearest decided neighbours: both agree, or the nearer one decides, and a heading goes with the text that follows it. Inside an
 article these are the article's own blocks, without its adverts and notices, and only two menus around a block make it boilerplate. Blocks labelled text are
 joined in page order.
@@ -64,18 +65,25 @@ LAYOUT_WORDS = frozenset("with has no without".split())
 #: Inside an article these mark its own head or foot, which is not a page header.
 OWN_HEAD = frozenset("header masthead topbar top bottom legal form".split())
 ROLE_TEXT = frozenset(["main", "article"])
+#: In an article the id of one of these is an anchor and says what it is about, but for words of OWN_PARTS.
+ANCHORED = HEADINGS | frozenset("section p blockquote dl dt dd li table".split())
+OWN_PARTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsored comments commentlist disqus newsletter sidebar breadcrumb breadcrumbs".split())
 
 WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ATTRIBUTE = re.compile(r"""([^\s/>="']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-MARKING = re.compile(r"\b(class|id|role|hidden|style)\b", re.I)
+MARKING = frozenset("class id role hidden aria-hidden style".split())
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 NEXT_ATTRIBUTE = re.compile(r"[\s/]*=?[^\s/>=]*\s*(=\s*)?")
 UNQUOTED = re.compile(r"[^\s>]*")
 TAG_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:_-]*")
 LETTERS = re.compile(r"[^\W\d_]+")
+SENTENCE_END = re.compile(r"""[.!?…][\"'”’»)\]]*(?:\s|$)|[。！？؟।]""")
 
 BAD, GOOD, OPEN, LINKS = -1, 1, 0, 2
 SHORT_CHARS, LONG_CHARS, MAX_LINKS, LOW_STOPS, HIGH_STOPS = 70, 200, 0.33, 0.12, 0.2
+#: Share of stop words below which a page's language is taken for one without a list, and the size of a page's text from which it tells.
+FOREIGN_STOPS, FOREIGN_CHARS = 0.06, 70
 
 
 def tag_end(page: str, at: int, lost: set[int]) -> int:
@@ -101,18 +109,20 @@ def tag_end(page: str, at: int, lost: set[int]) -> int:
     return first + 1
 
 
-def markup(attributes: str, inside: bool = False) -> int:
+def markup(attributes: str, inside: bool = False, tag: str = "") -> int:
     """BAD, GOOD or OPEN by an element's class, id, role and visibility; inside: whether it stands in an article."""
     verdict = OPEN
     for name, value in ATTRIBUTE.findall(attributes):
-        if not (mark := MARKING.search(name)):
+        name, value = name.lower(), value.strip("\"'")
+        if name not in MARKING:
             continue
-        name, value = mark[0].lower(), value.strip("\"'")
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and HIDDEN_STYLE.search(value):
             return BAD
         if name in ("class", "id", "role"):
             words = set(WORD_SPLIT.split(CAMEL.sub(" ", value).lower())) - (OWN_HEAD if inside else frozenset())
             words = {w for w in words if w and not w.isdigit()}
+            if name == "id" and inside and tag in ANCHORED:
+                words &= OWN_PARTS | GOOD_WORDS | LAYOUT_WORDS
             if (words & BAD_WORDS or words & TOPIC_WORDS and words <= TOPIC_WORDS | PARTS) and not words & LAYOUT_WORDS:
                 verdict = BAD
             elif verdict == OPEN and (name == "role" and words & ROLE_TEXT or words & GOOD_WORDS):
@@ -131,10 +141,10 @@ def ends_of(page: str, tag: str) -> dict[int, int]:
     return ends
 
 
-def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, int]]:
-    """(text, characters inside links, markup verdict, heading?, article number) of each block in page order."""
+def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, int, bool]]:
+    """(text, characters inside links, markup verdict, heading?, article number, paragraph?) of each block in page order."""
     stack: list[tuple[str, int, bool, int]] = []  # open block-level elements: tag, verdict, inside an article, which
-    verdict, article, number, articles, heading, links = OPEN, False, 0, 0, False, 0
+    verdict, article, number, articles, heading, paragraph, links = OPEN, False, 0, 0, False, False, 0
     ends: dict[str, dict[int, int]] = {}
     parts: list[str] = []
     linked = 0
@@ -145,14 +155,14 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, int]]:
         nonlocal parts, linked
         # a reference may stand for a blank, so it is decoded before blanks are folded
         text = " ".join(entities.unescape("".join(parts)).split())
-        out = (text, linked, verdict, heading, number) if text else None
+        out = (text, linked, verdict, heading, number, paragraph) if text else None
         parts, linked = [], 0
         return out
 
     def settle():
-        nonlocal verdict, article, heading, number
+        nonlocal verdict, article, heading, number, paragraph
         verdict, article, number = stack[-1][1:] if stack else (OPEN, False, 0)
-        heading = bool(stack) and stack[-1][0] in HEADINGS
+        heading, paragraph = bool(stack) and stack[-1][0] in HEADINGS, bool(stack) and stack[-1][0] == "p"
 
     while at < size:
         begin = page.find("<", at)
@@ -207,7 +217,7 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, int]]:
                 if tag == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
                 settle()
-                own = markup(attributes, article)
+                own = markup(attributes, article, tag)
                 inside = article or tag in ("article", "main")
                 if verdict == BAD or tag in DROP_TAGS or own == BAD and tag not in ("html", "body") or tag == "header" and not article:
                     now = BAD
@@ -218,7 +228,7 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, int]]:
                     of = articles = articles + 1
                 stack.append((tag, now, inside, of))
             settle()
-        elif attributes and not closing and tag not in VOID_TAGS and markup(attributes, article) == BAD:
+        elif attributes and not closing and tag not in VOID_TAGS and markup(attributes, article, tag) == BAD:
             if tag not in ends:
                 ends[tag] = ends_of(page, tag)
             at = max(at, ends[tag].get(found.end(), at))
@@ -227,12 +237,20 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, int]]:
         yield done
 
 
-def first_pass(text: str, linked: int, verdict: int) -> int:
-    """A block's label from itself alone: by its links, its length, its stop words and the markup around it. LINKS: mostly links, in an article."""
+def foreign(blocks: list[tuple]) -> bool:
+    """Whether a page's text, but for its links and boilerplate by markup, has so few stop words that its language has no list."""
+    words = [w for text, linked, verdict, *_ in blocks if verdict != BAD and linked <= MAX_LINKS * len(text) for w in LETTERS.findall(text.lower())]
+    return sum(map(len, words)) >= FOREIGN_CHARS and sum(w in STOPS for w in words) < FOREIGN_STOPS * len(words)
+
+
+def first_pass(text: str, linked: int, verdict: int, paragraph: bool, no_stops: bool) -> int:
+    """A block's label from itself alone: by its links, its length, its stop words (or, with no_stops, its sentences) and the markup around it. LINKS: mostly links, in an article."""
     if verdict == BAD:
         return BAD
     if linked / max(1, len(text)) > MAX_LINKS:
-        return LINKS if verdict == GOOD else BAD
+        return BAD if verdict != GOOD else OPEN if paragraph else LINKS
+    if no_stops:
+        return GOOD if SENTENCE_END.search(text) and len(text) >= SHORT_CHARS / 2 or len(text) >= LONG_CHARS else BAD if linked and verdict != GOOD else OPEN
     if len(text) < SHORT_CHARS:
         return BAD if linked and verdict != GOOD else OPEN
     words = LETTERS.findall(text.lower())
@@ -284,7 +302,8 @@ def second_pass(labels: list[int], headings: list[bool], articles: list[int]) ->
 
 def main_text(page: str | None) -> str:
     found = list(blocks_of(page or ""))
-    labels = second_pass([first_pass(t, k, v) for t, k, v, *_ in found], [b[3] for b in found], [b[4] for b in found])
+    no_stops = foreign(found)
+    labels = second_pass([first_pass(t, k, v, p, no_stops) for t, k, v, _, _, p in found], [b[3] for b in found], [b[4] for b in found])
     return " ".join(t for (t, *_), label in zip(found, labels) if label == GOOD)
 
 
