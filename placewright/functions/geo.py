@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewright.tables import spread
+
 EARTH_KM = 6371.0
 KM_PER_DEGREE = 111.0
 #: Tasks among which the left rows of one cell are dealt.
@@ -59,6 +61,7 @@ def near_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...]
     there = there.withColumns({"__s": F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))), **_unit("p_lat", "p_lng", "__b")})
     most = (2 * math.sin(min(km / EARTH_KM, math.pi) / 2)) ** 2 * (1 + 1e-6) + 1e-15
     chord = reduce(Column.__add__, [(F.col(f"__a{i}") - F.col(f"__b{i}")) * (F.col(f"__a{i}") - F.col(f"__b{i}")) for i in range(3)])
-    found = asked.join(there.hint("shuffle_hash"), ["__y", "__x", "__s", *on]).where(chord <= most)
+    keys = ["__y", "__x", "__s", *on]
+    found = spread(asked, *keys).join(spread(there, *keys).hint("shuffle_hash"), keys).where(chord <= most)
     found = found.drop("__y", "__x", "__s", *[f"__{side}{i}" for side in "ab" for i in range(3)])
     return found.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))).where(F.col("km") <= km)

@@ -28,13 +28,13 @@ def sessionize(events: DataFrame, key: str = "visitor", ts: str = "ts", order: s
 
 
 def merge_turns(turns: DataFrame, key: str = "session_id", order: tuple[str, ...] = ("ts", "turn_key"), category: str = "category", slots: tuple[str, ...] = ("open_now", "min_rating")) -> DataFrame:
-    """Slots as a follow-up inherits them: a turn with a category starts afresh, another keeps the last set value of what it leaves unset."""
+    """Slots as a follow-up inherits them: a turn with a category starts afresh, another keeps the last set value of what it leaves unset: null, false or an empty list."""
+    types = dict(turns.dtypes)
+    is_set = lambda c: F.coalesce(F.col(c), F.lit(False)) if types[c] == "boolean" else F.coalesce(F.size(c) > 0, F.lit(False)) if types[c].startswith("array") else F.col(c).isNotNull()
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = turns.withColumn("__run", F.sum(F.col(category).isNotNull().cast("long")).over(w))
+    out = turns.withColumn("__run", F.sum(is_set(category).cast("long")).over(w))
     inside = Window.partitionBy(key, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    types = dict(turns.dtypes)
-    unset = lambda c: F.when(F.col(c) if types[c] == "boolean" else F.col(c).isNotNull(), F.col(c))
-    return out.withColumns({c: F.last(unset(c), ignorenulls=True).over(inside) for c in (category, *slots)}).drop("__run")
+    return out.withColumns({c: F.last(F.when(is_set(c), F.col(c)), ignorenulls=True).over(inside) for c in (category, *slots)}).drop("__run")
 
 
 def turn_budget(turns: DataFrame, key: tuple[str, ...], order: tuple[str, ...], question: Column, limit: int = QUESTIONS) -> DataFrame:

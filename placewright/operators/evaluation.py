@@ -9,15 +9,17 @@ from placewright.functions.text import fold, text_ratio
 
 UNSCORED = ("", "unknown")
 MIN_STRAY, FUZZY = 6, 0.85
+#: A character of a word.
+WORD = r"[\p{L}\p{N}_]"
 
 
 def label_prf(df: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
     """label, tp, fp, fn, precision, recall, f1 and support; expected is a set of labels, predicted one label. Empty and unknown don't count.
 
-    A prediction is a hit if it is among the expected; what is expected and not predicted is a miss for each such label only when no expected label was hit."""
+    A prediction counts for its label if it is among the expected, else against it; each expected label that isn't the prediction is missed."""
     scored = lambda x: ~x.isin(*UNSCORED)
     hit = F.array_contains(expected, F.col(predicted))
-    gold = df.select(F.explode(F.filter(expected, scored)).alias("label"), (F.col(predicted) == F.col("label")).alias("hit"), F.coalesce(hit, F.lit(False)).alias("any"))
+    gold = df.select(F.explode(F.filter(expected, scored)).alias("label"), (F.col(predicted) == F.col("label")).alias("hit"))
     golds = gold.groupBy("label").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.sum((~F.col("hit")).cast("long")).alias("fn"), F.count(F.lit(1)).alias("support"))
     wrong = df.where(scored(F.col(predicted)) & ~F.coalesce(hit, F.lit(False))).groupBy(F.col(predicted).alias("label")).agg(F.count(F.lit(1)).alias("fp"))
     both = golds.join(wrong.hint("merge"), "label", "full").na.fill(0)
@@ -27,9 +29,9 @@ def label_prf(df: DataFrame, expected: str = "expected", predicted: str = "predi
 
 
 def confusion(df: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
-    """(gold, predicted, n): gold is the first expected label in order; an empty prediction shows as (empty)."""
-    gold = F.coalesce(F.get(F.array_sort(expected), F.lit(0)), F.lit("(none)"))
-    return df.groupBy(gold.alias("gold"), F.coalesce(F.nullif(predicted, F.lit("")), F.lit("(empty)")).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    """(gold, predicted, n): gold is the first expected label in order; an empty prediction shows as (empty). Rows that expect nothing have no place in it."""
+    gold = F.get(F.array_sort(expected), F.lit(0))
+    return df.where(F.coalesce(gold, F.lit("")) != "").groupBy(gold.alias("gold"), F.coalesce(F.nullif(predicted, F.lit("")), F.lit("(empty)")).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def accuracy_rollup(df: DataFrame, by: tuple[str, ...], correct: str = "correct") -> DataFrame:
@@ -93,7 +95,8 @@ def grounding(answers: DataFrame, results: DataFrame, titles: DataFrame, exact:
     """(answer_id, grounded). An answer is grounded if each **bold** name is close to a result title or stands in the question, and no other
     title of two words or more stands in its text. answers: answer_id, question, answer; results: answer_id, title; titles: title.
 
-    Titles are found by joining them with the answer's word sequences of the lengths that titles have, so no answer meets every title."""
+    Titles are found by joining them with the answer's word sequences of the lengths that titles have, so no answer meets every title; those found are then looked up in
+    the text as they are written, marks included."""
     own = results.select("answer_id", fold(F.col("title"), spaces=True).alias("own")).where("own <> ''").distinct()
     names = answers.select("answer_id", fold(F.col("question"), spaces=True).alias("asked"), F.explode(bold_names(F.col("answer"))).alias("name"))
     names = names.select("answer_id", "asked", fold(F.col("name"), spaces=True).alias("name")).where(~F.contains("asked", F.col("name"))).drop("asked").distinct()
@@ -105,11 +108,13 @@ def grounding(answers: DataFrame, results: DataFrame, titles: DataFrame, exact:
     invented = open_.select("answer_id").distinct()
     masked = answers.join(own.groupBy("answer_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("own")).alias("n"), "own"))).alias("owns")).hint("merge"), "answer_id", "left")
     text = fold(F.replace("answer", F.lit("**"), F.lit("")), spaces=True)
-    text = F.aggregate(F.coalesce("owns", F.array().cast("array<struct<n:int,own:string>>")), text, lambda t, o: F.replace(t, o["own"], F.lit(" | ")))
-    spans = masked.select("answer_id", fold(F.col("question"), spaces=True).alias("asked"), F.explode(F.split(text, r"\|")).alias("span")).withColumn("words", words_of(F.col("span"))).where(F.size("words") >= 2)
+    text = F.aggregate(F.coalesce("owns", F.array().cast("array<struct<n:int,own:string>>")), text, lambda t, o: F.replace(t, o["own"], F.lit(" ")))
+    texts = masked.select("answer_id", fold(F.col("question"), spaces=True).alias("asked"), text.alias("text"))
     known = titles.select(fold(F.col("title"), spaces=True).alias("folded"), F.array_join(words_of(F.col("title")), " ").alias("key")).where((F.length("folded") >= MIN_STRAY) & F.contains("folded", F.lit(" "))).distinct()
-    grams = spans.select("answer_id", "asked", F.explode(phrase_grams("words", [n for n in word_counts(known, "key") if n > 1])).alias("key")).distinct()
-    stray = grams.join(known.hint("shuffle_hash"), "key").where(~F.contains("asked", F.col("folded")))
-    stray = stray.join(own.withColumnRenamed("own", "folded").hint("merge"), ["answer_id", "folded"], "left_anti").select("answer_id").distinct()
+    grams = texts.select("answer_id", words_of(F.col("text")).alias("words")).select("answer_id", F.explode(phrase_grams("words", word_counts(known, "key"))).alias("key")).distinct()
+    # what has a title's words in a row need not have the title: it has to stand there letter by letter, between borders of words
+    likely = grams.join(known.hint("shuffle_hash"), "key").join(own.withColumnRenamed("own", "folded").hint("merge"), ["answer_id", "folded"], "left_anti")
+    literal = F.concat(F.lit(rf"(?<!{WORD})\Q"), F.replace("folded", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{WORD})"))
+    stray = likely.join(texts.hint("merge"), "answer_id").where(~F.contains("asked", F.col("folded")) & F.contains("text", F.col("folded")) & F.rlike("text", literal)).select("answer_id").distinct()
     bad = invented.unionByName(stray).distinct().withColumn("__bad", F.lit(True))
     return answers.select("answer_id").join(bad.hint("merge"), "answer_id", "left").select("answer_id", F.col("__bad").isNull().alias("grounded"))

@@ -7,6 +7,11 @@ phrase) and keywords (kind, label, keyword).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +19,19 @@ from placewright.functions.text import fold, nfc
 from placewright.operators.evaluation import phrase_grams, word_counts
 
 MAX_LEN, STRENGTH = 400, 0.3
+#: Phrases of one automaton, some 20 MB.
+PART_PHRASES = 50_000
 
 # Words that only Portuguese has.
 PT_WORDS = (
-    "pra num numa nuns numas uns umas quero preciso busco procuro bora vou tem temos fica ficam funciona funcionam aberto aberta fechado "
-    "perto aqui daqui agora hoje amanha ontem junto tudo nada muito pouco mais menos lugar lugares restaurante restaurantes lanchonete "
-    "padaria sorveteria churrascaria pizzaria hamburgueria farmacia clinica academia barbearia salao petshop veterinario balada boate "
-    "brinquedoteca parquinho quadra oficina mecanica borracharia funilaria manicure pedicure cabeleireiro maquiagem depilacao almoco jantar "
-    "manha noite barato caro preco nota avaliacao horario funcionamento entrega delivery cardapio ou mas porque quando onde como qual quais "
-    "massa gelada tira gosto tipo sabe cara"
-).split()
+    "pra", "num", "numa", "nuns", "numas", "uns", "umas", "quero", "preciso", "busco", "procuro", "bora", "vou", "tem", "temos", "fica", "ficam",
+    "funciona", "funcionam", "aberto", "aberta", "fechado", "perto", "aqui", "daqui", "agora", "hoje", "amanha", "ontem", "junto", "tudo", "nada",
+    "muito", "pouco", "mais", "menos", "lugar", "lugares", "restaurante", "restaurantes", "lanchonete", "padaria", "sorveteria", "churrascaria",
+    "pizzaria", "hamburgueria", "farmacia", "clinica", "academia", "barbearia", "salao", "petshop", "veterinario", "balada", "boate", "brinquedoteca",
+    "parquinho", "quadra", "oficina", "mecanica", "borracharia", "funilaria", "manicure", "pedicure", "cabeleireiro", "maquiagem", "depilacao",
+    "almoco", "jantar", "manha", "noite", "barato", "caro", "preco", "nota", "avaliacao", "horario", "funcionamento", "entrega", "delivery",
+    "cardapio", "ou", "mas", "porque", "quando", "onde", "como", "qual", "quais", "massa", "gelada", "tira", "gosto", "tipo", "sabe", "cara",
+)
 # Phrases and words of nearness.
 NEAR_PHRASES = (
     "perto de mim", "perto daqui", "perto daki", "aqui perto", "ai perto", "ali perto", "por aqui", "por perto", "perto de casa", "perto da", "perto do", "na minha regiao", "na minha area",
@@ -58,7 +66,7 @@ RATING_TERMS = (
     ("melhor avaliado", 4.5), ("highly rated", 4.5), ("top rated", 4.5), ("best rated", 4.5), ("well rated", 4.0), ("great", 4.0), ("excellent", 4.5),
 )
 REVIEW_PATTERNS = (r"(\d+)\s*reviews", r"at least\s*(\d+)\s*reviews")
-STOP_WORDS = "the a an and or but in on at to for of with by o os as de da do das dos em para com por".split()
+STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "o", "os", "as", "de", "da", "do", "das", "dos", "em", "para", "com", "por")
 # Routing words, rule-mode words, and the place type and next suggestion of each category.
 ROUTES = (("compare_places", ("compare", "comparar", "diferenca", "difference")), ("help", ("help", "ajuda", "como", "how")), ("smalltalk", ("hello", "hi", "oi", "thanks", "obrigado")), ("place_details", ("what is", "tell me about")))
 RULES = (("location", ("near", "close", "perto")), ("popularity", ("best", "top", "popular", "melhor")), ("business_hours", ("open", "hours", "aberto")), ("price", ("cheap", "price", "barato")))
@@ -176,22 +184,44 @@ def sort_preference(folded: Column, near: Column, located: Column, primary: Colu
     return out.otherwise("best_match")
 
 
-def scan_lexicon(messages: DataFrame, lexicon: DataFrame, key: str = "message_id", text: str = "folded") -> DataFrame:
+def scan_lexicon(messages: DataFrame, lexicon: DataFrame, key: str = "message_id", text: str = "folded", part_phrases: int = PART_PHRASES) -> DataFrame:
     """(key, category, phrase) of the phrases that stand anywhere in a message's text.
 
-    A phrase is joined on its first four characters, or all it has, with the places where a message has them, then compared in full."""
-    probe = 4
-    phrases = lexicon.select("category", fold(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct().withColumn("mark", F.substring("phrase", 1, probe))
-    sizes = [r.n for r in phrases.select(F.char_length("mark").alias("n")).distinct().collect()]  # 1 to 4
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
-
-    def marks_of(n: int) -> Column:
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col(text), i, F.lit(n)).alias("mark")))
-
-    marks = F.flatten(F.array(*map(marks_of, sizes))) if sizes else F.array().cast("array<struct<at:int,mark:string>>")
-    places = messages.select(key, text, F.explode(marks).alias("m")).select(key, text, "m.at", "m.mark").where(F.char_length("mark").isin(sizes or [0]))
-    found = places.join(phrases.hint("shuffle_hash"), "mark").where(F.substring(F.col(text), F.col("at"), F.char_length("phrase")) == F.col("phrase"))
-    return found.select(key, "category", "phrase").distinct()
+    The phrases are cut into parts of part_phrases, each an automaton that reads a text once, letter by letter, whatever the number of phrases; a part is what
+    is broadcast at once, and each part reads the messages once. Null texts hold nothing, and empty phrases are none."""
+    spark = messages.sparkSession
+    phrases = lexicon.select("category", fold(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct()
+    count = phrases.select(F.count_distinct("phrase")).first()[0]
+    parts = max(1, -(-count // part_phrases))
+    part_of = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+    rows = messages.select(key, text)
+    schema = rows.select(key).schema.add("category", "string").add("phrase", "string")
+
+    def scan(part: int) -> DataFrame:
+        of: dict[str, list[str]] = {}
+        for r in phrases.where(part_of == part).collect():
+            of.setdefault(r.phrase, []).append(r.category)
+        shared = spark.sparkContext.broadcast(of)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+            for phrase, categories in shared.value.items():
+                automaton.add_word(phrase, (phrase, categories))
+            automaton.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for i, body in enumerate(batch.column(1).to_pylist()):
+                    if body and shared.value:
+                        hits = {phrase: categories for _, (phrase, categories) in automaton.iter(body)}
+                        pairs = [(category, phrase) for phrase, categories in hits.items() for category in categories]
+                        at += [i] * len(pairs)
+                        found += pairs
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array([f[k] for f in found], pa.string()) for k in range(2)]]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, map(scan, range(parts))).distinct()
 
 
 def scan_keywords(messages: DataFrame, keywords: DataFrame, key: str = "message_id", text: str = "folded") -> DataFrame:

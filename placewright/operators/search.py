@@ -126,6 +126,23 @@ def secondary_only(category: str = "category") -> Column:
     return F.coalesce("secondary_only", by_main)
 
 
+def passed(candidates: DataFrame) -> DataFrame:
+    """Candidates that agree in `asked` and are open or needn't be, with secondary_only, after the price and rating filters."""
+    return filter_rating(filter_price(candidates)).withColumn("secondary_only", secondary_only())
+
+
+def interned(questions: DataFrame, pairs: DataFrame, category: str = "category") -> tuple[DataFrame, DataFrame]:
+    """Questions that ask for lists of categories, and the pairs (place_category, asked), with each different list as one asked category: its key is the list as
+    JSON, and what matches any of its categories matches it. An empty list asks for none. Questions with single categories are left as they are."""
+    if dict(questions.dtypes).get(category, "") != "array<string>":
+        return questions, pairs
+    listed = F.array_sort(F.array_distinct(F.array_compact(category)))
+    keyed = questions.withColumn("__list", listed).withColumn(category, F.when(F.size("__list") > 0, F.to_json("__list")))
+    lists = keyed.where(F.col(category).isNotNull()).select(F.col(category).alias("__key"), F.explode("__list").alias("asked")).distinct()
+    of_lists = lists.join(pairs.select("place_category", "asked").distinct().hint("merge"), "asked").select("place_category", F.col("__key").alias("asked")).distinct()
+    return keyed.drop("__list"), of_lists
+
+
 def filter_category(candidates: DataFrame, pairs: DataFrame, asked: str = "category", key: str = "row_id") -> DataFrame:
     """Candidates one of whose categories matches the question's; no asked category, or a place without any, passes. Adds secondary_only.
 
@@ -185,11 +202,8 @@ def score_columns(candidates: DataFrame, key: str | None = "question_id") -> Dat
     return candidates.withColumns({"popularity": popularity, "best_match": 0.45 * (rating / 5) + 0.35 * (popularity / 5) + 0.20 * near})
 
 
-def rank(candidates: DataFrame, k: int = KEPT, key: str | tuple[str, ...] = "question_id", mode: str = "mode") -> DataFrame:
-    """The first k candidates of each question by its mode, with their position from 1.
-
-    What was asked for by its main category comes first, then known hours before unknown, then the mode's order, then row_id. Each map task sends on
-    its own first k only."""
+def order_keys(candidates: DataFrame, mode: str = "mode") -> tuple[list[Column], Column, Column]:
+    """What ranks scored candidates before row_id: the leading keys, which ascend, then the mode's value and what breaks its ties, which descend."""
     zero = F.lit(0.0)
     rating, reviews = F.coalesce("rating", zero), F.coalesce("reviews", F.lit(0)).cast("double")
     by = lambda name, value: F.when(F.col(mode) == name, value)
@@ -198,6 +212,15 @@ def rank(candidates: DataFrame, k: int = KEPT, key: str | tuple[str, ...] = "que
     has = set(candidates.columns)
     lead = [F.col("secondary_only").cast("int")] if "secondary_only" in has else []
     lead += [F.coalesce((F.col("open_status") == "unknown").cast("int"), F.lit(0))] if "open_status" in has else []
+    return lead, first, second
+
+
+def rank(candidates: DataFrame, k: int = KEPT, key: str | tuple[str, ...] = "question_id", mode: str = "mode") -> DataFrame:
+    """The first k candidates of each question by its mode, with their position from 1.
+
+    What was asked for by its main category comes first, then known hours before unknown, then the mode's order, then row_id. Each map task sends on
+    its own first k only."""
+    lead, first, second = order_keys(candidates, mode)
     order = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*lead, first.desc(), second.desc(), "row_id")
     return candidates.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 

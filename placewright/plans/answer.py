@@ -7,27 +7,26 @@ ranking and display.
 Work is split by what decides the order, so that questions meet no more places than they must:
 
 * near: candidates come from a distance join within the settled radius.
-* same order: without a location, or ranked by rating or popularity, all questions with the same filters get the same
-  places. Each distinct set of filters is ranked once, with map-side top k, and shared by its questions.
-* far: a located question ranked by distance or best match, without asking for nearness, has an order of its own over all
-  places that its filters leave, and best match needs the farthest of them. Such questions meet the places of their
-  filters in tiles of a fixed size. Pairs are counted and ranked where they are made and are not shuffled.
+* others: questions that agree in filters, ranking and, where it counts, location are one. Each visits the cells of an index of the
+  places, best bound first, until no other cell can hold one of its first k (see place_index). Best match needs the farthest
+  place that the filters leave, which is searched for the same way.
+* How many places the filters leave no location changes: places are counted by what filters look at, once for each
+  different limit of price and rating, and then by the texts that are open.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import haversine_km
 from placewright.functions.hours import instant_slots, parse_hours, slot_instants, with_open_slots
-from placewright.operators import search
+from placewright.operators import place_index, search
 from placewright.tables import written
 
-#: Places and questions of one tile.
-TILE_PLACES, TILE_QUESTIONS = 2_000, 100
-
-OPTIONAL = {"near_me": "boolean", "price_max": "double", "price_range": "string", "min_rating": "double", "open_now": "boolean", "category": "string"}
+OPTIONAL = {"near_me": "boolean", "price_max": "double", "price_range": "string", "min_rating": "double", "open_now": "boolean", "category": "string", "intents": "array<string>"}
+#: Tasks among which the rows of one key are dealt where they are counted.
+DEALS = 16
 FILTERS = ("open_now", "slot", "category", "price_max", "min_rating")
 
 
@@ -36,7 +35,7 @@ def prepared(questions: DataFrame) -> DataFrame:
     given = set(questions.columns)
     q = questions.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in given})
     q = q.withColumns({
-        "price_max": search.most_price(F.col("price_range"), F.col("price_max")), "open_now": F.coalesce("open_now", F.lit(False)), "mode": search.ranking_mode(F.col("sort_preference")),
+        "price_max": search.most_price(F.col("price_range"), F.col("price_max")), "open_now": F.coalesce("open_now", F.lit(False)), "mode": search.ranking_mode(F.col("sort_preference"), F.col("intents")),
         "located": F.col("lat").isNotNull() & F.col("lng").isNotNull(),
     })
     q = q.withColumn("near", F.col("located") & F.coalesce("near_me", F.lit(False)))
@@ -48,72 +47,72 @@ def unanswerable(questions: DataFrame) -> DataFrame:
     return prepared(questions).where("mode = 'distance' and not located").select("question_id", F.lit("a location is required for distance ranking").alias("error"))
 
 
-def passed(candidates: DataFrame) -> DataFrame:
-    """Candidates that agree in `asked` and are open or needn't be, with secondary_only, after the price and rating filters."""
-    kept = search.filter_rating(search.filter_price(candidates))
-    return kept.withColumn("secondary_only", search.secondary_only())
-
-
 def near_answers(questions: DataFrame, places: DataFrame, sorted_places: DataFrame, k: int) -> DataFrame:
-    settled = search.settle_radius(questions, places.select("p_lat", "p_lng", "hours_raw", "open_slots"), search.filter_open_at)
-    found = search.in_radius(search.by_category(settled), sorted_places, on=("asked",))
-    found = passed(search.filter_open_at(found)).withColumn("n_candidates", F.count(F.lit(1)).over(Window.partitionBy("question_id")))
-    return search.rank(search.score_columns(found), k).select("question_id", "row_id", "position", "open_status", "secondary_only", "n_candidates", "radius_used")
+    settled = search.by_category(search.settle_radius(questions, places.select("p_lat", "p_lng", "hours_raw", "open_slots"), search.filter_open_at))
+    pairs = lambda asking: search.passed(search.filter_open_at(search.in_radius(asking, sorted_places, on=("asked",))))
+    # pairs are counted where they are made, and made again to be ranked there: they are many more than what is kept
+    reach = pairs(settled).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.max("km").alias("farthest"))
+    found = pairs(settled.join(reach.hint("merge"), "question_id"))
+    return search.rank(search.score_columns(found, None), k).select("question_id", "row_id", "position", "open_status", "secondary_only", "n_candidates", "radius_used")
 
 
-def filter_sets(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct filter sets with their key `set`, and the questions with theirs. Instants at which the same texts are open are one slot."""
-    keyed = questions.withColumn("set", F.to_json(F.struct(*FILTERS), {"ignoreNullFields": "false"}))
-    return keyed.select("set", *FILTERS).distinct(), keyed
+def key_of(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def set_places(sets: DataFrame, sorted_places: DataFrame, parts: int = 16) -> DataFrame:
-    """The places that each set of filters leaves. Places are dealt into parts, so that those of a category that many have are no single task's."""
-    every = search.by_category(sets).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = sorted_places.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int"))
-    return passed(search.filter_open_at(dealt.join(every.hint("shuffle_hash"), ["asked", "part"])))
+def counted(sets: DataFrame, sorted_places: DataFrame) -> DataFrame:
+    """(set, n_candidates): how many places each set of filters leaves."""
+    lists = sorted_places.groupBy("asked", "hours_raw", "price", "rating").agg(F.count(F.lit(1)).alias("n"), F.first("open_slots", True).alias("open_slots"))
+    lists = lists.withColumn("list", F.xxhash64("hours_raw", "price", "rating"))
+    sets = sets.withColumn("limits", key_of("category", "price_max", "min_rating"))
+    limits = search.by_category(sets.select("limits", "category", "price_max", "min_rating").distinct())
+    left = search.filter_rating(search.filter_price(place_index.dealt_join(limits, lists, ["asked"], "list", DEALS)))
+    texts = left.groupBy("limits", "hours_raw").agg(F.sum("n").alias("n"), F.first("open_slots", True).alias("open_slots"))
+    met = place_index.dealt_join(sets.select("set", "limits", "open_now", "slot"), texts, ["limits"], "hours_raw", DEALS)
+    return search.filter_open_at(met).groupBy("set").agg(F.sum("n").alias("n_candidates"))
 
 
-def same_answers(questions: DataFrame, left: DataFrame, k: int) -> DataFrame:
-    """Questions whose order no location decides: each (set, mode) is ranked once."""
-    modes = questions.select("set", "mode").distinct()
-    scored = search.score_columns(left.join(modes.hint("merge"), "set").withColumn("km", F.lit(None).cast("double")), None)
-    top = search.rank(scored, k, key=("set", "mode"))
-    counts = left.groupBy("set").agg(F.count(F.lit(1)).alias("n_candidates"))
-    top = top.join(counts.hint("merge"), "set").select("set", "mode", "row_id", "position", "open_status", "secondary_only", "n_candidates")
-    return questions.select("question_id", "set", "mode").join(top.hint("merge"), ["set", "mode"]).drop("set", "mode")
+def index_asks(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What has to be searched for, each different one once, and the questions with its key: filters, ranking, and the location where that decides the order."""
+    own = F.col("located") & F.col("mode").isin("distance", "best_match")
+    keyed = questions.withColumns({c: F.when(own, F.col(c)) for c in ("lat", "lng")})
+    keyed = keyed.withColumns({"set": key_of(*FILTERS), "key": key_of("mode", "lat", "lng", *FILTERS)})
+    asks = keyed.select("key", "set", "mode", "lat", "lng", *FILTERS).distinct()
+    asks = asks.withColumns({"ask": F.monotonically_increasing_id(), "kind": place_index.kind_of(F.col("mode"), F.col("lat").isNotNull()), "farthest": F.lit(None).cast("double")})
+    return written(asks, "asks"), keyed.select("question_id", "key", "set")
 
 
-def far_answers(questions: DataFrame, left: DataFrame, k: int) -> DataFrame:
-    """Located questions whose order is their own: tiles of questions and of the places of their set."""
-    cut = lambda df, n, name: df.groupBy("set").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name)).hint("merge")
-    wanted = left.join(questions.select("set").distinct().hint("merge"), "set", "left_semi")
-    wanted = wanted.select("set", "row_id", "p_lat", "p_lng", "rating", "reviews", "open_status", "secondary_only")
-    p_parts, q_parts = cut(wanted, TILE_PLACES, "ps"), cut(questions, TILE_QUESTIONS, "qs")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    ps = wanted.join(p_parts, "set").join(q_parts, "set").withColumn("p", part("row_id", "ps")).withColumn("q", every("qs")).drop("ps", "qs")
+def index_answers(asks: DataFrame, sorted_places: DataFrame, k: int, cell_places: int = place_index.CELL_PLACES) -> tuple[DataFrame, DataFrame]:
+    """The first k places of each ask; how many places each looked at, a row for each round."""
+    kinds = [r.kind for r in asks.select("kind").distinct().collect()]
+    rows, cells = place_index.indexed(sorted_places, sorted({*kinds, "spatial"} if "best" in kinds else kinds) or ["quality"], cell_places)
+    far = asks.where("kind = 'best'").withColumns({"mode": F.lit("farthest"), "kind": F.lit("spatial")})
+    farthest, looked = place_index.best_places(far, rows, cells, 1)
+    asks = asks.drop("farthest").join(farthest.select("ask", F.col("km").alias("farthest")).hint("merge"), "ask", "left")
+    found, more = place_index.best_places(asks, rows, cells, k)
+    return found, looked.unionByName(more)
 
-    def pairs(asking: DataFrame) -> DataFrame:
-        qs = asking.join(p_parts, "set").join(q_parts, "set").withColumn("q", part("question_id", "qs")).withColumn("p", every("ps")).drop("ps", "qs")
-        found = qs.join(ps.hint("shuffle_hash"), ["set", "q", "p"])
-        return found.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")))
 
-    asking = questions.select("question_id", "set", "mode", "lat", "lng")
-    reach = pairs(asking).groupBy("question_id").agg(F.max("km").alias("farthest"), F.count(F.lit(1)).alias("n_candidates"))
-    found = pairs(asking.join(reach.hint("merge"), "question_id"))
-    return search.rank(search.score_columns(found, None), k).select("question_id", "row_id", "position", "open_status", "secondary_only", "n_candidates")
+def other_answers(questions: DataFrame, sorted_places: DataFrame, k: int) -> DataFrame:
+    """Questions that keep the whole catalog."""
+    asks, keyed = index_asks(questions)
+    found, _ = index_answers(asks, sorted_places, k)
+    counts = counted(asks.select("set", *FILTERS).distinct(), sorted_places)
+    top = found.join(asks.select("ask", "key").hint("merge"), "ask").select("key", "row_id", "position", "open_status", "secondary_only")
+    return keyed.join(top.hint("merge"), "key").join(counts.hint("merge"), "set").drop("key", "set")
 
 
 def answer_questions(questions: DataFrame, places: DataFrame, category_pairs: DataFrame, intervals: DataFrame | None = None, k: int = search.KEPT) -> DataFrame:
     """The first k places for each question, with position, km (null without a location), radius_used (null unless near), open_status, secondary_only and n_candidates, the
     number of places that the filters left.
 
-    questions: question_id, lat, lng, day_idx, sec_of_day and sort_preference, and any of near_me, open_now, category, price_max, price_range ($ to $$$$), min_rating.
+    questions: question_id, lat, lng, day_idx, sec_of_day and sort_preference, and any of near_me, open_now, category (one, or a list of which any will do), price_max, price_range ($
+    to $$$$), min_rating, intents (which decide the ranking where sort_preference does not).
     Tables that several steps read are written to the shared folder.
     places: row_id, place_id, title, p_lat, p_lng, categories, category_name, price, reviews, rating, hours_raw, and others, which are passed on.
     Questions ranked by distance without a location have no rows: see unanswerable."""
     intervals = written(parse_hours(places) if intervals is None else intervals, "intervals")
+    questions, category_pairs = search.interned(questions, category_pairs)
     asked = prepared(questions).where("mode <> 'distance' or located")
     slots = written(instant_slots(asked.where("open_now"), intervals), "slots")
     asked = written(asked.join(slots.hint("merge"), ["day_idx", "sec_of_day"], "left").withColumn("slot", F.when(F.col("open_now"), F.col("slot"))), "questions")
@@ -121,11 +120,8 @@ def answer_questions(questions: DataFrame, places: DataFrame, category_pairs: Da
     slim = written(with_open_slots(slim, intervals, slot_instants(slots)), "places")
     sorted_places = written(search.places_by_category(slim, category_pairs).drop("categories"), "places")
     near = near_answers(asked.where("near"), slim, sorted_places, k)
-    sets, others = filter_sets(asked.where("not near"))
-    left = written(set_places(sets, sorted_places), "left")
-    own = F.col("located") & F.col("mode").isin("distance", "best_match")
-    none = F.lit(None).cast("double")
-    found = near.unionByName(same_answers(others.where(~own), left, k).withColumn("radius_used", none)).unionByName(far_answers(others.where(own), left, k).withColumn("radius_used", none))
+    others = other_answers(asked.where("not near"), sorted_places, k)
+    found = near.unionByName(others.withColumn("radius_used", F.lit(None).cast("double")))
     shown = found.join(places.hint("merge"), "row_id").join(questions.select("question_id", "lat", "lng").hint("merge"), "question_id")
     return shown.withColumn("km", _distance()).drop("lat", "lng")
 
