@@ -172,7 +172,7 @@ def extract_min_reviews(folded: Column) -> Column:
 
 def extract_keywords(text: Column, most: int = 10) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return F.slice(F.filter(words, lambda w: ~w.isin(STOP_WORDS) & (F.char_length(w) > 2)), 1, most)
+    return F.slice(F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & (F.char_length(w) > 2)), 1, most)
 
 
 def sort_preference(folded: Column, near: Column, located: Column, primary: Column | None = None, confidence: Column | None = None, popularity: Column | None = None) -> Column:
@@ -239,6 +239,13 @@ def union_terms(terms: DataFrame, key: str = "message_id", term: str = "term", o
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t[term]).alias("terms"))
 
 
+def canonical(categories: Column) -> Column:
+    """The first of a list of categories that has a sibling to suggest, by its canonical spelling."""
+    keys = F.transform(categories, lambda c: F.replace(fold(c), F.lit(" "), F.lit("_")))
+    keys = F.transform(keys, lambda k: F.coalesce(lookup(SPELLINGS, k), k))
+    return F.get(F.filter(keys, lambda k: k.isin(*SIBLINGS)), F.lit(0))
+
+
 def follow_up_chips(category: Column, open_now: Column, near: Column, min_rating: Column, located: Column, language: str = "en") -> Column:
     """Up to three suggestions; a filter that is set isn't suggested again."""
     key = F.replace(fold(category), F.lit(" "), F.lit("_"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from placewright.queries import catalog, limits, matching, planning, search
+from placewright.queries import catalog, chat, limits, matching, planning, search
 
 
 def _all() -> dict:
-    return search.QUERIES | catalog.QUERIES | limits.QUERIES | planning.QUERIES | matching.QUERIES
+    return search.QUERIES | catalog.QUERIES | limits.QUERIES | planning.QUERIES | matching.QUERIES | chat.QUERIES
 
 
 def queries() -> dict:
