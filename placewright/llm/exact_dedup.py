@@ -7,8 +7,8 @@ these narrow rows: only rows whose length is shared go on to the prefix hash, an
 have their digests compared. The texts themselves are never shuffled. Every step is a grouped count with map-side
 combine, and a join back deals the rows of a key among tasks, so a group with a third of all rows is no single task's.
 
-`drop_copies` keeps whole rows: rows of texts that no other row has stay where they are, told by a bit map of fixed size,
-and of the others one row a text and map task moves.
+`drop_copies` keeps whole rows and needs no digest of every text: one pass takes lengths and prefix hashes, and only rows that share both with
+another are digested. All others stay where they are, told by a bit map of fixed size; of those digested one row a text and map task moves.
 
 Defined cases: a null text equals an empty one, and a text of blanks only equals a single space. Repeated rows count
 one by one; of rows that repeat the smallest id, all say kept, while drop_copies keeps one of them. A null id never survives beside a real one. Very long
@@ -65,13 +65,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One whole row of df for each different text: the one with the smallest id."""
-    rows = written(measured(df, id_col, text_col), "measured")
-    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[id_col].alias("__id"), F.unhex(F.sha2(normalised(df[text_col]), 256)).alias("__sha"))
-    marked = sifted(whole, F.xxhash64("__sha"), groups(rows).select(F.xxhash64("__sha").alias("key")))
-    several = first_rows(marked.where("__held").drop("__held"), "__sha", "__id")
-    kept = marked.where("not __held").select("__row").unionByName(several.select("__row"))
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """One whole row of df for each different text: the one with the smallest id. Only rows whose length and prefix hash others share are digested."""
+    norm = normalised(df[text_col])
+    length, prefix = F.octet_length(norm), F.xxhash64(F.substring(norm, 1, prefix_chars))
+    rows = written(df.select(length.alias("__len"), prefix.alias("__pre")), "measured")
+    shared = lambda part, *keys: part.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).where("__size > 1").select(*keys)
+    by_length = dealt_join(rows, shared(rows, "__len"), ["__len"], "left_semi", F.col("__pre"))
+    keys = shared(by_length, "__len", "__pre").select(F.xxhash64("__len", "__pre").alias("key"))
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[id_col].alias("__id"), df[text_col].alias("__text"), F.xxhash64(length, prefix).alias("__key"))
+    marked = sifted(whole, F.col("__key"), keys)
+    digested = marked.where("__held").select("__row", "__id", F.unhex(F.sha2(normalised(F.col("__text")), 256)).alias("__sha"))
+    kept = marked.where("not __held").select("__row").unionByName(first_rows(digested, "__sha", "__id").select("__row"))
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
 
 

@@ -9,12 +9,12 @@ toxic and clean texts, where these stand out from chance. A word counts only if
 much-copied text doesn't pass for a lexicon word. Two thirds of the sample grow the lexicon and trees, the others
 calibrate.
 
-The training sample is bounded (MAX_TRAIN rows, drawn by a hash of the id) and so are the lexicon (MAX_LEXICON entries
-of each kind) and what is collected or broadcast. Scoring is one pass over the texts, without a shuffle.
+The training sample is bounded (MAX_TRAIN rows, drawn by a hash of the id), and so is what stands out in it: the lexicon, which is all that is collected and
+broadcast. Scoring is one pass over the texts, without a shuffle.
 
 Defined cases: a null text scores as an empty one. A row with a null label, or no document, doesn't train. With no training rows, or
 only one label among them, every score is the share of toxic labels (0 without labels). Rows with repeated ids train
-once for each. Ties in the lexicon go by the word. Very long texts are scored whole. An empty table gives an empty result; extra columns are
+once for each. Very long texts are scored whole. An empty table gives an empty result; extra columns are
 ignored, and kept by drop_toxic, whatever their names.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from placewright.llm.common import crc_of_id, id_share, written
 
-MAX_TRAIN, MAX_LEXICON, MIN_TEXTS, MIN_WEIGHT, MIN_Z = 24_000, 4_000, 3, 1.0, 3.2
+MAX_TRAIN, MIN_TEXTS, MIN_WEIGHT, MIN_Z = 24_000, 3, 1.0, 3.2
 BEGINNINGS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 TREES, DEPTH = 20, 3
@@ -108,8 +108,7 @@ def learn_lexicon(train: DataFrame, n_bad: int, n_clean: int) -> dict[str, float
     # copies of one text show an item after one word; a true lexicon item is seen after nearly as many as chance allows
     fresh = 62 * (1 - F.pow(F.lit(61 / 62), F.col("bad").cast("double")))
     strong = strong.where(F.col("contexts") >= 0.4 * fresh)
-    top = strong.orderBy(F.desc(F.col("weight") * F.log1p("bad")), "item").limit(2 * MAX_LEXICON)
-    return {r.item: r.weight for r in top.collect()}
+    return {r.item: r.weight for r in strong.select("item", "weight").collect()}
 
 
 def features_of(text: str, lexicon: dict[str, float]) -> tuple[float, ...]:

@@ -92,6 +92,12 @@ def test_stages_judge_rows_by_their_texts(spark):
     df = spark.createDataFrame(odd_rows(held), ODD_KINDS).repartition(2)
     assert numbers(decontaminate.drop_contaminated(df, items)) == [0, 3, 4, 5, 6]
     assert numbers(decontaminate.drop_contaminated(df, items, max_items=1)) == [0, 3, 4, 5, 6]
+    # more indexes than one scan takes: each scan reads what the one before has written
+    many = items.unionByName(spark.createDataFrame([(100 + i, f"item number {i} of those that nobody holds at all") for i in range(14)], "item_id long, text string"))
+    assert numbers(decontaminate.drop_contaminated(df, many, max_items=1)) == [0, 3, 4, 5, 6]
+    several = decontaminate.contaminated(df, many, keep=("__row",), max_items=1)
+    assert sorted((r["__row"], r.item_id) for r in several.collect()) == [(1, None), (1, None), (2, None), (2, None)]
+    assert several._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
     found = sorted((r["__row"], r.item_id) for r in decontaminate.contaminated(df, items, keep=("__row",)).collect())
     assert found == [(1, None), (1, None), (2, None), (2, None)]
     nothing = df.limit(0)

@@ -25,42 +25,71 @@ def clashing(spark, rows):
     return spark.createDataFrame([(i, t, *[1, "s", 1, 1, 1, 1, 1, 1, 1, 1, 1, "w", 1]) for i, t in rows], kinds).repartition(3)
 
 
-def language_by_hand(texts, model):
+def language_model_by_hand(rows):
+    """Log frequencies of words, and of n-grams that each different word of a language gives with a weight, as dicts."""
+    langs = sorted({lang for _, _, lang in rows})
+    counts = {0: {lang: Counter() for lang in langs}}
+    for _, text, lang in rows:
+        counts[0][lang].update(re.findall(r"[^\W\d_]+", text.lower()))
+    for n in (1, 2, 3, 4, 5):
+        counts[n] = {lang: Counter() for lang in langs}
+        for lang in langs:
+            for w, k in counts[0][lang].items():
+                marked = f"^{w}$" if n > 1 else w
+                for i in range(len(marked) - n + 1):
+                    counts[n][lang][marked[i : i + n]] += 1 + int(math.log2(k))
+    model = {}
+    for n, by in counts.items():
+        items = {x for c in by.values() for x in c}
+        model[n] = {x: [math.log((by[lang][x] + 0.5) / (sum(by[lang].values()) + 0.5 * len(items))) for lang in langs] for x in items}
+    return langs, model
+
+
+def language_by_hand(texts, langs, model):
     """The word-first rule, word by word."""
-    langs, (words, rows), grams = model["langs"], model["words"], model["grams"]
     out = []
     for text in texts:
         total, any_ = [0.0] * len(langs), False
         for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
             any_ = True
-            if w in words:
-                for k in range(len(langs)):
-                    total[k] += float(rows[words.index(w)][k])
+            if w in model[0]:
+                total = [t + x for t, x in zip(total, model[0][w], strict=True)]
                 continue
             back = 0.0
             for n in (5, 4, 3, 2, 1):
                 back += math.log(0.4)
                 marked = f"^{w}$" if n > 1 else w
-                items, logs = grams.get(n, ([], None))
-                seen = [logs[items.index(marked[i : i + n])] for i in range(len(marked) - n + 1) if marked[i : i + n] in items]
+                seen = [model[n][marked[i : i + n]] for i in range(len(marked) - n + 1) if marked[i : i + n] in model[n]]
                 if seen:
-                    for k in range(len(langs)):
-                        total[k] += sum(float(x[k]) for x in seen) / len(seen) + back
+                    total = [t + sum(x[k] for x in seen) / len(seen) + back for k, t in enumerate(total)]
                     break
-        best = max(range(len(langs)), key=lambda k: (round(total[k], 9), -k)) if any_ else None
+        best = max(range(len(langs)), key=lambda k: (round(total[k], 4), -k)) if any_ else None
         out.append("und" if best is None else langs[best])
     return out
 
 
+def test_language_model_is_as_large_as_its_sample():
+    """200 languages of 10,000 words each that no other has: no row is as wide as all languages."""
+    import pickle
+
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 1 << 63, 2_000_000).astype(np.uint64)
+    logs = language_id.Logs(hashes, np.repeat(np.arange(200), 10_000), np.ones(2_000_000), 200)
+    assert len(pickle.dumps(logs)) < 100_000_000
+    row = logs.rows(logs.find(hashes[[7, 1_999_999]]), np.array([0, 1]), 2)
+    assert row.argmax(axis=1).tolist() == [0, 199] and (logs.find(np.array([3], np.uint64)) == -1).all()
+    assert np.allclose(row[0, 0], math.log(1.5 / (10_000 + 0.5 * 2_000_000))) and np.allclose(row[0, 1], math.log(0.5 / (10_000 + 0.5 * 2_000_000)))
+
+
 def test_language_id_by_hand(spark):
     rng = random.Random(3)
     vocabulary = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnop"[k % 5 : k % 5 + 8]) for _ in range(rng.randint(2, 8))) for _ in range(12)] for k in range(4)}
     rows = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(15)), lang) for i, lang in enumerate(list(vocabulary) * 10)]
-    model = language_id.fit(spark.createDataFrame(rows, "id long, text string, lang string"), max_words=30, max_grams=60)
+    model = language_id.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
     texts = [" ".join(rng.choice(rng.choice(list(vocabulary.values())))[: rng.randint(2, 8)] + rng.choice(["", "zz", "1", "ß"]) for _ in range(rng.randint(1, 9))) for _ in range(60)] + [None, "", "42", "abc " * 30_000]
     df = clashing(spark, [*enumerate(texts), (0, texts[0]), (None, texts[1])])
     got = language_id.identify(df, model).collect()
-    want = language_by_hand(texts, model)
+    want = language_by_hand(texts, *language_model_by_hand(rows))
     assert sorted((r.doc_id, r.lang_pred) for r in got if r.doc_id is not None) == sorted([*enumerate(want), (0, want[0])])
     assert [r.lang_pred for r in got if r.doc_id is None] == [want[1]] and all(0 <= r.score <= 1 for r in got)
     assert language_id.identify(df.limit(0), model).count() == 0
