@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ from placewright.streaming.limits import CHAT_FIELDS, EMPTY, HIT_FIELDS, LIMIT,
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def plain(value):
+    """A value as the state store takes it: no numpy scalars or arrays."""
+    if isinstance(value, np.generic):
+        return value.item()
+    return [plain(x) for x in value] if isinstance(value, list | tuple | np.ndarray) else None if value is pd.NaT else value
+
+
 class InOrder(StatefulProcessor):
     """Rows (ts_us, event_id, *fields) of a key through step(key, state, row) -> (state, output row), in order of event time."""
 
@@ -36,14 +44,14 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.fields)
         self.held = handle.getValueState("held", f"{self.state}, last_us long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        came = [tuple(None if x is None or x is pd.NaT else x for x in r) for part in rows for r in part[self.columns].astype(object).itertuples(index=False)]
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = [tuple(plain(r)) for part in rows for r in part[self.columns].astype(object).itertuples(index=False)]
         self.waiting.appendList(came)
         self.handle.registerTimer(-(-min(int(r[0]) for r in came) // 1000))
         yield from ()
 
-    def handleExpiredTimer(self, key: tuple, timer_values, expired) -> Iterator[pd.DataFrame]:
-        passed = timer_values.getCurrentWatermarkInMs() * 1000
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
         ready, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
         *now, last = self.held.get() if self.held.exists() else (*self.empty, 0)
@@ -53,12 +61,12 @@ class InOrder(StatefulProcessor):
             out.append(found)
             last = int(row[0])
         if later:
-            self.waiting.put(later)
+            self.waiting.put([tuple(plain(r)) for r in later])
             self.handle.registerTimer(-(-later[0][0] // 1000))
         else:
             self.waiting.clear()
         if ready:
-            self.held.update((*now, last))
+            self.held.update((*plain(now), last))
             self.handle.registerTimer(-(-(last + self.keep_us) // 1000) + 1)
         elif not later and passed > last + self.keep_us:
             self.held.clear()
