@@ -97,7 +97,6 @@ def test_stages_judge_rows_by_their_texts(spark):
     assert numbers(decontaminate.drop_contaminated(df, many, max_items=1)) == [0, 3, 4, 5, 6]
     several = decontaminate.contaminated(df, many, keep=("__row",), max_items=1)
     assert sorted((r["__row"], r.item_id) for r in several.collect()) == [(1, None), (1, None), (2, None), (2, None)]
-    assert several._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
     found = sorted((r["__row"], r.item_id) for r in decontaminate.contaminated(df, items, keep=("__row",)).collect())
     assert found == [(1, None), (1, None), (2, None), (2, None)]
     nothing = df.limit(0)
