@@ -25,15 +25,28 @@ def bayes(rating: Column, reviews: Column, mean: float = PRIOR_MEAN, count: int
     return (count * mean + F.coalesce(reviews, F.lit(0)) * F.coalesce(rating, F.lit(0.0))) / (count + F.coalesce(reviews, F.lit(0)))
 
 
+def by_spot(questions: DataFrame, key: str = "question_id") -> tuple[DataFrame, DataFrame]:
+    """(key, spot) of the located questions, and the spots (spot, lat, lng), each location once: what depends on the location alone is worked out for it."""
+    located = questions.where("lat is not null and lng is not null").select(key, "lat", "lng")
+    spots = written(located.select("lat", "lng").distinct().withColumn("spot", F.monotonically_increasing_id()), "spots")
+    return written(located.join(spots.hint("merge"), ["lat", "lng"]).select(key, "spot"), "spots"), spots
+
+
+def place_spots(places: DataFrame, *more: Column) -> DataFrame:
+    """The locations of places with their number of places, n, and other aggregates."""
+    return written(places.where("p_lat is not null and p_lng is not null").groupBy("p_lat", "p_lng").agg(F.count(F.lit(1)).alias("n"), *more), "spots")
+
+
 def settle_radius(
-    questions: DataFrame, places: DataFrame, stays: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, radii: tuple[float, ...] = RADII, enough: int = ENOUGH, key: str = "question_id"
+    questions: DataFrame, places: DataFrame, stays: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, radii: tuple[float, ...] = RADII, enough: int = ENOUGH, key: str = "question_id",
+    weight: str | None = None,
 ) -> DataFrame:
-    """The located questions with radius_used: the smallest radius that has enough of the pairs that stay, else the last.
+    """The located questions with radius_used: the smallest radius that has enough of the pairs that stay, else the last. weight: how many places a row of places stands for.
 
     Pairs are counted where they are made. Only questions that lack places within a radius are joined within the next. Each step's counts are written."""
     left, settled = questions.where("lat is not null and lng is not null"), []
     for km in radii[:-1]:
-        counts = stays(near_join(left, places, km)).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+        counts = stays(near_join(left, places, km)).groupBy(key).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("__n"))
         counted = written(left.join(counts.hint("merge"), key, "left"), "settled")
         has = F.coalesce(F.col("__n") >= enough, F.lit(False))
         settled.append(counted.where(has).drop("__n").withColumn("radius_used", F.lit(km)))
