@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions.text import fold, nfc
 from placewright.operators.evaluation import phrase_grams, word_counts
+from placewright.tables import spread
 
 MAX_LEN, STRENGTH = 400, 0.3
 #: Phrases of one automaton, some 20 MB.
@@ -224,13 +225,20 @@ def scan_lexicon(messages: DataFrame, lexicon: DataFrame, key: str = "message_id
     return reduce(DataFrame.unionByName, map(scan, range(parts))).distinct()
 
 
-def scan_keywords(messages: DataFrame, keywords: DataFrame, key: str = "message_id", text: str = "folded") -> DataFrame:
-    """(key, label, keyword) of the keywords that stand in a message as whole words, the last one perhaps in the plural (s or es)."""
+def scan_keywords(messages: DataFrame, keywords: DataFrame, key: str = "message_id", text: str = "folded", part_phrases: int = PART_PHRASES) -> DataFrame:
+    """(key, label, keyword) of the keywords that stand in a message as whole words, the last one perhaps in the plural (s or es).
+
+    The messages are dealt evenly, as a small file may hold many, and only those of a message's word sequences leave it that a part's set of forms has, so that
+    neither its other words nor a frequent keyword's messages meet in one task. A part has at most part_phrases forms; each reads the messages once."""
     words = F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " ")), " ")
     plain = keywords.select("label", F.lower("keyword").alias("keyword"), F.trim(F.regexp_replace(fold(F.col("keyword")), r"[^\p{L}\p{N}_]+", " ")).alias("k"))
-    grams = messages.select(key, words.alias("ws")).select(key, F.explode(phrase_grams("ws", word_counts(plain, "k"))).alias("gram")).distinct()
     forms = plain.select("label", "keyword", F.explode(F.array("k", F.concat("k", F.lit("s")), F.concat("k", F.lit("es")))).alias("gram")).distinct()
-    return grams.join(forms.hint("shuffle_hash"), "gram").select(key, "label", "keyword").distinct()
+    rows = spread(messages.select(key, text), key).select(key, words.alias("ws"))
+    grams = rows.select(key, F.explode(F.array_distinct(phrase_grams("ws", word_counts(plain, "k")))).alias("gram"))
+    parts = max(1, -(-forms.count() // part_phrases))
+    part_of = F.pmod(F.xxhash64("gram", "label", "keyword"), F.lit(parts))
+    found = [grams.join(F.broadcast(forms.where(part_of == part)), "gram") for part in range(parts)]
+    return reduce(DataFrame.unionByName, found).select(key, "label", "keyword").distinct()
 
 
 def union_terms(terms: DataFrame, key: str = "message_id", term: str = "term", order: str = "ord") -> DataFrame:

@@ -1,12 +1,14 @@
 """Work that must not grow as the pairs of large tables do."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import haversine_km
 from placewright.functions.text import name_score
-from placewright.operators import matching
+from placewright.operators import matching, planning
 from placewright.operators import search as operator
 from placewright.queries import search
 
@@ -86,3 +88,15 @@ def test_locations_are_searched_once(spark, tmp_path, monkeypatch, name):
         assert got == sorted(con.execute(sql).fetchall())
         made[copies] = sum(rows)
     assert made[1] > 0 and made[6] <= 6 * made[1]
+
+
+def test_keywords_leave_other_words_behind(spark):
+    messages = spark.createDataFrame([(1, "pub crawl in the old town"), (2, "two pubs, one red house"), (3, "red houses and a redhouse"), (4, None), (1, "pub again")], "message_id long, folded string")
+    keywords = spark.createDataFrame([("bar", "Pub"), ("bar", "inn"), ("home", "red house"), ("town", "Old Town"), ("tower", "pub")], "label string, keyword string")
+    found = planning.scan_keywords(messages, keywords)
+    want = [(1, "bar", "pub"), (1, "tower", "pub"), (1, "town", "old town"), (2, "bar", "pub"), (2, "home", "red house"), (2, "tower", "pub"), (3, "home", "red house")]
+    assert sorted(map(tuple, found.collect())) == want
+    # neither are all word sequences gathered in the memory of the task that reads them, nor dealt by word
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[[^\]]*gram#", plan)
+    assert sorted(map(tuple, planning.scan_keywords(messages, keywords, part_phrases=2).collect())) == want
