@@ -59,9 +59,11 @@ def near_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...]
     there = there.withColumn("__x", _column(F.col("p_lng"), _columns_of(F.col("__y"), tall)))
     asked = asked.withColumns({"__s": F.pmod(F.xxhash64(*left.columns), F.lit(deals)).cast("int"), **_unit("lat", "lng", "__a")})
     there = there.withColumns({"__s": F.explode(F.sequence(F.lit(0), F.lit(deals - 1))), **_unit("p_lat", "p_lng", "__b")})
-    most = (2 * math.sin(min(km / EARTH_KM, math.pi) / 2)) ** 2 * (1 + 1e-6) + 1e-15
+    limit = (2 * math.sin(min(km / EARTH_KM, math.pi) / 2)) ** 2
+    most, sure = limit * (1 + 1e-6) + 1e-15, limit * (1 - 1e-6) - 1e-15
     chord = reduce(Column.__add__, [(F.col(f"__a{i}") - F.col(f"__b{i}")) * (F.col(f"__a{i}") - F.col(f"__b{i}")) for i in range(3)])
     keys = ["__y", "__x", "__s", *on]
     found = spread(asked, *keys).join(spread(there, *keys).hint("shuffle_hash"), keys).where(chord <= most)
-    found = found.drop("__y", "__x", "__s", *[f"__{side}{i}" for side in "ab" for i in range(3)])
-    return found.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))).where(F.col("km") <= km)
+    # a pair whose chord leaves no doubt has its distance taken once, as a column, and not for the filter too
+    found = found.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))).where((chord <= sure) | (F.col("km") <= km))
+    return found.drop("__y", "__x", "__s", *[f"__{side}{i}" for side in "ab" for i in range(3)])
