@@ -43,6 +43,23 @@ def _unit(lat: str, lng: str, name: str) -> dict[str, Column]:
     return {f"{name}0": F.cos(y) * F.cos(x), f"{name}1": F.cos(y) * F.sin(x), f"{name}2": F.sin(y)}
 
 
+def in_cell(rows: DataFrame, km: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """The located rows with the cell that they lie in, (__y, __x): bands of latitude at least km tall, each cut into cells at least km wide."""
+    tall = km / KM_PER_DEGREE * 1.01
+    located = rows.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).withColumn("__y", F.floor(F.col(lat) / tall))
+    return located.withColumn("__x", _column(F.col(lng), _columns_of(F.col("__y"), tall)))
+
+
+def in_cells_around(rows: DataFrame, km: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """The located rows once for each cell of in_cell that may hold a point at most km away: their own and those around it, over the date line too."""
+    tall = km / KM_PER_DEGREE * 1.01
+    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    located = rows.where(F.col(lat).isNotNull() & F.col(lng).isNotNull())
+    located = located.withColumn("__y", F.explode(F.transform(around, lambda d: F.floor(F.col(lat) / tall) + d)))
+    columns = _columns_of(F.col("__y"), tall)
+    return located.withColumn("__x", F.explode(F.when(columns == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(around, lambda d: F.pmod(_column(F.col(lng), columns) + d, columns)))))
+
+
 def near_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...] = (), deals: int = SPREAD) -> DataFrame:
     """Pairs of rows at most km apart that agree in the columns `on`, with the distance as km. left has lat and lng, right p_lat and p_lng; rows
     without coordinates have no pair.
@@ -50,13 +67,7 @@ def near_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...]
     Both sides are dealt into bands of latitude at least km tall and each band into cells at least km wide; each left row visits its cell
     and the eight around it, over the date line too, and an equi-join on the cell is all the shuffle there is. The left rows of a cell are dealt
     to `deals` tasks, as many more rows of right being made. Pairs are sifted by the chord between their unit vectors, and only those that pass have their distance taken."""
-    tall = km / KM_PER_DEGREE * 1.01
-    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    asked = left.where("lat is not null and lng is not null").withColumn("__y", F.explode(F.transform(around, lambda d: F.floor(F.col("lat") / tall) + d)))
-    columns = _columns_of(F.col("__y"), tall)
-    asked = asked.withColumn("__x", F.explode(F.when(columns == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(around, lambda d: F.pmod(_column(F.col("lng"), columns) + d, columns)))))
-    there = right.where("p_lat is not null and p_lng is not null").withColumn("__y", F.floor(F.col("p_lat") / tall))
-    there = there.withColumn("__x", _column(F.col("p_lng"), _columns_of(F.col("__y"), tall)))
+    asked, there = in_cells_around(left, km), in_cell(right, km, "p_lat", "p_lng")
     asked = asked.withColumns({"__s": F.pmod(F.xxhash64(*left.columns), F.lit(deals)).cast("int"), **_unit("lat", "lng", "__a")})
     there = there.withColumns({"__s": F.explode(F.sequence(F.lit(0), F.lit(deals - 1))), **_unit("p_lat", "p_lng", "__b")})
     limit = (2 * math.sin(min(km / EARTH_KM, math.pi) / 2)) ** 2

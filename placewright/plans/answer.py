@@ -6,7 +6,7 @@ ranking and display.
 
 Work is split by what decides the order, so that questions meet no more places than they must:
 
-* near: candidates come from a distance join within the settled radius.
+* near: each cell of questions meets the places in its reach, location by location (see discs).
 * others: questions that agree in filters, ranking and, where it counts, location are one. Each visits the cells of an index of the
   places, best bound first, until no other cell can hold one of its first k (see place_index). Best match needs the farthest
   place that the filters leave, which is searched for the same way.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions.geo import haversine_km
 from placewright.functions.hours import instant_slots, parse_hours, slot_instants, with_open_slots
-from placewright.operators import place_index, search
+from placewright.operators import discs, place_index, search
 from placewright.tables import written
 
 OPTIONAL = {"near_me": "boolean", "price_max": "double", "price_range": "string", "min_rating": "double", "open_now": "boolean", "category": "string", "intents": "array<string>"}
@@ -47,12 +47,8 @@ def unanswerable(questions: DataFrame) -> DataFrame:
     return prepared(questions).where("mode = 'distance' and not located").select("question_id", F.lit("a location is required for distance ranking").alias("error"))
 
 
-def near_answers(questions: DataFrame, places: DataFrame, sorted_places: DataFrame, k: int) -> DataFrame:
-    settled = search.by_category(search.settle_radius(questions, places.select("p_lat", "p_lng", "hours_raw", "open_slots"), search.filter_open_at))
-    pairs = lambda asking: search.passed(search.filter_open_at(search.in_radius(asking, sorted_places, on=("asked",))))
-    # pairs are counted where they are made, and made again to be ranked there: they are many more than what is kept
-    reach = pairs(settled).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.max("km").alias("farthest"))
-    found = pairs(settled.join(reach.hint("merge"), "question_id"))
+def near_answers(questions: DataFrame, sorted_places: DataFrame, k: int) -> DataFrame:
+    found = discs.best_in_radius(questions, sorted_places, k).withColumn("km", _distance())
     return search.rank(search.score_columns(found, None), k).select("question_id", "row_id", "position", "open_status", "secondary_only", "n_candidates", "radius_used")
 
 
@@ -119,7 +115,7 @@ def answer_questions(questions: DataFrame, places: DataFrame, category_pairs: Da
     slim = places.select("row_id", "p_lat", "p_lng", "categories", "category_name", "price", "reviews", "rating", "hours_raw")
     slim = written(with_open_slots(slim, intervals, slot_instants(slots)), "places")
     sorted_places = written(search.places_by_category(slim, category_pairs).drop("categories"), "places")
-    near = near_answers(asked.where("near"), slim, sorted_places, k)
+    near = near_answers(asked.where("near"), sorted_places, k)
     others = other_answers(asked.where("not near"), sorted_places, k)
     found = near.unionByName(others.withColumn("radius_used", F.lit(None).cast("double")))
     shown = found.join(places.hint("merge"), "row_id").join(questions.select("question_id", "lat", "lng").hint("merge"), "question_id")

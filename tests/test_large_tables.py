@@ -4,11 +4,12 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import haversine_km
 from placewright.functions.text import name_score
-from placewright.operators import matching, planning
+from placewright.operators import discs, matching, planning
 from placewright.operators import search as operator
 from placewright.queries import search
 
@@ -100,3 +101,34 @@ def test_keywords_leave_other_words_behind(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[message_id[^\]]*gram#", plan)
     assert sorted(map(tuple, planning.scan_keywords(messages, keywords, part_phrases=2).collect())) == want
+
+
+def test_questions_in_a_crowd_meet_locations_not_places(spark):
+    """Many places at each location: only some k a question leave the tasks, and they are those that comparing all pairs ranks first."""
+    k = 6
+    pick = lambda c, n: F.pmod(F.xxhash64("id", F.lit(c)), F.lit(n))
+    places = spark.range(3000).select(
+        F.col("id").alias("row_id"), (pick("a", 40) / 4000 - 1.45).alias("p_lat"), (pick("b", 40) / 4000 - 48.49).alias("p_lng"), F.when(pick("r", 9) > 0, pick("r", 9) / 2).alias("rating"),
+        pick("v", 30).alias("reviews"), F.when(pick("p", 5) > 0, pick("p", 5)).alias("price"), F.when(pick("h", 4) > 0, F.concat(F.lit("h"), pick("h", 4).cast("string"))).alias("hours_raw"),
+        F.when(pick("h", 4) > 0, F.array(F.pow(F.lit(2.0), pick("h", 4)).cast("long") + 1)).alias("open_slots"), F.when(pick("c", 7) > 0, F.concat(F.lit("c"), (pick("c", 7) % 3).cast("string"))).alias("category_name"),
+        F.when(pick("d", 6) > 0, F.array(F.concat(F.lit("c"), (pick("d", 6) % 3).cast("string")))).alias("categories"),
+    )
+    pairs = spark.createDataFrame([("c0", "x"), ("c1", "x"), ("c2", "y")], "place_category string, asked string")
+    questions = spark.range(200).select(
+        F.col("id").alias("question_id"), (pick("a", 44) / 4000 - 1.45).alias("lat"), (pick("b", 44) / 4000 - 48.49).alias("lng"), F.element_at(F.array(*map(F.lit, ("distance", "rating", "popularity", "best_match"))), (F.col("id") % 4 + 1).cast("int")).alias("mode"),
+        F.when(pick("c", 3) > 0, F.when(pick("c", 3) == 1, "x").otherwise("y")).alias("category"), (pick("o", 2) == 0).alias("open_now"), F.when(pick("o", 2) == 0, pick("s", 4).cast("int")).alias("slot"),
+        F.when(pick("p", 3) == 0, F.lit(2.0)).alias("price_max"), F.when(pick("m", 3) == 0, F.lit(2.0)).alias("min_rating"),
+    )
+    sorted_places = operator.places_by_category(places, pairs).drop("categories")
+    found = discs.best_in_radius(questions, sorted_places, k).cache()
+    assert found.groupBy("question_id").count().agg(F.max("count")).first()[0] < 3 * k
+    km = haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
+    got = operator.rank(operator.score_columns(found.withColumn("km", km), None), k)
+    every = operator.filter_open_at(questions.crossJoin(places.drop("categories")).withColumn("km", km))
+    settled = operator.escalate_radius(every.select("question_id", "km", "row_id")).select("question_id", "radius_used").distinct()
+    near = operator.by_category(questions.join(settled, "question_id")).join(sorted_places, "asked").withColumn("km", km).where("km <= radius_used")
+    left = operator.passed(operator.filter_open_at(near)).withColumn("n_candidates", F.count(F.lit(1)).over(Window.partitionBy("question_id")))
+    want = operator.rank(operator.score_columns(left), k)
+    columns = ["question_id", "position", "row_id", "secondary_only", "open_status", "n_candidates", F.col("radius_used").cast("double").alias("r")]
+    rows = lambda df: sorted(df.select(*columns).collect())
+    assert rows(got) == rows(want) and got.count() > 500
