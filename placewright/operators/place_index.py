@@ -8,7 +8,8 @@ extent as a centre and a radius, and its best rating, popularity, quality and pr
 For a question a cell's carried values bound all its places: none can rank before the bound. A question first visits its FIRST best
 cells, then the next best ones, GROWTH times as many each round. Once it has k places, the k-th is a threshold, and only cells
 whose bound reaches it count; when fewer are left than a round visits, it is done. So the places are exactly the first k, whatever the
-filters leave. Cells are compared with questions in tiles of fixed size and only a question's best cells leave a task; the
+filters leave. Cells lie in groups, which carry the same values. The best cells of a question's best groups give it a threshold to begin with, and then
+only the cells of groups that reach it are compared with the question. Groups are compared with questions in tiles of fixed size; the
 rounds are as many as the logarithm of the number of cells.
 """
 
@@ -25,6 +26,8 @@ from placewright.tables import spread, written
 
 #: Places of a cell, cells of a question's first round, and growth of the rounds after it.
 CELL_PLACES, FIRST, GROWTH = 32, 12, 10
+#: A group has the cells of a square so many times doubled; groups that give a question its first threshold.
+GROUP_LEVELS, SEEDS = 3, 4
 #: Side of the smallest cells in degrees, and how many times it may double.
 FINEST, LEVELS = 0.0025, 10
 #: Questions and cells that meet in one task.
@@ -50,8 +53,8 @@ def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: str, deals:
     return spread(lefts, *keys).join(spread(rights, *keys).hint("shuffle_hash"), keys).drop("__deal")
 
 
-def indexed(places: DataFrame, kinds: list[str], cell_places: int = CELL_PLACES) -> tuple[DataFrame, DataFrame]:
-    """The rows of places_by_category with the cells that they lie in, once for each kind, and the cells with what they carry."""
+def indexed(places: DataFrame, kinds: list[str], cell_places: int = CELL_PLACES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of places_by_category with the cells that they lie in, once for each kind, the cells with what they carry and their group, and the groups with what they carry (as `cell`)."""
     popularity = search.bayes(F.col("rating"), F.col("reviews"))
     value = {"best": quality(F.col("rating"), popularity), "rating": F.coalesce("rating", F.lit(0.0)), "popularity": popularity, "quality": quality(F.col("rating"), popularity)}
     located = F.col("p_lat").isNotNull() & F.col("p_lng").isNotNull()
@@ -77,8 +80,17 @@ def indexed(places: DataFrame, kinds: list[str], cell_places: int = CELL_PLACES)
     rows = rows.join(fine.hint("merge"), [*by, "y", "x"])
     corner = lambda c: F.expr(f"shiftright({c}, level)")
     rows = rows.withColumn("cell", F.xxhash64(*by, "level", corner("y"), corner("x"), F.pmod(F.xxhash64("row_id"), F.col("parts"))))
+    wide = lambda c: F.expr(f"shiftright({c}, level + {GROUP_LEVELS})")
+    rows = rows.withColumn("group", F.xxhash64(*by, "level", wide("y"), wide("x")))
     rows = written(rows.drop("second", "step", "y", "x", "level", "parts"), "indexed")
-    carried = rows.groupBy("kind", "asked", "cell").agg(
+    of = rows.select("cell", "group").distinct().hint("merge")
+    cells = written(_carried(rows, "cell").drop("tile", "tiles").join(of, "cell"), "cells")
+    return rows.drop("group"), cells, written(_carried(rows, "group").withColumnRenamed("group", "cell"), "groups")
+
+
+def _carried(rows: DataFrame, what: str) -> DataFrame:
+    """The cells, or groups of cells, with what they carry."""
+    carried = rows.groupBy("kind", "asked", what).agg(
         F.count(F.lit(1)).alias("n"), F.min("p_lat").alias("s"), F.max("p_lat").alias("t"), F.min("p_lng").alias("w"), F.max("p_lng").alias("e"), F.max("rating").alias("most_rating"),
         F.max("popularity").alias("most_popularity"), F.max("quality").alias("most_quality"), F.min(F.coalesce(F.col("price").cast("double"), F.lit(float("-inf")))).alias("least_price"),
         F.min(F.coalesce(F.col("secondary_only").cast("int"), F.lit(0))).alias("second"), F.min(F.col("unknown").cast("int")).alias("unknown"),
@@ -87,7 +99,7 @@ def indexed(places: DataFrame, kinds: list[str], cell_places: int = CELL_PLACES)
     reach = F.greatest(*[haversine_km(F.col("c_lat"), F.col("c_lng"), F.col(y), F.col(x)) for y in "st" for x in "we"]) + 1e-6
     tiles = carried.groupBy("kind", "asked").agg(F.ceil(F.count(F.lit(1)) / TILE_CELLS).cast("int").alias("tiles")).hint("merge")
     cells = carried.withColumns(centre).withColumn("reach", reach).drop("s", "t", "w", "e").join(tiles, ["kind", "asked"])
-    return rows, written(cells.withColumn("tile", F.pmod(F.xxhash64("cell"), F.col("tiles")).cast("int")), "cells")
+    return cells.withColumn("tile", F.pmod(F.xxhash64(what), F.col("tiles")).cast("int"))
 
 
 def reaches(at: Column) -> Column:
@@ -95,16 +107,25 @@ def reaches(at: Column) -> Column:
     return F.col("least_first").isNull() | (at["lead"] < F.col("most_lead")) | ((at["lead"] == F.col("most_lead")) & (-at["first"] >= F.col("least_first")))
 
 
-def bounds(asks: DataFrame, cells: DataFrame, deals: int) -> DataFrame:
-    """(ask, n, at) of the cells that an ask may have to visit: those behind `after` that may hold a place, at being (lead, -first, cell): none of its places ranks before,
-    and it reaches the threshold (most_lead, least_first), if there is one.
-
-    The cells of a kind and category are cut into tiles and the asks dealt `deals` ways; each tile meets each deal in one task."""
+def group_bounds(asks: DataFrame, groups: DataFrame, deals: int) -> DataFrame:
+    """(ask, n, at) of the groups that may hold a cell to visit, at.cell being the group. The groups of a kind and category are cut into tiles and the asks
+    dealt `deals` ways; each tile meets each deal in one task."""
+    asks, cells = asks.withColumn("after", F.lit(None).cast(AFTER)), groups
     tiles = cells.groupBy("kind", "asked").agg(F.max("tiles").alias("tiles")).hint("merge")
     dealt = search.by_category(asks).join(tiles, ["kind", "asked"]).withColumns({"tile": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), "deal": F.pmod(F.xxhash64("ask"), F.lit(deals)).cast("int")})
     copies = cells.drop("tiles").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
     keys = ["kind", "asked", "tile", "deal"]
-    met = spread(dealt.drop("tiles"), *keys).join(spread(copies, *keys).hint("shuffle_hash"), keys)
+    return _bounded(spread(dealt.drop("tiles"), *keys).join(spread(copies, *keys).hint("shuffle_hash"), keys))
+
+
+def bounds(asks: DataFrame, groups: DataFrame, cells: DataFrame) -> DataFrame:
+    """(ask, n, at) of the cells that an ask may have to visit: those behind `after` that may hold a place, at being (lead, -first, cell): none of its places ranks before,
+    and it reaches the threshold (most_lead, least_first), if there is one. groups: (ask, group), the groups that an ask has to look into."""
+    of = groups.join(asks.drop("kind").hint("merge"), "ask")
+    return _bounded(spread(of, "group").join(spread(cells.drop("asked", "kind"), "group").hint("shuffle_hash"), "group"))
+
+
+def _bounded(met: DataFrame) -> DataFrame:
     met = met.where(F.col("min_rating").isNull() | F.coalesce(F.col("most_rating") >= F.col("min_rating"), F.lit(False)))
     met = met.where(F.col("price_max").isNull() | (F.col("least_price") <= F.col("price_max")))
     none = F.lit(float("-inf"))
@@ -128,6 +149,7 @@ def bounds(asks: DataFrame, cells: DataFrame, deals: int) -> DataFrame:
     return met.select("ask", "n", F.explode(F.filter(F.transform(distance, bound), counts)).alias("at")).select("ask", "n", "at")
 
 
+AFTER = "struct<lead:int,first:double,cell:long>"
 ASK = ["ask", "kind", "mode", "lat", "lng", "farthest", "open_now", "slot", "category", "price_max", "min_rating"]
 
 
@@ -149,14 +171,26 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
-def best_places(asks: DataFrame, rows: DataFrame, cells: DataFrame, k: int, first: int = FIRST, growth: int = GROWTH) -> tuple[DataFrame, DataFrame]:
+def best_places(asks: DataFrame, rows: DataFrame, cells: DataFrame, groups: DataFrame, k: int, first: int = FIRST, growth: int = GROWTH) -> tuple[DataFrame, DataFrame]:
     """The first k places of each ask, and how many places each has looked at, a row for each of its rounds. asks: the columns ASK, ask being unique."""
-    none = {"after": "struct<lead:int,first:double,cell:long>", "most_lead": "int", "least_first": "double"}
+    none = {"after": AFTER, "most_lead": "int", "least_first": "double"}
     left, width, deals = asks.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}), first, max(1, -(-asks.count() // TILE_ASKS))
     found, done, looked = None, [], []
+    order = F.row_number().over(Window.partitionBy("ask").orderBy("at"))
+    group = F.col("at.cell").alias("group")
+    least_of = lambda found: found.where(F.col("position") == k).select("ask", F.col("lead").alias("most_lead"), F.col("first").alias("least_first"))
+    # the best cells of the best groups give a threshold to begin with, so that few groups are looked into for more
+    seeds = written(group_bounds(left, groups, deals).withColumn("turn", order).where(F.col("turn") <= SEEDS).select("ask", group), "seeds")
+    start, without = None, left
+    for turns in (first, first * growth):
+        seeded = written(bounds(without, seeds, cells).withColumn("turn", order).where(F.col("turn") <= turns), "pairs")
+        looked.append(seeded.groupBy("ask").agg(F.sum("n").alias("places")))
+        least = written(least_of(visited(seeded.select("ask", "at.cell"), without, rows, k)), "least")
+        start, without = least if start is None else start.unionByName(least), without.join(least.select("ask").hint("merge"), "ask", "left_anti")
+    left = written(left.drop("most_lead", "least_first").join(start.hint("merge"), "ask", "left"), "asks")
     while True:
-        order = F.row_number().over(Window.partitionBy("ask").orderBy("at"))
-        pairs = written(bounds(left, cells, deals).withColumn("turn", order).where(F.col("turn") <= width + 1), "pairs")
+        into = group_bounds(left, groups, deals).select("ask", group)
+        pairs = written(bounds(left, into, cells).withColumn("turn", order).where(F.col("turn") <= width + 1), "pairs")
         visits = pairs.where(F.col("turn") <= width)
         looked.append(visits.groupBy("ask").agg(F.sum("n").alias("places")))
         so_far = visited(visits.select("ask", "at.cell"), left, rows, k)
@@ -164,7 +198,7 @@ def best_places(asks: DataFrame, rows: DataFrame, cells: DataFrame, k: int, firs
             so_far = ranked(so_far.unionByName(found.join(left.select("ask").hint("merge"), "ask", "left_semi")).drop("position"), k)
         found = written(so_far, "found")
         # an ask goes on if there is a next cell, and that cell may hold a better place than the k-th
-        least = found.where(F.col("position") == k).select("ask", F.col("lead").alias("most_lead"), F.col("first").alias("least_first"))
+        least = least_of(found)
         last = pairs.where(F.col("turn") == width).select("ask", F.col("at").alias("after"))
         more = pairs.where(F.col("turn") > width).select("ask", F.col("at").alias("next")).join(last.hint("merge"), "ask").join(least.hint("merge"), "ask", "left")
         more = more.where(reaches(F.col("next"))).drop("next")

@@ -81,11 +81,11 @@ def index_asks(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def index_answers(asks: DataFrame, sorted_places: DataFrame, k: int, cell_places: int = place_index.CELL_PLACES) -> tuple[DataFrame, DataFrame]:
     """The first k places of each ask; how many places each looked at, a row for each round."""
     kinds = [r.kind for r in asks.select("kind").distinct().collect()]
-    rows, cells = place_index.indexed(sorted_places, sorted({*kinds, "spatial"} if "best" in kinds else kinds) or ["quality"], cell_places)
+    rows, cells, groups = place_index.indexed(sorted_places, sorted({*kinds, "spatial"} if "best" in kinds else kinds) or ["quality"], cell_places)
     far = asks.where("kind = 'best'").withColumns({"mode": F.lit("farthest"), "kind": F.lit("spatial")})
-    farthest, looked = place_index.best_places(far, rows, cells, 1)
+    farthest, looked = place_index.best_places(far, rows, cells, groups, 1)
     asks = asks.drop("farthest").join(farthest.select("ask", F.col("km").alias("farthest")).hint("merge"), "ask", "left")
-    found, more = place_index.best_places(asks, rows, cells, k)
+    found, more = place_index.best_places(asks, rows, cells, groups, k)
     return found, looked.unionByName(more)
 
 
