@@ -1,5 +1,6 @@
 """Work that must not grow as the pairs of large tables do."""
 
+import random
 import re
 
 import duckdb
@@ -8,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import haversine_km
-from placewright.functions.text import name_score
+from placewright.functions.text import most_similarity, name_bounds, name_score
 from placewright.operators import discs, matching, planning
 from placewright.operators import search as operator
 from placewright.queries import search
@@ -73,6 +74,23 @@ def copied(spark, folder, copies: int) -> str:
     return str(folder)
 
 
+def test_names_that_cannot_win_are_not_scored(spark, monkeypatch):
+    """Names of other letters than a feature's own name next to it are no work for letter-by-letter scores."""
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(60)] + ["two  blanks", "two blanks", "açaí"]
+    places = spark.createDataFrame([(i, f"P{i}", x, -1.45 + i % 8 / 20000, -48.49 + i // 8 / 20000) for i, x in enumerate(names)], "row_id long, place_id string, title string, p_lat double, p_lng double")
+    features = places.select((F.col("row_id") + 1).alias("feature_id"), F.col("title").alias("name"), (F.col("p_lat") + 1e-5).alias("lat"), F.col("p_lng").alias("lng"))
+    scored, spread = [], matching.spread
+    monkeypatch.setattr(matching, "spread", lambda df, *keys: (scored.append(df.distinct().count()) if keys == ("a", "b") else None, spread(df, *keys))[1])
+    got = {r.feature_id: r.place_id for r in matching.best_matches(features, places, 100.0).collect()}
+    assert got == {i + 1: f"P{i}" for i in range(len(names))}
+    assert 0 < sum(scored) < 150  # of 3,969 pairs of names
+    pairs = places.select(F.col("title").alias("a")).crossJoin(places.select(F.col("title").alias("b")))
+    pairs = pairs.withColumns({"x": name_bounds("a"), "y": name_bounds("b")}).select("a", "b", most_similarity(F.col("x"), F.col("y")).alias("most"))
+    assert all(r.most >= name_score(r.a, r.b) - 1e-12 for r in pairs.collect())
+
+
+
 @pytest.mark.parametrize("name", ["near_pairs", "radius_used", "top_places"])
 def test_locations_are_searched_once(spark, tmp_path, monkeypatch, name):
     query, sql = search.QUERIES[name]
