@@ -279,6 +279,31 @@ def test_text_model_reads_whole_texts(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_character_grams_of_a_text_are_found_at_once(spark):
+    import re
+    import sys
+    from collections import Counter
+
+    from placewright.operators import text_model
+
+    ends = {"en": "the house and the water were with them", "fr": "la maison et les eaux étaient avec_elles\t où?"}
+    docs = spark.createDataFrame([(f"{t} x{i}", lang) for i in range(8) for lang, t in ends.items()], "text string, label string")
+    model = text_model.train_text_model(docs, 30, 60, 5)
+    scorer, vocabulary = text_model.GramScorer(model), model.stages[4].vocabulary
+    scorer.PIECE = 7  # pieces that cut words
+    for text in ("", " ", "a", "\t\nthe  water\x0bwere \r", "maison où? \U0001f600 the \ud800 et", "the\u00a0house", *ends.values()):
+        spaced = [f" {w} " for w in re.split(r"[ \t\n\x0b\f\r]+", text)]
+        seen = Counter(w[i : i + n] for w in spaced for n in (3, 4, 5) for i in range(len(w) - n + 1))
+        assert scorer.inside(text).tolist() == [seen[g] for g in vocabulary]
+    # words that were never seen are no work of their own
+    scorer, calls = text_model.GramScorer(model), []
+    text = " ".join(f"w{i}" for i in range(5_000))
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    scorer.probabilities(text)
+    sys.setprofile(None)
+    assert len(calls) < 1_000
+
+
 def test_category_pairs_loses_no_close_pair(spark, tmp_path):
     import itertools
     import random
