@@ -65,6 +65,8 @@ class _Cell:
         self.slots_at, self.slots_n = slots.offsets.to_numpy()[:-1], np.nan_to_num(pc.list_value_length(slots).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
         self.bits = slots.values.to_numpy(zero_copy_only=False)
         self.sorted: dict = {}
+        self.every = self.asked.get(search.ANY, np.zeros(0, np.int64))
+        self.open: dict = {}
 
     def open_at(self, slot: float) -> np.ndarray:
         """Which places are open in the slot."""
@@ -75,6 +77,14 @@ class _Cell:
         out[held] = self.bits[self.slots_at[held] + word] >> bit & 1 == 1
         return out
 
+    def staying(self, open_now: bool, slot: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which places are open in the slot or needn't be, and how many of them each location has: worked out once for all sets of filters that agree in it."""
+        slot = slot if open_now and not math.isnan(slot) else -1.0
+        if (open_now, slot) not in self.open:
+            stay = self.open_at(slot if slot >= 0 else math.nan) | (self.unknown == 1) if open_now else np.ones(self.n, bool)
+            self.open[open_now, slot] = stay, np.bincount(self.spot[self.every[stay[self.every]]], minlength=len(self.at))
+        return self.open[open_now, slot]
+
     def in_order(self, mode: str, category: str | None, open_now: bool) -> tuple[np.ndarray, ...]:
         """The places that the category leaves by location and, within it, as they rank there; their leading keys, secondary_only, and rank among all of them."""
         if (mode, category, open_now) not in self.sorted:
@@ -105,7 +115,7 @@ def _nearby(cell: _Cell, spots: slice, lat: np.ndarray, lng: np.ndarray, km: flo
 def _answers(cell: _Cell, asked: pa.Table, rows: np.ndarray, filters: dict, km: float, enough: int | None) -> tuple[np.ndarray, tuple | None]:
     """Of the questions `rows`, which agree in filters: those that lack places, and the best places of the others."""
     mode, open_now, k, slack = filters["mode"], filters["open_now"], cell.k, SLACK.get(filters["mode"], 0.0)
-    stay = cell.open_at(filters["slot"]) | (cell.unknown == 1) if open_now else np.ones(cell.n, bool)
+    stay, around = cell.staying(open_now, filters["slot"])
     near, lead, second, ranks = cell.in_order(mode, filters["category"], open_now)
     left = stay[near]
     if not math.isnan(filters["price_max"]):
@@ -119,8 +129,6 @@ def _answers(cell: _Cell, asked: pa.Table, rows: np.ndarray, filters: dict, km:
     start = np.r_[0, np.cumsum(n)]
     best = np.full(spots, -np.inf)
     best[n > 0] = own[start[:-1][n > 0]]
-    every = cell.asked.get(search.ANY, np.zeros(0, np.int64))
-    around = np.bincount(cell.spot[every[stay[every]]], minlength=spots)
     weights = np.stack([around, n], 1).astype(float)
     # questions and locations in order of latitude: those at hand meet a band of locations
     rows = rows[np.argsort(asked["lat"].to_numpy()[rows], kind="stable")]

@@ -3,9 +3,10 @@
 The places of each asked category are dealt to cells of about CELL_PLACES. By distance a cell is a square of a quadtree, as large as
 its places allow; for best match it also holds one class of quality; where no location counts it holds one class of the ranked
 value alone. A cell that stays too full at the smallest size is dealt by hash. Each cell carries its number of places, its
-extent as a centre and a radius, and its best rating, popularity, quality and price.
+extent as a centre and a radius, its best rating, popularity, quality and price, and the slots of the week in which any of its places is open.
 
-For a question a cell's carried values bound all its places: none can rank before the bound. A question first visits its FIRST best
+For a question a cell's carried values bound all its places: none can rank before the bound. Cells without a place
+that may be open in its slot are left out. A question first visits its FIRST best
 cells, then the next best ones, GROWTH times as many each round. Once it has k places, the k-th is a threshold, and only cells
 whose bound reaches it count; when fewer are left than a round visits, it is done. So the places are exactly the first k, whatever the
 filters leave. Cells lie in groups, which carry the same values. The best cells of a question's best groups give it a threshold to begin with, and then
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions.geo import haversine_km
+from placewright.functions.hours import open_in
 from placewright.operators import search
 from placewright.tables import spread, written
 
@@ -32,6 +34,8 @@ GROUP_LEVELS, SEEDS = 3, 4
 FINEST, LEVELS = 0.0025, 10
 #: Questions and cells that meet in one task.
 TILE_ASKS, TILE_CELLS = 250, 250
+#: Words of 64 slots that a cell carries: with more slots than they hold, a bit stands for several.
+OPEN_WORDS = 16
 #: Steps into which the value of a kind is cut: cells hold one step.
 STEPS = {"best": 20, "rating": 20, "popularity": 20, "quality": 40}
 
@@ -53,22 +57,26 @@ def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: str, deals:
     return spread(lefts, *keys).join(spread(rights, *keys).hint("shuffle_hash"), keys).drop("__deal")
 
 
-def indexed(places: DataFrame, kinds: list[str], cell_places: int = CELL_PLACES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of places_by_category with the cells that they lie in, once for each kind, the cells with what they carry and their group, and the groups with what they carry (as `cell`)."""
+def indexed(places: DataFrame, kinds: list[str], cell_places: int = CELL_PLACES, of_any: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of places_by_category with the cells that they lie in, once for each kind, the cells with what they carry and their group, and the groups with what they carry (as `cell`).
+    of_any: the kinds of them that serve questions without a category, if not all."""
     popularity = search.bayes(F.col("rating"), F.col("reviews"))
     value = {"best": quality(F.col("rating"), popularity), "rating": F.coalesce("rating", F.lit(0.0)), "popularity": popularity, "quality": quality(F.col("rating"), popularity)}
     located = F.col("p_lat").isNotNull() & F.col("p_lng").isNotNull()
     alone = F.lit(0).cast("long")
     at = lambda c, shift: F.when(located, F.floor((F.col(c) + shift) / FINEST)).otherwise(-1).cast("long")
-    of_kind = [
-        F.struct(
+    of_kind = {
+        kind: F.struct(
             F.lit(kind).alias("kind"), (F.floor(value[kind] * STEPS[kind]) if kind in STEPS else alone).cast("long").alias("step"),
             (at("p_lat", 90) if kind in ("spatial", "best") else alone).alias("y"), (at("p_lng", 180) if kind in ("spatial", "best") else alone).alias("x"),
         )
         for kind in kinds
-    ]
+    }
+    served = F.array(*of_kind.values())
+    if of_any is not None:
+        served = F.when(F.col("asked") == search.ANY, F.array(*[of_kind[kind] for kind in of_any]) if of_any else F.slice(served, 1, 0)).otherwise(served)
     rows = places.withColumns({"popularity": popularity, "quality": value["best"], "unknown": F.coalesce(F.trim("hours_raw"), F.lit("")) == "", "second": F.coalesce(F.col("secondary_only").cast("int"), F.lit(2))})
-    rows = rows.withColumn("of", F.explode(F.array(*of_kind))).select("*", "of.*").drop("of")
+    rows = rows.withColumn("of", F.explode(served)).select("*", "of.*").drop("of")
     by = ["kind", "asked", "second", "unknown", "step"]
     fine = rows.groupBy(*by, "y", "x").agg(F.count(F.lit(1)).alias("n"))
     up = lambda c, level: F.shiftright(c, level)  # noqa: E731  # -1, no location, stays -1
@@ -84,16 +92,20 @@ def indexed(places: DataFrame, kinds: list[str], cell_places: int = CELL_PLACES)
     rows = rows.withColumn("group", F.xxhash64(*by, "level", wide("y"), wide("x")))
     rows = written(rows.drop("second", "step", "y", "x", "level", "parts"), "indexed")
     of = rows.select("cell", "group").distinct().hint("merge")
-    cells = written(_carried(rows, "cell").drop("tile", "tiles").join(of, "cell"), "cells")
-    return rows.drop("group"), cells, written(_carried(rows, "group").withColumnRenamed("group", "cell"), "groups")
+    words = max(1, min(places.agg(F.max(F.size("open_slots"))).first()[0] or 1, OPEN_WORDS))
+    cells = written(_carried(rows, "cell", words).drop("tile", "tiles").join(of, "cell"), "cells")
+    return rows.drop("group"), cells, written(_carried(rows, "group", words).withColumnRenamed("group", "cell"), "groups")
 
 
-def _carried(rows: DataFrame, what: str) -> DataFrame:
-    """The cells, or groups of cells, with what they carry."""
+def _carried(rows: DataFrame, what: str, words: int) -> DataFrame:
+    """The cells, or groups of cells, with what they carry; any_open: a bit of `words` numbers for each slot."""
+    word = lambda w: F.aggregate(F.filter("open_slots", lambda _, i: i % words == w), F.lit(0).cast("long"), lambda a, bits: a.bitwiseOR(bits))
+    any_open = [F.coalesce(F.bit_or(word(w)), F.lit(0).cast("long")) for w in range(words)]
     carried = rows.groupBy("kind", "asked", what).agg(
         F.count(F.lit(1)).alias("n"), F.min("p_lat").alias("s"), F.max("p_lat").alias("t"), F.min("p_lng").alias("w"), F.max("p_lng").alias("e"), F.max("rating").alias("most_rating"),
         F.max("popularity").alias("most_popularity"), F.max("quality").alias("most_quality"), F.min(F.coalesce(F.col("price").cast("double"), F.lit(float("-inf")))).alias("least_price"),
         F.min(F.coalesce(F.col("secondary_only").cast("int"), F.lit(0))).alias("second"), F.min(F.col("unknown").cast("int")).alias("unknown"),
+        F.max(F.col("unknown").cast("int")).alias("any_unknown"), F.array(*any_open).alias("any_open"),
     )
     centre = {"c_lat": (F.col("s") + F.col("t")) / 2, "c_lng": (F.col("w") + F.col("e")) / 2}
     reach = F.greatest(*[haversine_km(F.col("c_lat"), F.col("c_lng"), F.col(y), F.col(x)) for y in "st" for x in "we"]) + 1e-6
@@ -128,6 +140,8 @@ def bounds(asks: DataFrame, groups: DataFrame, cells: DataFrame) -> DataFrame:
 def _bounded(met: DataFrame) -> DataFrame:
     met = met.where(F.col("min_rating").isNull() | F.coalesce(F.col("most_rating") >= F.col("min_rating"), F.lit(False)))
     met = met.where(F.col("price_max").isNull() | (F.col("least_price") <= F.col("price_max")))
+    in_slot = open_in(F.col("any_open"), F.pmod(F.col("slot"), 64 * F.size("any_open")))
+    met = met.where(~F.coalesce("open_now", F.lit(False)) | (F.col("any_unknown") == 1) | in_slot)
     none = F.lit(float("-inf"))
     by = lambda mode, value: F.when(F.col("mode") == mode, value)
 

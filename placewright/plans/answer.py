@@ -68,9 +68,9 @@ def counted(sets: DataFrame, sorted_places: DataFrame) -> DataFrame:
     return search.filter_open_at(met).groupBy("set").agg(F.sum("n").alias("n_candidates"))
 
 
-def index_asks(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What has to be searched for, each different one once, and the questions with its key: filters, ranking, and the location where that decides the order."""
-    own = F.col("located") & F.col("mode").isin("distance", "best_match")
+def index_asks(questions: DataFrame, own: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """What has to be searched for, each different one once, and the questions with its key: filters, ranking, and the location where that decides the order (or `own` says so)."""
+    own = F.col("located") & F.col("mode").isin("distance", "best_match") if own is None else own
     keyed = questions.withColumns({c: F.when(own, F.col(c)) for c in ("lat", "lng")})
     keyed = keyed.withColumns({"set": key_of(*FILTERS), "key": key_of("mode", "lat", "lng", *FILTERS)})
     asks = keyed.select("key", "set", "mode", "lat", "lng", *FILTERS).distinct()
@@ -80,8 +80,12 @@ def index_asks(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def index_answers(asks: DataFrame, sorted_places: DataFrame, k: int, cell_places: int = place_index.CELL_PLACES) -> tuple[DataFrame, DataFrame]:
     """The first k places of each ask; how many places each looked at, a row for each round."""
-    kinds = [r.kind for r in asks.select("kind").distinct().collect()]
-    rows, cells, groups = place_index.indexed(sorted_places, sorted({*kinds, "spatial"} if "best" in kinds else kinds) or ["quality"], cell_places)
+    served = asks.select("kind", F.col("category").isNull().alias("any")).distinct().collect()
+    with_far = lambda kinds: sorted({*kinds, "spatial"} if "best" in kinds else kinds)
+    kinds, of_any = with_far({r.kind for r in served}), with_far({r.kind for r in served if r.any})
+    rows, cells, groups = place_index.indexed(sorted_places, kinds or ["quality"], cell_places, of_any)
+    if "best" not in kinds:
+        return place_index.best_places(asks, rows, cells, groups, k)
     far = asks.where("kind = 'best'").withColumns({"mode": F.lit("farthest"), "kind": F.lit("spatial")})
     farthest, looked = place_index.best_places(far, rows, cells, groups, 1)
     asks = asks.drop("farthest").join(farthest.select("ask", F.col("km").alias("farthest")).hint("merge"), "ask", "left")
@@ -98,6 +102,17 @@ def other_answers(questions: DataFrame, sorted_places: DataFrame, k: int) -> Dat
     return keyed.join(top.hint("merge"), "key").join(counts.hint("merge"), "set").drop("key", "set")
 
 
+def _tables(questions: DataFrame, places: DataFrame, category_pairs: DataFrame, intervals: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The questions as prepared with their slots, and the places by what is asked of them, both written."""
+    intervals = written(parse_hours(places) if intervals is None else intervals, "intervals")
+    asked = prepared(questions).where("mode <> 'distance' or located")
+    slots = written(instant_slots(asked.where("open_now"), intervals), "slots")
+    asked = written(asked.join(slots.hint("merge"), ["day_idx", "sec_of_day"], "left").withColumn("slot", F.when(F.col("open_now"), F.col("slot"))), "questions")
+    slim = places.select("row_id", "p_lat", "p_lng", "categories", "category_name", "price", "reviews", "rating", "hours_raw")
+    slim = written(with_open_slots(slim, intervals, slot_instants(slots)), "places")
+    return asked, written(search.places_by_category(slim, category_pairs).drop("categories"), "places")
+
+
 def answer_questions(questions: DataFrame, places: DataFrame, category_pairs: DataFrame, intervals: DataFrame | None = None, k: int = search.KEPT) -> DataFrame:
     """The first k places for each question, with position, km (null without a location), radius_used (null unless near), open_status, secondary_only and n_candidates, the
     number of places that the filters left.
@@ -107,14 +122,8 @@ def answer_questions(questions: DataFrame, places: DataFrame, category_pairs: Da
     Tables that several steps read are written to the shared folder.
     places: row_id, place_id, title, p_lat, p_lng, categories, category_name, price, reviews, rating, hours_raw, and others, which are passed on.
     Questions ranked by distance without a location have no rows: see unanswerable."""
-    intervals = written(parse_hours(places) if intervals is None else intervals, "intervals")
     questions, category_pairs = search.interned(questions, category_pairs)
-    asked = prepared(questions).where("mode <> 'distance' or located")
-    slots = written(instant_slots(asked.where("open_now"), intervals), "slots")
-    asked = written(asked.join(slots.hint("merge"), ["day_idx", "sec_of_day"], "left").withColumn("slot", F.when(F.col("open_now"), F.col("slot"))), "questions")
-    slim = places.select("row_id", "p_lat", "p_lng", "categories", "category_name", "price", "reviews", "rating", "hours_raw")
-    slim = written(with_open_slots(slim, intervals, slot_instants(slots)), "places")
-    sorted_places = written(search.places_by_category(slim, category_pairs).drop("categories"), "places")
+    asked, sorted_places = _tables(questions, places, category_pairs, intervals)
     near = near_answers(asked.where("near"), sorted_places, k)
     others = other_answers(asked.where("not near"), sorted_places, k)
     found = near.unionByName(others.withColumn("radius_used", F.lit(None).cast("double")))
@@ -122,5 +131,22 @@ def answer_questions(questions: DataFrame, places: DataFrame, category_pairs: Da
     return shown.withColumn("km", _distance()).drop("lat", "lng")
 
 
+def shared_answers(questions: DataFrame, places: DataFrame, category_pairs: DataFrame, intervals: DataFrame | None = None, k: int = search.KEPT) -> tuple[DataFrame, DataFrame]:
+    """(question_id, ask), and the first k places of each ask, with position, km, open_status and secondary_only: an ask is what questions agree in, location included, so that
+    their places are found and written once. Arguments, order and places as for answer_questions; places are read several times. How many places the filters left isn't counted."""
+    questions, category_pairs = search.interned(questions, category_pairs)
+    asked, sorted_places = _tables(questions, places, category_pairs, intervals)
+    parts = [index_asks(asked.where("near"), F.col("located")), index_asks(asked.where("not near"), F.col("located"))]
+    (near, _), (others, _) = parts
+    columns = ["ask", "row_id", "position", "open_status", "secondary_only"]
+    found = [near_answers(near.withColumnRenamed("ask", "question_id"), sorted_places, k).withColumnRenamed("question_id", "ask"), index_answers(others, sorted_places, k)[0]]
+    # asks are numbered in both parts
+    number = lambda rows, part: rows.withColumn("ask", 2 * F.col("ask") + part)
+    asks = number(near, 0).unionByName(number(others, 1)).select("ask", "lat", "lng")
+    shown = number(found[0].select(*columns), 0).unionByName(number(found[1].select(*columns), 1)).join(places.hint("merge"), "row_id").join(asks.hint("merge"), "ask")
+    of = [number(keyed.join(a.select("key", "ask").hint("merge"), "key").select("question_id", "ask"), part) for part, (a, keyed) in enumerate(parts)]
+    return of[0].unionByName(of[1]), shown.withColumn("km", _distance()).drop("lat", "lng")
+
+
 def _distance() -> Column:
     return haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions.text import fold
 from placewright.operators import conversations, planning, search
-from placewright.plans.answer import answer_questions
+from placewright.plans.answer import shared_answers
 from placewright.tables import written
 
 # What is said before an answer when the location lies outside the city, and with a further page.
@@ -81,15 +81,18 @@ def chat_answers(
         F.col("message_id").alias("question_id"), F.col("at.lat").alias("lat"), F.col("at.lng").alias("lng"), F.coalesce("near_me", F.lit(False)).alias("near_me"), day.alias("day_idx"),
         second.alias("sec_of_day"), F.coalesce("open_now", F.lit(False)).alias("open_now"), asked.alias("category"), "price_max", "min_rating", "sort_preference", "language",
     )
-    found = written(answer_questions(search_for.drop("language"), places, category_pairs), "answers")
-    texts = reduce(DataFrame.unionByName, [search.render_answers(found, search_for.where(F.col("language") == lang), lang) for lang in search.ANSWER])
+    # what messages agree in is searched for, rendered and listed once
+    asks, found = shared_answers(search_for.drop("language"), written(places, "catalog"), category_pairs)
+    asks, found = written(asks.withColumnRenamed("question_id", "message_id"), "asked"), written(found, "answers")
+    slots = slots.join(asks.hint("merge"), "message_id", "left")
+    texts = [search.render_answers(found, slots.where(F.col("language") == lang).select("ask").distinct(), lang, "ask").withColumn("language", F.lit(lang)) for lang in search.ANSWER]
+    listed = found.groupBy("ask").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "place_id"))), lambda p: p["place_id"]).alias("ids"))
     chips = lambda lang: planning.follow_up_chips(planning.canonical(F.col("categories")), F.col("open_now"), F.col("near_me"), F.col("min_rating"), F.col("here"), lang)
-    said = slots.join(texts.withColumnRenamed("question_id", "message_id").hint("merge"), "message_id")
+    said = slots.join(reduce(DataFrame.unionByName, texts).join(listed.hint("merge"), "ask", "left").hint("merge"), ["ask", "language"])
     notice = F.when(F.col("outside_notice"), F.concat(F.when(F.col("language") == "en", OUTSIDE["en"].format(city=city)).otherwise(OUTSIDE["pt-BR"].format(city=city)), F.lit("\n\n"))).otherwise("")
-    said = said.select(F.col("message_id").alias("source"), "language", F.concat(notice, "answer").alias("answer"), F.when(F.col("language") == "en", chips("en")).otherwise(chips("pt-BR")).alias("follow_ups"))
-    listed = found.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "place_id"))), lambda p: p["place_id"]).alias("ids"))
+    said = said.select(F.col("message_id").alias("source"), "language", F.concat(notice, "answer").alias("answer"), F.when(F.col("language") == "en", chips("en")).otherwise(chips("pt-BR")).alias("follow_ups"), "ids")
     rows = turns.select("message_id", "kind", "reason", F.col("language").alias("explicit"), "turns_left", "source", "page")
-    rows = rows.join(said.hint("merge"), "source", "left").join(listed.withColumnRenamed("question_id", "source").hint("merge"), "source", "left")
+    rows = rows.join(said.hint("merge"), "source", "left")
     shows = F.col("kind").isin("answered", "more")
     ids = F.when(shows, F.coalesce("ids", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
     size = F.lit(search.SHOWN)

@@ -1,5 +1,6 @@
 """The chat job on small conversations by hand."""
 
+from placewright.plans import chat
 from placewright.plans.chat import OUTSIDE, SEE_MORE, chat_answers
 
 PLACES = [(i, f"P{i}", f"Bar {i}", -1.45 + i / 2000, -48.5, ["Bar"], "Bar", 1 + i % 3, 10 * i, 4.0, None, "") for i in range(8)] + [(20, "C0", "Café 0", -1.45, -48.5, ["Cafe"], "Cafe", 1, 5, 4.9, None, "")]
@@ -26,3 +27,16 @@ def test_one_conversation(spark):
     assert len(got[6].place_ids) == 5 and got[7].place_ids and not set(got[6].place_ids) & set(got[7].place_ids) and got[7].answer == SEE_MORE["pt-BR"] and not got[7].has_more
     assert got[10].answer.startswith(OUTSIDE["pt-BR"].format(city="Norte")) and len(got[10].place_ids) == 5
     assert chat_answers(messages.limit(0), places, pairs, keywords, *CITY).count() == 0
+
+
+def test_messages_that_agree_are_searched_once(spark, monkeypatch):
+    """Sessions that ask for the same share one search and its places."""
+    rows = [(s, s, "best bar") for s in range(40)]
+    messages = spark.createDataFrame(rows, "session_id long, message_id long, text string").selectExpr("*", "timestamp_seconds(1704067200 + message_id * 60) AS ts")
+    keywords = spark.createDataFrame([(0, "bar", "bar")], "ord int, label string, keyword string")
+    pairs = spark.createDataFrame([("Bar", "bar")], "place_category string, asked string")
+    sizes, real = {}, chat.written
+    monkeypatch.setattr(chat, "written", lambda df, name: sizes.setdefault(name, real(df, name)))
+    got = chat_answers(messages, spark.createDataFrame(PLACES, KINDS), pairs, keywords, *CITY).collect()
+    assert len(got) == 40 and len({tuple(r.place_ids) for r in got}) == 1 and len(got[0].place_ids) == 5
+    assert sizes["answers"].count() == 8  # not 320
