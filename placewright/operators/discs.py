@@ -286,6 +286,8 @@ def best_in_radius(questions: DataFrame, places: DataFrame, k: int, radii: tuple
         *OF_PLACE, "asked", "secondary_only", "main_asked", "open_slots", "price", (F.coalesce(F.trim("hours_raw"), F.lit("")) == "").alias("unknown"), F.col("category_name").isNotNull().alias("named"),
         F.round(popularity, 9).alias("pop9"), (0.45 * (F.coalesce("rating", F.lit(0.0)) / 5) + 0.35 * (popularity / 5)).alias("quality"),
     ).withColumn("reviews", F.coalesce("reviews", F.lit(0)).cast("long"))
+    # lists that are null cost a pass over the batch for each row as it is handed to Python
+    slim = slim.withColumns({c: F.coalesce(c, F.array().cast(dict(slim.dtypes)[c])) for c in ("main_asked", "open_slots")})
     left = questions.where("lat is not null and lng is not null").select("question_id", "lat", "lng", *FILTERS)
     done = []
     types = {**dict(left.dtypes), **dict(slim.dtypes), "open_status": "string", "n_candidates": "long", "f_lat": "double", "f_lng": "double"}
