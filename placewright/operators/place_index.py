@@ -28,8 +28,10 @@ from placewright.tables import spread, written
 
 #: Places of a cell, cells of a question's first round, and growth of the rounds after it.
 CELL_PLACES, FIRST, GROWTH = 32, 12, 10
-#: A group has the cells of a square so many times doubled; groups that give a question its first threshold.
-GROUP_LEVELS, SEEDS = 3, 4
+#: A group has the cells of a square so many times doubled; groups that give a question its first threshold, and how many times more are tried.
+GROUP_LEVELS, SEEDS, SEEDINGS = 3, 4, 3
+#: Tasks among which the asks that look into one group are dealt.
+GROUP_DEALS = 8
 #: Side of the smallest cells in degrees, and how many times it may double.
 FINEST, LEVELS = 0.0025, 10
 #: Questions and cells that meet in one task.
@@ -133,8 +135,9 @@ def group_bounds(asks: DataFrame, groups: DataFrame, deals: int) -> DataFrame:
 def bounds(asks: DataFrame, groups: DataFrame, cells: DataFrame) -> DataFrame:
     """(ask, n, at) of the cells that an ask may have to visit: those behind `after` that may hold a place, at being (lead, -first, cell): none of its places ranks before,
     and it reaches the threshold (most_lead, least_first), if there is one. groups: (ask, group), the groups that an ask has to look into."""
-    of = groups.join(asks.drop("kind").hint("merge"), "ask")
-    return _bounded(spread(of, "group").join(spread(cells.drop("asked", "kind"), "group").hint("shuffle_hash"), "group"))
+    of = groups.join(asks.drop("kind").hint("merge"), "ask").withColumn("deal", F.pmod(F.xxhash64("ask"), F.lit(GROUP_DEALS)).cast("int"))
+    copies, keys = cells.drop("asked", "kind").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(GROUP_DEALS - 1)))), ["group", "deal"]
+    return _bounded(spread(of, *keys).join(spread(copies, *keys).hint("shuffle_hash"), keys))
 
 
 def _bounded(met: DataFrame) -> DataFrame:
@@ -144,23 +147,17 @@ def _bounded(met: DataFrame) -> DataFrame:
     met = met.where(~F.coalesce("open_now", F.lit(False)) | (F.col("any_unknown") == 1) | in_slot)
     none = F.lit(float("-inf"))
     by = lambda mode, value: F.when(F.col("mode") == mode, value)
-
-    def bound(away: Column) -> Column:
-        nearest = F.greatest(away - F.col("reach"), F.lit(0.0))
-        near = F.coalesce(1 - nearest / F.when(F.col("farthest") > 0, F.col("farthest")).otherwise(1.0), F.lit(0.0))
-        first = F.coalesce(
-            by("distance", F.coalesce(-nearest, none)), by("farthest", F.coalesce(away + F.col("reach"), none)), by("rating", F.coalesce("most_rating", F.lit(0.0))),
-            by("popularity", F.round("most_popularity", 9)), F.round(F.col("most_quality") + 0.20 * near, 9) + 1e-9,
-        )
-        lead = F.when(F.col("mode") == "farthest", 0).otherwise(2 * F.col("second") + F.when(F.col("open_now"), F.col("unknown")).otherwise(0))
-        return F.struct(lead.alias("lead"), (-first).alias("first"), F.col("cell"))
-
-    def counts(at: Column) -> Column:
-        return reaches(at) & (F.col("after").isNull() | (at > F.col("after")))
-
-    # worked out once for each pair, and only what counts leaves the join
-    distance = F.array(haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")))
-    return met.select("ask", "n", F.explode(F.filter(F.transform(distance, bound), counts)).alias("at")).select("ask", "n", "at")
+    # plain columns, which are compiled: a lambda over them would be interpreted for each pair
+    away = haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))
+    nearest, located = F.greatest(away - F.col("reach"), F.lit(0.0)), F.col("lat").isNotNull() & F.col("c_lat").isNotNull()  # greatest passes over nulls
+    near = F.when(located, 1 - nearest / F.when(F.col("farthest") > 0, F.col("farthest")).otherwise(1.0)).otherwise(0.0)
+    first = F.coalesce(
+        by("distance", F.when(located, -nearest).otherwise(none)), by("farthest", F.coalesce(away + F.col("reach"), none)), by("rating", F.coalesce("most_rating", F.lit(0.0))),
+        by("popularity", F.col("most_popularity") + 1e-9), F.col("most_quality") + 0.20 * near + 2e-9,
+    )
+    lead = F.when(F.col("mode") == "farthest", 0).otherwise(2 * F.col("second") + F.when(F.col("open_now"), F.col("unknown")).otherwise(0))
+    found = met.select("ask", "n", "after", "most_lead", "least_first", F.struct(lead.alias("lead"), (-first).alias("first"), F.col("cell")).alias("at"))
+    return found.where(reaches(F.col("at"))).where(F.col("after").isNull() | (F.col("at") > F.col("after"))).select("ask", "n", "at")
 
 
 AFTER = "struct<lead:int,first:double,cell:long>"
@@ -193,14 +190,19 @@ def best_places(asks: DataFrame, rows: DataFrame, cells: DataFrame, groups: Data
     order = F.row_number().over(Window.partitionBy("ask").orderBy("at"))
     group = F.col("at.cell").alias("group")
     least_of = lambda found: found.where(F.col("position") == k).select("ask", F.col("lead").alias("most_lead"), F.col("first").alias("least_first"))
-    # the best cells of the best groups give a threshold to begin with, so that few groups are looked into for more
-    seeds = written(group_bounds(left, groups, deals).withColumn("turn", order).where(F.col("turn") <= SEEDS).select("ask", group), "seeds")
-    start, without = None, left
-    for turns in (first, first * growth):
-        seeded = written(bounds(without, seeds, cells).withColumn("turn", order).where(F.col("turn") <= turns), "pairs")
+    # the best cells of the best groups give a threshold to begin with, so that few groups are looked into for more; asks that find too few places try more groups.
+    # The groups are the best of each of some classes, one of which is the best of all: that takes no sort of all pairs.
+    near_first = F.min_by("at.cell", F.col("at.lead") * 1e6 + F.col("at.first"))
+    start, without, turns, classes = None, left, first, SEEDS
+    for _ in range(SEEDINGS):
+        seeds = group_bounds(without, groups, deals).groupBy("ask", F.pmod(F.xxhash64("at.cell"), F.lit(classes)).alias("class")).agg(near_first.alias("group")).drop("class")
+        seeded = written(bounds(without, written(seeds, "seeds"), cells).withColumn("turn", order).where(F.col("turn") <= turns), "pairs")
         looked.append(seeded.groupBy("ask").agg(F.sum("n").alias("places")))
         least = written(least_of(visited(seeded.select("ask", "at.cell"), without, rows, k)), "least")
         start, without = least if start is None else start.unionByName(least), without.join(least.select("ask").hint("merge"), "ask", "left_anti")
+        if not without.limit(1).count():
+            break
+        turns, classes = turns * growth, classes * growth
     left = written(left.drop("most_lead", "least_first").join(start.hint("merge"), "ask", "left"), "asks")
     while True:
         into = group_bounds(left, groups, deals).select("ask", group)
